@@ -14,6 +14,10 @@ a pair as soon as that exceeds its budget. Three things keep it near-linear:
   one component is dropped. A dense ball of near copies thus costs about its size and not its square.
 * A first segment that very many fingerprints share is split into node pairs further down, each a unit of its own.
 
+Wide fingerprints. One word of 64 bits tells similarities near 1 apart from the rest; to link at a lower similarity, use
+`words` > 1: every shingle votes on `words` such words, tries are walked over the first `tries` of them with `bits` as
+budget, and two documents link when all words together differ in at most `total` bits.
+
 Edge cases: null text, or one without words, has fingerprint zero and links like any other; repeated rows stay; null ids
 are kept and never name a component unless all its ids are null.
 """
@@ -32,38 +36,56 @@ from terraloom.llm.common import materialize, utf8
 
 WIDTH = 64
 #: bit i of a byte value, as a 256 x 8 table
+_SLOT = np.arange(8, dtype=np.int16) * 256
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
-def fingerprint(raw: bytes, shingle: int, seed: int = 42) -> int:
-    """Unsigned fingerprint of one text: A-Z lower-cased, words split at ASCII white space, shingles counted as often as they occur."""
-    words = raw.lower().split()
-    if not words:
-        return 0
-    text = b" ".join(words)
-    if len(words) <= shingle:
+def sketch(raw: bytes, shingle: int, words: int = 1, seed: int = 42) -> bytes:
+    """Fingerprint of one text as `words` big-endian unsigned 64-bit words; the first is the plain SimHash.
+
+    A-Z is lower-cased, words split at ASCII white space, shingles count as often as they occur.
+    """
+    parts = raw.lower().split()
+    if not parts:
+        return bytes(8 * words)
+    text = b" ".join(parts)
+    if len(parts) <= shingle:
         hashes = np.array([xxhash.xxh64_intdigest(text, seed)], dtype=np.uint64)
     else:
-        length = np.fromiter(map(len, words), np.int64, len(words))
+        length = np.fromiter(map(len, parts), np.int64, len(parts))
         end = np.cumsum(length + 1) - 1
-        begin = (end - length)[: len(words) - shingle + 1].tolist()
+        begin = (end - length)[: len(parts) - shingle + 1].tolist()
         digest = xxhash.xxh64_intdigest
         hashes = np.array([digest(text[i:j], seed) for i, j in zip(begin, end[shingle - 1 :].tolist(), strict=True)], dtype=np.uint64)
-    octets = hashes.view(np.uint8).reshape(-1, 8)
-    votes = np.concatenate([np.bincount(octets[:, k], minlength=256) @ _BITS for k in range(8)])
-    return sum(1 << i for i in np.flatnonzero(votes * 2 > len(hashes)).tolist())
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """One row per document: its id and `fp`, the fingerprint as a signed long."""
+    out = []
+    for w in range(words):
+        mixed = hashes
+        if w:  # an independent hash from the first one
+            mixed = hashes + np.uint64(w * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+            mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            mixed = mixed ^ (mixed >> np.uint64(32))
+        octets = mixed.view(np.uint8).reshape(-1, 8).astype(np.int16) + _SLOT
+        votes = np.bincount(octets.ravel(), minlength=2048).reshape(8, 256) @ _BITS
+        out.append(np.packbits(votes.ravel() * 2 > len(hashes), bitorder="little").tobytes()[::-1])
+    return b"".join(out)
+
+
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1) -> DataFrame:
+    """One row per document: its id and `sketch`, its fingerprint as bytes."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(x, shingle) for x in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=[id_col, "fp"])
+            out = pa.array([sketch(x, shingle, words) for x in b.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), out], names=[id_col, "sketch"])
+
+    return docs.select(F.col(id_col), utf8(text_col).alias("_raw")).mapInArrow(run, f"`{id_col}` {kind}, sketch binary")
+
 
-    return docs.select(F.col(id_col), utf8(text_col).alias("_raw")).mapInArrow(run, f"`{id_col}` {kind}, fp long")
+def word(col, at: int):
+    """Word `at` of a sketch, as a signed long."""
+    return F.conv(F.hex(F.substring(col, 8 * at + 1, 8)), 16, -10).cast("long")
 
 
 def segments(bits: int) -> list[int]:
@@ -108,16 +130,17 @@ def _expand(left: tuple, right: tuple, same: np.ndarray) -> tuple[np.ndarray, np
     return i[keep], j[keep]
 
 
-def trie_components(turned: np.ndarray, unit: np.ndarray, rotation: np.ndarray, bits: int, chunk: int = 1 << 18, leaf: int = 8) -> np.ndarray:
+def trie_components(turned: np.ndarray, unit: np.ndarray, rotation: np.ndarray, bits: int, wide: np.ndarray | None = None, limit: int = 0, chunk: int = 1 << 18, leaf: int = 8) -> np.ndarray:
     """Label of each fingerprint's component among those of its unit.
 
     `turned`: rotated fingerprints, sorted inside runs of equal `unit`; members of a unit share the first segment.
+    wide: if given, all words of each fingerprint; a link then also needs at most `limit` differing bits there.
     Node pairs wait on a stack in blocks of at most `chunk`, deepest first, so memory stays bounded.
     """
     n = len(turned)
     label = np.arange(n)
     bounds = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1], True])
-    for total in range(1, bits + 1):
+    for total in sorted({min(bits, 1 << k) for k in range(bits.bit_length() + 1)}):
         allowed = np.array([budgets(bits, r, total) for r in range(bits + 1)])
         first = min(segments(bits))
         zeros = {}
@@ -140,6 +163,9 @@ def trie_components(turned: np.ndarray, unit: np.ndarray, rotation: np.ndarray,
                 same = (s == t) & (e == f)
                 i, j = _expand((s[small], e[small]), (t[small], f[small]), same[small])
                 near = np.bitwise_count(turned[i] ^ turned[j]) <= total
+                if wide is not None:
+                    i, j = i[near], j[near]
+                    near = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1) <= limit
                 if near.any():
                     label = _merge(label, i[near], j[near])
                     change = np.r_[0, np.cumsum(label[1:] != label[:-1])]
@@ -152,10 +178,10 @@ def trie_components(turned: np.ndarray, unit: np.ndarray, rotation: np.ndarray,
             u, v = s + z[e] - z[s], t + z[f] - z[t]
             cross = (s != t) | (e != f)
             parts = [(s, u, t, v, acc, None), (u, e, v, f, acc, None), (s, u, v, f, acc + 1, None), (u, e, t, v, acc + 1, cross)]
-            limit = allowed[rotation[s], depth + 1]
+            most = allowed[rotation[s], depth + 1]
             out = []
             for a, b, c, d, more, only in parts:
-                ok = (a < b) & (c < d) & (more <= limit)
+                ok = (a < b) & (c < d) & (more <= most)
                 ok &= ~((a == c) & (b == d) & (b - a == 1))
                 if only is not None:
                     ok &= only
@@ -172,9 +198,10 @@ def _turn(fp: np.ndarray, by: np.ndarray) -> np.ndarray:
     return (fp << by) | np.where(by > 0, fp >> ((np.uint64(WIDTH) - by) & np.uint64(63)), np.uint64(0))
 
 
-def links(fps: DataFrame, bits: int = 4, unit_rows: int = 200_000, step: int = 6) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs of the distinct `fp` that differ in at most `bits` bits.
+def links(prints: DataFrame, bits: int = 4, unit_rows: int = 200_000, step: int = 6, words: int = 1, tries: int = 1, total: int = 0) -> DataFrame:
+    """Links (a, b) of `node`s, whose components are those of all pairs of sketches that link (see above).
 
+    prints: a row per distinct sketch: `node` long, `sketch` binary.
     unit_rows: a node pair with more fingerprints than this is split `step` bits further down, again and again.
     """
     lengths = segments(bits)
@@ -182,13 +209,12 @@ def links(fps: DataFrame, bits: int = 4, unit_rows: int = 200_000, step: int = 6
     first = min(lengths)
 
     def prefix(depth: int):
-        turned = F.shiftleft("fp", F.col("off")).bitwiseOR(F.when(F.col("off") > 0, F.shiftrightunsigned("fp", 64 - F.col("off"))).otherwise(F.lit(0)))
-        return F.shiftrightunsigned(turned, 64 - depth)
+        return F.expr(f"shiftrightunsigned(shiftleft(fp, off) | if(off > 0, shiftrightunsigned(fp, 64 - off), 0L), {64 - depth})")
 
-    turns = F.explode(F.array(*[F.struct(F.lit(r).alias("rot"), F.lit(o).alias("off")) for r, o in enumerate(offsets)]))
-    units = fps.select("fp", turns.alias("_t")).select("fp", "_t.rot", "_t.off")
-    units = units.select("fp", "rot", "off", prefix(first).alias("p"), prefix(first).alias("q"), F.lit(first).alias("depth"))
-    key, done = ["rot", "depth", "p", "q"], []
+    turns = F.explode(F.array(*[F.struct(F.lit(t).alias("trie"), F.lit(r).alias("rot"), F.lit(o).alias("off"), word("sketch", t).alias("fp")) for t in range(tries) for r, o in enumerate(offsets)]))
+    units = prints.select("node", "sketch", turns.alias("_t")).select("node", "sketch", "_t.*")
+    units = units.select("node", "sketch", "fp", "trie", "rot", "off", prefix(first).alias("p"), prefix(first).alias("q"), F.lit(first).alias("depth"))
+    key, done = ["trie", "rot", "depth", "p", "q"], []
     depth = first
     while depth + step < WIDTH:
         hot = units.groupBy(*key).count().where(F.col("count") > unit_rows).select(*key)
@@ -203,7 +229,7 @@ def links(fps: DataFrame, bits: int = 4, unit_rows: int = 200_000, step: int = 6
         units = units.withColumn("_m", F.explode(masks)).withColumn("_n", prefix(depth))
         units = units.withColumn("_d", F.shiftleft(F.col("p").bitwiseXOR(F.col("q")), step).bitwiseXOR(F.col("_m"))).where(F.bit_count("_d") <= limit)
         other = F.col("_n").bitwiseXOR(F.col("_d"))
-        units = units.select("fp", "rot", "off", F.least("_n", other).alias("p"), F.greatest("_n", other).alias("q"), F.lit(depth).alias("depth"))
+        units = units.select("node", "sketch", "fp", "trie", "rot", "off", F.least("_n", other).alias("p"), F.greatest("_n", other).alias("q"), F.lit(depth).alias("depth"))
         units = materialize(units, "simhash-units")
     for x in done:
         units = units.unionByName(x)
@@ -216,27 +242,31 @@ def links(fps: DataFrame, bits: int = 4, unit_rows: int = 200_000, step: int = 6
             if not held:
                 return None
             t = pa.Table.from_batches(held)
-            cols = [t.column(k).to_numpy() for k in ("rot", "off", "depth", "p", "q", "fp")]
-            edge = np.flatnonzero(np.any([c[1:] != c[:-1] for c in (cols[0], *cols[2:5])], axis=0)) + 1
+            cols = [t.column(k).to_numpy() for k in (*key, "off", "fp", "node")]
+            edge = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:5]], axis=0)) + 1
             if not last:  # the last unit may go on in the next batch
                 if not len(edge):
                     return None
                 held = t.slice(edge[-1]).to_batches()
+                t = t.slice(0, edge[-1])
                 cols = [c[: edge[-1]] for c in cols]
                 edge = edge[:-1]
             else:
                 held = []
-            rot, off, _, _, _, fp = cols
+            rot, off, fp, node = cols[1], *cols[5:]
             fp = fp.view(np.uint64)
             unit = np.zeros(len(fp), np.int64)
             unit[edge] = 1
             unit = np.cumsum(unit)
             turned = _turn(fp, off)
             order = np.lexsort((turned, unit))
-            turned, unit, rot, fp = turned[order], unit[order], rot[order], fp[order]
-            label = trie_components(turned, unit, rot, bits)
+            turned, unit, rot, node = turned[order], unit[order], rot[order], node[order]
+            wide = None
+            if words > 1:
+                wide = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(-1, words)[order]
+            label = trie_components(turned, unit, rot, bits, wide, total)
             found = np.flatnonzero(label != np.arange(len(label)))
-            return pa.RecordBatch.from_arrays([pa.array(fp[found].view(np.int64)), pa.array(fp[label[found]].view(np.int64))], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(node[found]), pa.array(node[label[found]])], names=["a", "b"])
 
         for b in batches:
             if b.num_rows:
@@ -247,7 +277,7 @@ def links(fps: DataFrame, bits: int = 4, unit_rows: int = 200_000, step: int = 6
             yield out
 
     dealt = units.repartition(*key).sortWithinPartitions(*key)
-    return dealt.select("rot", "off", "depth", "p", "q", "fp").mapInArrow(run, "a long, b long")
+    return dealt.select(*key, "off", "fp", "node", *(["sketch"] if words > 1 else [])).mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -271,14 +301,17 @@ def components(edges: DataFrame) -> DataFrame:
         state = new
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, bits: int = 4, unit_rows: int = 200_000) -> DataFrame:
-    """One row per input row: id, `fingerprint` (16 hex digits), `component_id` (least id of its component)."""
-    own = materialize(fingerprints(docs, id_col, text_col, shingle), "simhash-fp")
-    per = own.groupBy("fp").agg(F.min(id_col).alias("_least"))
-    per = materialize(per, "simhash-distinct")
-    of = materialize(components(links(per.select("fp"), bits, unit_rows)), "simhash-of")
-    joined = per.join(of.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "_least", F.coalesce("label", "fp").alias("label"))
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, bits: int = 4, unit_rows: int = 200_000, words: int = 1, tries: int = 1, total: int = 0) -> DataFrame:
+    """One row per input row: id, `fingerprint` (16 hex digits a word), `component_id` (least id of its component)."""
+    own = sketches(docs, id_col, text_col, shingle, words)
+    # a node is named by its fingerprint; a wide one by a 64-bit hash of it
+    own = materialize(own.withColumn("node", word("sketch", 0) if words == 1 else F.xxhash64("sketch")), "simhash-own")
+    per = materialize(own.groupBy("node").agg(F.min(id_col).alias("_least"), F.min("sketch").alias("sketch")), "simhash-distinct")
+    edges = links(per.select("node", "sketch"), bits, unit_rows, words=words, tries=tries, total=total)
+    of = materialize(components(edges), "simhash-of")
+    joined = per.join(of, "node", "left").select("node", "_least", F.coalesce("label", "node").alias("label"))
     joined = materialize(joined, "simhash-labelled")
     least = materialize(joined.groupBy("label").agg(F.min("_least").alias("component_id")), "simhash-least")
-    named = materialize(joined.select("fp", "label").join(least, "label").select("fp", "component_id"), "simhash-named")
-    return own.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = materialize(joined.select("node", "label").join(least, "label").select("node", "component_id"), "simhash-named")
+    digits = F.lower(F.lpad(F.hex("node"), 16, "0")) if words == 1 else F.lower(F.hex("sketch"))
+    return own.withColumn("fingerprint", digits).select(id_col, "node", "fingerprint").join(named, "node").select(id_col, "fingerprint", "component_id")

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,3 +51,26 @@ def utf8(col: str | Column) -> Column:
     """The raw bytes of a text column, so that damaged UTF-8 can't stop a task; null reads as empty."""
     col = F.col(col) if isinstance(col, str) else col
     return F.coalesce(col.cast("binary"), F.lit(b"").cast("binary"))
+
+
+def with_computed(df: DataFrame, keep: list[str], inputs: list[Column], fn: Callable[..., list[pa.Array]], fields: list[tuple[str, str]], only: int | None = None) -> DataFrame:
+    """`keep` columns of `df`, followed by columns that `fn` computes from the `inputs`, one Arrow batch at a time.
+
+    fn gets one Arrow array per input and returns one per field (name, type). only: the position among the fields of a
+    boolean by which rows are kept; that column itself is left out.
+    """
+    n, taking = len(keep), len(inputs)
+    taken = df.select(*[F.col(f"`{c}`").alias(f"_k{k}") for k, c in enumerate(keep)], *[c.alias(f"_i{k}") for k, c in enumerate(inputs)])
+    shown = [(k, f) for k, f in enumerate(fields) if k != only]
+    names = [f"_k{k}" for k in range(n)] + [f"_o{k}" for k, _ in shown]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = fn(*[b.column(n + k) for k in range(taking)])
+            out = pa.RecordBatch.from_arrays([*[b.column(k) for k in range(n)], *[made[k] for k, _ in shown]], names=names)
+            yield out if only is None else out.filter(made[only])
+
+    kept = T.StructType([T.StructField(f"_k{k}", df.schema[c].dataType) for k, c in enumerate(keep)])
+    for k, (_, kind) in shown:
+        kept = kept.add(f"_o{k}", T.DataType.fromDDL(kind))
+    return taken.mapInArrow(run, kept).toDF(*keep, *[f[0] for _, f in shown])

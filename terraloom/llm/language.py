@@ -15,7 +15,6 @@ null ids are kept and held out by no fold (crc32 of null is null: they are neith
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import utf8
+from terraloom.llm.common import utf8, with_computed
 
 WINDOW = 64
 BLOCK = 2048
@@ -214,13 +213,11 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     return train(x, y, names, **how) if len(x) else None
 
 
-def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, `lang_pred`, `score`. Only the text is looked at."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The `keep` columns of every document, its predicted language and that one's probability. Only the text is looked at."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            langs, scores = predict(model, b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[id_col, "lang_pred", "score"])
+    def run(raw: pa.Array) -> list[pa.Array]:
+        langs, scores = predict(model, raw.to_pylist())
+        return [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("_raw")).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    return with_computed(docs, list(keep), [F.col(text_col).cast("binary")], run, [(names[0], "string"), (names[1], "double")])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import utf8
+from terraloom.llm.common import utf8, with_computed
 
 HASH_BITS = 14
 FACTORS = 8
@@ -183,18 +183,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     return train(join("idx", np.uint16).astype(np.int64), join("x", np.float32), n, join("dense", np.float64).reshape(len(got), -1), np.array([r["_y"] for r in got], np.float32))
 
 
-def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", meta: tuple[str, ...] = ("n_chars",)) -> DataFrame:
-    """One row per document: id, `score` (0 to 1), `predicted` (1 if the score is at least 0.5)."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def score(docs: DataFrame, model: Model | None, text_col: str = "text", meta: tuple[str, ...] = ("n_chars",), keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The `keep` columns of every document, its score (0 to 1) and the prediction (1 if the score is at least 0.5)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in (b.slice(k, 1000) for k in range(0, b.num_rows, 1000)):
-                p = np.full(part.num_rows, 0.5)
-                if model is not None and part.num_rows:
-                    idx, x, n, stats = features(part.column(1).to_pylist())
-                    dense = model.dense(np.column_stack([stats, *[part.column(2 + k).to_numpy(zero_copy_only=False) for k in range(len(meta))]]).astype(np.float64))
-                    p = 1 / (1 + np.exp(-np.clip(model.raw_score(idx, x, n, dense)[0].astype(np.float64), -30, 30)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[id_col, "score", "predicted"])
-
-    return docs.select(F.col(id_col), utf8(text_col).alias("_raw"), *_meta(list(meta))).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int")
+    def run(raw: pa.Array, *values: pa.Array) -> list[pa.Array]:
+        p = np.full(len(raw), 0.5)
+        for k in range(0, len(raw) if model is not None else 0, 1000):
+            idx, x, n, stats = features(raw.slice(k, 1000).to_pylist())
+            dense = model.dense(np.column_stack([stats, *[v.slice(k, 1000).to_numpy(zero_copy_only=False) for v in values]]).astype(np.float64))
+            p[k : k + 1000] = 1 / (1 + np.exp(-np.clip(model.raw_score(idx, x, n, dense)[0].astype(np.float64), -30, 30)))
+        return [pa.array(p), pa.array((p >= 0.5).astype(np.int32))]
+
+    return with_computed(docs, list(keep), [utf8(text_col), *_meta(list(meta))], run, [(names[0], "double"), (names[1], "int")])

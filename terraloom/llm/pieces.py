@@ -285,7 +285,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
 def _encode_long(docs: DataFrame, model: str, id_col: str, text_col: str, chunk: int) -> DataFrame:
     kind = docs.schema[id_col].dataType
-    key = T.StructType().add("uid", "long").add("n", "int")
+    key = T.StructType().add("uid", "long").add("n", "integer")
 
     def cut(batches):
         v = vocabulary(model)
@@ -297,7 +297,7 @@ def _encode_long(docs: DataFrame, model: str, id_col: str, text_col: str, chunk:
                     row = [[uid], [n], [own], [t[at : at + size + v.longest - 1]], [size], [at + size == len(t)]]
                     yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), pa.array(row[1], pa.int32()), pa.array(row[2], b.column(1).type), pa.array(row[3]), pa.array(row[4], pa.int32()), pa.array(row[5])], names=["uid", "n", "own", "t", "size", "last"])
 
-    schema = T.StructType([*key, T.StructField("own", kind)]).add("t", "string").add("size", "int").add("last", "boolean")
+    schema = T.StructType([*key, T.StructField("own", kind)]).add("t", "string").add("size", "integer").add("last", "boolean")
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("own"), text_col)
     # written once, so that the row numbers stay; dealt by chunk, so that a giant document is spread over tasks
     chunks = materialize(rows.mapInArrow(cut, schema).repartition("uid", "n"), "pieces-chunks")
@@ -340,7 +340,7 @@ def _encode_long(docs: DataFrame, model: str, id_col: str, text_col: str, chunk:
         return pa.table({"uid": g.column("uid"), "n": g.column("n"), "leave": pa.array(out[::-1], pa.int32())})
 
     e = per_chunk(entered, ["t", "size", "alpha"], entries, "e", "binary")
-    exits = materialize(e.groupBy("uid").applyInArrow(compose, T.StructType([*key]).add("leave", "int")), "pieces-exits")
+    exits = materialize(e.groupBy("uid").applyInArrow(compose, T.StructType([*key]).add("leave", "integer")), "pieces-exits")
 
     def back(t, size, alpha, leave):
         v = vocabulary(model)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloom.llm import decontaminate, language, pieces, quality, simhash
+from terraloom.llm import decontaminate, language, pieces, quality, simhash, token_file
 from terraloom.llm.common import fold, table
 
 
@@ -19,6 +19,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = token_file.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_file.read(written)
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, bits=4)
 
@@ -42,6 +47,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op5_token_file": op5_token_file,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,

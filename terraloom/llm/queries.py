@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloom.llm import decontaminate, language, pieces, quality, simhash, token_file
+from terraloom.llm import decontaminate, language, pieces, quality, simhash, token_file, warc
 from terraloom.llm.common import fold, table
 
 
@@ -19,6 +19,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write(table(spark, sf_dir, "pages"), min_revisit_bytes=0)
+    return warc.digests(warc.read(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = token_file.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return token_file.read(written)
@@ -47,6 +52,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op4_warc": op4_warc,
     "op5_token_file": op5_token_file,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_sentencepiece": op7_sentencepiece,
@@ -54,4 +60,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        q AS (SELECT page_id, html, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS main FROM p)
+        SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+          array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            CAST(1 + ((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) AS BIGINT), 1)), '') AS payload_digest,
+          CASE WHEN page_id = main THEN 'response' ELSE 'revisit' END AS record_type,
+          CASE WHEN page_id <> main THEN main END AS refers_to
+        FROM q""",
+}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloom.llm import decontaminate, language, pieces, quality, simhash, token_file, warc
+from terraloom.llm import decontaminate, language, pieces, quality, simhash, token_file, topk, warc
 from terraloom.llm.common import fold, table
 
 
@@ -19,6 +19,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write(table(spark, sf_dir, "pages"), min_revisit_bytes=0)
     return warc.digests(warc.read(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -52,6 +56,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op3_exact_topk": op3_exact_topk,
     "op4_warc": op4_warc,
     "op5_token_file": op5_token_file,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
@@ -61,6 +66,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_exact_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+          FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+        r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op4_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         q AS (SELECT page_id, html, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS main FROM p)

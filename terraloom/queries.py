@@ -1,6 +1,8 @@
-"""Registered queries: name -> (function of session and data folder, DuckDB SQL or None)."""
+"""Registered queries: name -> function of session and data folder, with the DuckDB SQL of each."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from terraloom.plans import q_raster  # noqa: F401  (registers its queries)
+from terraloom.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -25,6 +25,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -126,6 +127,21 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def words(self, texts: list[str]) -> dict[str, bytes]:
+        """Ids of each distinct word, many of them in one text with line ends between, which the pre-tokenizer cuts off."""
+        end = self.ids(["\n"])[0]
+        plain = [t for t in texts if t.strip() and not t[-1].isspace() and "\n" not in t and not (t[1:2] if t[0] == " " else t[0]).isspace()]
+        out = {}
+        for k in range(0, len(plain) if len(end) == 4 else 0, 4000):
+            part = plain[k : k + 4000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(ids == np.frombuffer(end, "<u4")[0])
+            raw = ids.tobytes()
+            out.update((t, raw[4 * i : 4 * j]) for t, i, j in zip(part, [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)], strict=True))
+        rest = [t for t in texts if t not in out]
+        out.update(zip(rest, self.ids(rest), strict=True))
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if not self.splits:
@@ -133,16 +149,30 @@ class Encoder:
         known = self.known
         if len(known) > 1_000_000:  # bounded, so that a task's memory does not follow its input
             known.clear()
-        plain = [None if self.odd.search(t) else [p if not k else " " + p for k, p in enumerate(t.split(" "))] for t in texts]
-        new = list({p for parts in plain if parts for p in parts if p not in known})
-        pieces = [self.edge.split(p) for p in new]
-        small = list({q for parts in pieces for q in parts if q not in known})
-        fresh = dict(zip(small, self.ids(small), strict=True))
-        known.update((q, v) for q, v in fresh.items() if len(q) <= 48)
-        fresh.update((p, b"".join([fresh[q] if q in fresh else known[q] for q in parts])) for p, parts in zip(new, pieces, strict=True))
-        known.update((p, fresh[p]) for p in new if len(p) <= 48)
-        look = lambda p: known[p] if p in known else fresh[p]
-        return [b"".join(map(look, parts)) if parts is not None else self.ids([t])[0] for t, parts in zip(texts, plain, strict=True)]
+        plain = [None if self.odd.search(t) else t.split(" ") for t in texts]
+        # `known` has the ids of a blank and the word; first words have no blank in front
+        found = [p and list(map(known.get, p[1:])) for p in plain]
+        new = list({w for p, f in zip(plain, found, strict=True) if p and None in f for w, x in zip(p[1:], f, strict=True) if x is None})
+        first = [p[0] for p in plain if p]
+        pieces = [self.edge.split(p) for p in [*(" " + p for p in new), *first]]
+        small = set(chain.from_iterable(pieces))
+        fresh = {q: known[q[1:]] for q in small if q[:1] == " " and q[1:] in known}
+        fresh.update(self.words(list(small.difference(fresh))))
+        made = [b"".join([fresh[q] for q in parts]) for parts in pieces]
+        known.update(zip(new, made))
+        heads = iter(made[len(new) :])
+        out = []
+        for t, p, f in zip(texts, plain, found, strict=True):
+            if p is None:
+                out.append(self.ids([t])[0])
+                continue
+            if None in f:
+                f = [known[w] if x is None else x for w, x in zip(p[1:], f, strict=True)]
+            out.append(next(heads) + b"".join(f))
+        for p in new:
+            if len(p) > 48:
+                del known[p]
+        return out
 
 
 @lru_cache(maxsize=2)

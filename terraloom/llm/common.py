@@ -65,7 +65,7 @@ def with_computed(df: DataFrame, keep: list[str], inputs: list[Column], fn: Call
     names = [f"_k{k}" for k in range(n)] + [f"_o{k}" for k, _ in shown]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(k, 2000) for whole in batches for k in range(0, whole.num_rows, 2000)):  # bounds what fn holds
             made = fn(*[b.column(n + k) for k in range(taking)])
             out = pa.RecordBatch.from_arrays([*[b.column(k) for k in range(n)], *[made[k] for k, _ in shown]], names=names)
             yield out if only is None else out.filter(made[only])

@@ -52,7 +52,7 @@ class _AfterBlank(dict):
     def __missing__(self, word: str) -> bytes:
         ids = self.v.word(BLANK + word)[1]
         if len(word) <= 64:
-            if len(self) > 500_000:
+            if len(self) > 250_000:
                 self.clear()
             self[word] = ids
         return ids
@@ -131,7 +131,7 @@ class Vocabulary:
                 j = back[j]
             got = best[-1], np.array([k for p in reversed(cuts) for k in self.ids_of(p)], np.int32).tobytes()
             if len(t) <= 64:
-                if len(self.known) > 500_000:  # bounded, so that a task's memory does not follow its input
+                if len(self.known) > 250_000:  # bounded, so that a task's memory does not follow its input
                     self.known.clear()
                 self.known[t] = got
         return got
@@ -269,7 +269,7 @@ def prefixes(matrices: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = 32_768) -> DataFrame:
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = 65_536) -> DataFrame:
     """One row per document: id and `ids`, an array of piece ids. `model` is the path of a model file on every executor."""
     short = F.coalesce(F.length(text_col), F.lit(0)) <= chunk
 
@@ -358,6 +358,7 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids", keep: tuple[str
 
     def run(ids: pa.Array) -> list[pa.Array]:
         v = vocabulary(model)
-        return [pa.array([v.decode(x or []) for x in ids.to_pylist()], pa.string())]
+        flat, at = ids.flatten().to_numpy(), np.cumsum([0, *[len(x) if x.is_valid else 0 for x in ids]])
+        return [pa.array([v.decode(flat[i:j].tolist()) for i, j in zip(at, at[1:])], pa.string())]
 
     return with_computed(encoded, list(keep), [F.col(ids_col)], run, [(name, "string")])

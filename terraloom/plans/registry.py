@@ -19,6 +19,8 @@ def with_views(sql: str) -> str:
         return sql
     head = "WITH " + ", ".join(f"{v} AS ({duck(v)})" for v in used)
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head[5:]}, {body[15:]}"
     return f"{head}, {body[5:]}" if body.upper().startswith("WITH ") else f"{head} {body}"
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terraloom.plans import q_raster  # noqa: F401  (registers its queries)
+from terraloom.plans import q_grid, q_raster, q_text  # noqa: F401  (they register their queries)
 from terraloom.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

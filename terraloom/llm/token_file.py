@@ -45,6 +45,8 @@ def pack(values: np.ndarray, width: int) -> bytes:
     """`values` (unsigned) at `width` bits each, least significant bit first."""
     if not width:
         return b""
+    if width in (8, 16, 32):  # whole bytes: the same layout
+        return values.astype(f"<u{width // 8}").tobytes()
     bits = (values[:, None] >> np.arange(width, dtype=np.uint32)) & 1
     return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
 
@@ -52,6 +54,8 @@ def pack(values: np.ndarray, width: int) -> bytes:
 def unpack(raw: bytes, n: int, width: int) -> np.ndarray:
     if not width:
         return np.zeros(n, np.uint32)
+    if width in (8, 16, 32):
+        return np.frombuffer(raw, f"<u{width // 8}", n).astype(np.uint32)
     bits = np.unpackbits(np.frombuffer(raw, np.uint8), count=n * width, bitorder="little").reshape(n, width)
     padded = np.zeros((n, 32), np.uint8)
     padded[:, :width] = bits
@@ -113,7 +117,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        #: ids of a blank and a word; when full it becomes `before`, from which words still in use come back
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.splits = self.splitting()
 
     def splitting(self) -> bool:
@@ -127,6 +133,12 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def needs_context(self, t: str) -> bool:
+        """Whether `odd` is found; plain ASCII text is settled without the pattern."""
+        if t.isascii() and "  " not in t and "\n " not in t and not t.endswith(" ") and not any(c in t for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"):
+            return False
+        return self.odd.search(t) is not None
+
     def words(self, texts: list[str]) -> dict[str, bytes]:
         """Ids of each distinct word, many of them in one text with line ends between, which the pre-tokenizer cuts off."""
         end = self.ids(["\n"])[0]
@@ -146,15 +158,17 @@ class Encoder:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if not self.splits:
             return self.ids(texts)
-        known = self.known
-        if len(known) > 1_000_000:  # bounded, so that a task's memory does not follow its input
-            known.clear()
-        plain = [None if self.odd.search(t) else t.split(" ") for t in texts]
-        # `known` has the ids of a blank and the word; first words have no blank in front
+        if len(self.known) > 600_000:  # bounded, so that a task's memory does not follow its input
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        plain = [None if self.needs_context(t) else t.split(" ") for t in texts]
+        # first words have no blank in front and are not remembered
         found = [p and list(map(known.get, p[1:])) for p in plain]
-        new = list({w for p, f in zip(plain, found, strict=True) if p and None in f for w, x in zip(p[1:], f, strict=True) if x is None})
+        missing = {w for p, f in zip(plain, found, strict=True) if p and None in f for w, x in zip(p[1:], f, strict=True) if x is None}
+        known.update((w, before[w]) for w in missing if w in before)
+        new = [w for w in missing if w not in known]
         first = [p[0] for p in plain if p]
-        pieces = [self.edge.split(p) for p in [*(" " + p for p in new), *first]]
+        pieces = [[p] if p[1:].isalpha() and p[0] == " " else self.edge.split(p) for p in [*(" " + p for p in new), *first]]
         small = set(chain.from_iterable(pieces))
         fresh = {q: known[q[1:]] for q in small if q[:1] == " " and q[1:] in known}
         fresh.update(self.words(list(small.difference(fresh))))

@@ -9,15 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-@F.pandas_udf("string")
-def _fold(s: pd.Series) -> pd.Series:
-    plain = lambda t: " ".join("".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower().split())
-    return s.map(plain, na_action="ignore")
-
-
 def fold_text(c: Column) -> Column:
     """Compatibility-decomposed, without combining marks, lower case, single blanks. Spark has no decomposition of its own, so this is a vectorised UDF."""
-    return _fold(c)
+
+    def fold(s: pd.Series) -> pd.Series:
+        plain = lambda t: " ".join("".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x)).lower().split())
+        return s.map(plain, na_action="ignore")
+
+    return F.pandas_udf(fold, "string")(c)
 
 
 def stable_id(c: Column) -> Column:

@@ -99,22 +99,23 @@ def fn_alias_list(v):
 
 # --- filters
 
-_B = (C("w"), C("s"), C("e"), C("n"))
+def _b():
+    return C("w"), C("s"), C("e"), C("n")
 
 
 @query("SELECT item_id FROM item WHERE w <= 20 AND e >= 0 AND s <= 20 AND n >= 0")
 def flt_bbox_closed(v):
-    return v.item.where(P.bbox_closed(*_B, BOX)).select("item_id")
+    return v.item.where(P.bbox_closed(*_b(), BOX)).select("item_id")
 
 
 @query("SELECT item_id FROM item WHERE w < 20 AND e > 0 AND s < 20 AND n > 0 AND cloud <= 40")
 def flt_bbox_open(v):
-    return v.item.where(P.bbox_open(*_B, BOX) & (C("cloud") <= 40)).select("item_id")
+    return v.item.where(P.bbox_open(*_b(), BOX) & (C("cloud") <= 40)).select("item_id")
 
 
 @query("SELECT count(*) AS n FROM item WHERE w <= 20 AND e >= 0 AND s <= 20 AND n >= 0")
 def flt_bbox_rows(v):
-    return v.item.where(P.bbox_rows(*_B, BOX)).agg(F.count("*").alias("n"))
+    return v.item.where(P.bbox_rows(*_b(), BOX)).agg(F.count("*").alias("n"))
 
 
 @query("SELECT item_id FROM item WHERE w + o % 3 * 200 < e AND w + o % 3 * 200 <= 180 AND e <= 180 AND s < n AND s >= -90 AND n <= 90")
@@ -189,7 +190,7 @@ def flt_osm_area(v):
 
 @query("SELECT item_id FROM item WHERE e - w <= 1 AND n - s <= 1 AND 6371008.8::DOUBLE * 6371008.8 * radians(e - w) * (sin(radians(n)) - sin(radians(s))) <= 1e8")
 def flt_overpass_area(v):
-    return v.item.where(P.overpass_area(*_B)).select("item_id")
+    return v.item.where(P.overpass_area(*_b())).select("item_id")
 
 
 @query("SELECT scene, count(*) FILTER (WHERE red = 0) AS empty, count(*) FILTER (WHERE scl = 3) AS nan FROM px GROUP BY scene")

@@ -110,9 +110,8 @@ class Index:
             same = own[lo:hi] == doc[lo + diagonal : hi + diagonal]
             sums = np.r_[0, np.cumsum(np.where(same, 1, -COST))]
             gain = sums - np.minimum.accumulate(sums)
-            end = int(gain.argmax())
-            begin = int(sums[: end + 1].argmin())
-            n, equal = end - begin, int(same[begin:end].sum())
+            stretches = [(int(sums[: e + 1].argmin()), e) for e in np.flatnonzero(gain == gain.max()).tolist()]
+            equal, n, begin, end = max((int(same[b:e].sum()), e - b, b, e) for b, e in stretches)
             if equal >= min(min_words, -(-4 * len(own) // 5)) and 5 * equal >= 4 * n and (item not in best or equal > best[item][4]):
                 best[item] = (item, begin + lo + diagonal, begin + lo, n, equal)
         return sorted(best.values())

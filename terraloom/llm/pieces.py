@@ -43,19 +43,23 @@ NONE = -(1 << 60)
 SCALE = 1000
 
 
-class _AfterBlank(dict):
-    """Word -> ids of a blank and the word, remembered up to a bound."""
-
-    def __init__(self, v: Vocabulary):
-        self.v = v
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.v.word(BLANK + word)[1]
-        if len(word) <= 64:
-            if len(self) > 250_000:
+class _Memory(dict):
+    """Key -> made value, bounded so that a task's memory does not follow its input: when full, this generation becomes the
+    old one, from which keys still in use come back."""
+
+    def __init__(self, make, size: int):
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key: str):
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.size:
+                self.old = dict(self)
                 self.clear()
-            self[word] = ids
-        return ids
+            self[key] = value
+        return value
 
 
 class Vocabulary:
@@ -72,6 +76,7 @@ class Vocabulary:
         self.text = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         self.byte = {int(self.text[i][3:5], 16): i for i in range(len(self.text)) if sp.is_byte(i)}
         self.of_byte = {i: b for b, i in self.byte.items()}
+        self.silent = {i for i in range(len(self.text)) if sp.is_control(i)}
         self.unknown = sp.unk_id()
         self.id = {self.text[i]: i for i in plain}
         self.score = {p: round(stored[i] * SCALE) for p, i in self.id.items()}
@@ -79,13 +84,15 @@ class Vocabulary:
         self.longest = max(map(len, self.id))
         self.part = {p[:k]: None for p in self.id for k in range(1, len(p))}
         self.part.update(self.score)  # a proper prefix that is no piece: None
-        self.silent = {i for i in range(len(self.text)) if sp.is_control(i)}
         # no piece goes on over a blank that follows something else: words can be taken one by one
         self.by_word = not any(BLANK in p.lstrip(BLANK) for p in self.id)
         #: neighbouring characters inside pieces; between any others every segmentation has a boundary
         self.joined = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
-        self.known: dict[str, tuple[int, bytes]] = {}
-        self.after_blank = _AfterBlank(self)
+        self.known = _Memory(self.solve, 200_000)
+        self.after_blank = _Memory(lambda word: self.word(BLANK + word)[1], 300_000)
+        # what most ids stand for on their own: all but bytes of longer characters, and controls
+        self.alone = [chr(self.of_byte[i]) if i in self.of_byte else t for i, t in enumerate(self.text)]
+        self.not_alone = np.array([self.of_byte.get(i, 0) > 127 or i in self.silent for i in range(len(self.text))])
 
     def spans(self, t: str, i: int) -> Iterator[tuple[int, int]]:
         """(end, score) of every piece at i, shortest first; a character without one counts as unknown."""
@@ -107,34 +114,32 @@ class Vocabulary:
 
     def word(self, t: str) -> tuple[int, bytes]:
         """Score and ids (little-endian 32-bit) of a text that can be taken on its own."""
-        if (got := self.known.get(t)) is None:
-            at = [k for k in range(1, len(t)) if t[k - 1 : k + 1] not in self.joined]
+        return self.known[t]
+
+    def solve(self, t: str) -> tuple[int, bytes]:
+        size, longest, find, joined = len(t), self.longest, self.part.get, self.joined
+        if not t[1:].isalpha():  # with other characters than letters there often is a boundary to cut at
+            at = [k for k in range(1, size) if t[k - 1 : k + 1] not in joined]
             if at:
-                found = [self.word(t[i:j]) for i, j in zip([0, *at], [*at, len(t)], strict=True)]
+                found = [self.known[t[i:j]] for i, j in zip([0, *at], [*at, size], strict=True)]
                 return sum(f[0] for f in found), b"".join([f[1] for f in found])
-            best, back = [0] + [NONE] * len(t), [0] * (len(t) + 1)
-            find, size, longest = self.part.get, len(t), self.longest
-            for i in range(size):  # as spans() has it, written out
-                b = best[i]
-                for j in range(i + 1, min(size, i + longest) + 1):
-                    s = find(t[i:j], 0)
-                    if s == 0 or s is None:
-                        if j == i + 1 and b + self.unknown_score > best[j]:
-                            best[j], back[j] = b + self.unknown_score, i
-                        if s == 0:
-                            break
-                    elif b + s > best[j]:
-                        best[j], back[j] = b + s, i
-            cuts, j = [], len(t)
-            while j:
-                cuts.append(t[back[j] : j])
-                j = back[j]
-            got = best[-1], np.array([k for p in reversed(cuts) for k in self.ids_of(p)], np.int32).tobytes()
-            if len(t) <= 64:
-                if len(self.known) > 250_000:  # bounded, so that a task's memory does not follow its input
-                    self.known.clear()
-                self.known[t] = got
-        return got
+        best, back, unknown = [0] + [NONE] * size, [0] * (size + 1), self.unknown_score
+        for i in range(size):  # as spans() has it, written out
+            b = best[i]
+            for j in range(i + 1, min(size, i + longest) + 1):
+                s = find(t[i:j], 0)
+                if s == 0 or s is None:
+                    if j == i + 1 and b + unknown > best[j]:
+                        best[j], back[j] = b + unknown, i
+                    if s == 0:
+                        break
+                elif b + s > best[j]:
+                    best[j], back[j] = b + s, i
+        cuts, j = [], size
+        while j:
+            cuts.append(t[back[j] : j])
+            j = back[j]
+        return best[-1], np.array([k for p in reversed(cuts) for k in self.ids_of(p)], np.int32).tobytes()
 
     def words(self, t: str) -> list[str]:
         """Parts that can be taken one by one."""
@@ -161,7 +166,10 @@ class Vocabulary:
         word = self.word
         return b"".join([word(w)[1] for w in self.words(normal(text))])
 
-    def decode(self, ids) -> str:
+    def decode(self, ids: np.ndarray) -> str:
+        if not self.not_alone[ids].any():
+            return "".join(map(self.alone.__getitem__, ids.tolist())).replace(BLANK, " ")[1:]
+        ids = ids.tolist()
         out, held = [], bytearray()
         for i in [*ids, None]:
             if i is not None and i in self.of_byte:
@@ -359,6 +367,6 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids", keep: tuple[str
     def run(ids: pa.Array) -> list[pa.Array]:
         v = vocabulary(model)
         flat, at = ids.flatten().to_numpy(), np.cumsum([0, *[len(x) if x.is_valid else 0 for x in ids]])
-        return [pa.array([v.decode(flat[i:j].tolist()) for i, j in zip(at, at[1:])], pa.string())]
+        return [pa.array([v.decode(flat[i:j]) for i, j in zip(at, at[1:])], pa.string())]
 
     return with_computed(encoded, list(keep), [F.col(ids_col)], run, [(name, "string")])

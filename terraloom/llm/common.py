@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -53,20 +54,37 @@ def utf8(col: str | Column) -> Column:
     return F.coalesce(col.cast("binary"), F.lit(b"").cast("binary"))
 
 
-def with_computed(df: DataFrame, keep: list[str], inputs: list[Column], fn: Callable[..., list[pa.Array]], fields: list[tuple[str, str]], only: int | None = None) -> DataFrame:
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 2000 rows and 16 MB, so that what a task holds follows neither row count nor text length.
+
+    Smaller settings of the session stay.
+    """
+    for key, most, unit in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000, ""), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20, "b")):
+        now = int(re.sub(r"\D", "", spark.conf.get(key)) or 0)
+        if not 0 < now <= most:
+            spark.conf.set(key, f"{most}{unit}")
+
+
+def with_computed(df: DataFrame, keep: list[str], inputs: list[Column | str], fn: Callable[..., list[pa.Array]], fields: list[tuple[str, str]], only: int | None = None) -> DataFrame:
     """`keep` columns of `df`, followed by columns that `fn` computes from the `inputs`, one Arrow batch at a time.
 
-    fn gets one Arrow array per input and returns one per field (name, type). only: the position among the fields of a
-    boolean by which rows are kept; that column itself is left out.
+    fn gets one Arrow array per input and returns one per field (name, type). An input given as a name is that column's raw
+    bytes (nulls stay); a kept column is not sent twice for it. only: the position among the fields of a boolean by which
+    rows are kept; that column itself is left out.
     """
-    n, taking = len(keep), len(inputs)
-    taken = df.select(*[F.col(f"`{c}`").alias(f"_k{k}") for k, c in enumerate(keep)], *[c.alias(f"_i{k}") for k, c in enumerate(inputs)])
+    small_batches(df.sparkSession)
+    n = len(keep)
+    sent = [c for c in inputs if not (isinstance(c, str) and c in keep)]
+    at = [keep.index(c) if isinstance(c, str) and c in keep else n + sum(1 for x in inputs[:k] if not (isinstance(x, str) and x in keep)) for k, c in enumerate(inputs)]
+    raw = [isinstance(c, str) for c in inputs]
+    extra = [(F.col(f"`{c}`").cast("binary") if isinstance(c, str) else c).alias(f"_i{k}") for k, c in enumerate(sent)]
+    taken = df.select(*[F.col(f"`{c}`").alias(f"_k{k}") for k, c in enumerate(keep)], *extra)
     shown = [(k, f) for k, f in enumerate(fields) if k != only]
     names = [f"_k{k}" for k in range(n)] + [f"_o{k}" for k, _ in shown]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (whole.slice(k, 2000) for whole in batches for k in range(0, whole.num_rows, 2000)):  # bounds what fn holds
-            made = fn(*[b.column(n + k) for k in range(taking)])
+        for b in batches:
+            made = fn(*[b.column(k).cast(pa.binary()) if r else b.column(k) for k, r in zip(at, raw, strict=True)])
             out = pa.RecordBatch.from_arrays([*[b.column(k) for k in range(n)], *[made[k] for k, _ in shown]], names=names)
             yield out if only is None else out.filter(made[only])
 

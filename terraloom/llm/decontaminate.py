@@ -140,7 +140,7 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
             found = [index.value.find(x, min_words) for x in raw.to_pylist()]
             return [pa.array([[dict(zip(names, m, strict=True)) for m in f] for f in found], pa.list_(pa.struct([(n, pa.int64()) for n in names])))]
 
-        part = with_computed(docs, [id_col], [utf8(text_col)], run, [("m", "array<struct<" + ",".join(f"{n}: bigint" for n in names) + ">>")])
+        part = with_computed(docs, [id_col], [text_col], run, [("m", "array<struct<" + ",".join(f"{n}: bigint" for n in names) + ">>")])
         ids = F.array(*[F.lit(i).cast(kind) for i, _ in block])
         part = part.where(F.size("m") > 0).select(id_col, F.explode("m").alias("m")).select(id_col, F.element_at(ids, (F.col("m.item") + 1).cast("int")).alias(item_col), *[f"m.{n}" for n in names[1:]])
         out = part if out is None else out.unionByName(part)
@@ -157,5 +157,5 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: s
         def run(raw: pa.Array, index=index) -> list[pa.Array]:
             return [pa.array([not index.value.find(x, min_words) for x in raw.to_pylist()], pa.bool_())]
 
-        docs = with_computed(docs, docs.columns, [utf8(text_col)], run, [("ok", "boolean")], only=0)
+        docs = with_computed(docs, docs.columns, [text_col], run, [("ok", "boolean")], only=0)
     return docs

@@ -220,4 +220,4 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
         langs, scores = predict(model, raw.to_pylist())
         return [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
 
-    return with_computed(docs, list(keep), [F.col(text_col).cast("binary")], run, [(names[0], "string"), (names[1], "double")])
+    return with_computed(docs, list(keep), [text_col], run, [(names[0], "string"), (names[1], "double")])

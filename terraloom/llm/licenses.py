@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import utf8, with_computed
+from terraloom.llm.common import with_computed
 from terraloom.llm.decontaminate import seeds, words
 
 GRAM = 3
@@ -153,7 +153,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, str]] | None = None, i
         found = [index.scan(x, coverage) for x in raw.to_pylist()]
         return [pa.array([[dict(zip(names, m, strict=True)) for m in f] for f in found], pa.list_(pa.struct([(n, pa.int64()) for n in names])))]
 
-    out = with_computed(docs, [id_col], [utf8(text_col)], run, [("m", "array<struct<" + ",".join(f"{n}: bigint" for n in names) + ">>")])
+    out = with_computed(docs, [id_col], [text_col], run, [("m", "array<struct<" + ",".join(f"{n}: bigint" for n in names) + ">>")])
     pick = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in index.names] or [F.lit("")]), (F.col("m.item") + 1).cast("int"))
     sizes = F.element_at(F.array(*[F.lit(len(t)) for t in index.tokens] or [F.lit(1)]), (F.col("m.item") + 1).cast("int"))
     out = out.where(F.size("m") > 0).select(id_col, F.explode("m").alias("m"))

@@ -189,9 +189,9 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", meta: tu
     def run(raw: pa.Array, *values: pa.Array) -> list[pa.Array]:
         p = np.full(len(raw), 0.5)
         for k in range(0, len(raw) if model is not None else 0, 1000):
-            idx, x, n, stats = features(raw.slice(k, 1000).to_pylist())
+            idx, x, n, stats = features([x or b"" for x in raw.slice(k, 1000).to_pylist()])
             dense = model.dense(np.column_stack([stats, *[v.slice(k, 1000).to_numpy(zero_copy_only=False) for v in values]]).astype(np.float64))
             p[k : k + 1000] = 1 / (1 + np.exp(-np.clip(model.raw_score(idx, x, n, dense)[0].astype(np.float64), -30, 30)))
         return [pa.array(p), pa.array((p >= 0.5).astype(np.int32))]
 
-    return with_computed(docs, list(keep), [utf8(text_col), *_meta(list(meta))], run, [(names[0], "double"), (names[1], "int")])
+    return with_computed(docs, list(keep), [text_col, *_meta(list(meta))], run, [(names[0], "double"), (names[1], "int")])

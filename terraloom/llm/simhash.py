@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import materialize, utf8
+from terraloom.llm.common import materialize, with_computed
 
 WIDTH = 64
 #: bit i of a byte value, as a 256 x 8 table
@@ -73,14 +73,11 @@ def sketch(raw: bytes, shingle: int, words: int = 1, seed: int = 42) -> bytes:
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1) -> DataFrame:
     """One row per document: its id and `sketch`, its fingerprint as bytes."""
-    kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = pa.array([sketch(x, shingle, words) for x in b.column(1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), out], names=[id_col, "sketch"])
+    def run(raw: pa.Array) -> list[pa.Array]:
+        return [pa.array([sketch(x or b"", shingle, words) for x in raw.to_pylist()], pa.binary())]
 
-    return docs.select(F.col(id_col), utf8(text_col).alias("_raw")).mapInArrow(run, f"`{id_col}` {kind}, sketch binary")
+    return with_computed(docs, [id_col], [text_col], run, [("sketch", "binary")])
 
 
 def word(col, at: int):

@@ -133,6 +133,14 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def cut(self, p: str) -> list[str]:
+        """Parts that can be taken alone; the usual word, with or without one mark at its end, is settled without the pattern."""
+        if p[1:].isalpha() and p[0] == " ":
+            return [p]
+        if p[-1:] in (".", ",") and p[1:-1].isalpha() and p[0] == " ":
+            return [p[:-1], p[-1]]
+        return self.edge.split(p)
+
     def needs_context(self, t: str) -> bool:
         """Whether `odd` is found; plain ASCII text is settled without the pattern."""
         if t.isascii() and "  " not in t and "\n " not in t and not t.endswith(" ") and not any(c in t for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"):
@@ -158,7 +166,7 @@ class Encoder:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if not self.splits:
             return self.ids(texts)
-        if len(self.known) > 600_000:  # bounded, so that a task's memory does not follow its input
+        if len(self.known) > 800_000:  # bounded, so that a task's memory does not follow its input
             self.known, self.before = {}, self.known
         known, before = self.known, self.before
         plain = [None if self.needs_context(t) else t.split(" ") for t in texts]
@@ -168,7 +176,7 @@ class Encoder:
         known.update((w, before[w]) for w in missing if w in before)
         new = [w for w in missing if w not in known]
         first = [p[0] for p in plain if p]
-        pieces = [[p] if p[1:].isalpha() and p[0] == " " else self.edge.split(p) for p in [*(" " + p for p in new), *first]]
+        pieces = [self.cut(p) for p in [*(" " + p for p in new), *first]]
         small = set(chain.from_iterable(pieces))
         fresh = {q: known[q[1:]] for q in small if q[:1] == " " and q[1:] in known}
         fresh.update(self.words(list(small.difference(fresh))))

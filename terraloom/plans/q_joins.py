@@ -448,7 +448,8 @@ def set_page_union(v):
     return K.page_union(pages, "id", C("body")).select("id", "copies", "conflict")
 
 
-@query("SELECT task, min(task + 270) AS low, max(task + CASE WHEN id % 97 = 5 THEN 1 ELSE 270 END) AS high, CAST(count(*) AS BIGINT) AS rows FROM job GROUP BY task HAVING FALSE OR count(*) <> task + 270 OR bool_or(id % 97 = 5)".replace("min(task + 270)", "min(task + CASE WHEN id % 97 = 5 THEN 1 ELSE 270 END)").replace("count(*) <> task + 270", "count(*) <> max(task + CASE WHEN id % 97 = 5 THEN 1 ELSE 270 END)"))
+@query("""WITH p AS (SELECT task, task + CASE WHEN id % 97 = 5 THEN 1 ELSE 270 END AS declared FROM job)
+SELECT task, min(declared) AS low, max(declared) AS high, count(*) AS rows FROM p GROUP BY task HAVING min(declared) <> max(declared) OR count(*) <> max(declared)""")
 def set_declared_total(v):
     pages = v.job.select("task", (C("task") + F.when(C("id") % 97 == 5, 1).otherwise(270)).alias("declared"), F.lit(1).cast("bigint").alias("returned"))
     return K.declared_total(pages, "task", "declared", "returned")
@@ -553,8 +554,8 @@ def lin_steps(v):
 # --- datasets
 
 
-@query("""SELECT o AS id, CASE WHEN o % 7 = 6 THEN NULL WHEN o % 5 = 0 THEN 2020 ELSE 2018 + o % 5 END AS year, CASE WHEN o % 7 = 6 AND o % 2 <> 0 THEN NULL WHEN o % 2 = 0 THEN CASE WHEN o % 3 = 0 THEN 'blue' ELSE 'red' END ELSE 'red' END AS layer,
-CASE WHEN o % 7 = 6 THEN 'dataset' WHEN o % 5 <> 0 AND 2018 + o % 5 > 2020 THEN 'year' WHEN o % 2 = 0 AND o % 3 = 0 THEN 'layer' END AS reason FROM item""".replace("CASE WHEN o % 7 = 6 THEN NULL WHEN o % 5 = 0", "CASE WHEN o % 7 = 6 AND o % 5 = 0 THEN NULL WHEN o % 5 = 0"))
+@query("""SELECT o AS id, CASE WHEN o % 5 <> 0 THEN 2018 + o % 5 WHEN o % 7 <> 6 THEN 2020 END AS year, CASE WHEN o % 2 = 0 AND o % 3 = 0 THEN 'blue' WHEN o % 2 = 0 OR o % 7 <> 6 THEN 'red' END AS layer,
+CASE WHEN o % 7 = 6 THEN 'dataset' WHEN o % 5 <> 0 AND 2018 + o % 5 > 2020 THEN 'year' WHEN o % 2 = 0 AND o % 3 = 0 THEN 'layer' END AS reason FROM item""")
 def res_defaults(v):
     o = C("o")
     req = v.item.select(o.alias("id"), F.when(o % 7 == 6, "none").otherwise("cover").alias("dataset"), F.when(o % 5 != 0, 2018 + o % 5).alias("year"), F.when(o % 2 == 0, F.when(o % 3 == 0, "blue").otherwise("red")).alias("layer"))

@@ -181,7 +181,7 @@ def mos_newest_valid(v):
     return M.mosaic_newest(v.px, "red", F.col("red") != 0, ["scene"], fill=0)
 
 
-@query("""SELECT CAST(2 AS BIGINT) AS col0, CAST(11 AS BIGINT) AS col1, CAST(count(DISTINCT y) - count(DISTINCT y) + 0 AS BIGINT) AS row0, CAST(greatest(0, max(y) + 1 - 3) AS BIGINT) AS row1, TRUE AS agreed FROM px""")
+@query("""SELECT CAST(2 AS BIGINT) AS col0, CAST(11 AS BIGINT) AS col1, CAST(0 AS BIGINT) AS row0, CAST(greatest(0, max(y) + 1 - 3) AS BIGINT) AS row1, TRUE AS agreed FROM px""")
 def mos_grid_plan(v):
     grids = v.px.groupBy("scene").agg(F.min("x").cast("double").alias("left"), (F.max("x") + 1).cast("double").alias("right"), F.lit(0.0).alias("bottom"), (F.max("y") + 1).cast("double").alias("top"))
     grids = grids.withColumns({"dx": F.lit(1.0), "dy": F.lit(1.0), "crs": F.lit("EPSG:32632"), "bands": F.lit(1)})

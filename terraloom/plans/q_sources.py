@@ -151,7 +151,7 @@ def st_event_dedup(v):
     return St.drain(St.dedup(twice).select("event_id", "event_type"), "dedup")
 
 
-@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-02-10' - INTERVAL 30 DAY AND ts <= TIMESTAMP '2024-01-20 00:05:00'".replace("2024-01-20 00:05:00", "2024-02-10 00:05:00"))
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-02-10' - INTERVAL 30 DAY AND ts <= TIMESTAMP '2024-02-10 00:05:00'")
 def st_late_future(v):
     return St.drain(St.timely(_stream(v), F.lit(dt.datetime(2024, 2, 10))).select("event_id"), "timely")
 

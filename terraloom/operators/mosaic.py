@@ -13,8 +13,13 @@ PIXEL = ["x", "y"]
 
 
 def newest(value: Column, order: list[str], usable: Column) -> Column:
-    """The value of the usable row with the greatest order key; null if there is none."""
-    return F.max_by(F.when(usable, value), F.when(usable, F.struct(*order)))
+    """The value of the usable row with the greatest order key; null if there is none.
+
+    With a single number as key the aggregate's buffer has a fixed width and Spark hashes; a key of several columns makes it
+    sort, so a rank of the scenes (one number a scene) is the better key over very many pixels.
+    """
+    key = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    return F.max_by(F.when(usable, value), F.when(usable, key))
 
 
 def mosaic_newest(px: DataFrame, value: str, valid: Column, order: list[str], fill=None, grid: DataFrame | None = None) -> DataFrame:

@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from terraloom.llm.common import utf8, with_computed
 
@@ -130,22 +131,23 @@ def blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int):
 
 def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_words: int = 12, block_bytes: int = 8 << 20) -> DataFrame:
     """One row per document and test item that overlap: ids, `doc_start`, `item_start`, `n_words`, `n_equal`."""
-    kind = items.schema[item_col].dataType.simpleString()
-    names = ["item", "doc_start", "item_start", "n_words", "n_equal"]
+    kind = items.schema[item_col].dataType
+    names = ["doc_start", "item_start", "n_words", "n_equal"]
+    found_type = pa.list_(pa.struct([("item", to_arrow_type(kind)), *[(n, pa.int64()) for n in names]]))
     out = None
     for block in blocks(items, item_col, item_text, block_bytes):
         index = docs.sparkSession.sparkContext.broadcast(Index(block))  # at most block_bytes of text
 
         def run(raw: pa.Array, index=index) -> list[pa.Array]:
+            ids = index.value.ids
             found = [index.value.find(x, min_words) for x in raw.to_pylist()]
-            return [pa.array([[dict(zip(names, m, strict=True)) for m in f] for f in found], pa.list_(pa.struct([(n, pa.int64()) for n in names])))]
+            return [pa.array([[{"item": ids[m[0]]} | dict(zip(names, m[1:], strict=True)) for m in f] for f in found], found_type)]
 
-        part = with_computed(docs, [id_col], [text_col], run, [("m", "array<struct<" + ",".join(f"{n}: bigint" for n in names) + ">>")])
-        ids = F.array(*[F.lit(i).cast(kind) for i, _ in block])
-        part = part.where(F.size("m") > 0).select(id_col, F.explode("m").alias("m")).select(id_col, F.element_at(ids, (F.col("m.item") + 1).cast("int")).alias(item_col), *[f"m.{n}" for n in names[1:]])
+        part = with_computed(docs, [id_col], [text_col], run, [("m", f"array<struct<item: {kind.simpleString()}, " + ", ".join(f"{n}: bigint" for n in names) + ">>")])
+        part = part.where(F.size("m") > 0).select(id_col, F.explode("m").alias("m")).select(id_col, F.col("m.item").alias(item_col), *[f"m.{n}" for n in names])
         out = part if out is None else out.unionByName(part)
     if out is None:
-        out = docs.select(id_col).limit(0).select(id_col, F.lit(None).cast(kind).alias(item_col), *[F.lit(0).cast("long").alias(n) for n in names[1:]])
+        out = docs.select(id_col).limit(0).select(id_col, F.lit(None).cast(kind).alias(item_col), *[F.lit(0).cast("long").alias(n) for n in names])
     return out
 
 

@@ -105,9 +105,9 @@ def _search_block(cand: DataFrame, ids: np.ndarray, q: np.ndarray, top: float, k
         counts = cand.mapInArrow(count, "r int, bin int, n long").groupBy("r", "bin").agg(F.sum("n").alias("n"))
         # of each query only the bin of its k-th score comes back
         over = Window.partitionBy("r").orderBy(F.desc("bin"))
-        sums = counts.withColumn("upto", F.sum("n").over(over))
-        needed = F.element_at(F.array(*[F.lit(int(x)) for x in need]), F.col("r") + 1) if len(set(need.tolist())) > 1 else F.lit(int(need[0]))
-        hit = sums.where((F.col("upto") >= needed) & (F.col("upto") - F.col("n") < needed)).select("r", "bin", (F.col("upto") - F.col("n")).alias("above")).collect()
+        needs = spark.createDataFrame([(r, int(x)) for r, x in enumerate(need)], "r int, need long")  # one row per query of the block
+        sums = counts.join(F.broadcast(needs), "r").withColumn("upto", F.sum("n").over(over))
+        hit = sums.where("upto >= need and upto - n < need").select("r", "bin", (F.col("upto") - F.col("n")).alias("above")).collect()
         found = {x["r"]: x for x in hit}
         for r in range(len(low)):
             if r in found:

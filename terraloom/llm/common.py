@@ -54,6 +54,18 @@ def utf8(col: str | Column) -> Column:
     return F.coalesce(col.cast("binary"), F.lit(b"").cast("binary"))
 
 
+_turn: tuple[str, Callable[[], None]] | None = None
+
+
+def take_turn(name: str, forget: Callable[[], None]) -> None:
+    """Python workers serve one stage after another; when another operator begins in one, the last one's memory is given up."""
+    global _turn
+    if _turn is None or _turn[0] != name:
+        if _turn is not None:
+            _turn[1]()
+        _turn = (name, forget)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of at most 2000 rows and 16 MB, so that what a task holds follows neither row count nor text length.
 

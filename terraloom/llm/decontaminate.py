@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from terraloom.llm.common import utf8, with_computed
+from terraloom.llm.common import take_turn, utf8, with_computed
 
 MASKS = ((0, 1, 3, 4, 6), (0, 1, 2, 5, 7), (0, 2, 3, 6, 7))
 COST = 4
@@ -38,7 +38,7 @@ class _Words(dict):
     """Word as written -> 64-bit hash of what counts of it (0: nothing), remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         plain = word.lower()
         if not plain.isalnum():  # not ASCII letters and digits alone
@@ -53,6 +53,7 @@ _HASHES = _Words()
 
 
 def words(raw: bytes | None) -> np.ndarray:
+    take_turn("words", _HASHES.clear)
     found = raw.split() if raw else []
     h = np.array(list(map(_HASHES.__getitem__, found)), np.uint64)
     return h[h != 0] if len(h) else h

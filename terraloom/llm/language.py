@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import utf8, with_computed
+from terraloom.llm.common import take_turn, utf8, with_computed
 
 WINDOW = 64
 BLOCK = 2048
@@ -169,6 +169,7 @@ def probabilities(m: Model, texts: list[bytes]) -> np.ndarray:
 
 
 def predict(m: Model | None, texts: list[bytes | None]) -> tuple[list[str], list[float]]:
+    take_turn("language", lambda: None)
     langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
     if m is None:
         return langs, scores

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terraloom.llm.common import materialize, with_computed
+from terraloom.llm.common import materialize, take_turn, with_computed
 
 BLANK = "▁"
 NONE = -(1 << 60)
@@ -88,8 +88,8 @@ class Vocabulary:
         self.by_word = not any(BLANK in p.lstrip(BLANK) for p in self.id)
         #: neighbouring characters inside pieces; between any others every segmentation has a boundary
         self.joined = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
-        self.known = _Memory(self.solve, 200_000)
-        self.after_blank = _Memory(lambda word: self.word(BLANK + word)[1], 300_000)
+        self.known = _Memory(self.solve, 120_000)
+        self.after_blank = _Memory(lambda word: self.word(BLANK + word)[1], 200_000)
         # what most ids stand for on their own: all but bytes of longer characters, and controls
         self.alone = [chr(self.of_byte[i]) if i in self.of_byte else t for i, t in enumerate(self.text)]
         self.not_alone = np.array([self.of_byte.get(i, 0) > 127 or i in self.silent for i in range(len(self.text))])
@@ -252,11 +252,16 @@ class Vocabulary:
         return [(i, ahead + pack(walk(back, cut[1], size + j)[1])) for j in exits]
 
 
-@lru_cache(maxsize=2)
-def vocabulary(path: str) -> Vocabulary:
+@lru_cache(maxsize=1)
+def _vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def vocabulary(path: str) -> Vocabulary:
+    take_turn("pieces", _vocabulary.cache_clear)
+    return _vocabulary(path)
+
+
 def normal(text: str) -> str:
     return BLANK + text.replace(" ", BLANK)
 

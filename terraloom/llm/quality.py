@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import utf8, with_computed
+from terraloom.llm.common import take_turn, utf8, with_computed
 
 HASH_BITS = 14
 FACTORS = 8
@@ -36,7 +36,7 @@ class _Buckets(dict):
     """Word -> bucket, remembered; bounded, so that a task's memory does not follow its input."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = k = zlib.crc32(word.lower()) & ((1 << HASH_BITS) - 1)
         return k
@@ -63,6 +63,7 @@ def statistics(raw: bytes, words: list[bytes], counts: Counter) -> list[float]:
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bucket and scaled count of every distinct word, the texts' number of them, and statistics (N, S)."""
+    take_turn("quality", _CACHE.clear)
     buckets = _CACHE
     idx: list[int] = []
     val: list[int] = []

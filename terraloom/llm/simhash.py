@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import materialize, with_computed
+from terraloom.llm.common import materialize, take_turn, with_computed
 
 WIDTH = 64
 #: bit i of a byte value, as a 256 x 8 table
@@ -75,6 +75,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """One row per document: its id and `sketch`, its fingerprint as bytes."""
 
     def run(raw: pa.Array) -> list[pa.Array]:
+        take_turn("simhash", lambda: None)
         return [pa.array([sketch(x or b"", shingle, words) for x in raw.to_pylist()], pa.binary())]
 
     return with_computed(docs, [id_col], [text_col], run, [("sketch", "binary")])

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terraloom.llm.common import materialize
+from terraloom.llm.common import materialize, take_turn
 
 BLOCK = 1024
 FIT = 0.95
@@ -197,11 +197,16 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def encoder(path: str) -> Encoder:
+    take_turn("token_file", _encoder.cache_clear)
+    return _encoder(path)
+
+
 def write(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None, image_ids: int = 4_000_000) -> DataFrame:
     """Encode and write all documents; returns the written table: `image` number within its range, `range`, `ids`, `raw`, `docs`.
 

@@ -88,8 +88,8 @@ class Vocabulary:
         self.by_word = not any(BLANK in p.lstrip(BLANK) for p in self.id)
         #: neighbouring characters inside pieces; between any others every segmentation has a boundary
         self.joined = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
-        self.known = _Memory(self.solve, 150_000)
-        self.after_blank = _Memory(lambda word: self.word(BLANK + word)[1], 250_000)
+        self.known = _Memory(self.solve, 70_000)
+        self.after_blank = _Memory(lambda word: self.word(BLANK + word)[1], 110_000)
         # what most ids stand for on their own: all but bytes of longer characters, and controls
         self.alone = [chr(self.of_byte[i]) if i in self.of_byte else t for i, t in enumerate(self.text)]
         self.not_alone = np.array([self.of_byte.get(i, 0) > 127 or i in self.silent for i in range(len(self.text))])

@@ -1,0 +1,111 @@
+"""Near duplicates by the exact similarity of word shingles.
+
+Two texts link when the Jaccard similarity of their shingle sets is at least num / den, tested on the whole sets in whole
+numbers; the classes are the connected components of all such links. No pair within the rule is missed:
+
+* Prefixes. All sets are put in one order of shingles. If two sets link, the first ones of either (all but the num / den
+  that they must share, and one more) have a shingle in common. So only texts that meet in such a shingle are compared.
+  Any order will do; shingles that a sample finds in many texts come last, so that common lines bring few texts together.
+* Positions. At the first shingle that two texts share, what is left of both must still suffice.
+* Only distinct sets take part. Each meets the first of every shingle first; texts that confirmed links have joined by then
+  need no comparison with each other. All other pairs that meet are compared.
+
+Sets and their names are 64-bit hashes. A text without words has the empty set, and links to others like it.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from terraloom.llm.common import materialize, take_turn, with_computed
+from terraloom.llm.simhash import components, shingle_hashes
+
+#: the sample for common shingles: one text of so many, shingles in so many of its texts, and so many shingles at most
+SAMPLE, COMMON, MOST = 16, 16, 300_000
+
+
+def shingle_set(raw: bytes | None, shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles."""
+    return np.unique(shingle_hashes(raw or b"", shingle))
+
+
+def prefix(own: np.ndarray, common: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The shingles of which one at least is shared with every set that links; `common` ones (sorted) come last."""
+    n = len(own) + num * len(own) // -den + 1 if len(own) else 0
+    if not len(common):
+        return own[:n]
+    late = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own
+    return np.concatenate([own[~late][:n], own[late]])[:n]
+
+
+def alike(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
+    """Whether the similarity of two sorted sets is at least num / den."""
+    if not len(a) or not len(b):
+        return len(a) == len(b)
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return den * both >= num * (len(a) + len(b) - both)
+
+
+def near_duplicates(docs: DataFrame, id_col: str, text_col: str = "text", shingle: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """One row per input row: id (a long, each once, none null) and `component_id`, the least id of its component."""
+    spark = docs.sparkSession
+
+    def sets(raw: pa.Array) -> list[pa.Array]:
+        take_turn("shingles", lambda: None)
+        return [pa.array([shingle_set(x, shingle).tobytes() for x in raw.to_pylist()], pa.binary())]
+
+    sample = with_computed(docs.where(F.pmod(F.xxhash64(id_col), F.lit(SAMPLE)) == 0), [], [text_col], lambda raw: [pa.array([shingle_set(x, shingle).view(np.int64) for x in raw.to_pylist()], pa.list_(pa.int64()))], [("s", "array<bigint>")])
+    seen = sample.select(F.explode("s").alias("s")).groupBy("s").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "s").limit(MOST).select("s").collect()
+    common = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in seen], np.int64).view(np.uint64)))
+
+    def starts(raw: pa.Array) -> list[pa.Array]:
+        take_turn("shingles", lambda: None)
+        found = [shingle_set(x, shingle) for x in raw.to_pylist()]
+        nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in found], np.uint64).view(np.int64)
+        first = [prefix(s, common.value, num, den).view(np.int64) for s in found]
+        return [pa.array(nodes), pa.array([len(s) for s in found], pa.int32()), pa.array(first, pa.list_(pa.int64()))]
+
+    own = materialize(with_computed(docs, [id_col], [text_col], starts, [("node", "bigint"), ("n", "int"), ("first", "array<bigint>")]), "shingles-own")
+    per = materialize(own.groupBy("node").agg(F.min(id_col).alias("_least")), "shingles-distinct")
+    rows = own.join(per.select(F.col("_least").alias(id_col)), id_col, "left_semi").select("node", "n", F.posexplode("first").alias("pos", "s"))
+    rows = materialize(rows, "shingles-rows")
+    heads = rows.groupBy("s").agg(F.min(F.struct("node", "n", "pos")).alias("h"), F.count("*").alias("c")).where("c > 1").select("s", "h")
+    met = materialize(rows.join(heads, "s"), "shingles-met")
+
+    # sets of the texts that meet another
+    ids = per.join(met.select("node").distinct(), "node").select("node", F.col("_least").alias(id_col))
+    texts = with_computed(docs.select(id_col, text_col).join(ids, id_col), ["node"], [text_col], sets, [("own", "binary")])
+    texts = materialize(texts, "shingles-sets")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        sides = pairs.join(texts.select(F.col("node").alias("a"), F.col("own").alias("_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("own").alias("_b")), "b")
+
+        def run(a: pa.Array, b: pa.Array) -> list[pa.Array]:
+            take_turn("shingles", lambda: None)
+            turn = lambda x: np.frombuffer(x, np.uint64)
+            return [pa.array([alike(turn(x), turn(y), num, den) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())]
+
+        return materialize(with_computed(sides, ["a", "b"], ["_a", "_b"], run, [("ok", "boolean")], only=0), "shingles-links")
+
+    def enough(n: str, pos: str, other_n: str, other_pos: str) -> str:
+        return f"{num + den} * least({n} - {pos}, {other_n} - {other_pos}) >= {num} * ({n} + {other_n})"
+
+    stars = materialize(met.where("node <> h.node").where(enough("n", "pos", "h.n", "h.pos")).select(F.col("h.node").alias("a"), F.col("node").alias("b")).distinct(), "shingles-pairs")
+    links = confirmed(stars)
+    of = materialize(components(links), "shingles-of")
+    left = met.join(of, "node", "left").select("s", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
+    left = materialize(left, "shingles-left")
+    mixed = left.groupBy("s").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).where("_x <> _y").select("s")
+    left = materialize(left.join(mixed, "s", "left_semi"), "shingles-mixed")
+    again = left.alias("x").join(left.alias("y"), F.expr(f"x.s = y.s and x.node < y.node and x.label <> y.label and {enough('x.n', 'x.pos', 'y.n', 'y.pos')}"))
+    pairs = again.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    links = links.unionByName(confirmed(materialize(pairs, "shingles-pairs")))
+    of = materialize(components(links), "shingles-of")
+    joined = materialize(per.join(of, "node", "left").select("node", "_least", F.coalesce("label", "node").alias("label")), "shingles-labelled")
+    least = materialize(joined.groupBy("label").agg(F.min("_least").alias("component_id")), "shingles-least")
+    named = materialize(joined.select("node", "label").join(least, "label").select("node", "component_id"), "shingles-named")
+    return own.select(id_col, "node").join(named, "node").select(id_col, "component_id")

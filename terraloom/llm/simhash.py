@@ -40,23 +40,29 @@ _SLOT = np.arange(8, dtype=np.int16) * 256
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
+def shingle_hashes(raw: bytes, shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of every word shingle of a text, in its order; a shorter text is one shingle, one without words has none."""
+    parts = raw.lower().split()
+    if not parts:
+        return np.empty(0, np.uint64)
+    text = b" ".join(parts)
+    if len(parts) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(text, seed)], dtype=np.uint64)
+    length = np.fromiter(map(len, parts), np.int64, len(parts))
+    end = np.cumsum(length + 1) - 1
+    begin = (end - length)[: len(parts) - shingle + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(text[i:j], seed) for i, j in zip(begin, end[shingle - 1 :].tolist(), strict=True)], dtype=np.uint64)
+
+
 def sketch(raw: bytes, shingle: int, words: int = 1, seed: int = 42) -> bytes:
     """Fingerprint of one text as `words` big-endian unsigned 64-bit words; the first is the plain SimHash.
 
     A-Z is lower-cased, words split at ASCII white space, shingles count as often as they occur.
     """
-    parts = raw.lower().split()
-    if not parts:
+    hashes = shingle_hashes(raw, shingle, seed)
+    if not len(hashes):
         return bytes(8 * words)
-    text = b" ".join(parts)
-    if len(parts) <= shingle:
-        hashes = np.array([xxhash.xxh64_intdigest(text, seed)], dtype=np.uint64)
-    else:
-        length = np.fromiter(map(len, parts), np.int64, len(parts))
-        end = np.cumsum(length + 1) - 1
-        begin = (end - length)[: len(parts) - shingle + 1].tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(text[i:j], seed) for i, j in zip(begin, end[shingle - 1 :].tolist(), strict=True)], dtype=np.uint64)
     out = []
     for w in range(words):
         mixed = hashes

@@ -1,0 +1,79 @@
+import random
+
+import corpus_pipeline as P
+import numpy as np
+from pyspark.sql import functions as F
+
+from terraloom.llm import shingles
+
+
+def grams(text):
+    w = (text or "").encode().lower().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def brute(texts):
+    """Class of every text by all pairs."""
+    own = [grams(t) for t in texts]
+    label = list(range(len(own)))
+    for i in range(len(own)):
+        for j in range(i):
+            both = len(own[i] & own[j])
+            if label[i] != label[j] and 5 * both >= 4 * len(own[i] | own[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+def made():
+    """Texts around a similarity of 0.8 on either side, chains of them, common lines, short and empty ones."""
+    rng = random.Random(11)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    line, out = new(30), [None, "", " \t", "a b", "A  b", "a b c"]
+    for size in (6, 14, 40, 120, 400):
+        for _ in range(6):
+            now = new(size) + (line if rng.random() < 0.5 else [])
+            for _ in range(5):
+                out.append(" ".join(now))
+                now = list(now)
+                at = rng.randrange(len(now))
+                if rng.random() < 0.5:  # one stretch changed: about a tenth of the shingles
+                    now[at : at + max(1, len(now) // rng.choice([8, 10, 12]))] = new(max(1, len(now) // 10))
+                else:
+                    for _ in range(max(1, len(now) // rng.choice([45, 50, 60]))):
+                        now[rng.randrange(len(now))] = new(1)[0]
+    return out
+
+
+def test_production_stage_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "COMMON", 2)
+    monkeypatch.setattr(shingles, "SAMPLE", 2)
+    texts = made()
+    label = brute(texts)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in shingles.near_duplicates(rows, "doc_id", "text", P.SHINGLE, *P.SIMILARITY).collect()}
+    assert [got[i] for i in range(len(texts))] == label
+    kept = [r.doc_id for r in P.near_duplicate_stage(spark, rows, "").collect()]
+    assert sorted(label[i] for i in kept) == sorted(set(label))
+
+
+def test_stage_on_given_documents(spark, sf_dir):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(600)
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("k")).collect()
+    rows = [(k, r.text) for k, r in enumerate(rows)]
+    label = brute([t for _, t in rows])
+    got = shingles.near_duplicates(spark.createDataFrame(rows, "k long, text string"), "k", "text", P.SHINGLE, *P.SIMILARITY).collect()
+    assert {r.k: r.component_id for r in got} == dict(enumerate(label))
+
+
+def test_prefixes_meet():
+    rng = random.Random(2)
+    for _ in range(3000):
+        base = rng.sample(range(60), rng.randrange(1, 40))
+        other = [x for x in base if rng.random() < 0.93] + rng.sample(range(60, 80), rng.randrange(3))
+        a, b = (np.array(sorted(s), np.uint64) for s in (base, other))
+        common = np.array(sorted(rng.sample(range(80), 20)), np.uint64)
+        inter = len(set(base) & set(other))
+        assert shingles.alike(a, b, 4, 5) == (5 * inter >= 4 * len(set(base) | set(other)))
+        if other and shingles.alike(a, b, 4, 5):
+            assert set(shingles.prefix(a, common, 4, 5).tolist()) & set(shingles.prefix(b, common, 4, 5).tolist())

@@ -69,6 +69,7 @@ def _search_block(cand: DataFrame, ids: np.ndarray, q: np.ndarray, top: float, k
     exact = bound < 2**53
     bound = min(bound, 1 << 62)
     low = np.full(len(ids), -bound, np.int64)  # the k-th score lies in [low, low + size)
+    high = np.full(len(ids), bound + 1, np.int64)  # and below this, where the last bin of a round was cut short
     size, need = 2 * bound + 1, np.full(len(ids), k, np.int64)
     block = spark.sparkContext.broadcast((ids, q))
 
@@ -82,14 +83,14 @@ def _search_block(cand: DataFrame, ids: np.ndarray, q: np.ndarray, top: float, k
 
     while size > 1:
         step = -(-size // BINS)
-        state = spark.sparkContext.broadcast((low, need))
+        state = spark.sparkContext.broadcast((low.copy(), high.copy(), need.copy()))
 
-        def count(batches, step=step, size=size, state=state):
-            low, need = state.value
+        def count(batches, step=step, state=state):
+            low, high, need = state.value
             total = np.zeros((len(low), BINS + 1), np.int64)
             for _, s, own in each(batches, None):
                 bins = np.maximum((s - low[:, None]) // step, -1)
-                bins[s >= low[:, None] + size] = BINS  # above the interval: `need` allows for it already
+                bins[s >= high[:, None]] = BINS  # above the interval: `need` allows for it already
                 bins[own] = -1
                 for r in range(len(low)):
                     total[r] += np.bincount(bins[r] + 1, minlength=BINS + 2)[1:]
@@ -115,6 +116,7 @@ def _search_block(cand: DataFrame, ids: np.ndarray, q: np.ndarray, top: float, k
                 need[r] -= found[r]["above"]
             else:  # fewer than k candidates: the interval stays at its lower end, and all are kept
                 need[r] = max(1, need[r])
+        high = np.minimum(high, low + step)
         size = step
 
     kth = spark.sparkContext.broadcast(low)

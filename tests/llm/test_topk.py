@@ -33,3 +33,11 @@ def test_few_candidates_lengths_and_large_values(spark):
     assert run(spark, rows, k=10) == brute(rows, 10)
     assert run(spark, [(0, [1.0], None)]) == []
     assert run(spark, [(1, [1.0], None)]) == []
+
+
+def test_kth_score_in_a_partial_last_bin(spark):
+    # bound 3500000: steps 6836, 7 and 1; 608433 is in the bin 608432..608438, whose interval ends before 608436
+    scores = [3499999, 608437, 608436, 608433, 608432, 5, -7]
+    rows = [(0, [1 / 1024], None), *[(k + 1, [s / 1024], None) for k, s in enumerate(scores)]]
+    assert run(spark, rows, k=4) == brute(rows, 4)
+    assert [r[3] for r in run(spark, rows, k=4)] == scores[:4]

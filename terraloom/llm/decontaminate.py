@@ -2,9 +2,10 @@
 
 A seed is the hash of the words at the positions of a fixed mask; the mask's gaps ignore a word each, so a passage with
 single words replaced still shares seeds with its source. Seeds of every position of every document are joined to those
-of the test items; around each hit the two texts are laid along that diagonal and the best stretch is taken, where a
-replaced word costs four equal ones. An overlap counts if it has enough equal words (`min_words`, or four fifths of a
-shorter item) and at least four fifths of its words are equal.
+of the test items; around each hit the two texts are laid along that diagonal. An overlap counts if any stretch has enough
+equal words (`min_words`, or four fifths of a shorter item) and at least four fifths of its words are equal. Reported is the
+stretch of the best score, where a replaced word costs four equal ones, or if that one doesn't count, the one with the most
+equal words of those that do.
 
 The test set is the stated query set: it is indexed in blocks of bounded size (`block_bytes` of text), each sent to the
 tasks, so it may grow without limit; documents are read once for each block and never shuffled.
@@ -105,18 +106,30 @@ class Index:
             low, high = np.searchsorted(self.hash, h[at], "left"), np.searchsorted(self.hash, h[at], "right")
             for p, a, b in zip(at.tolist(), low.tolist(), high.tolist(), strict=True):
                 hits.update(zip(self.item[a:b].tolist(), (p - self.pos[a:b]).tolist(), strict=True))
-        best: dict[int, tuple[int, int, int, int, int]] = {}
+        best: dict[int, tuple[bool, int, tuple[int, int, int, int, int]]] = {}
         for item, diagonal in sorted(hits):
             own = self.tokens[item]
             lo, hi = max(0, -diagonal), min(len(own), len(doc) - diagonal)
             same = own[lo:hi] == doc[lo + diagonal : hi + diagonal]
-            sums = np.r_[0, np.cumsum(np.where(same, 1, -COST))]
-            gain = sums - np.minimum.accumulate(sums)
+            need = min(min_words, -(-4 * len(own) // 5))
+            sums, count = np.r_[0, np.cumsum(np.where(same, 1, -COST))], np.r_[0, np.cumsum(same)]
+            if count[-1] < need:
+                continue
+            low = np.minimum.accumulate(sums)
+            gain = sums - low
             stretches = [(int(sums[: e + 1].argmin()), e) for e in np.flatnonzero(gain == gain.max()).tolist()]
-            equal, n, begin, end = max((int(same[b:e].sum()), e - b, b, e) for b, e in stretches)
-            if equal >= min(min_words, -(-4 * len(own) // 5)) and 5 * equal >= 4 * n and (item not in best or equal > best[item][4]):
-                best[item] = (item, begin + lo + diagonal, begin + lo, n, equal)
-        return sorted(best.values())
+            equal, n, begin, end = max((int(count[e] - count[b]), e - b, b, e) for b, e in stretches)
+            top = equal >= need and 5 * equal >= 4 * n
+            if not top:  # the best score is too short, or not equal enough: the most equal words of which four fifths are equal
+                ends = np.flatnonzero(same) + 1
+                starts = np.searchsorted(-low, -sums[ends], "left")
+                k = int((count[ends] - count[starts]).argmax())
+                begin, end = int(starts[k]), int(ends[k])
+                begin += int(same[begin:end].argmax())
+                equal, n = int(count[end] - count[begin]), end - begin
+            if equal >= need and (item not in best or (top, equal) > best[item][:2]):
+                best[item] = (top, equal, (item, begin + lo + diagonal, begin + lo, n, equal))
+        return sorted(b[2] for b in best.values())
 
 
 def blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int):

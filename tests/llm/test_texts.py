@@ -55,6 +55,31 @@ def test_decontamination_against_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _ in docs if i not in {w[0] for w in want})
 
 
+def test_decontamination_of_any_stretch_that_counts():
+    rng = random.Random(4)
+
+    def counts(same, need):
+        return any(sum(same[a:b]) >= need and 5 * sum(same[a:b]) >= 4 * (b - a) for a in range(len(same)) for b in range(a + 1, len(same) + 1))
+
+    item = text(rng, 20).split()
+    cases = [[11, 12], [8, 9], [6, 7, 13], [9, 10, 11, 12]] + [sorted(rng.sample(range(20), rng.randrange(2, 6))) for _ in range(150)]
+    found = 0
+    index = decontaminate.Index([(1, " ".join(item).encode())])
+    for case in cases:
+        copy = ["other" if k in case else w for k, w in enumerate(item)]
+        doc = " ".join([*text(rng, 30).split(), *copy, *text(rng, 30).split()])
+        same = [k not in case for k in range(20)]
+        got = index.find(doc.encode(), 12)
+        seeded = any(all(same[p + o] for o in m) for m in decontaminate.MASKS for p in range(20 - m[-1]))
+        assert bool(got) == (seeded and counts(same, 12)), case
+        if got:
+            _, at, begin, n, equal = got[0]
+            assert at == begin + 30 and equal == sum(same[begin : begin + n]) and equal >= 12 and 5 * equal >= 4 * n
+            found += 1
+    assert index.find(" ".join("x" if k in (11, 12) else w for k, w in enumerate(item)).encode(), 12) == [(0, 0, 0, 20, 18)]
+    assert found > 50
+
+
 def test_decontamination_without_items(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")

@@ -33,12 +33,12 @@ def band_summary(px: DataFrame, bands: list[str], nodata: int, low: int, high: i
     return long.groupBy("band").agg(F.min(F.when(ok, F.col("v"))).alias("low"), F.max(F.when(ok, F.col("v"))).alias("high"), F.count_if(~ok).alias("nodata"), F.count_if(ok & ~F.col("v").between(low, high)).alias("outside"))
 
 
-def ordered_digest(px: DataFrame, value: str, rows_per_block: int) -> DataFrame:
-    """SHA-256 over values in row-major order for every block of rows: `block`, `digest`, `n`. A block's size is bounded by the grid's width."""
+def ordered_digest(px: DataFrame, value: str, rows_per_block: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """SHA-256 over values in row-major order for every block of rows of each key: keys, `block`, `digest`, `n`. A block's size is bounded by the grid's width."""
     b = px.withColumn("block", F.floor(F.col("y") / rows_per_block).cast("bigint"))
     ordered = F.array_sort(F.collect_list(F.struct("y", "x", F.col(value).alias("v"))))
     text = F.array_join(F.transform(ordered, lambda p: F.coalesce(p["v"].cast("string"), F.lit("-"))), ",")
-    return b.groupBy("block").agg(F.sha2(text.cast("binary"), 256).alias("digest"), F.count("*").alias("n"))
+    return b.groupBy(*keys, "block").agg(F.sha2(text.cast("binary"), 256).alias("digest"), F.count("*").alias("n"))
 
 
 def bounds_union(boxes: DataFrame, keys: list[str]) -> DataFrame:

@@ -95,8 +95,8 @@ x AS (SELECT item_id, z, y0, y1, unnest(range(CAST(x0 AS BIGINT), CAST(greatest(
 tiles AS (SELECT item_id, z, x, unnest(range(CAST(y0 AS BIGINT), CAST(greatest(y1, y0) AS BIGINT) + 1)) AS y FROM x)"""
 
 
-def _tiles(v):
-    return G.lonlat_tiles(v.item.where("s >= -85 and n <= 85 and o % 10 = 0").select("item_id", "w", "s", "e", "n"), 4, 6).select("item_id", "z", "x", "y")
+def _tiles(v, some="o % 10 = 0"):
+    return G.lonlat_tiles(v.item.where(f"s >= -85 and n <= 85 and {some}").select("item_id", "w", "s", "e", "n"), 4, 6).select("item_id", "z", "x", "y")
 
 
 @query(f"{_TILES} SELECT item_id, CAST(z AS INT) AS z, x, y FROM tiles")

@@ -200,8 +200,7 @@ def agg_masked_covered(v):
 
 @query("SELECT scene, CAST(y // 8 AS BIGINT) AS block, sha256(string_agg(CAST(red AS VARCHAR), ',' ORDER BY y, x)) AS digest, count(*) AS n FROM px WHERE scene < 3 GROUP BY 1, 2")
 def agg_ordered_digest(v):
-    parts = [A.ordered_digest(v.px.where(C("scene") == k), "red", 8).withColumn("scene", F.lit(k)) for k in range(3)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return A.ordered_digest(v.px.where("scene < 3"), "red", 8, ("scene",))
 
 
 @query("SELECT o % 40 AS g, min(w) AS w, min(s) AS s, max(e) AS e, max(n) AS n, CASE WHEN max(w) < min(e) AND max(s) < min(n) THEN max(w) END AS iw FROM item GROUP BY 1")
@@ -231,8 +230,8 @@ xc AS (SELECT area_id, x AS cw, lead(x) OVER (PARTITION BY area_id ORDER BY x) A
 cells AS (SELECT xc.area_id, cw, cs, ce, cn, min(rank) AS first_rank, arg_min(item_id, rank) AS first_item FROM xc JOIN yc USING (area_id) LEFT JOIN j ON j.area_id = xc.area_id AND sw <= cw AND se >= ce AND ss <= cs AND sn >= cn WHERE ce IS NOT NULL AND cn IS NOT NULL GROUP BY ALL)"""
 
 
-def _cover(v):
-    areas = _areas(v).where("area_id % 5 = 0")
+def _cover(v, some="area_id % 5 = 0"):
+    areas = _areas(v).where(some)
     pairs = J.scenes_in_areas(v.item, areas, 5.0)
     from pyspark.sql import Window
 

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from terraloom.functions import grid as G
 from terraloom.functions import raster as R
 from terraloom.operators import aggregates as A
 from terraloom.operators import checks as K
 from terraloom.operators import graph as Gr
 from terraloom.operators import mosaic as M
 from terraloom.operators import resolve as Rs
-from terraloom.plans.q_grid import _TILES, _tiles
+from terraloom.operators import windows as W
+from terraloom.plans.q_grid import _HILBERT, _TILES, _cells, _tiles
 from terraloom.plans.q_joins import _CELLS, _cover
 from terraloom.plans.registry import query
+from terraloom.sources import readers as S
+from terraloom.sources.storage import written
 
 C = F.col
 _ALL_TILES = _TILES.replace(" AND o % 10 = 0", "")
@@ -77,3 +81,53 @@ def graph_osm_relation_all(v):
     sub = v.supplier.where("s_suppkey % 3 <> 2").select(i.alias("relation_id"), F.lit("relation").alias("type"), (i + 1).alias("ref"))
     d = Gr.relation_geometry(own.unionByName(sub), v.part.select(C("p_partkey").cast("bigint").alias("way_id")), 3)
     return d.groupBy("root").agg(F.count("*").alias("ways"))
+
+
+@query("""WITH g AS (SELECT item_id, x, unnest(range((SELECT max(y) + 1 FROM px))) AS y FROM (SELECT item_id, unnest(range((SELECT max(x) + 1 FROM px))) AS x FROM (SELECT DISTINCT item_id FROM px) a) b)
+SELECT g.item_id AS path, CAST(g.x AS INT) AS x, CAST(g.y AS INT) AS y, CASE WHEN red = 0 THEN NULL ELSE CAST(red - 10000 AS INT) END AS height FROM g LEFT JOIN px ON px.item_id = g.item_id AND px.x = g.x AND px.y = g.y""")
+def src_hgt_grid_all(v):
+    side = 16
+    extent = v.px.agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h")).first()
+    spans = [F.explode(F.sequence(F.lit(0), F.lit((n - 1) // side))).alias(c) for c, n in (("tx", extent.w), ("ty", extent.h))]
+    tiles = v.px.select("item_id").distinct().select("item_id", spans[0]).select("item_id", "tx", spans[1])
+    word = F.lpad(F.hex((F.when(C("red") == 0, -32768).otherwise(C("red") - 10000) + 65536) % 65536), 4, "0")
+    cell = F.struct((C("y") % side * side + C("x") % side).alias("k"), word.alias("h"))
+    grid = v.px.groupBy("item_id", F.floor(C("x") / side).cast("int").alias("tx"), F.floor(C("y") / side).cast("int").alias("ty")).agg(F.map_from_entries(F.collect_list(cell)).alias("m"))
+    words = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda k: F.coalesce(C("m")[k], F.lit("8000")))  # what a tile lacks is void
+    files = tiles.join(grid, ["item_id", "tx", "ty"], "left").select(F.concat_ws("@", "item_id", "tx", "ty").alias("path"), F.unhex(F.array_join(words, "")).alias("content"))
+    part = lambda k: F.split_part("path", F.lit("@"), F.lit(k))
+    out = S.hgt_grid(files, side).select(part(1).alias("path"), (part(2).cast("int") * side + C("x")).alias("x"), (part(3).cast("int") * side + C("y")).alias("y"), "height")
+    return out.where((C("x") < extent.w) & (C("y") < extent.h))
+
+
+@query("WITH h AS (SELECT max(y) + 1 AS h FROM px), g AS (SELECT i.k AS i, j.k AS j, i.k * 50 // 20 AS x, j.k * h // 5 AS y FROM (SELECT unnest(range(20)) AS k) i, (SELECT unnest(range(5)) AS k) j, h) SELECT scene, CAST(i AS INT) AS i, CAST(j AS INT) AS j, red FROM px JOIN g USING (x, y)")
+def smp_preview_all(v):
+    height = v.px.agg(F.max("y") + 1).first()[0]
+    return W.preview(v.px, 50, height, 20, 5).select("scene", "i", "j", "red")
+
+
+@query(f"{_HILBERT}, r AS (SELECT p, ((1::BIGINT << (2 * z)) - 1) // 3 + d AS tile_id FROM h WHERE s = 0) SELECT p, row_number() OVER (ORDER BY tile_id, p) AS place FROM r")
+def ord_tile_id_all(v):
+    from pyspark.sql import Window
+
+    d = _cells(v).select("p", G.tile_id(C("z"), C("x"), C("y")).alias("tile_id")).repartitionByRange("tile_id", "p")
+    d = written(d.withColumn("_part", F.spark_partition_id()), "tile-order")
+    at, before = [], 0
+    for r in d.groupBy("_part").count().orderBy("_part").collect():  # one row per range
+        at.append((r["_part"], before))
+        before += r["count"]
+    starts = F.broadcast(v.spark.createDataFrame(at, "_part int, _before long"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("tile_id", "p"))
+    return d.join(starts, "_part").select("p", (C("_before") + place).alias("place"))
+
+
+@query("""WITH RECURSIVE c AS (SELECT CAST(p_partkey AS BIGINT) AS output, CAST(p_partkey AS BIGINT) AS id, 0 AS depth FROM part UNION ALL SELECT output, parent_id, depth + 1 FROM c JOIN job_edge e ON e.id = c.id) SELECT output, string_agg(concat('op', CAST(id % 5 AS VARCHAR)), '>' ORDER BY depth DESC) AS operations FROM c GROUP BY output""")
+def lin_steps_all(v):
+    nodes = v.part.select(C("p_partkey").cast("bigint").alias("id"), F.concat(F.lit("op"), (C("p_partkey") % 5).cast("string")).alias("operation"))
+    level, depth = written(nodes.select(C("id").alias("output"), "id", F.lit(0).alias("depth")), "steps"), 0
+    chain = level
+    while level.take(1):
+        depth += 1
+        level = written(v.job_edge.join(level, "id").select("output", C("parent_id").alias("id"), F.lit(depth).alias("depth")), "steps")
+        chain = chain.unionByName(level)
+    return Gr.steps(chain, nodes).select("output", F.array_join("operations", ">").alias("operations"))

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +67,16 @@ def take_turn(name: str, forget: Callable[[], None]) -> None:
         _turn = (name, forget)
 
 
+def gather(flat: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The runs of `flat` that begin and count tell, one after another."""
+    ends = np.cumsum(count)
+    size = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(size, len(flat)) < 1 << 31 else np.int64
+    at = np.repeat((begin - (ends - count)).astype(kind), count)
+    at += np.arange(size, dtype=kind)
+    return flat[at]
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of at most 2000 rows and 16 MB, so that what a task holds follows neither row count nor text length.
 

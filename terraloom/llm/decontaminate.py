@@ -7,13 +7,17 @@ equal words (`min_words`, or four fifths of a shorter item) and at least four fi
 stretch of the best score, where a replaced word costs four equal ones, or if that one doesn't count, the one with the most
 equal words of those that do.
 
+No such overlap is missed. From 14 words on, the three masks leave no way to replace up to a fifth of the words without a
+seed between them (tests go through all ways for 14 to 29 words; a longer stretch holds a shorter one that counts too). A
+shorter item may lose k words; its positions are dealt into k + 1 masks by turns, one of which must be left whole.
+
 The test set is the stated query set: it is indexed in blocks of bounded size (`block_bytes` of text), each sent to the
 tasks, so it may grow without limit; documents are read once for each block and never shuffled.
 
 Words are split at ASCII white space and compared in lower case by their letters, digits and underscores only; what has
-none of these is no word. Edge cases: null text has no words; items with fewer
-words than a mask spans are matched as a whole by a mask of their own length; repeated rows are each reported; null ids
-are kept; an empty test set reports nothing.
+none of these is no word. Edge cases: null text has no words; repeated documents are each reported, repeated items (id and
+text) once; null ids are kept; an empty test set reports nothing; an item's id column gets "item_" in front where its name is
+that of the documents' id.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +34,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from terraloom.llm.common import take_turn, utf8, with_computed
 
-MASKS = ((0, 1, 3, 4, 6), (0, 1, 2, 5, 7), (0, 2, 3, 6, 7))
+MASKS = ((0, 1, 2, 3, 5), (0, 1, 2, 4, 5), (0, 1, 3, 4, 5))
+#: items of fewer words get masks of their own
+SHORT = 14
+LEAST = 12
 COST = 4
 _OTHER = re.compile(r"\W+")
 _PRIMES = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
@@ -54,10 +62,20 @@ _HASHES = _Words()
 
 
 def words(raw: bytes | None) -> np.ndarray:
+    """Hash of each word of a text."""
+    return words_of(pa.array([raw], pa.binary()))[0]
+
+
+def words_of(raw: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts (binary), one after another, and where each text ends."""
     take_turn("words", _HASHES.clear)
-    found = raw.split() if raw else []
-    h = np.array(list(map(_HASHES.__getitem__, found)), np.uint64)
-    return h[h != 0] if len(h) else h
+    split = pc.ascii_split_whitespace(pc.fill_null(raw, b"").view(pa.string()))
+    coded = split.flatten().dictionary_encode()
+    own = coded.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False)
+    h = np.fromiter(map(_HASHES.__getitem__, own), np.uint64, len(own))[coded.indices.to_numpy()]
+    some = h != 0
+    ends = np.r_[0, np.cumsum(some)][np.cumsum(split.value_lengths().to_numpy().astype(np.int64))]
+    return h[some], ends
 
 
 def seeds(tokens: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
@@ -65,76 +83,102 @@ def seeds(tokens: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     n = len(tokens) - mask[-1]
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.full(n, mask[-1] * 2654435761 + len(mask), np.uint64)
+    out = np.full(n, sum((k + 1) * (o + 1) * 2654435761 for k, o in enumerate(mask)) + len(mask), np.uint64)
     for k, o in enumerate(mask):
         out += tokens[o : o + n] * (_PRIMES[k % 5] + np.uint64(2 * k))
     return out
 
 
+def needed(words: int, min_words: int) -> int:
+    """How many equal words an overlap with an item of so many words needs."""
+    return min(min_words, -(-4 * words // 5))
+
+
 class Index:
     """Seeds of a block of test items."""
 
     def __init__(self, items: list[tuple[object, bytes]]):
         self.ids = [i for i, _ in items]
         self.tokens = [words(t) for _, t in items]
-        span = max(m[-1] for m in MASKS) + 1
-        self.masks = list(MASKS) + sorted({tuple(range(len(t))) for t in self.tokens if 0 < len(t) < span})
-        hashes, item, pos = [], [], []
+        found: dict[tuple[int, ...], list[tuple[np.ndarray, int, np.ndarray]]] = {m: [] for m in MASKS}
         for k, t in enumerate(self.tokens):
-            for mask in MASKS if len(t) >= span else [tuple(range(len(t)))] if len(t) else []:
-                h = seeds(t, mask)
-                hashes.append(h)
-                item += [k] * len(h)
-                pos += range(len(h))
-        h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.hash, self.item, self.pos = h[order], np.array(item, np.int64)[order], np.array(pos, np.int64)[order]
-        self.seen = np.zeros(1 << 19, bool)
-        self.seen[self.hash >> np.uint64(45)] = True
+            if len(t) >= SHORT:
+                own = [(m, 0, t) for m in MASKS]
+            else:
+                turns = len(t) - needed(len(t), LEAST) + 1
+                own = [(tuple(range(0, len(t) - c, turns)), c, t[c:][: (len(t) - c - 1) // turns * turns + 1]) for c in range(turns)] if len(t) else []
+            for m, first, part in own:
+                h = seeds(part, m)
+                found.setdefault(m, []).append((h, k, first + np.arange(len(h))))
+        #: by mask: sorted seeds, items and positions, and a table of the seeds' first bits
+        self.masks = []
+        for m, parts in found.items():
+            h = np.concatenate([np.empty(0, np.uint64), *[x[0] for x in parts]])
+            order = np.argsort(h, kind="stable")
+            item = np.concatenate([np.empty(0, np.int64), *[np.full(len(x[0]), x[1]) for x in parts]])[order]
+            pos = np.concatenate([np.empty(0, np.int64), *[x[2] for x in parts]])[order]
+            seen = np.zeros(1 << 20, bool)
+            seen[h >> np.uint64(44)] = True
+            if len(h):
+                self.masks.append((m, h[order], item, pos, seen))
 
     def find(self, raw: bytes | None, min_words: int) -> list[tuple[int, int, int, int, int]]:
-        """(item, start in document, start in item, words, equal words) of the best overlap with each item."""
-        doc = words(raw)
-        if not len(doc) or not len(self.hash):
-            return []
-        hits = set()
-        for mask in self.masks:
-            h = seeds(doc, mask)
-            at = np.flatnonzero(self.seen.take(h >> np.uint64(45), mode="clip"))
-            if not len(at):
-                continue
-            low, high = np.searchsorted(self.hash, h[at], "left"), np.searchsorted(self.hash, h[at], "right")
-            for p, a, b in zip(at.tolist(), low.tolist(), high.tolist(), strict=True):
-                hits.update(zip(self.item[a:b].tolist(), (p - self.pos[a:b]).tolist(), strict=True))
-        best: dict[int, tuple[bool, int, tuple[int, int, int, int, int]]] = {}
-        for item, diagonal in sorted(hits):
-            own = self.tokens[item]
-            lo, hi = max(0, -diagonal), min(len(own), len(doc) - diagonal)
-            same = own[lo:hi] == doc[lo + diagonal : hi + diagonal]
-            need = min(min_words, -(-4 * len(own) // 5))
-            sums, count = np.r_[0, np.cumsum(np.where(same, 1, -COST))], np.r_[0, np.cumsum(same)]
-            if count[-1] < need:
-                continue
-            low = np.minimum.accumulate(sums)
-            gain = sums - low
-            stretches = [(int(sums[: e + 1].argmin()), e) for e in np.flatnonzero(gain == gain.max()).tolist()]
-            equal, n, begin, end = max((int(count[e] - count[b]), e - b, b, e) for b, e in stretches)
-            top = equal >= need and 5 * equal >= 4 * n
-            if not top:  # the best score is too short, or not equal enough: the most equal words of which four fifths are equal
-                ends = np.flatnonzero(same) + 1
-                starts = np.searchsorted(-low, -sums[ends], "left")
-                k = int((count[ends] - count[starts]).argmax())
-                begin, end = int(starts[k]), int(ends[k])
-                begin += int(same[begin:end].argmax())
-                equal, n = int(count[end] - count[begin]), end - begin
-            if equal >= need and (item not in best or (top, equal) > best[item][:2]):
-                best[item] = (top, equal, (item, begin + lo + diagonal, begin + lo, n, equal))
-        return sorted(b[2] for b in best.values())
+        return self.find_all(pa.array([raw], pa.binary()), min_words)[0]
+
+    def find_all(self, raw: pa.Array, min_words: int) -> list[list[tuple[int, int, int, int, int]]]:
+        """Of each text (item, start in document, start in item, words, equal words) of the best overlap with each item."""
+        tokens, ends = words_of(raw)
+        out: list[list] = [[] for _ in range(len(raw))]
+        hits = []
+        for mask, hashes, items, pos, seen in self.masks:
+            h = seeds(tokens, mask)
+            at = np.flatnonzero(seen.take(h >> np.uint64(44), mode="clip"))
+            low, high = np.searchsorted(hashes, h[at], "left"), np.searchsorted(hashes, h[at], "right")
+            doc = np.searchsorted(ends, at, "right")
+            real = (low < high) & (at + mask[-1] < ends[doc])
+            at, low, doc, n = at[real], low[real], doc[real], (high - low)[real]
+            own = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            hits.append(np.stack([np.repeat(doc, n), items[own], np.repeat(at, n) - pos[own]], axis=1))
+        if not hits or not sum(map(len, hits)):
+            return out
+        begin = np.r_[0, ends]
+        best: dict[tuple[int, int], tuple[bool, int, tuple[int, int, int, int, int]]] = {}
+        for doc, item, diagonal in np.unique(np.concatenate(hits), axis=0).tolist():
+            text = tokens[begin[doc] : begin[doc + 1]]
+            found = overlap(self.tokens[item], text, diagonal - int(begin[doc]), min_words)
+            if found and ((doc, item) not in best or found[:2] > best[doc, item][:2]):
+                best[doc, item] = (*found[:2], (item, *found[2]))
+        for (doc, _), b in sorted(best.items()):
+            out[doc].append(b[2])
+        return out
+
+
+def overlap(own: np.ndarray, doc: np.ndarray, diagonal: int, min_words: int) -> tuple[bool, int, tuple[int, int, int, int]] | None:
+    """Best stretch on a diagonal: whether it has the best score, equal words, (start in document, start in item, words, equal words)."""
+    lo, hi = max(0, -diagonal), min(len(own), len(doc) - diagonal)
+    same = own[lo:hi] == doc[lo + diagonal : hi + diagonal]
+    need = needed(len(own), min_words)
+    sums, count = np.r_[0, np.cumsum(np.where(same, 1, -COST))], np.r_[0, np.cumsum(same)]
+    if count[-1] < need:
+        return None
+    low = np.minimum.accumulate(sums)
+    gain = sums - low
+    stretches = [(int(sums[: e + 1].argmin()), e) for e in np.flatnonzero(gain == gain.max()).tolist()]
+    equal, n, begin, end = max((int(count[e] - count[b]), e - b, b, e) for b, e in stretches)
+    top = equal >= need and 5 * equal >= 4 * n
+    if not top:  # the best score is too short, or not equal enough: the most equal words of which four fifths are equal
+        ends = np.flatnonzero(same) + 1
+        starts = np.searchsorted(-low, -sums[ends], "left")
+        k = int((count[ends] - count[starts]).argmax())
+        begin, end = int(starts[k]), int(ends[k])
+        begin += int(same[begin:end].argmax())
+        equal, n = int(count[end] - count[begin]), end - begin
+    return (top, equal, (begin + lo + diagonal, begin + lo, n, equal)) if equal >= need else None
 
 
 def blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int):
     """The test set in blocks of about `block_bytes`, as lists on the driver, one at a time."""
-    raw = items.select(F.col(id_col).alias("_id"), utf8(text_col).alias("_raw"))
+    raw = items.select(F.col(id_col).alias("_id"), utf8(text_col).alias("_raw")).distinct()
     total = raw.agg(F.sum(F.length("_raw"))).first()[0] or 0
     count = max(1, -(-total // block_bytes))
     for k in range(count):
@@ -145,7 +189,10 @@ def blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int):
 
 def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_words: int = 12, block_bytes: int = 8 << 20) -> DataFrame:
     """One row per document and test item that overlap: ids, `doc_start`, `item_start`, `n_words`, `n_equal`."""
+    if min_words < LEAST:
+        raise ValueError(f"the masks find overlaps of {LEAST} words and more")
     kind = items.schema[item_col].dataType
+    named = item_col if item_col != id_col else f"item_{item_col}"
     names = ["doc_start", "item_start", "n_words", "n_equal"]
     found_type = pa.list_(pa.struct([("item", to_arrow_type(kind)), *[(n, pa.int64()) for n in names]]))
     out = None
@@ -154,24 +201,27 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
 
         def run(raw: pa.Array, index=index) -> list[pa.Array]:
             ids = index.value.ids
-            found = [index.value.find(x, min_words) for x in raw.to_pylist()]
+            found = index.value.find_all(raw, min_words)
             return [pa.array([[{"item": ids[m[0]]} | dict(zip(names, m[1:], strict=True)) for m in f] for f in found], found_type)]
 
         part = with_computed(docs, [id_col], [text_col], run, [("m", f"array<struct<item: {kind.simpleString()}, " + ", ".join(f"{n}: bigint" for n in names) + ">>")])
-        part = part.where(F.size("m") > 0).select(id_col, F.explode("m").alias("m")).select(id_col, F.col("m.item").alias(item_col), *[f"m.{n}" for n in names])
+        part = part.toDF("_id", "_m").where(F.size("_m") > 0).select("_id", F.explode("_m").alias("_m"))
+        part = part.select(F.col("_id").alias(id_col), F.col("_m.item").alias(named), *[F.col(f"_m.{n}").alias(n) for n in names])
         out = part if out is None else out.unionByName(part)
     if out is None:
-        out = docs.select(id_col).limit(0).select(id_col, F.lit(None).cast(kind).alias(item_col), *[F.lit(0).cast("long").alias(n) for n in names])
+        out = docs.select(id_col).limit(0).select(id_col, F.lit(None).cast(kind).alias(named), *[F.lit(0).cast("long").alias(n) for n in names])
     return out
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_words: int = 12, block_bytes: int = 8 << 20) -> DataFrame:
     """The documents, all columns, that overlap no test item."""
+    if min_words < LEAST:
+        raise ValueError(f"the masks find overlaps of {LEAST} words and more")
     for block in blocks(items, item_col, item_text, block_bytes):
         index = docs.sparkSession.sparkContext.broadcast(Index(block))
 
         def run(raw: pa.Array, index=index) -> list[pa.Array]:
-            return [pa.array([not index.value.find(x, min_words) for x in raw.to_pylist()], pa.bool_())]
+            return [pa.array([not f for f in index.value.find_all(raw, min_words)], pa.bool_())]
 
         docs = with_computed(docs, docs.columns, [text_col], run, [("ok", "boolean")], only=0)
     return docs

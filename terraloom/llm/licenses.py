@@ -6,8 +6,9 @@ that a template and a document share and that is as long as a window finds a pla
 lie within the band form a candidate; a banded alignment of the whole template against that part of the document then gives
 the share of the template's words that are matched, and the span of the document that they take.
 
-The index is small and fixed by the templates (a parameter), so it goes to the tasks; documents are read once, whole, and
-not shuffled.
+The templates are whole texts of the shorter licenses, and grants, headers and notices; others may be given (longer texts from
+a table, say). Their index is small and goes to the tasks; documents are read once, whole, and not shuffled. A text that
+differs from a template by a whole clause is another license: its words past the clause lie outside the band.
 
 Words are split at ASCII white space and compared in lower case by letters and digits only. Edge cases: null text has no
 words; templates shorter than k words are found by shorter grams; repeated rows are each reported; null ids are kept.
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terraloom.llm.common import with_computed
-from terraloom.llm.decontaminate import seeds, words
+from terraloom.llm.decontaminate import seeds, words, words_of
 
 GRAM = 3
 WINDOW = 3
@@ -38,13 +39,41 @@ TEMPLATES = [
     ("GPL-3.0", "header", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-2.0", "header", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("LGPL-2.1", "header", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
-    ("BSD-3-Clause", "grant", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD", "grant", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("ISC", "grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("MPL-2.0", "header", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("Unlicense", "grant", "This is free and unencumbered software released into the public domain."),
     ("CC-BY-NC-4.0", "notice", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "notice", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "notice", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("MIT", "text", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+        The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("BSD-2-Clause", "text", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+        1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+        THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("BSD-3-Clause", "text", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+        1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+        3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+        THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("ISC", "text", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+        THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("0BSD", "text", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
+        THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("Zlib", "text", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+        Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+        1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+        2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+        3. This notice may not be removed or altered from any source distribution."""),
+    ("Unlicense", "text", """This is free and unencumbered software released into the public domain.
+        Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+        In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("BSL-1.0", "text", """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+        The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
 ]
 
 
@@ -79,34 +108,37 @@ class Index:
         self.seen = np.zeros(1 << 16, bool)
         self.seen[self.hash >> np.uint64(48)] = True
 
-    def candidates(self, doc: np.ndarray) -> list[tuple[int, int]]:
-        """(template, diagonal) of every candidate: least and greatest diagonal of a group lie within the band."""
-        hits = set()
+    def candidates(self, tokens: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int]]:
+        """(text, template, diagonal) of every candidate: least and greatest diagonal of a group lie within the band."""
+        begin, hits = np.r_[0, ends], []
         for g in self.grams:
-            h = seeds(doc, tuple(range(g)))
+            h = seeds(tokens, tuple(range(g)))
             at = np.flatnonzero(self.seen.take(h >> np.uint64(48), mode="clip"))
-            if len(at):
-                low, high = np.searchsorted(self.hash, h[at], "left"), np.searchsorted(self.hash, h[at], "right")
-                for p, a, b in zip(at.tolist(), low.tolist(), high.tolist(), strict=True):
-                    hits.update(zip(self.item[a:b].tolist(), (p - self.pos[a:b]).tolist(), strict=True))
-        out: list[tuple[int, int]] = []
-        for item, d in sorted(hits):
-            if not out or out[-1][0] != item or d - out[-1][1] > BAND:
-                out.append((item, d))
+            low, high = np.searchsorted(self.hash, h[at], "left"), np.searchsorted(self.hash, h[at], "right")
+            doc = np.searchsorted(ends, at, "right")
+            real = (low < high) & (at + g <= ends[doc])
+            at, low, doc, n = at[real], low[real], doc[real], (high - low)[real]
+            own = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            hits.append(np.stack([np.repeat(doc, n), self.item[own], np.repeat(at - begin[doc], n) - self.pos[own]], axis=1))
+        out: list[tuple[int, int, int]] = []
+        for doc, item, d in np.unique(np.concatenate(hits), axis=0).tolist() if hits else []:
+            if not out or out[-1][:2] != (doc, item) or d - out[-1][2] > BAND:
+                out.append((doc, item, d))
         return out
 
-    def scan(self, raw: bytes | None, least: float) -> list[tuple[int, int, int, int]]:
-        """(template, first word, words, matched words) of every place that covers at least the share `least` of a template."""
-        doc = words(raw)
-        if not len(doc) or not len(self.hash):
-            return []
-        found = []
-        for item, d in self.candidates(doc):
-            t = self.tokens[item]
-            begin, end, matched = align(t, doc, d, BAND)
-            if matched >= least * len(t):
-                found.append((item, begin, end - begin, matched))
-        return sorted(set(found))
+    def scan(self, raw: pa.Array, least: float) -> list[list[tuple[int, int, int, int]]]:
+        """Of each text (template, first word, words, matched words) of every place that covers at least the share `least` of a template."""
+        tokens, ends = words_of(raw)
+        begin = np.r_[0, ends]
+        found: list[set] = [set() for _ in range(len(raw))]
+        for k, item, d in self.candidates(tokens, ends):
+            doc, t = tokens[begin[k] : begin[k + 1]], self.tokens[item]
+            # no alignment matches more of the template's words than occur near the diagonal
+            if np.isin(t, doc[max(0, d - BAND) : max(0, d + len(t) + BAND + 1)]).sum() >= least * len(t):
+                first, end, matched = align(t, doc, d, BAND)
+                if matched >= least * len(t):
+                    found[k].add((item, first, end - first, matched))
+        return [sorted(f) for f in found]
 
 
 def align(template: np.ndarray, doc: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int]:
@@ -114,7 +146,7 @@ def align(template: np.ndarray, doc: np.ndarray, diagonal: int, band: int) -> tu
 
     Match +2, replaced word -1, left-out or added word -1; leaving out document words before and after is free.
     """
-    a, b = template.tolist(), doc
+    a, b = template.tolist(), doc.tolist()
     width = 2 * band + 1
     low = diagonal - band
     worst = -(1 << 30)
@@ -150,11 +182,11 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, str]] | None = None, i
     names = ["item", "first_word", "n_words", "matched"]
 
     def run(raw: pa.Array) -> list[pa.Array]:
-        found = [index.scan(x, coverage) for x in raw.to_pylist()]
+        found = index.scan(raw, coverage)
         return [pa.array([[dict(zip(names, m, strict=True)) for m in f] for f in found], pa.list_(pa.struct([(n, pa.int64()) for n in names])))]
 
-    out = with_computed(docs, [id_col], [text_col], run, [("m", "array<struct<" + ",".join(f"{n}: bigint" for n in names) + ">>")])
-    pick = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in index.names] or [F.lit("")]), (F.col("m.item") + 1).cast("int"))
-    sizes = F.element_at(F.array(*[F.lit(len(t)) for t in index.tokens] or [F.lit(1)]), (F.col("m.item") + 1).cast("int"))
-    out = out.where(F.size("m") > 0).select(id_col, F.explode("m").alias("m"))
-    return out.select(id_col, pick(0).alias("license"), pick(1).alias("template"), (F.col("m.matched") / sizes).alias("coverage"), F.col("m.first_word").alias("first_word"), F.col("m.n_words").alias("n_words"))
+    out = with_computed(docs, [id_col], [text_col], run, [("_m", "array<struct<" + ",".join(f"{n}: bigint" for n in names) + ">>")])
+    pick = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in index.names] or [F.lit("")]), (F.col("_m.item") + 1).cast("int"))
+    sizes = F.element_at(F.array(*[F.lit(len(t)) for t in index.tokens] or [F.lit(1)]), (F.col("_m.item") + 1).cast("int"))
+    out = out.toDF("_id", "_m").where(F.size("_m") > 0).select("_id", F.explode("_m").alias("_m"))
+    return out.select(F.col("_id").alias(id_col), pick(0).alias("license"), pick(1).alias("template"), (F.col("_m.matched") / sizes).alias("coverage"), F.col("_m.first_word").alias("first_word"), F.col("_m.n_words").alias("n_words"))

@@ -10,11 +10,13 @@ Reading. Files are read in byte ranges, each range cut at every occurrence of th
 candidate record: its task emits the candidate's offset and, from Content-Length, its successor's. A version line inside a
 payload makes a candidate too, even one whose own chain looks right. Pointer jumping from the start of each file keeps
 what is reachable: jump tables of 1, 2, 4, ... records are joined to themselves until no jump is left, and the reached set
-doubles with each.
+doubles with each. Length and digest of every payload are taken from the bytes read: at once where no version line lies in
+it, else in a second pass over the parts of such reachable records, hashed in their order (across batches and ranges).
 
 Edge cases: null html is an empty payload; null url gives no target line; control characters in a url are percent-encoded;
 null ids are written as `null`; rows that repeat the response's id and payload are responses too; an empty table gives no
-records. A chain that breaks off before the end of its file is an error.
+records. A chain that does not begin at the start of its file or breaks off before its end is an error, and so is a payload
+that differs from what its record says.
 """
 
 from __future__ import annotations
@@ -27,9 +29,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from terraloom.llm.common import materialize, new_path
+from terraloom.llm.common import materialize, new_path, small_batches
 
 VERSION = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -91,65 +92,68 @@ def _fields(raw: bytes) -> dict[str, str]:
     return out
 
 
+_VERSION = VERSION.encode()
+
+
+def _rows(spark: SparkSession, path: str) -> DataFrame:
+    """What lies between version lines, in the order of the file within each range: file, range, size of file, v."""
+    return spark.read.option("lineSep", VERSION).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("v"))
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, int, bytes]]:
+    """Rows of _rows() one by one: file, range, size, bytes from the first row of the range, v."""
+    key, at = None, 0
+    for b in batches:
+        for file, begin, size, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+            v = v.as_py()
+            if (file, begin) != key:
+                key, at = (file, begin), 0
+            yield file, begin, size, at, v
+            at += len(v) + len(_VERSION)
+
+
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """One row per occurrence of the version line: file, offset, successor's offset (null: no record), header fields, HTTP fields.
+    """One row per occurrence of the version line, and one for what precedes the first of a file (offset -10, no successor).
 
-    `computed` is the digest of the payload, where all of it came in one batch of one range (else null).
+    file, range, at, size of file, offset, successor's offset (null: no record), header fields, HTTP fields, `ahead` (bytes
+    before the payload, in the row), `left` (bytes of the payload), `computed`: its digest, null where it goes on in other rows.
     """
-    version = VERSION.encode()
-    raw = spark.read.option("lineSep", VERSION).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("v"))
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows in the order of the file; `at` counts bytes from the first row of the range."""
-        names = ["file", "range", "size", "at", "length", "hop", "head", "http", "computed"]
-        key, at = None, 0
-        kept: list[dict] = []  # of records whose payload goes on in the next rows
-        for b in batches:
-            rows: list[dict] = []
-            for file, begin, size, v in zip(*[b.column(k).to_pylist() for k in range(4)], strict=True):
-                if (file, begin) != key:
-                    key, at, kept = (file, begin), 0, []
-                row = dict.fromkeys(names) | {"file": file, "range": begin, "size": size, "at": at, "length": len(v) + len(version)}
-                for k in kept:
-                    if k["left"] > 0:
-                        more = version + v
-                        k["sum"].update(more[: k["left"]])
-                        k["left"] -= len(more)
-                        if k["left"] <= 0:
-                            k["row"]["computed"] = base64.b32encode(k["sum"].digest()).decode()
-                kept = [k for k in kept if k["left"] > 0][-4:]
-                end = v.find(b"\r\n\r\n")
-                head = _fields(v[:end]) if end >= 0 else {}
-                if head.get("content-length", "").isdigit():
-                    size_ = int(head["content-length"])
-                    row |= {"hop": len(version) + end + 4 + size_ + 4, "head": list(head.items())}
-                    block = v[end + 4 : end + 4 + size_]
-                    cut = block.find(b"\r\n\r\n")
-                    if cut >= 0:
-                        row["http"] = list(_fields(block[:cut]).items())
-                        digest = hashlib.sha1(block[cut + 4 :])
-                        if len(block) == size_:
-                            row["computed"] = base64.b32encode(digest.digest()).decode()
-                        else:
-                            kept.append({"row": row, "sum": digest, "left": size_ - len(block)})
-                at += len(v) + len(version)
-                rows.append(row)
-            kept = []  # what goes on beyond this batch stays without a computed digest
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], arrow[n]) for n in names], names=names)
+        rows: list[dict] = []
+        for file, begin, size, at, v in _placed(batches):
+            row = dict.fromkeys(arrow) | {"file": file, "range": begin, "size": size, "at": at, "length": len(v) + len(_VERSION)}
+            end = v.find(b"\r\n\r\n")
+            head = _fields(v[:end]) if end >= 0 else {}
+            if head.get("content-length", "").isdigit():
+                stop = end + 4 + int(head["content-length"])
+                row |= {"hop": len(_VERSION) + stop + 4, "head": list(head.items())}
+                cut = v.find(b"\r\n\r\n", end + 4, stop)
+                if cut >= 0:
+                    row |= {"http": list(_fields(v[end + 4 : cut]).items()), "ahead": cut + 4, "left": stop - cut - 4}
+                    if stop <= len(v):
+                        row["computed"] = base64.b32encode(hashlib.sha1(v[cut + 4 : stop]).digest()).decode()
+            rows.append(row)
+            if len(rows) == 1000:
+                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in arrow.items()], names=list(arrow))
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in arrow.items()], names=list(arrow))
 
     text_map = pa.map_(pa.string(), pa.string())
-    arrow = {"file": pa.string(), "range": pa.int64(), "size": pa.int64(), "at": pa.int64(), "length": pa.int64(), "hop": pa.int64(), "head": text_map, "http": text_map, "computed": pa.string()}
-    kind = T.MapType(T.StringType(), T.StringType())
-    schema = T.StructType().add("file", "string").add("range", "long").add("size", "long").add("at", "long").add("length", "long").add("hop", "long").add("head", kind).add("http", kind).add("computed", "string")
-    found = materialize(raw.mapInArrow(parts, schema), "warc-candidates")
+    number = dict.fromkeys(("range", "size", "at", "length", "hop"), pa.int64())
+    arrow = {"file": pa.string(), **number, "head": text_map, "http": text_map, "ahead": pa.int64(), "left": pa.int64(), "computed": pa.string()}
+    schema = "file string, range long, size long, at long, length long, hop long, head map<string, string>, http map<string, string>, ahead long, left long, computed string"
+    small_batches(spark)
+    found = materialize(_rows(spark, path).mapInArrow(parts, schema), "warc-candidates")
     # ranges of one file follow each other without a gap: their lengths add up to each one's first offset
     ranges = found.groupBy("file", "range").agg(F.sum("length").alias("bytes"))
     before = Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select("file", "range", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base"))
-    # a row follows its version line; what precedes the first one of a file is no record
-    placed = found.join(materialize(ranges, "warc-ranges"), ["file", "range"]).withColumn("offset", F.col("base") + F.col("at") - len(version)).where("offset >= 0")
-    return placed.select("file", "size", "offset", (F.col("offset") + F.col("hop")).alias("successor"), "head", "http", "computed")
+    # a row follows its version line
+    placed = found.join(materialize(ranges, "warc-ranges"), ["file", "range"]).withColumn("offset", F.col("base") + F.col("at") - len(_VERSION))
+    hop = F.when(F.col("offset") >= 0, F.col("offset") + F.col("hop"))
+    return placed.select("file", "range", "at", "size", "offset", hop.alias("successor"), "head", "http", "ahead", "left", "computed")
 
 
 def reachable(edges: DataFrame) -> DataFrame:
@@ -166,25 +170,75 @@ def reachable(edges: DataFrame) -> DataFrame:
     return reached
 
 
+def _hashed(spark: SparkSession, path: str, all_: DataFrame, open_: DataFrame) -> DataFrame:
+    """(file, offset, computed) of records whose payload goes on in other rows."""
+    own = all_.join(open_.select("file").distinct(), "file", "left_semi").select("file", "range", "at", "offset")
+    record = Window.partitionBy("file").orderBy("offset", F.col("record").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    marks = open_.select("file", F.lit(None).cast("long").alias("range"), F.lit(None).cast("long").alias("at"), "offset", F.struct("offset", "successor", "ahead", "left").alias("record"))
+    marked = own.withColumn("record", F.lit(None).cast(marks.schema["record"].dataType)).unionByName(marks)
+    # each row with the last open record that begins at or before it
+    parts = marked.withColumn("r", F.last("record", ignorenulls=True).over(record)).where("range is not null and offset < r.successor")
+    parts = materialize(parts.select("file", "range", "at", "offset", F.col("r.offset").alias("record"), "r.ahead", "r.left"), "warc-parts")
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for file, begin, _, at, v in _placed(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([begin]), pa.array([at]), pa.array([v], pa.binary())], names=["file", "range", "at", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a record follow each other: the first one holds `ahead` bytes before the payload, the others a version line."""
+        key, digest, left = None, None, 0
+        for b in batches:
+            for file, record, ahead, size, v in zip(*[b.column(k).to_pylist() for k in range(5)], strict=True):
+                if (file, record) != key:
+                    key, digest, left, v = (file, record), hashlib.sha1(), size, v[ahead:]
+                else:
+                    v = _VERSION + v
+                digest.update(v[:left])
+                if left > 0 >= left - len(v):
+                    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([record]), pa.array([base64.b32encode(digest.digest()).decode()])], names=["file", "offset", "computed"])
+                left -= len(v)
+
+    bytes_ = _rows(spark, path).mapInArrow(placed, "file string, range long, at long, v binary").join(parts, ["file", "range", "at"])
+    dealt = bytes_.repartition("file", "record").sortWithinPartitions("file", "record", "offset")
+    return dealt.select("file", "record", "ahead", "left", "v").mapInArrow(run, "file string, offset long, computed string")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record: `file`, `offset`, `head` and `http` (maps of fields), `computed` (see candidates())."""
-    all_ = materialize(candidates(spark, path), "warc-all")
-    kept = all_.join(reachable(all_.select("file", "offset", "successor")), ["file", "offset"])
-    ends = kept.groupBy("file", "size").agg(F.max("successor").alias("end")).where("end is null or end != size")
+    """One row per record: `file`, `offset`, `head` and `http` (maps of fields), `payload_bytes`, `computed` (digest of the payload)."""
+    all_ = candidates(spark, path)
+    kept = all_.where("offset >= 0").join(reachable(all_.select("file", "offset", "successor")), ["file", "offset"])
+    ends = all_.select("file", "size").distinct().join(kept.groupBy("file").agg(F.max("successor").alias("end")), "file", "left").where("end is null or end != size")
     if broken := ends.take(1):
         raise ValueError(f"record chain breaks off in {broken[0]['file']}")
-    return kept
+    open_ = kept.where("left is not null and computed is null")
+    kept = kept.select("file", "offset", "head", "http", F.col("left").alias("payload_bytes"), "computed")
+    if open_.take(1):
+        later = materialize(_hashed(spark, path, all_, open_), "warc-hashed").withColumnRenamed("computed", "later")
+        kept = kept.join(later, ["file", "offset"], "left").withColumn("computed", F.coalesce("computed", "later")).drop("later")
+    return materialize(kept, "warc-records")
 
 
 def digests(records: DataFrame, id_col: str = "page_id", id_type: str = "long") -> DataFrame:
-    """What the records say of each page's full payload: length, digest, record type and the page that a revisit refers to."""
+    """Length and digest of each page's full payload, record type, and the page that a revisit refers to.
+
+    A response's are those of the bytes read, a revisit's those of the response that it refers to. `verified`: the record says so
+    too; a record that says otherwise is an error.
+    """
     page = lambda c: F.when(c == "<urn:page:null>", None).otherwise(F.regexp_extract(c, "^<urn:page:(.*)>$", 1)).cast(id_type)
     head = lambda k: F.col("head")[k]
-    return records.select(
+    own = records.select(
         page(head("warc-record-id")).alias(id_col),
-        F.col("http")["content-length"].cast("long").alias("payload_bytes"),
-        F.regexp_replace(head("warc-payload-digest"), "^sha1:", "").alias("payload_digest"),
+        "payload_bytes",
+        "computed",
         head("warc-type").alias("record_type"),
         page(head("warc-refers-to")).alias("refers_to"),
-        (F.col("computed") == F.regexp_replace(head("warc-payload-digest"), "^sha1:", "")).alias("verified"),
+        F.col("http")["content-length"].cast("long").alias("_bytes"),
+        F.regexp_replace(head("warc-payload-digest"), "^sha1:", "").alias("_digest"),
     )
+    response = F.col("record_type") == "response"
+    main = materialize(own.where(response).select(F.col(id_col).alias("refers_to"), F.col("payload_bytes").alias("_b"), "_digest", F.col("computed").alias("_c")).distinct(), "warc-responses")
+    revisits = own.where(~response).drop("payload_bytes", "computed").join(main, ["refers_to", "_digest"], "left").withColumnsRenamed({"_b": "payload_bytes", "_c": "computed"})
+    both = own.where(response).unionByName(revisits)
+    verified = F.coalesce((F.col("payload_bytes") == F.col("_bytes")) & (F.col("computed") == F.col("_digest")), F.lit(False))
+    wrong = F.raise_error(F.concat(F.lit("a payload is not what its record says: "), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))).cast("string")
+    return both.select(id_col, "payload_bytes", F.when(verified, F.col("computed")).otherwise(wrong).alias("payload_digest"), "record_type", "refers_to", verified.alias("verified"))

@@ -35,6 +35,40 @@ def test_language_gradient():
         assert abs((up - down) / 2e-2 - grad[at]) < 2e-3
 
 
+def test_language_forward_pass_and_pooling_against_plain_loops():
+    rng = np.random.default_rng(2)
+    m = language.train(rng.integers(0, 256, (5, 9)), rng.integers(0, 3, 5), ["a", "b", "c"], hidden=4, rounds=2)
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def states(window, layer):
+        h, out = np.zeros(4), []
+        for byte in window:
+            a = m.E[int(byte) + 256 * layer].astype(float)
+            g = sigmoid(a[:8] + h @ m.U[layer])
+            n = np.tanh(a[8:] + (g[4:] * h) @ m.V[layer])
+            h = (1 - g[:4]) * h + g[:4] * n
+            out.append(h)
+        return out
+
+    def document(raw):
+        total = np.zeros(3)
+        for k in range(0, len(raw), language.WINDOW):
+            part = raw[k : k + language.WINDOW]
+            window = part.ljust(language.WINDOW)
+            ahead, behind = states(window, 0), states(window[::-1], 1)[::-1]
+            for t in range(len(part)):
+                e = np.exp(ahead[t] @ m.C[:4] + behind[t] @ m.C[4:] + m.b)
+                total += e / e.sum()
+        return total / total.sum()
+
+    texts = [bytes(rng.integers(0, 256, n).astype(np.uint8)) for n in (1, 100, 128, 129, 700)]
+    assert np.allclose(language.probabilities(m, texts), [document(t) for t in texts], atol=1e-4)
+
+
+def test_letters():
+    assert language.has_letter("é") and language.has_letter("² ª") and not language.has_letter("²½①Ⅷ _9!")
+
+
 def test_language_edges(spark):
     rows = [(1, None, "en"), (2, "", "en"), (3, "12 !!", None), (None, "hello there", None), (5, "x", None), (5, "x", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")

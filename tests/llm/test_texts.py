@@ -1,10 +1,12 @@
 import hashlib
+import itertools
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from terraloom.llm import chat, decontaminate, licenses, token_file
 
@@ -70,8 +72,7 @@ def test_decontamination_of_any_stretch_that_counts():
         doc = " ".join([*text(rng, 30).split(), *copy, *text(rng, 30).split()])
         same = [k not in case for k in range(20)]
         got = index.find(doc.encode(), 12)
-        seeded = any(all(same[p + o] for o in m) for m in decontaminate.MASKS for p in range(20 - m[-1]))
-        assert bool(got) == (seeded and counts(same, 12)), case
+        assert bool(got) == counts(same, 12), case
         if got:
             _, at, begin, n, equal = got[0]
             assert at == begin + 30 and equal == sum(same[begin : begin + n]) and equal >= 12 and 5 * equal >= 4 * n
@@ -80,6 +81,48 @@ def test_decontamination_of_any_stretch_that_counts():
     assert found > 50
 
 
+def test_no_way_to_replace_words_escapes_the_masks():
+    for n in range(14, 30):
+        ways = np.array(list(itertools.combinations(range(n), 2 if n == 14 else n // 5)))
+        gone = (np.int64(1) << ways).sum(axis=1)
+        for mask in decontaminate.MASKS:
+            for p in range(n - mask[-1]):
+                gone = gone[gone & sum(1 << (p + o) for o in mask) != 0]
+        assert not len(gone), n
+
+
+def test_short_items_and_long_stretches_against_brute_force():
+    rng = random.Random(6)
+
+    def counts(item, doc):
+        need = min(12, -(-4 * len(item) // 5))
+        for d in range(-len(item), len(doc)):
+            same = [0 <= k + d < len(doc) and doc[k + d] == w for k, w in enumerate(item)]
+            for a in range(len(item)):
+                for b in range(a + 1, len(item) + 1):
+                    if 0 <= a + d and b + d <= len(doc) and sum(same[a:b]) >= need and 5 * sum(same[a:b]) >= 4 * (b - a):
+                        return True
+        return False
+
+    for n in [*range(1, 18), 24, 31]:
+        item = text(rng, n).split()
+        index = decontaminate.Index([(1, " ".join(item).encode())])
+        for _ in range(25):
+            gone = set(rng.sample(range(n), min(n, rng.randrange(0, 2 + n // 4))))
+            copy = ["other" if k in gone else w for k, w in enumerate(item)][rng.randrange(0, 2) :]
+            doc = [*text(rng, rng.randrange(3)).split(), *copy, *text(rng, rng.randrange(3)).split()]
+            assert bool(index.find(" ".join(doc).encode(), 12)) == counts(item, doc), (n, gone)
+
+
+def test_decontamination_with_clashing_names(spark):
+    body = " ".join(WORDS[:20])
+    docs = spark.createDataFrame([(1, body, "m"), (2, None, "m"), (None, body + " x" * 200_000, "m")], "item_id long, text string, m string")
+    items = spark.createDataFrame([(7, body), (7, body)], "item_id long, text string")
+    got = decontaminate.overlaps(docs, items, id_col="item_id").collect()
+    assert sorted((r.item_id or 0, r.item_item_id, r.n_equal) for r in got) == [(0, 7, 20), (1, 7, 20)]
+    assert [r.item_id for r in decontaminate.clean(docs, items).collect()] == [2]
+
+
 def test_decontamination_without_items(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
@@ -103,12 +146,48 @@ def test_licenses_with_changes_and_edges(spark):
     assert next(r for r in got if r.doc_id == 1).n_words == n
 
 
+def test_bsd_licenses_apart(spark):
+    bsd = {n: t for n, k, t in licenses.TEMPLATES if k == "text" and n.startswith("BSD-")}
+    rows = [(1, "x " * 30 + bsd["BSD-2-Clause"]), (2, bsd["BSD-3-Clause"].replace("copyright holder", "Example Foundation")), (3, None), (4, "word " * 300_000 + bsd["BSD-2-Clause"])]
+    df = spark.createDataFrame(rows, "m long, text string").withColumn("license", F.lit(1))
+    got = sorted((r.m, r.license) for r in licenses.scan(df, id_col="m").collect() if r.template == "text")
+    assert got == [(1, "BSD-2-Clause"), (2, "BSD-3-Clause"), (4, "BSD-2-Clause")]
+    assert licenses.scan(df.limit(0), id_col="m").count() == 0
+
+
+def test_license_winnowing_and_alignment_against_plain_ones():
+    rng = random.Random(9)
+    for _ in range(60):
+        hashes = np.array([rng.randrange(30) for _ in range(rng.randrange(1, 40))], np.uint64)
+        w = min(4, len(hashes))
+        plain = {max((h, -k) and k for k, h in enumerate(hashes.tolist()) if s <= k < s + w and h == min(hashes[s : s + w].tolist())) for s in range(len(hashes) - w + 1)}
+        assert licenses.winnow(hashes, 4).tolist() == sorted(plain)
+
+    def best(t, doc):  # the best score of the whole template against any stretch, without a band
+        row = [0] * (len(doc) + 1)
+        for w in t:
+            new = [row[0] - 1]
+            for p in range(1, len(doc) + 1):
+                new.append(max(row[p - 1] + (2 if doc[p - 1] == w else -1), row[p] - 1, new[-1] - 1))
+            row = new
+        return max(row)
+
+    for _ in range(60):
+        t = [rng.randrange(60) for _ in range(rng.randrange(4, 30))]
+        copy = [rng.randrange(60) if rng.random() < 0.1 else w for w in t if rng.random() > 0.08]
+        ahead = [rng.randrange(60, 90) for _ in range(rng.randrange(12))]
+        doc = np.array(ahead + copy + [rng.randrange(60, 90) for _ in range(rng.randrange(9))], np.uint64)
+        begin, end, matched = licenses.align(np.array(t, np.uint64), doc, len(ahead), 40)
+        part = doc[begin:end].tolist()
+        # the same score when only the reported stretch is aligned, and as many matches as that score has room for
+        assert best(t, part) == best(t, doc.tolist()) and matched <= len(set(range(len(t)))) and 3 * matched - max(len(t), len(part)) >= best(t, part) - min(len(t), len(part))
+
+
 def test_token_file_round_trip(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     rng = random.Random(3)
     rows = [(k, "".join(rng.choice(["the", " ", "  ", "é", "\n", "a.", "<|endoftext|>", "\t", "9"]) for _ in range(rng.randrange(60)))) for k in range(80)]
     rows += [(None, "null id"), (200, None), (201, ""), (7, "again"), (300, "long " * 30_000)]
@@ -124,12 +203,26 @@ def test_token_file_round_trip(spark):
     assert token_file.read(token_file.write(df.limit(0), path, 2)).count() == 0
 
 
+def test_words_against_the_library():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng = random.Random(5)
+    parts = ["the", " ", "  ", "é", "\n", "a.", "<|endoftext|>", "\t", "9", "don't", "日本", "ª", "Ċ", "²", "_x", " ½a", "İ", "ß,", "\r\n", "'s", ".."]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(5000)]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in token_file.Encoder(path).encode(texts)] == want
+
+
 def test_blocks_of_any_width():
     rng = random.Random(4)
     for width in (0, 1, 7, 8, 13, 16, 31, 32):
         ids = np.array([rng.randrange(1 << width) if width else 5 for _ in range(rng.randrange(1, 1025))], np.uint32)
         assert np.array_equal(token_file.read_block(b"xx" + token_file.write_block(ids), 2), ids)
     docs = [np.arange(n, dtype=np.uint32) for n in (0, 3, 3000)]
+    names = ["1", None, "né"]
+    assert token_file.read_owners(token_file.write_image(docs, names)) == names
+    assert token_file.read_owners(token_file.write_image([], [])) == []
     assert all(np.array_equal(a, b) for a, b in zip(docs, token_file.read_image(token_file.write_image(docs)), strict=True))
 
 

@@ -14,9 +14,9 @@ a pair as soon as that exceeds its budget. Three things keep it near-linear:
   one component is dropped. A dense ball of near copies thus costs about its size and not its square.
 * A first segment that very many fingerprints share is split into node pairs further down, each a unit of its own.
 
-Wide fingerprints. One word of 64 bits tells similarities near 1 apart from the rest; to link at a lower similarity, use
-`words` > 1: every shingle votes on `words` such words, tries are walked over the first `tries` of them with `bits` as
-budget, and two documents link when all words together differ in at most `total` bits.
+Similarity joins (similar()). One word of 64 bits tells similarities near 1 apart from the rest; to link at a lower one, every
+shingle votes on several such words. Tries are walked over the first of them, and pairs whose words differ in few bits in all
+are candidates, which are then tested on the whole shingle sets.
 
 Edge cases: null text, or one without words, has fingerprint zero and links like any other; repeated rows stay; null ids
 are kept and never name a component unless all its ids are null.
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraloom.llm.common import materialize, take_turn, with_computed
@@ -60,7 +60,11 @@ def sketch(raw: bytes, shingle: int, words: int = 1, seed: int = 42) -> bytes:
 
     A-Z is lower-cased, words split at ASCII white space, shingles count as often as they occur.
     """
-    hashes = shingle_hashes(raw, shingle, seed)
+    return votes(shingle_hashes(raw, shingle, seed), words)
+
+
+def votes(hashes: np.ndarray, words: int = 1) -> bytes:
+    """Fingerprint of shingle hashes, by majority of each bit."""
     if not len(hashes):
         return bytes(8 * words)
     out = []
@@ -72,17 +76,17 @@ def sketch(raw: bytes, shingle: int, words: int = 1, seed: int = 42) -> bytes:
             mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
             mixed = mixed ^ (mixed >> np.uint64(32))
         octets = mixed.view(np.uint8).reshape(-1, 8).astype(np.int16) + _SLOT
-        votes = np.bincount(octets.ravel(), minlength=2048).reshape(8, 256) @ _BITS
-        out.append(np.packbits(votes.ravel() * 2 > len(hashes), bitorder="little").tobytes()[::-1])
+        counts = np.bincount(octets.ravel(), minlength=2048).reshape(8, 256) @ _BITS
+        out.append(np.packbits(counts.ravel() * 2 > len(hashes), bitorder="little").tobytes()[::-1])
     return b"".join(out)
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1) -> DataFrame:
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """One row per document: its id and `sketch`, its fingerprint as bytes."""
 
     def run(raw: pa.Array) -> list[pa.Array]:
         take_turn("simhash", lambda: None)
-        return [pa.array([sketch(x or b"", shingle, words) for x in raw.to_pylist()], pa.binary())]
+        return [pa.array([sketch(x or b"", shingle) for x in raw.to_pylist()], pa.binary())]
 
     return with_computed(docs, [id_col], [text_col], run, [("sketch", "binary")])
 
@@ -108,18 +112,36 @@ def budgets(bits: int, rotation: int, total: int) -> list[int]:
     return out
 
 
-def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Union the components of i and j; labels are the least index of a component."""
-    while True:
-        a, b = label[i], label[j]
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        open_ = low != high
-        if not open_.any():
-            return label
-        np.minimum.at(label, high[open_], low[open_])
-        while not np.array_equal(label, nxt := label[label]):
-            label = nxt
-        i, j = i[open_], j[open_]
+class _Labels:
+    """Components of fingerprints, by the least index of each."""
+
+    def __init__(self, label: np.ndarray):
+        self.label = label
+        self.change = np.r_[0, np.cumsum(label[1:] != label[:-1])]
+
+    def merge(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Join the components of i and j; returns which of the pairs make up a spanning forest of what is new."""
+        label, used = self.label, []
+        at = np.arange(len(i))
+        while True:
+            a, b = label[i[at]], label[j[at]]
+            at, low, high = at[a != b], np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+            if not len(at):
+                break
+            order = np.lexsort((low, high))
+            first = order[np.r_[True, np.diff(high[order]) > 0]]  # one pair for each greater label, to a lesser one
+            used.append(at[first])
+            label[high[first]] = low[first]
+            while not np.array_equal(label, nxt := label[label]):
+                label[:] = nxt
+        if used:
+            self.change = np.r_[0, np.cumsum(label[1:] != label[:-1])]
+        return np.concatenate(used) if used else np.empty(0, np.int64)
+
+    def pure(self, s, e, t, f) -> np.ndarray:
+        """Node pairs whose leaves are all in one component."""
+        label, change = self.label, self.change
+        return (change[e - 1] == change[s]) & (change[f - 1] == change[t]) & (label[s] == label[t])
 
 
 def _expand(left: tuple, right: tuple, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,67 +156,130 @@ def _expand(left: tuple, right: tuple, same: np.ndarray) -> tuple[np.ndarray, np
     return i[keep], j[keep]
 
 
-def trie_components(turned: np.ndarray, unit: np.ndarray, rotation: np.ndarray, bits: int, wide: np.ndarray | None = None, limit: int = 0, chunk: int = 1 << 18, leaf: int = 8) -> np.ndarray:
-    """Label of each fingerprint's component among those of its unit.
+def _equal(labels: _Labels, s: int, e: int, t: int, f: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a range with itself, or of two ranges, in different components: one leaf with all others at a time.
+
+    Of leaves that lie close together, the first one's turn joins all, and no other is compared.
+    """
+    own = (s, e) == (t, f)
+    for i in range(s, e):
+        if bool(labels.pure(*(np.array([x]) for x in (s, e, t, f)))[0]):
+            return
+        j = np.arange(i + 1 if own else t, f)
+        j = j[labels.label[j] != labels.label[i]]
+        if len(j):
+            yield np.full(len(j), i), j
+
+
+def _leaves(turned: np.ndarray, bounds: np.ndarray, rotation: np.ndarray, bits: int, total: int, labels: _Labels, chunk: int, leaf: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs at which the walk within budget `total` ends; what `labels` joins meanwhile is not walked any more.
 
-    `turned`: rotated fingerprints, sorted inside runs of equal `unit`; members of a unit share the first segment.
-    wide: if given, all words of each fingerprint; a link then also needs at most `limit` differing bits there.
     Node pairs wait on a stack in blocks of at most `chunk`, deepest first, so memory stays bounded.
     """
-    n = len(turned)
-    label = np.arange(n)
-    bounds = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1], True])
-    for total in sorted({min(bits, 1 << k) for k in range(bits.bit_length() + 1)}):
-        allowed = np.array([budgets(bits, r, total) for r in range(bits + 1)])
-        first = min(segments(bits))
-        zeros = {}
-        change = np.r_[0, np.cumsum(label[1:] != label[:-1])]
-
-        def pure(s, e, t, f):
-            return (change[e - 1] == change[s]) & (change[f - 1] == change[t]) & (label[s] == label[t])
-
-        roots = np.flatnonzero(np.diff(bounds) > 1)
-        s, e = bounds[:-1][roots], bounds[1:][roots]
-        stack = [(first, s[k : k + chunk], e[k : k + chunk], s[k : k + chunk], e[k : k + chunk], np.zeros(len(s[k : k + chunk]), np.int64)) for k in range(0, len(s), chunk)]
-        while stack:
-            depth, s, e, t, f, acc = stack.pop()
-            keep = ~pure(s, e, t, f)
-            s, e, t, f, acc = (x[keep] for x in (s, e, t, f, acc))
+    allowed = np.array([budgets(bits, r, total) for r in range(bits + 1)])
+    first = min(segments(bits))
+    zeros = {}
+    roots = np.flatnonzero(np.diff(bounds) > 1)
+    s, e = bounds[:-1][roots], bounds[1:][roots]
+    stack = [(first, s[k : k + chunk], e[k : k + chunk], s[k : k + chunk], e[k : k + chunk], np.zeros(len(s[k : k + chunk]), np.int64)) for k in range(0, len(s), chunk)]
+    while stack:
+        depth, s, e, t, f, acc = stack.pop()
+        keep = ~labels.pure(s, e, t, f)
+        s, e, t, f, acc = (x[keep] for x in (s, e, t, f, acc))
+        if not len(s):
+            continue
+        small = (e - s) * (f - t) <= leaf
+        if small.any():
+            yield _expand((s[small], e[small]), (t[small], f[small]), ((s == t) & (e == f))[small])
+            s, e, t, f, acc = (x[~small] for x in (s, e, t, f, acc))
             if not len(s):
                 continue
-            small = ((e - s) * (f - t) <= leaf) | (depth == WIDTH)
-            if small.any():
-                same = (s == t) & (e == f)
-                i, j = _expand((s[small], e[small]), (t[small], f[small]), same[small])
-                near = np.bitwise_count(turned[i] ^ turned[j]) <= total
-                if wide is not None:
-                    i, j = i[near], j[near]
-                    near = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1) <= limit
-                if near.any():
-                    label = _merge(label, i[near], j[near])
-                    change = np.r_[0, np.cumsum(label[1:] != label[:-1])]
-                s, e, t, f, acc = (x[~small] for x in (s, e, t, f, acc))
-                if not len(s):
-                    continue
-            if depth not in zeros:
-                zeros[depth] = np.r_[0, np.cumsum((turned >> np.uint64(WIDTH - 1 - depth)) & np.uint64(1) == 0)]
-            z = zeros[depth]
-            u, v = s + z[e] - z[s], t + z[f] - z[t]
-            cross = (s != t) | (e != f)
-            parts = [(s, u, t, v, acc, None), (u, e, v, f, acc, None), (s, u, v, f, acc + 1, None), (u, e, t, v, acc + 1, cross)]
-            most = allowed[rotation[s], depth + 1]
-            out = []
-            for a, b, c, d, more, only in parts:
-                ok = (a < b) & (c < d) & (more <= most)
-                ok &= ~((a == c) & (b == d) & (b - a == 1))
-                if only is not None:
-                    ok &= only
-                out.append([x[ok] for x in (a, b, c, d, more)])
-            s, e, t, f, acc = (np.concatenate(x) for x in zip(*out, strict=True))
-            order = np.argsort(acc, kind="stable")[::-1]  # equal prefixes last, so that they are taken first
-            s, e, t, f, acc = (x[order] for x in (s, e, t, f, acc))
-            stack += [(depth + 1, s[k : k + chunk], e[k : k + chunk], t[k : k + chunk], f[k : k + chunk], acc[k : k + chunk]) for k in range(0, len(s), chunk)]
-    return label
+        if depth == WIDTH:  # equal leaves on either side
+            for node in zip(s.tolist(), e.tolist(), t.tolist(), f.tolist(), strict=True):
+                yield from _equal(labels, *node)
+            continue
+        if depth not in zeros:
+            zeros[depth] = np.r_[0, np.cumsum((turned >> np.uint64(WIDTH - 1 - depth)) & np.uint64(1) == 0)]
+        z = zeros[depth]
+        u, v = s + z[e] - z[s], t + z[f] - z[t]
+        cross = (s != t) | (e != f)
+        parts = [(s, u, t, v, acc, None), (u, e, v, f, acc, None), (s, u, v, f, acc + 1, None), (u, e, t, v, acc + 1, cross)]
+        most = allowed[rotation[s], depth + 1]
+        out = []
+        for a, b, c, d, more, only in parts:
+            ok = (a < b) & (c < d) & (more <= most)
+            ok &= ~((a == c) & (b == d) & (b - a == 1))
+            if only is not None:
+                ok &= only
+            out.append([x[ok] for x in (a, b, c, d, more)])
+        s, e, t, f, acc = (np.concatenate(x) for x in zip(*out, strict=True))
+        order = np.argsort(acc, kind="stable")[::-1]  # equal prefixes last, so that they are taken first
+        s, e, t, f, acc = (x[order] for x in (s, e, t, f, acc))
+        stack += [(depth + 1, s[k : k + chunk], e[k : k + chunk], t[k : k + chunk], f[k : k + chunk], acc[k : k + chunk]) for k in range(0, len(s), chunk)]
+
+
+def _bounds(unit: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, unit[1:] != unit[:-1], True])
+
+
+def trie_components(turned: np.ndarray, unit: np.ndarray, rotation: np.ndarray, bits: int, chunk: int = 1 << 18, leaf: int = 8) -> np.ndarray:
+    """Label of each fingerprint's component among those of its unit.
+
+    `turned`: rotated fingerprints, sorted inside runs of equal `unit`; members of a unit share the first segment.
+    """
+    labels = _Labels(np.arange(len(turned)))
+    for total in sorted({min(bits, 1 << k) for k in range(bits.bit_length() + 1)}):
+        for i, j in _leaves(turned, _bounds(unit), rotation, bits, total, labels, chunk, leaf):
+            near = np.bitwise_count(turned[i] ^ turned[j]) <= total
+            labels.merge(i[near], j[near])
+    return labels.label
+
+
+def trie_candidates(turned: np.ndarray, unit: np.ndarray, rotation: np.ndarray, bits: int, wide: np.ndarray, label: np.ndarray, total: int, safe: int, most: int, chunk: int = 1 << 18, leaf: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i, j) worth a test, and in how many bits all words differ.
+
+    label: components known so far, whose pairs need no test. Sketches that differ in at most `safe` bits are taken for linked
+    meanwhile, the closest first: of them a spanning forest is returned; of all others that differ in at most `total` bits
+    the `most` nearest ones of each fingerprint.
+    """
+    _, first, which = np.unique(label, return_index=True, return_inverse=True)
+    labels = _Labels(first[which])
+    apart = lambda i, j: np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int64)
+    out = []
+    for allowed in sorted({min(bits, 1 << k) for k in range(bits.bit_length() + 1)}) if safe else []:
+        for i, j in _leaves(turned, _bounds(unit), rotation, bits, allowed, labels, chunk, leaf):
+            d = apart(i, j)
+            near = d <= safe
+            i, j, d = i[near], j[near], d[near]
+            order = np.argsort(d, kind="stable")
+            i, j, d = i[order], j[order], d[order]
+            used = labels.merge(i, j)
+            out.append((i[used], j[used], d[used]))
+    best = [np.empty((3, 0), np.int64)]  # fingerprint, bits, other one
+    held = 0
+
+    def keep():
+        nonlocal best, held
+        who, d, other = np.concatenate(best, axis=1)
+        order = np.lexsort((other, d, who))
+        who, d, other = who[order], d[order], other[order]
+        new = np.r_[True, (who[1:] != who[:-1]) | (other[1:] != other[:-1])] if len(who) else np.empty(0, bool)
+        who, d, other = who[new], d[new], other[new]
+        start = np.flatnonzero(np.r_[True, who[1:] != who[:-1]]) if len(who) else np.empty(0, np.int64)
+        rank = np.arange(len(who)) - np.repeat(start, np.diff(np.r_[start, len(who)]))
+        best, held = [np.stack([who, d, other])[:, rank < most]], 0
+
+    for i, j in _leaves(turned, _bounds(unit), rotation, bits, bits, labels, chunk, leaf):
+        d = apart(i, j)
+        near = (d <= total) & (labels.label[i] != labels.label[j])
+        i, j, d = i[near], j[near], d[near]
+        best += [np.stack([i, d, j]), np.stack([j, d, i])]
+        held += 2 * len(i)
+        if held > 1 << 20:
+            keep()
+    keep()
+    out.append((best[0][0], best[0][2], best[0][1]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _turn(fp: np.ndarray, by: np.ndarray) -> np.ndarray:
@@ -202,10 +287,9 @@ def _turn(fp: np.ndarray, by: np.ndarray) -> np.ndarray:
     return (fp << by) | np.where(by > 0, fp >> ((np.uint64(WIDTH) - by) & np.uint64(63)), np.uint64(0))
 
 
-def links(prints: DataFrame, bits: int = 4, unit_rows: int = 200_000, step: int = 6, words: int = 1, tries: int = 1, total: int = 0) -> DataFrame:
-    """Links (a, b) of `node`s, whose components are those of all pairs of sketches that link (see above).
+def _units(prints: DataFrame, bits: int, unit_rows: int, step: int, tries: int) -> tuple[DataFrame, list[str]]:
+    """Each sketch once for every rotation of its first words, in units (key columns) whose node pairs are to be walked.
 
-    prints: a row per distinct sketch: `node` long, `sketch` binary.
     unit_rows: a node pair with more fingerprints than this is split `step` bits further down, again and again.
     """
     lengths = segments(bits)
@@ -215,9 +299,10 @@ def links(prints: DataFrame, bits: int = 4, unit_rows: int = 200_000, step: int
     def prefix(depth: int):
         return F.expr(f"shiftrightunsigned(shiftleft(fp, off) | if(off > 0, shiftrightunsigned(fp, 64 - off), 0L), {64 - depth})")
 
+    own = prints.columns
     turns = F.explode(F.array(*[F.struct(F.lit(t).alias("trie"), F.lit(r).alias("rot"), F.lit(o).alias("off"), word("sketch", t).alias("fp")) for t in range(tries) for r, o in enumerate(offsets)]))
-    units = prints.select("node", "sketch", turns.alias("_t")).select("node", "sketch", "_t.*")
-    units = units.select("node", "sketch", "fp", "trie", "rot", "off", prefix(first).alias("p"), prefix(first).alias("q"), F.lit(first).alias("depth"))
+    units = prints.select(*own, turns.alias("_t")).select(*own, "_t.*")
+    units = units.select(*own, "fp", "trie", "rot", "off", prefix(first).alias("p"), prefix(first).alias("q"), F.lit(first).alias("depth"))
     key, done = ["trie", "rot", "depth", "p", "q"], []
     depth = first
     while depth + step < WIDTH:
@@ -233,10 +318,15 @@ def links(prints: DataFrame, bits: int = 4, unit_rows: int = 200_000, step: int
         units = units.withColumn("_m", F.explode(masks)).withColumn("_n", prefix(depth))
         units = units.withColumn("_d", F.shiftleft(F.col("p").bitwiseXOR(F.col("q")), step).bitwiseXOR(F.col("_m"))).where(F.bit_count("_d") <= limit)
         other = F.col("_n").bitwiseXOR(F.col("_d"))
-        units = units.select("node", "sketch", "fp", "trie", "rot", "off", F.least("_n", other).alias("p"), F.greatest("_n", other).alias("q"), F.lit(depth).alias("depth"))
+        units = units.select(*own, "fp", "trie", "rot", "off", F.least("_n", other).alias("p"), F.greatest("_n", other).alias("q"), F.lit(depth).alias("depth"))
         units = materialize(units, "simhash-units")
     for x in done:
         units = units.unionByName(x)
+    return units, key
+
+
+def _by_unit(units: DataFrame, key: list[str], columns: list[str], fn, schema: str) -> DataFrame:
+    """fn(table, columns as arrays, order, turned fingerprints, units, rotations) for runs of whole units, sorted by fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -246,7 +336,7 @@ def links(prints: DataFrame, bits: int = 4, unit_rows: int = 200_000, step: int
             if not held:
                 return None
             t = pa.Table.from_batches(held)
-            cols = [t.column(k).to_numpy() for k in (*key, "off", "fp", "node")]
+            cols = [t.column(k).to_numpy() for k in (*key, "off", "fp")]
             edge = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:5]], axis=0)) + 1
             if not last:  # the last unit may go on in the next batch
                 if not len(edge):
@@ -257,20 +347,13 @@ def links(prints: DataFrame, bits: int = 4, unit_rows: int = 200_000, step: int
                 edge = edge[:-1]
             else:
                 held = []
-            rot, off, fp, node = cols[1], *cols[5:]
-            fp = fp.view(np.uint64)
+            rot, off, fp = cols[1], *cols[5:]
             unit = np.zeros(len(fp), np.int64)
             unit[edge] = 1
             unit = np.cumsum(unit)
-            turned = _turn(fp, off)
+            turned = _turn(fp.view(np.uint64), off)
             order = np.lexsort((turned, unit))
-            turned, unit, rot, node = turned[order], unit[order], rot[order], node[order]
-            wide = None
-            if words > 1:
-                wide = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(-1, words)[order]
-            label = trie_components(turned, unit, rot, bits, wide, total)
-            found = np.flatnonzero(label != np.arange(len(label)))
-            return pa.RecordBatch.from_arrays([pa.array(node[found]), pa.array(node[label[found]])], names=["a", "b"])
+            return fn(t, order, turned[order], unit[order], rot[order])
 
         for b in batches:
             if b.num_rows:
@@ -281,7 +364,48 @@ def links(prints: DataFrame, bits: int = 4, unit_rows: int = 200_000, step: int
             yield out
 
     dealt = units.repartition(*key).sortWithinPartitions(*key)
-    return dealt.select(*key, "off", "fp", "node", *(["sketch"] if words > 1 else [])).mapInArrow(run, "a long, b long")
+    return dealt.select(*key, "off", "fp", *columns).mapInArrow(run, schema)
+
+
+def links(prints: DataFrame, bits: int = 4, unit_rows: int = 200_000, step: int = 6) -> DataFrame:
+    """Links (a, b) of `node`s, whose components are those of all pairs of fingerprints that link (see above).
+
+    prints: a row per distinct fingerprint: `node` long, `sketch` binary.
+    """
+    units, key = _units(prints, bits, unit_rows, step, 1)
+
+    def run(t: pa.Table, order, turned, unit, rot) -> pa.RecordBatch:
+        node = t.column("node").to_numpy()[order]
+        label = trie_components(turned, unit, rot, bits)
+        found = np.flatnonzero(label != np.arange(len(label)))
+        return pa.RecordBatch.from_arrays([pa.array(node[found]), pa.array(node[label[found]])], names=["a", "b"])
+
+    return _by_unit(units, key, ["node"], run, "a long, b long")
+
+
+def candidates(prints: DataFrame, bits: int, words: int, tries: int, total: int, safe: int, most: int, unit_rows: int = 200_000, step: int = 6) -> DataFrame:
+    """Pairs a < b of `node`s worth a test (trie_candidates()): of each node the `most` nearest.
+
+    prints: a row per sketch: `node` long, `label` long (a component known so far), `sketch` binary.
+    """
+    units, key = _units(prints, bits, unit_rows, step, tries)
+
+    def run(t: pa.Table, order, turned, unit, rot) -> pa.RecordBatch:
+        node, label = t.column("node").to_numpy()[order], t.column("label").to_numpy()[order]
+        wide = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(-1, words)[order]
+        # a sketch may be in several units of a batch
+        i, j, d = trie_candidates(turned, unit, rot, bits, wide, _dense(label, unit), total, safe, most)
+        return pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j]), pa.array(d)], names=["x", "y", "d"])
+
+    found = _by_unit(units, key, ["node", "label", "sketch"], run, "x long, y long, d long")
+    near = Window.partitionBy("x").orderBy("d", "y")
+    found = materialize(found.distinct(), "simhash-near").withColumn("_n", F.row_number().over(near)).where(F.col("_n") <= most)
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _dense(label: np.ndarray, unit: np.ndarray) -> np.ndarray:
+    """Labels that no two units share."""
+    return np.unique(np.stack([unit, label]), axis=1, return_inverse=True)[1].reshape(-1)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -305,17 +429,78 @@ def components(edges: DataFrame) -> DataFrame:
         state = new
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, bits: int = 4, unit_rows: int = 200_000, words: int = 1, tries: int = 1, total: int = 0) -> DataFrame:
-    """One row per input row: id, `fingerprint` (16 hex digits a word), `component_id` (least id of its component)."""
-    own = sketches(docs, id_col, text_col, shingle, words)
-    # a node is named by its fingerprint; a wide one by a 64-bit hash of it
-    own = materialize(own.withColumn("node", word("sketch", 0) if words == 1 else F.xxhash64("sketch")), "simhash-own")
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, bits: int = 4, unit_rows: int = 200_000) -> DataFrame:
+    """One row per input row: id, `fingerprint` (16 hex digits), `component_id` (least id of its component)."""
+    own = sketches(docs, id_col, text_col, shingle)
+    own = materialize(own.withColumn("node", word("sketch", 0)), "simhash-own")  # a node is named by its fingerprint
     per = materialize(own.groupBy("node").agg(F.min(id_col).alias("_least"), F.min("sketch").alias("sketch")), "simhash-distinct")
-    edges = links(per.select("node", "sketch"), bits, unit_rows, words=words, tries=tries, total=total)
-    of = materialize(components(edges), "simhash-of")
+    of = materialize(components(links(per.select("node", "sketch"), bits, unit_rows)), "simhash-of")
     joined = per.join(of, "node", "left").select("node", "_least", F.coalesce("label", "node").alias("label"))
     joined = materialize(joined, "simhash-labelled")
     least = materialize(joined.groupBy("label").agg(F.min("_least").alias("component_id")), "simhash-least")
     named = materialize(joined.select("node", "label").join(least, "label").select("node", "component_id"), "simhash-named")
-    digits = F.lower(F.lpad(F.hex("node"), 16, "0")) if words == 1 else F.lower(F.hex("sketch"))
+    digits = F.lower(F.lpad(F.hex("node"), 16, "0"))
     return own.withColumn("fingerprint", digits).select(id_col, "node", "fingerprint").join(named, "node").select(id_col, "fingerprint", "component_id")
+
+
+def alike(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is at least num / den."""
+    if not len(a) or not len(b):
+        return len(a) == len(b)
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return den * both >= num * (len(a) + len(b) - both)
+
+
+def similar(docs: DataFrame, id_col: str, text_col: str = "text", shingle: int = 5, num: int = 4, den: int = 5, words: int = 8, tries: int = 4, bits: int = 9, total: int = 100, safe: int = 48, most: int = 4, unit_rows: int = 200_000) -> DataFrame:
+    """One row per input row: id (a long, each once, none null) and `component_id`, the least id of its component.
+
+    Two texts link when the Jaccard similarity of their sets of shingles is at least num / den, tested on the whole sets. Only
+    candidates are tested: sketches of `words` words that differ in at most `total` bits, and of whose first `tries` words one
+    in at most `bits` bits. At a similarity of 0.8 they differ in 77 bits on average, and 97 % of such pairs are candidates.
+
+    Tests go by rounds. Each takes every text's nearest candidates outside its own component so far (at first `most`, then twice as
+    many each time), and adds the links that hold to the components; they end when a round has no pair left or no link holds.
+    Distinct sets take part, named by their least id; texts without words have the empty set, and link to each other.
+    """
+
+    def own(raw: pa.Array) -> list[pa.Array]:
+        take_turn("simhash", lambda: None)
+        sets = [np.unique(shingle_hashes(x or b"", shingle)) for x in raw.to_pylist()]
+        return [pa.array([xxhash.xxh128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([votes(x, words) for x in sets], pa.binary())]
+
+    rows = materialize(with_computed(docs, [id_col], [text_col], own, [("key", "binary"), ("sketch", "binary")]), "similar-own")
+    per = materialize(rows.groupBy("key").agg(F.min(id_col).alias("node"), F.min("sketch").alias("sketch")), "similar-distinct")
+    prints, labels, links_, tested, texts = per.select("node", F.col("node").alias("label"), "sketch"), None, None, None, None
+    while True:
+        pairs = candidates(prints, bits, words, tries, total, safe, most, unit_rows)
+        pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "similar-pairs")
+        if texts is None:  # only texts with a candidate are looked at any more
+            nodes = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "similar-nodes")
+            raw = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("_raw")).join(nodes, "node")
+            sets = lambda raw: [pa.array([np.unique(shingle_hashes(x or b"", shingle)).tobytes() for x in raw.to_pylist()], pa.binary())]
+            texts = materialize(with_computed(raw, ["node"], ["_raw"], sets, [("own", "binary")]), "similar-sets")
+            per_near = materialize(per.join(nodes, "node").select("node", "sketch"), "similar-prints")
+        found = _confirmed(pairs, texts, num, den)
+        if not found.take(1):
+            break
+        links_ = found if links_ is None else links_.unionByName(found)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        labels = materialize(components(links_), "similar-of")
+        prints = per_near.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "sketch")
+        safe, most = 0, 2 * most
+    if labels is None:
+        return rows.join(per.select("key", F.col("node").alias("component_id")), "key").select(id_col, "component_id")
+    named = materialize(per.select("key", "node").join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("component_id")), "similar-named")
+    return rows.select(id_col, "key").join(named, "key").select(id_col, "component_id")
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose sets (node, own) are similar enough."""
+    sides = pairs.join(texts.select(F.col("node").alias("a"), F.col("own").alias("_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("own").alias("_b")), "b")
+
+    def run(a: pa.Array, b: pa.Array) -> list[pa.Array]:
+        take_turn("simhash", lambda: None)
+        turn = lambda x: np.frombuffer(x, np.uint64)
+        return [pa.array([alike(turn(x.as_py()), turn(y.as_py()), num, den) for x, y in zip(a, b, strict=True)], pa.bool_())]
+
+    return materialize(with_computed(sides, ["a", "b"], ["_a", "_b"], run, [("ok", "boolean")], only=0), "similar-links")

@@ -70,7 +70,7 @@ def test_wide_links(spark):
     near = list(base)
     near[40] = "other"
     rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(f"v{rng.randrange(10**6)}" for _ in range(150)))]
-    out = S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5, bits=8, words=8, tries=4, total=84)
+    out = S.similar(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id")
     assert {r.doc_id: r.component_id for r in out.collect()} == {1: 1, 2: 1, 3: 3}
 
 

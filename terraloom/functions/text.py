@@ -9,12 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def folded(text: str) -> str:
+    """Compatibility-decomposed, without combining marks, lower case, single blanks."""
+    return " ".join("".join(x for x in unicodedata.normalize("NFKD", text) if not unicodedata.combining(x)).lower().split())
+
+
 def fold_text(c: Column) -> Column:
-    """Compatibility-decomposed, without combining marks, lower case, single blanks. Spark has no decomposition of its own, so this is a vectorised UDF."""
+    """folded() of a column. Spark has no decomposition of its own, so this is a vectorised UDF."""
 
     def fold(s: pd.Series) -> pd.Series:
-        plain = lambda t: " ".join("".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x)).lower().split())
-        return s.map(plain, na_action="ignore")
+        return s.map(folded, na_action="ignore")
 
     return F.pandas_udf(fold, "string")(c)
 
@@ -67,9 +71,8 @@ def bucket_bytes(n: Column) -> Column:
     return F.when(F.coalesce(n, F.lit(0)) == 0, "0").otherwise(ranges(n, [(mib, "lt_1mib"), (10 * mib, "1_10mib"), (100 * mib, "10_100mib"), (1024 * mib, "100_1024mib"), (10240 * mib, "1_10gib")], "gte_10gib"))
 
 
-# Patterns by which a message is classified; the first that matches wins.
+# Patterns by which a message is classified, after the error's name; the first that matches wins.
 ERROR_PATTERNS = [
-    ("cancelled", "abort"),
     ("timeout", "timed? ?out|timeout"),
     ("authorization", "401|403|unauthori[sz]ed|forbidden|credential|login|sign.?in"),
     ("storage", "disk|storage|no space|permission denied"),
@@ -78,10 +81,12 @@ ERROR_PATTERNS = [
 ]
 
 
-def classify_error(message: Column) -> Column:
-    text, out = F.lower(F.coalesce(message, F.lit(""))), None
+def classify_error(message: Column, name: Column | None = None) -> Column:
+    """Class of an error: AbortError is cancelled and TimeoutError a timeout by name, all others go by their message."""
+    name, text = F.lit("") if name is None else F.coalesce(name, F.lit("")), F.lower(F.coalesce(message, F.lit("")))
+    out = F.when(name == "AbortError", "cancelled").when(name == "TimeoutError", "timeout")
     for label, pattern in ERROR_PATTERNS:
-        out = F.when(text.rlike(pattern), label) if out is None else out.when(text.rlike(pattern), label)
+        out = out.when(text.rlike(pattern), label)
     return out.otherwise("unknown")
 
 

@@ -26,6 +26,13 @@ def valid_counts(px: DataFrame, keys: list[str], value: str, nodata: int, low: i
     return px.groupBy(*keys).agg(F.count("*").alias("samples"), F.count_if(v != nodata).alias("valid"), F.count_if((v != nodata) & ~v.between(low, high)).alias("outside"))
 
 
+def masked_covered(px: DataFrame, keys: list[str], retained: Column, valid: Column) -> DataFrame:
+    """Samples that a mask takes out, and valid ones of those retained; a group of which nothing is retained is an error."""
+    kept = F.count_if(retained)
+    masked = F.when(kept > 0, F.count("*") - kept).otherwise(F.raise_error(F.lit("the mask retains no sample")).cast("bigint"))
+    return px.groupBy(*keys).agg(masked.alias("masked"), F.count_if(retained & valid).alias("covered"))
+
+
 def band_summary(px: DataFrame, bands: list[str], nodata: int, low: int, high: int) -> DataFrame:
     """One row per band: least and greatest valid value, no-data and outside-range counts."""
     long = px.select(F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.col(b).alias("v")) for b in bands])).alias("_b")).select("_b.*")
@@ -89,18 +96,31 @@ def covering_selection(cells: DataFrame, most: int) -> DataFrame:
 
 
 def usage_report(events: DataFrame) -> DataFrame:
-    """All grouped counters of the usage report in one scan: `report`, key columns k1-k3, `n`.
+    """All ten grouped counters of the usage report in one scan: `report`, key columns k1-k7, `n`. An empty field counts as absent.
 
     Every event is exploded into the reports that it belongs to, so there is one shuffle with map-side sums.
     """
-    c, other = F.col, lambda k: F.coalesce(F.col(k), F.lit("other"))
-    row = lambda name, a, b=None, d=None: F.struct(F.lit(name).alias("report"), a.alias("k1"), (F.lit("") if b is None else b).alias("k2"), (F.lit("") if d is None else d).alias("k3"))
-    none = F.lit(None)
+    c, other = F.col, lambda k, absent="other": F.coalesce(F.col(k), F.lit(absent))
+    has = lambda k: F.coalesce(F.col(k), F.lit("")) != ""
+    keys = [f"k{i}" for i in range(1, 8)]
+
+    def row(name, *parts, where=None):
+        out = F.struct(F.lit(name).alias("report"), *[p.alias(k) for k, p in zip(keys, [*parts, *[F.lit("")] * 7], strict=False)])
+        return out if where is None else F.when(where, out)
+
     reports = F.array(
-        row("event", c("name")), row("source", other("source"), c("name")), row("surface", other("surface"), c("name")), row("day", F.date_format("at", "yyyy-MM-dd"), c("name")), row("environment", c("environment")),
-        F.when(c("result").isNotNull(), row("outcome", other("source"), other("action"), c("result"))).otherwise(none), F.when(c("error").isNotNull(), row("failure", other("source"), other("action"), c("error"))).otherwise(none),
-    )
-    return events.select(F.explode(F.filter(reports, lambda r: r.isNotNull())).alias("_r")).select("_r.*").groupBy("report", "k1", "k2", "k3").agg(F.count("*").alias("n"))
+        row("event", c("name")),
+        row("source", other("source"), c("name")),
+        row("surface", other("surface"), c("name")),
+        row("day", F.date_format("at", "yyyy-MM-dd"), c("name")),
+        row("environment", c("environment")),
+        row("outcome", other("source"), other("action"), c("result"), where=has("result")),
+        row("duration", other("source"), other("action"), c("duration"), where=has("duration")),
+        row("terminal", other("source"), other("surface"), c("status"), where=has("status")),
+        row("failure", other("source"), other("action"), c("error"), where=has("error")),
+        row("diagnostic", other("source"), c("name"), other("stage", "unavailable"), other("reason", "unavailable"), other("http_status", "unknown"), other("retries", "unknown"), other("origin", "unavailable"), where=has("reason") | has("error")),
+    )
+    return events.select(F.explode(F.filter(reports, lambda r: r.isNotNull())).alias("_r")).select("_r.*").groupBy("report", *keys).agg(F.count("*").alias("n"))
 
 
 def usage_totals(events: DataFrame) -> DataFrame:
@@ -127,9 +147,26 @@ def job_status(jobs: DataFrame) -> DataFrame:
     return names.join(jobs.groupBy("status").agg(F.count("*").alias("n")), "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def delivery_state(jobs: DataFrame, key: str) -> DataFrame:
-    d = jobs.groupBy(key).agg(F.count("*").alias("total"), F.count_if(F.col("status") == "succeeded").alias("done"), F.count_if(F.col("status").isin("queued", "running")).alias("active"), F.count_if(F.col("status").isin("failed", "interrupted", "cancelled")).alias("attention"))
-    state = F.when(F.col("done") == F.col("total"), "ready").when(F.col("active") > 0, "active").when((F.col("attention") > 0) & (F.col("done") > 0), "partial").when(F.col("attention") > 0, "attention").otherwise("pending")
+def delivery_state(jobs: DataFrame, key: str, expected: DataFrame | None = None, groups: DataFrame | None = None) -> DataFrame:
+    """State of each delivery. jobs: key, id, seq, status, settled; the last row of an id stands, and an unsettled success is not done.
+
+    expected: (key, id) of the jobs that a delivery is to have (others are left out, and `missing` counts those without a row);
+    groups: (key) of all deliveries: one without any job is `saved`.
+    """
+    rows = jobs.groupBy(key, "id").agg(F.max_by(F.struct("status", "settled"), "seq").alias("_j")).select(key, "id", "_j.*")
+    if expected is not None:
+        rows = expected.select(key, "id").distinct().join(rows, [key, "id"], "left")
+    if groups is not None:
+        rows = groups.select(key).distinct().join(rows, key, "left")
+    here = F.count_if(F.col("status").isNotNull())
+    d = rows.groupBy(key).agg(
+        F.count("id").alias("total"),
+        F.count_if((F.col("status") == "succeeded") & F.coalesce("settled", F.lit(True))).alias("done"),
+        F.count_if(F.col("status").isin("queued", "running")).alias("active"),
+        F.count_if(F.col("status").isin("failed", "interrupted", "cancelled")).alias("attention"),
+        (F.count("id") - here).alias("missing"),
+    )
+    state = F.when(F.col("total") == 0, "saved").when(F.col("done") == F.col("total"), "ready").when(F.col("active") > 0, "active").when((F.col("attention") > 0) & (F.col("done") > 0), "partial").when(F.col("attention") > 0, "attention").otherwise("pending")
     return d.withColumn("state", state)
 
 
@@ -142,13 +179,33 @@ def task_summary(jobs: DataFrame, key: str) -> DataFrame:
     return d.select(key, "jobs", "ready", "failed", "running", "queued", "transferred", F.when(F.col("known"), F.col("_t")).alias("total_bytes"), F.when(F.col("known"), F.col("_p")).alias("progress_bytes"), status.alias("status"))
 
 
-def token_usage(records: DataFrame, key: str) -> DataFrame:
-    """Sums over distinct records (the last of an id); the detail is null unless it is known and at most its parent everywhere."""
-    last = records.groupBy(key, "id").agg(*[F.max_by(c, "seq").alias(c) for c in ("input", "output", "cached")])
+def token_usage(records: DataFrame, requests: DataFrame, key: str) -> DataFrame:
+    """Token use of each request. requests: key, running, truncated; records: key, id, seq, linked, state, origin, input, output, cached, reasoning, tools.
+
+    The last record of an id stands, whole. A detail (cached, reasoning) is null unless every known record has it, at most as
+    large as its parent. Without records a running request is pending, another unavailable; it is partial while it runs, where the
+    ledger was truncated, where a record is not linked by the request's own id, or where its tokens are unknown.
+    """
+    fields = ["linked", "state", "origin", "input", "output", "cached", "reasoning", "tools"]
+    last = records.groupBy(key, "id").agg(F.max_by(F.struct(*fields), "seq").alias("_r")).select(key, "id", "_r.*")
     known = F.col("input").isNotNull() & F.col("output").isNotNull()
-    fits = F.bool_and(~known | F.coalesce(F.col("cached") <= F.col("input"), F.lit(False)))
-    d = last.groupBy(key).agg(F.count("*").alias("records"), F.count_if(known).alias("known"), F.coalesce(F.sum(F.when(known, F.col("input"))), F.lit(0)).alias("input"), F.coalesce(F.sum(F.when(known, F.col("output"))), F.lit(0)).alias("output"), fits.alias("_fits"), F.sum(F.when(known, F.col("cached"))).alias("_c"))
-    return d.select(key, "records", "input", "output", F.when(F.col("_fits") & (F.col("known") > 0), F.col("_c")).alias("cached"), F.when(F.col("known") < F.col("records"), "partial").otherwise("complete").alias("status"))
+    total = lambda c: F.coalesce(F.sum(F.when(known, F.col(c))), F.lit(0))
+
+    def detail(c, parent):
+        return F.when(F.bool_and(~known | F.coalesce(F.col(c) <= F.col(parent), F.lit(False))) & (F.count_if(known) > 0), F.sum(F.when(known, F.col(c))))
+
+    origin = lambda name: F.count_if(F.col("origin") == name)
+    sums = [
+        F.count("*").alias("requests"), F.count_if(known).alias("known_requests"), F.bool_and("linked").alias("_linked"), total("input").alias("input"), total("output").alias("output"),
+        detail("cached", "input").alias("cached_input"), detail("reasoning", "output").alias("reasoning_output"), F.count_if(F.col("state") == "failed").alias("failed_requests"),
+        origin("workflow").alias("workflow_requests"), origin("compaction").alias("compaction_requests"), F.when(F.bool_and(F.col("tools").isNotNull()), F.max("tools")).alias("max_tools"),
+    ]
+    d = requests.join(last.groupBy(key).agg(*sums), key, "left")
+    zero = ["requests", "known_requests", "input", "output", "failed_requests", "workflow_requests", "compaction_requests"]
+    d = d.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in zero})
+    partial = F.col("running") | F.col("truncated") | ~F.col("_linked") | (F.col("known_requests") < F.col("requests"))
+    status = F.when(F.col("requests") == 0, F.when(F.col("running"), "pending").otherwise("unavailable")).when(partial, "partial").otherwise("complete")
+    return d.select(key, status.alias("status"), *zero, (F.col("input") + F.col("output")).alias("total"), "cached_input", "reasoning_output", "max_tools")
 
 
 def token_by_request(rows: DataFrame, session: str, order: str) -> DataFrame:
@@ -160,9 +217,9 @@ def token_by_request(rows: DataFrame, session: str, order: str) -> DataFrame:
 
 
 def credit_buckets(grants: DataFrame, keys: list[str], today: Column) -> DataFrame:
-    """Available credit and nearest expiry of unexpired grants."""
-    live = F.col("expires_day").isNull() | (F.col("expires_day") >= today)
-    return grants.groupBy(*keys).agg(F.coalesce(F.sum(F.when(live, F.col("remaining"))), F.lit(0)).alias("available"), F.min(F.when(live & (F.col("remaining") > 0), F.col("expires_day"))).alias("nearest"))
+    """Available and reserved credit and nearest expiry by key (user and kind), of grants that expire after today or never, spent ones included."""
+    live = grants.where(F.col("expires_day").isNull() | (F.col("expires_day") > today))
+    return live.groupBy(*keys).agg(F.sum("remaining").alias("available"), F.sum("reserved").alias("reserved"), F.min("expires_day").alias("nearest"))
 
 
 def budget_used(runs: DataFrame, keys: list[str], today: Column) -> DataFrame:

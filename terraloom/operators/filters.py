@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SAFE_INTEGER = (1 << 53) - 1
@@ -84,24 +84,64 @@ def require_valid(rows: DataFrame) -> DataFrame:
     return rows.where("reason is null").drop("reason")
 
 
+# Tag selectors of the feature presets; a key alone takes every value but "no".
+PRESETS = {
+    "buildings": [("building", None), ("building:part", None)],
+    "roads": [("highway", None)],
+    "water": [("natural", "water"), ("waterway", None), ("landuse", "reservoir"), ("landuse", "basin")],
+    "landuse": [("landuse", None)],
+    "pois": [("amenity", None), ("shop", None), ("tourism", None), ("leisure", None)],
+}
+
+# Which tags make a closed way an area (key, mode, values), as OpenStreetMap's public table of polygon features has it.
+AREA_RULES = [
+    ("building", "all", []),
+    ("highway", "whitelist", ["services", "rest_area", "escape", "elevator"]),
+    ("natural", "blacklist", ["coastline", "cliff", "ridge", "arete", "tree_row"]),
+    ("landuse", "all", []),
+    ("waterway", "whitelist", ["riverbank", "dock", "boatyard", "dam"]),
+    ("amenity", "all", []),
+    ("leisure", "all", []),
+    ("barrier", "whitelist", ["city_wall", "ditch", "hedge", "retaining_wall", "wall", "spikes"]),
+    ("railway", "whitelist", ["station", "turntable", "roundhouse", "platform"]),
+    ("area", "all", []),
+    ("boundary", "all", []),
+    ("man_made", "blacklist", ["cutline", "embankment", "pipeline"]),
+    ("power", "whitelist", ["plant", "substation", "generator", "transformer"]),
+    ("place", "all", []),
+    ("shop", "all", []),
+    ("aeroway", "blacklist", ["taxiway"]),
+    ("tourism", "all", []),
+    ("historic", "all", []),
+    ("public_transport", "all", []),
+    ("office", "all", []),
+    ("building:part", "all", []),
+    ("military", "all", []),
+    ("ruins", "all", []),
+    ("area:highway", "all", []),
+    ("craft", "all", []),
+    ("golf", "all", []),
+    ("indoor", "all", []),
+]
+
+
 def osm_preset(tags: Column, preset: str) -> Column:
-    """Feature presets by tags (a map)."""
-    has = lambda k: tags[k].isNotNull() & (tags[k] != "no")
-    if preset == "buildings":
-        return F.coalesce(has("building"), F.lit(False))
-    if preset == "roads":
-        return F.coalesce(has("highway") & ~tags["highway"].isin("proposed", "construction"), F.lit(False))
-    if preset == "water":
-        return F.coalesce(tags["natural"].isin("water", "wetland"), F.lit(False)) | F.coalesce(has("waterway"), F.lit(False))
-    if preset == "landuse":
-        return F.coalesce(has("landuse"), F.lit(False))
-    if preset == "pois":
-        return F.coalesce(has("amenity"), F.lit(False)) | F.coalesce(has("shop"), F.lit(False)) | F.coalesce(has("tourism"), F.lit(False))
-    raise ValueError(preset)
-
-
-def osm_area(ways: DataFrame, rules: DataFrame) -> DataFrame:
+    """Whether tags (a map) meet any selector of a feature preset; an unknown preset is an error."""
+    if preset not in PRESETS:
+        raise ValueError(f"unknown preset {preset}")
+    out = F.lit(False)
+    for key, value in PRESETS[preset]:
+        out = out | F.coalesce(tags[key] != "no" if value is None else tags[key] == value, F.lit(False))
+    return out
+
+
+def area_rules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(AREA_RULES, "key string, mode string, `values` array<string>")
+
+
+def osm_area(ways: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """`is_area` of closed ways: `area` decides, else a rule (key, mode all / whitelist / blacklist, values) that a tag meets."""
+    rules = area_rules(ways.sparkSession) if rules is None else rules
     t = ways.select("way_id", "closed", "tags", F.explode_outer(F.map_entries("tags")).alias("_t"))
     j = t.join(F.broadcast(rules), F.col("_t.key") == F.col("key"), "left")
     listed = F.array_contains("values", F.col("_t.value"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terraloom.functions.text import fold_text, folded
+
 
 def dedup_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """First row of every key. An aggregate (least struct) instead of a window, so a hot key is combined on the map side."""
@@ -30,8 +32,8 @@ def progress_rate(polls: DataFrame, key: str = "job_id", order: str = "seq") ->
 
 
 def fifo_allocate(grants: DataFrame, amounts: DataFrame, today: Column, user: str = "user_id") -> DataFrame:
-    """Spend from unexpired grants by earliest expiry (none last), then id; a user without enough in total gets nothing."""
-    live = grants.where(F.col("expires_day").isNull() | (F.col("expires_day") >= today)).join(amounts, user)
+    """Spend from grants that expire after today by earliest expiry (none last), then id; a user without enough in total gets nothing."""
+    live = grants.where(F.col("expires_day").isNull() | (F.col("expires_day") > today)).join(amounts, user)
     w = Window.partitionBy(user).orderBy(F.asc_nulls_last("expires_day"), "grant_id")
     before = F.coalesce(F.sum("remaining").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     total = F.sum("remaining").over(Window.partitionBy(user))
@@ -58,13 +60,15 @@ def top_newest(items: DataFrame, day: str, key: str, n: int = 100) -> DataFrame:
 
 
 def region_search(regions: DataFrame, text: str, n: int, countries_first: bool = False) -> DataFrame:
-    """Regions by match of name and aliases: exact 0, prefix 1, contained 2; then level, country, name, id. `total` counts all."""
-    t = text.lower()
-    score = lambda c: F.when(F.lower(c) == t, 0.0).when(F.lower(c).startswith(t), 1.0).when(F.contains(F.lower(c), F.lit(t)), 2.0)
-    rank = F.array_min(F.transform(F.array_append("aliases", F.col("name")), score))
+    """Regions by match of name and aliases, all folded: exact 0, prefix 1, contained 2; then level, country, name, id. `total` counts all."""
+    t = folded(text)
+    score = lambda c: F.when(c == t, 0.0).when(c.startswith(t), 1.0).when(F.contains(c, F.lit(t)), 2.0)
+    # all names of a region are folded in one call, with a separator that folding leaves alone
+    names = F.transform(F.split(fold_text(F.array_join(F.array_append("aliases", F.col("name")), "\ue000", "")), "\ue000"), lambda x: F.trim(x))
+    rank = F.array_min(F.transform("_names", score))
     if countries_first:
         rank = rank + F.when(F.col("level") > 0, 0.1).otherwise(0.0)
-    hits = regions.withColumn("rank", rank).where("rank is not null")
+    hits = regions.withColumn("_names", names).withColumn("rank", rank).where("rank is not null").drop("_names")
     total = hits.agg(F.count("*")).scalar()
     best = hits.orderBy("rank", "level", "country", "name", "id").limit(n)
     return best.withColumn("total", total).withColumn("truncated", F.col("total") > n)

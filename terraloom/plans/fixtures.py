@@ -37,13 +37,15 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         CASE WHEN event_id % 3 = 0 THEN NULL ELSE concat('surface', CAST(event_id % 4 AS STRING)) END AS surface,
         CASE WHEN event_id % 5 = 0 THEN NULL ELSE concat('act', CAST(event_id % 3 AS STRING)) END AS action,
         CASE WHEN event_id % 7 < 3 THEN CASE WHEN event_id % 2 = 0 THEN 'success' ELSE 'failure' END END AS result,
-        CASE WHEN event_id % 11 = 0 THEN concat('err', CAST(event_id % 5 AS STRING)) END AS error, CASE WHEN event_id % 2 = 0 THEN 'desktop' ELSE 'browser' END AS platform, value
+        CASE WHEN event_id % 11 = 0 THEN concat('err', CAST(event_id % 5 AS STRING)) END AS error, CASE WHEN event_id % 6 < 2 THEN CASE WHEN event_id % 4 = 0 THEN '' ELSE concat('d', CAST(event_id % 3 AS STRING)) END END AS duration,
+        CASE event_id % 8 WHEN 1 THEN 'succeeded' WHEN 2 THEN 'failed' WHEN 3 THEN '' END AS status, CASE WHEN event_id % 10 = 0 THEN concat('why', CAST(event_id % 3 AS STRING)) END AS reason, CASE WHEN event_id % 3 = 1 THEN 'transfer' END AS stage,
+        CASE WHEN event_id % 4 = 1 THEN '503' END AS http_status, CASE WHEN event_id % 2 = 1 THEN '2' END AS retries, CASE WHEN event_id % 5 = 2 THEN 'explicit' END AS origin, CASE WHEN event_id % 2 = 0 THEN 'desktop' ELSE 'browser' END AS platform, value
         FROM events""",
     ),
     "job_edge": (("part",), "SELECT CAST(p_partkey AS BIGINT) AS id, (CAST(p_partkey AS BIGINT) - 1) DIV 2 AS parent_id FROM part WHERE p_partkey > 0"),
     "credit_grant": (
         ("customer",),
-        """SELECT c*3 + k AS grant_id, c AS user_id, (c*7 + k*11) % 5 + 1 AS remaining, CASE WHEN k = 2 THEN NULL ELSE (c*13 + k*5) % 30 END AS expires_day
+        """SELECT c*3 + k AS grant_id, c AS user_id, (c*7 + k*11) % 6 AS remaining, (c*5 + k) % 3 AS reserved, CASE WHEN (c + k) % 2 = 0 THEN 'trial' ELSE 'paid' END AS kind, CASE WHEN k = 2 THEN NULL ELSE (c*13 + k*5) % 30 END AS expires_day
         FROM (SELECT CAST(c_custkey AS BIGINT) AS c, EXPLODE(3) AS k FROM customer) t""",
     ),
     "poll": (

@@ -195,7 +195,7 @@ def agg_band_summary(v):
 
 @query("SELECT scene, count(*) FILTER (WHERE y >= 10) AS masked, count(*) FILTER (WHERE y < 10 AND red <> 0) AS covered FROM px GROUP BY scene")
 def agg_masked_covered(v):
-    return v.px.groupBy("scene").agg(F.count_if(C("y") >= 10).alias("masked"), F.count_if((C("y") < 10) & (C("red") != 0)).alias("covered"))
+    return A.masked_covered(v.px, ["scene"], C("y") < 10, C("red") != 0)
 
 
 @query("SELECT scene, CAST(y // 8 AS BIGINT) AS block, sha256(string_agg(CAST(red AS VARCHAR), ',' ORDER BY y, x)) AS digest, count(*) AS n FROM px WHERE scene < 3 GROUP BY 1, 2")
@@ -258,9 +258,26 @@ def win_cover_greedy(v):
     return k.select("area_id", F.split_part("item_id", F.lit("@"), F.lit(2)).alias("item_id"), "place")
 
 
-@query("""SELECT 'event' AS report, name AS k1, '' AS k2, '' AS k3, count(*) AS n FROM usage_event GROUP BY ALL UNION ALL SELECT 'source', coalesce(source, 'other'), name, '', count(*) FROM usage_event GROUP BY ALL
-UNION ALL SELECT 'surface', coalesce(surface, 'other'), name, '', count(*) FROM usage_event GROUP BY ALL UNION ALL SELECT 'day', strftime("at", '%Y-%m-%d'), name, '', count(*) FROM usage_event GROUP BY ALL UNION ALL SELECT 'environment', environment, '', '', count(*) FROM usage_event GROUP BY ALL
-UNION ALL SELECT 'outcome', coalesce(source, 'other'), coalesce(action, 'other'), result, count(*) FROM usage_event WHERE result IS NOT NULL GROUP BY ALL UNION ALL SELECT 'failure', coalesce(source, 'other'), coalesce(action, 'other'), error, count(*) FROM usage_event WHERE error IS NOT NULL GROUP BY ALL""")
+def _report_sql():
+    """One branch a counter: its name, its keys, and when an event belongs to it."""
+    other = lambda c, absent="other": f"coalesce({c}, '{absent}')"
+    counters = [
+        ("event", ["name"], "TRUE"),
+        ("source", [other("source"), "name"], "TRUE"),
+        ("surface", [other("surface"), "name"], "TRUE"),
+        ("day", ["strftime(\"at\", '%Y-%m-%d')", "name"], "TRUE"),
+        ("environment", ["environment"], "TRUE"),
+        ("outcome", [other("source"), other("action"), "result"], "result <> ''"),
+        ("duration", [other("source"), other("action"), "duration"], "duration <> ''"),
+        ("terminal", [other("source"), other("surface"), "status"], "status <> ''"),
+        ("failure", [other("source"), other("action"), "error"], "error <> ''"),
+        ("diagnostic", [other("source"), "name", other("stage", "unavailable"), other("reason", "unavailable"), other("http_status", "unknown"), other("retries", "unknown"), other("origin", "unavailable")], "reason <> '' OR error <> ''"),
+    ]
+    keys = lambda parts: ", ".join(f"{p} AS k{i}" for i, p in enumerate([*parts, *["''"] * (7 - len(parts))], 1))
+    return " UNION ALL ".join(f"SELECT '{name}' AS report, {keys(parts)}, count(*) AS n FROM usage_event WHERE {where} GROUP BY ALL" for name, parts, where in counters)
+
+
+@query(_report_sql())
 def agg_usage_report(v):
     return A.usage_report(v.usage_event)
 
@@ -287,10 +304,15 @@ def agg_job_status(v):
     return A.job_status(v.job.where("id % 6 <> 4"))
 
 
-@query("""WITH d AS (SELECT delivery, count(*) AS total, count(*) FILTER (WHERE status = 'succeeded') AS done, count(*) FILTER (WHERE status IN ('queued', 'running')) AS active, count(*) FILTER (WHERE status IN ('failed', 'interrupted', 'cancelled')) AS attention FROM job WHERE id % 5 <> delivery % 5 GROUP BY delivery)
-SELECT *, CASE WHEN done = total THEN 'ready' WHEN active > 0 THEN 'active' WHEN attention > 0 AND done > 0 THEN 'partial' WHEN attention > 0 THEN 'attention' ELSE 'pending' END AS state FROM d""")
+@query("""WITH x AS (SELECT DISTINCT delivery, id FROM job WHERE id % 5 <> delivery % 5 OR id % 7 = 3), j AS (SELECT id, delivery, CASE WHEN id % 4 = 1 THEN 'succeeded' ELSE status END AS status, id % 13 <> 0 AS settled FROM job WHERE id % 5 <> delivery % 5),
+g AS (SELECT DISTINCT delivery FROM job UNION SELECT DISTINCT delivery + 100 FROM job), d AS (SELECT g.delivery, count(x.id) AS total, count(*) FILTER (WHERE status = 'succeeded' AND settled) AS done, count(*) FILTER (WHERE status IN ('queued', 'running')) AS active,
+count(*) FILTER (WHERE status IN ('failed', 'interrupted', 'cancelled')) AS attention, count(*) FILTER (WHERE x.id IS NOT NULL AND status IS NULL) AS missing FROM g LEFT JOIN x USING (delivery) LEFT JOIN j ON j.delivery = g.delivery AND j.id = x.id GROUP BY 1)
+SELECT *, CASE WHEN total = 0 THEN 'saved' WHEN done = total THEN 'ready' WHEN active > 0 THEN 'active' WHEN attention > 0 AND done > 0 THEN 'partial' WHEN attention > 0 THEN 'attention' ELSE 'pending' END AS state FROM d""")
 def agg_delivery_state(v):
-    return A.delivery_state(v.job.where("id % 5 <> delivery % 5"), "delivery")
+    job = v.job.withColumns({"status": F.when(C("id") % 4 == 1, "succeeded").otherwise(C("status")), "settled": C("id") % 13 != 0})
+    twice = job.withColumn("seq", F.lit(2)).unionByName(job.withColumns({"seq": F.lit(1), "status": F.lit("failed")}))
+    groups = v.job.select("delivery").union(v.job.select(C("delivery") + 100))
+    return A.delivery_state(twice.where("id % 5 <> delivery % 5"), "delivery", v.job.where("id % 5 <> delivery % 5 or id % 7 = 3").select("delivery", "id"), groups)
 
 
 @query("""WITH d AS (SELECT task, count(*) AS jobs, count(*) FILTER (WHERE status = 'succeeded') AS ready, count(*) FILTER (WHERE status IN ('failed', 'interrupted')) AS failed, count(*) FILTER (WHERE status = 'running') AS running, count(*) FILTER (WHERE status = 'queued') AS queued, count(*) FILTER (WHERE status = 'cancelled') AS cancelled,
@@ -300,17 +322,28 @@ def agg_task_summary(v):
     return A.task_summary(v.job.where("id % 7 <> 0 or task % 2 = 0"), "task")
 
 
-_REC = "SELECT installation AS req, event_id % 500 AS id, event_id AS seq, CASE WHEN event_id % 9 = 0 THEN NULL ELSE event_id % 1000 END AS input, event_id % 300 AS output, CASE WHEN installation % 3 = 0 THEN event_id % 1200 ELSE event_id % 1000 // 2 END AS cached FROM usage_event"
+_REC = """SELECT installation AS req, event_id % 500 AS id, event_id AS seq, event_id % 7 <> 0 OR installation % 4 <> 0 AS linked, CASE WHEN event_id % 12 = 0 THEN 'failed' ELSE 'completed' END AS state,
+CASE event_id % 4 WHEN 0 THEN 'workflow' WHEN 1 THEN 'compaction' ELSE 'human' END AS origin, CASE WHEN event_id % 9 = 0 AND installation % 2 = 0 THEN NULL ELSE event_id % 1000 END AS input, event_id % 300 AS output,
+CASE WHEN installation % 3 = 0 THEN event_id % 1200 ELSE event_id % 1000 // 2 END AS cached, CASE WHEN installation % 5 = 0 THEN NULL ELSE event_id % 300 // 3 END AS reasoning, CASE WHEN installation % 7 = 0 AND event_id % 8 = 0 THEN NULL ELSE event_id % 6 END AS tools FROM usage_event"""
 
 
-@query(f"""WITH r AS ({_REC}), l AS (SELECT req, id, arg_max(input, seq) AS i0, max(seq) AS m FROM r GROUP BY ALL), u AS (SELECT r.* FROM r JOIN l ON r.req = l.req AND r.id = l.id AND r.seq = l.m),
-d AS (SELECT req, count(*) AS records, count(input) AS known, CAST(coalesce(sum(input), 0) AS BIGINT) AS input, CAST(coalesce(sum(CASE WHEN input IS NOT NULL THEN output END), 0) AS BIGINT) AS output, bool_and(input IS NULL OR coalesce(cached <= input, FALSE)) AS fits, CAST(sum(CASE WHEN input IS NOT NULL THEN cached END) AS BIGINT) AS c FROM u GROUP BY req)
-SELECT req, records, input, output, CASE WHEN fits AND known > 0 THEN c END AS cached, CASE WHEN known < records THEN 'partial' ELSE 'complete' END AS status FROM d""")
+@query(f"""WITH r AS ({_REC}), u AS (SELECT r.* FROM r JOIN (SELECT req, id, max(seq) AS seq FROM r GROUP BY ALL) l USING (req, id, seq)),
+q AS (SELECT DISTINCT installation AS req, installation % 11 = 0 AS running, installation % 13 = 0 AS truncated FROM usage_event UNION SELECT DISTINCT installation + 1000, installation % 2 = 0, FALSE FROM usage_event),
+d AS (SELECT req, count(*) AS requests, count(input) AS known_requests, bool_and(linked) AS linked, CAST(coalesce(sum(input), 0) AS BIGINT) AS input, CAST(coalesce(sum(CASE WHEN input IS NOT NULL THEN output END), 0) AS BIGINT) AS output,
+CASE WHEN count(input) > 0 AND bool_and(input IS NULL OR coalesce(cached <= input, FALSE)) THEN CAST(sum(CASE WHEN input IS NOT NULL THEN cached END) AS BIGINT) END AS cached_input,
+CASE WHEN count(input) > 0 AND bool_and(input IS NULL OR coalesce(reasoning <= output, FALSE)) THEN CAST(sum(CASE WHEN input IS NOT NULL THEN reasoning END) AS BIGINT) END AS reasoning_output,
+count(*) FILTER (WHERE state = 'failed') AS failed_requests, count(*) FILTER (WHERE origin = 'workflow') AS workflow_requests, count(*) FILTER (WHERE origin = 'compaction') AS compaction_requests, CASE WHEN bool_and(tools IS NOT NULL) THEN max(tools) END AS max_tools FROM u GROUP BY req)
+SELECT req, CASE WHEN requests IS NULL THEN CASE WHEN running THEN 'pending' ELSE 'unavailable' END WHEN running OR truncated OR NOT linked OR known_requests < requests THEN 'partial' ELSE 'complete' END AS status,
+coalesce(requests, 0) AS requests, coalesce(known_requests, 0) AS known_requests, coalesce(input, 0) AS input, coalesce(output, 0) AS output, coalesce(failed_requests, 0) AS failed_requests, coalesce(workflow_requests, 0) AS workflow_requests, coalesce(compaction_requests, 0) AS compaction_requests,
+coalesce(input, 0) + coalesce(output, 0) AS total, cached_input, reasoning_output, max_tools FROM q LEFT JOIN d USING (req)""")
 def agg_token_usage(v):
-    e = C("event_id")
-    r = v.usage_event.select(C("installation").alias("req"), (e % 500).alias("id"), e.alias("seq"), F.when(e % 9 != 0, e % 1000).alias("input"), (e % 300).alias("output"), F.when(C("installation") % 3 == 0, e % 1200).otherwise(F.floor(e % 1000 / 2)).alias("cached"))
-    last = r.groupBy("req", "id").agg(F.max(F.struct("seq", "input", "output", "cached")).alias("_r")).select("req", "id", "_r.*")
-    return A.token_usage(last, "req")
+    e, i = C("event_id"), C("installation")
+    r = v.usage_event.select(
+        i.alias("req"), (e % 500).alias("id"), e.alias("seq"), ((e % 7 != 0) | (i % 4 != 0)).alias("linked"), F.when(e % 12 == 0, "failed").otherwise("completed").alias("state"), F.when(e % 4 == 0, "workflow").when(e % 4 == 1, "compaction").otherwise("human").alias("origin"),
+        F.when((e % 9 != 0) | (i % 2 != 0), e % 1000).alias("input"), (e % 300).alias("output"), F.when(i % 3 == 0, e % 1200).otherwise(F.floor(e % 1000 / 2)).alias("cached"), F.when(i % 5 != 0, F.floor(e % 300 / 3)).alias("reasoning"), F.when((i % 7 != 0) | (e % 8 != 0), e % 6).alias("tools"),
+    )
+    q = v.usage_event.select(i.alias("req"), (i % 11 == 0).alias("running"), (i % 13 == 0).alias("truncated")).union(v.usage_event.select(i + 1000, i % 2 == 0, F.lit(False))).distinct()
+    return A.token_usage(r, q, "req")
 
 
 @query("""WITH r AS (SELECT session_id, event_id, CASE WHEN name = 'signup' THEN 'user' ELSE 'work' END AS kind, event_id % 700 AS turn FROM usage_event),
@@ -321,9 +354,9 @@ def agg_token_by_request(v):
     return A.token_by_request(r, "session_id", "event_id")
 
 
-@query("SELECT user_id, CAST(coalesce(sum(remaining) FILTER (WHERE expires_day IS NULL OR expires_day >= 12), 0) AS BIGINT) AS available, min(expires_day) FILTER (WHERE expires_day >= 12 AND remaining > 0) AS nearest FROM credit_grant GROUP BY user_id")
+@query("SELECT user_id, kind, CAST(sum(remaining) AS BIGINT) AS available, CAST(sum(reserved) AS BIGINT) AS reserved, min(expires_day) AS nearest FROM credit_grant WHERE expires_day IS NULL OR expires_day > 12 GROUP BY user_id, kind")
 def agg_credit_buckets(v):
-    return A.credit_buckets(v.credit_grant, ["user_id"], F.lit(12))
+    return A.credit_buckets(v.credit_grant, ["user_id", "kind"], F.lit(12))
 
 
 @query("""WITH u AS (SELECT task, id % 30 AS day, CASE WHEN status IN ('queued', 'running') THEN received WHEN status = 'succeeded' THEN total END AS x FROM job) SELECT task, CAST(coalesce(sum(x), 0) AS BIGINT) AS used, CAST(coalesce(sum(CASE WHEN day = 7 THEN x END), 0) AS BIGINT) AS used_today FROM u GROUP BY task""")
@@ -368,7 +401,7 @@ def win_progress_rate(v):
     return W.progress_rate(v.poll).withColumn("rate", F.round("rate", 6))
 
 
-@query("""WITH l AS (SELECT *, user_id % 9 + 1 AS amount FROM credit_grant WHERE expires_day IS NULL OR expires_day >= 10),
+@query("""WITH l AS (SELECT *, user_id % 9 + 1 AS amount FROM credit_grant WHERE expires_day IS NULL OR expires_day > 10),
 r AS (SELECT *, coalesce(sum(remaining) OVER (PARTITION BY user_id ORDER BY expires_day NULLS LAST, grant_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(remaining) OVER (PARTITION BY user_id) AS t FROM l)
 SELECT user_id, grant_id, CAST(least(greatest(amount - b, 0), remaining) AS BIGINT) AS spent FROM r WHERE t >= amount AND least(greatest(amount - b, 0), remaining) > 0""")
 def win_fifo_allocate(v):
@@ -391,21 +424,30 @@ def top_newest_100(v):
     return W.top_newest(v.item.select("item_id", "dt"), "dt", "item_id", 100)
 
 
+#: names with accents and more blanks than one
+_NAMED = "(SELECT * REPLACE (CASE WHEN id % 2 = 0 THEN replace(name, 'u', 'Ü') ELSE name END AS name, concat('  É ', alias) AS alias) FROM site)"
+
+
+def _named(v):
+    return v.site.withColumns({"name": F.when(C("id") % 2 == 0, F.replace("name", F.lit("u"), F.lit("Ü"))).otherwise(C("name")), "aliases": F.array(F.concat(F.lit("  É "), C("alias")))})
+
+
 def _search_sql(text, admin):
-    rank = f"list_min(list_transform([alias, name], lambda c: CASE WHEN lower(c) = '{text}' THEN 0.0::DOUBLE WHEN starts_with(lower(c), '{text}') THEN 1.0::DOUBLE WHEN contains(lower(c), '{text}') THEN 2.0::DOUBLE END))"
+    fold = "regexp_replace(trim(lower(strip_accents(c))), ' +', ' ', 'g')"
+    rank = f"list_min(list_transform([alias, name], lambda c: CASE WHEN {fold} = '{text}' THEN 0.0::DOUBLE WHEN starts_with({fold}, '{text}') THEN 1.0::DOUBLE WHEN contains({fold}, '{text}') THEN 2.0::DOUBLE END))"
     if admin:
         rank += " + CASE WHEN level > 0 THEN 0.1::DOUBLE ELSE 0 END"
-    return f"WITH r AS (SELECT id, name, level, country, {rank} AS rank FROM site), h AS (SELECT *, count(*) OVER () AS total FROM r WHERE rank IS NOT NULL) SELECT id, name, rank, total, total > 20 AS truncated FROM h ORDER BY rank, level, country, name, id LIMIT 20"
+    return f"WITH r AS (SELECT id, name, level, country, {rank} AS rank FROM {_NAMED} t), h AS (SELECT *, count(*) OVER () AS total FROM r WHERE rank IS NOT NULL) SELECT id, name, rank, total, total > 20 AS truncated FROM h ORDER BY rank, level, country, name, id LIMIT 20"
 
 
 @query(_search_sql("supplier#00000001", False))
 def top_region_search(v):
-    return W.region_search(v.site.withColumn("aliases", F.array("alias")), "supplier#00000001", 20).select("id", "name", "rank", "total", "truncated")
+    return W.region_search(_named(v), "Supplíer#00000001", 20).select("id", "name", "rank", "total", "truncated")
 
 
 @query(_search_sql("0001", True))
 def top_admin_search(v):
-    return W.region_search(v.site.withColumn("aliases", F.array("alias")), "0001", 20, True).select("id", "name", "rank", "total", "truncated")
+    return W.region_search(_named(v), "0001", 20, True).select("id", "name", "rank", "total", "truncated")
 
 
 @query("SELECT item_id, (SELECT count(*) FROM item) AS total, 150 AS next_offset, FALSE AS complete FROM item ORDER BY item_id LIMIT 50 OFFSET 100")

@@ -61,12 +61,14 @@ def fn_bucket_bytes(v):
     return v.poll.groupBy(X.bucket_bytes(C("bytes") * (C("seq") % 7) * (C("seq") % 1000) * 50).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-_MESSAGES = ["Request timed out", "HTTP 403", "no space left", "fetch failed", "Checksum mismatch", "odd", "The user aborted", "TIMEOUT of login"]
+_MESSAGES = ["Request timed out", "HTTP 403", "no space left", "fetch failed", "Checksum mismatch", "odd", "connection aborted", "TIMEOUT of login", "HTTP 403", "invalid", "The user aborted"]
+_NAMES = ["Error"] * 8 + ["AbortError", "TimeoutError", None]
 
 
-@query("SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'timeout' WHEN 1 THEN 'authorization' WHEN 2 THEN 'storage' WHEN 3 THEN 'network' WHEN 4 THEN 'validation' WHEN 5 THEN 'unknown' WHEN 6 THEN 'cancelled' ELSE 'timeout' END AS kind FROM usage_event")
+@query("SELECT event_id, CASE event_id % 11 WHEN 0 THEN 'timeout' WHEN 1 THEN 'authorization' WHEN 2 THEN 'storage' WHEN 3 THEN 'network' WHEN 4 THEN 'validation' WHEN 5 THEN 'unknown' WHEN 6 THEN 'network' WHEN 7 THEN 'timeout' WHEN 8 THEN 'cancelled' WHEN 9 THEN 'timeout' ELSE 'unknown' END AS kind FROM usage_event")
 def fn_classify_error(v):
-    return v.usage_event.select("event_id", X.classify_error(F.element_at(F.array(*[F.lit(m) for m in _MESSAGES]), (C("event_id") % 8 + 1).cast("int"))).alias("kind"))
+    pick = lambda values: F.element_at(F.array(*[F.lit(m) for m in values]), (C("event_id") % 11 + 1).cast("int"))
+    return v.usage_event.select("event_id", X.classify_error(pick(_MESSAGES), pick(_NAMES)).alias("kind"))
 
 
 @query("""SELECT page_id, CASE WHEN h = 'blog.tionble.example.com' THEN 'blog' WHEN h = 'example.net' OR h LIKE '%.example.net' THEN 'net' ELSE 'other' END AS source FROM (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS h FROM pages) t""")
@@ -169,23 +171,30 @@ def flt_quarantine(v):
     return d.groupBy(F.coalesce("reason", F.lit("ok")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+# tags of a way by its number: one row for each boundary of the preset and area rules
+_TAGS = [
+    {"building": "yes"}, {"highway": "primary"}, {"natural": "water"}, {"building": "no"}, {"landuse": "forest", "area": "no"}, {"highway": "services", "amenity": "fuel"},
+    {"building:part": "yes"}, {"building:part": "no"}, {"highway": "construction"}, {"highway": "proposed"}, {"highway": "no"}, {"natural": "wetland"}, {"natural": "cliff"}, {"landuse": "reservoir"}, {"landuse": "basin"}, {"landuse": "no"},
+    {"waterway": "river"}, {"waterway": "dock"}, {"waterway": "no"}, {"leisure": "park"}, {"leisure": "no", "shop": "no"}, {"shop": "books"}, {"tourism": "hotel"}, {"area": "yes", "highway": "path"}, {"aeroway": "taxiway"}, {"aeroway": "apron"}, {"barrier": "wall"}, {"barrier": "gate"}, {"name": "x"}, {},
+]
+
+
 def _tags(v):
-    k = C("p_partkey") % 6
-    tag = lambda key, val: F.create_map(F.lit(key), F.lit(val))
-    tags = F.when(k == 0, tag("building", "yes")).when(k == 1, tag("highway", "primary")).when(k == 2, tag("natural", "water")).when(k == 3, tag("building", "no")).when(k == 4, F.create_map(F.lit("landuse"), F.lit("forest"), F.lit("area"), F.lit("no"))).otherwise(F.create_map(F.lit("highway"), F.lit("services"), F.lit("amenity"), F.lit("fuel")))
-    return v.part.select(C("p_partkey").cast("bigint").alias("way_id"), (C("p_partkey") % 7 != 0).alias("closed"), tags.alias("tags"))
+    texts = [F.map_from_arrays(F.array(*map(F.lit, t)), F.array(*map(F.lit, t.values()))) if t else F.create_map().cast("map<string, string>") for t in _TAGS]
+    k = (C("p_partkey") % len(_TAGS) + 1).cast("int")
+    return v.part.select(C("p_partkey").cast("bigint").alias("way_id"), (C("p_partkey") % 7 != 0).alias("closed"), F.element_at(F.array(*texts), k).alias("tags"))
 
 
-@query("SELECT p_partkey % 6 = 0 AS buildings, p_partkey % 6 IN (1, 5) AS roads, p_partkey % 6 = 2 AS water, p_partkey % 6 = 4 AS landuse, p_partkey % 6 = 5 AS pois, count(*) AS n FROM part GROUP BY ALL")
+@query(f"""SELECT k IN (0, 6) AS buildings, k IN (1, 5, 8, 9, 23) AS roads, k IN (2, 13, 14, 16, 17) AS water, k IN (4, 13, 14) AS landuse, k IN (5, 19, 21, 22) AS pois, count(*) AS n
+FROM (SELECT p_partkey % {len(_TAGS)} AS k FROM part) t GROUP BY ALL""")
 def flt_osm_preset(v):
     names = ["buildings", "roads", "water", "landuse", "pois"]
     return _tags(v).select(*[P.osm_preset(C("tags"), k).alias(k) for k in names]).groupBy(*names).agg(F.count("*").alias("n"))
 
 
-@query("SELECT CAST(p_partkey AS BIGINT) AS way_id, p_partkey % 7 <> 0 AND p_partkey % 6 IN (0, 2, 5) AS is_area FROM part")
+@query(f"SELECT CAST(p_partkey AS BIGINT) AS way_id, p_partkey % 7 <> 0 AND p_partkey % {len(_TAGS)} IN (0, 2, 5, 6, 11, 13, 14, 17, 19, 21, 22, 23, 25, 26) AS is_area FROM part")
 def flt_osm_area(v):
-    rules = v.spark.createDataFrame([("building", "all", []), ("landuse", "all", []), ("natural", "blacklist", ["cliff"]), ("highway", "whitelist", ["services"])], "key string, mode string, `values` array<string>")
-    return P.osm_area(_tags(v), rules)
+    return P.osm_area(_tags(v))
 
 
 @query("SELECT item_id FROM item WHERE e - w <= 1 AND n - s <= 1 AND 6371008.8::DOUBLE * 6371008.8 * radians(e - w) * (sin(radians(n)) - sin(radians(s))) <= 1e8")

@@ -21,20 +21,30 @@ def _stac(v):
     f = F.struct(C("item_id").alias("id"), C("collection_id").alias("collection"), F.array("w", "s", "e", "n").alias("bbox"), props.alias("properties"), F.create_map(F.lit("b1"), asset("image/tiff; application=geotiff"), F.lit("meta"), asset("application/json")).alias("assets"))
     pages = v.item.groupBy((C("o") % 400).alias("p")).agg(F.collect_list(f).alias("features"))
     path = shared_path(v.spark, "stac")
-    pages.select(F.lit("FeatureCollection").alias("type"), (F.size("features") + F.when(C("p") == 7, 1).otherwise(0)).alias("numberReturned"), "features").write.json(path)
+    pages = pages.select(F.lit("FeatureCollection").alias("type"), (F.size("features") + F.when(C("p") == 7, 1).otherwise(0)).alias("numberReturned"), "features")
+    empty = v.spark.range(2).select(F.lit("FeatureCollection").alias("type"), (C("id") * 5).cast("int").alias("numberReturned"), F.array().cast(pages.schema["features"].dataType).alias("features"))
+    pages.unionByName(empty).write.json(path)  # two pages without items, one of which says that it has five
     return S.stac_pages(v.spark, path)
 
 
-@query("SELECT item_id AS id, collection_id AS collection, w, cloud, strftime(dt, '%Y-%m-%dT00:00:00Z') AS datetime, o % 400 = 7 AS short FROM item")
+@query("""SELECT item_id AS id, collection_id AS collection, w, cloud, strftime(dt, '%Y-%m-%dT00:00:00Z') AS datetime, o % 400 = 7 AS short FROM item
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, k = 1 FROM (SELECT unnest([0, 1]) AS k) t""")
 def src_stac_pages(v):
     items = _stac(v)
     bad = S.short_pages(items).select("page", F.lit(True).alias("short"))
     return items.join(bad, "page", "left").select("id", "collection", C("bbox")[0].alias("w"), "cloud", "datetime", F.coalesce("short", F.lit(False)).alias("short"))
 
 
+@query("SELECT item_id AS id, CASE WHEN collection_id <> '1-URGENT' THEN 'foreign collection' ELSE 'duplicate id' END AS reason, count(*) AS n FROM (SELECT * FROM item UNION ALL SELECT * FROM item WHERE o % 9 = 0) t WHERE collection_id <> '1-URGENT' OR o % 9 = 0 GROUP BY ALL")
+def src_stac_refused(v):
+    items = _stac(v)
+    again = items.where("cast(substring(id, 2) as bigint) % 9 = 0")
+    return S.refused_items(items.unionByName(again), "1-URGENT").groupBy("id", "reason").agg(F.count("*").alias("n"))
+
+
 @query("SELECT item_id AS id, a AS asset, a = 'b1' AS eligible FROM item, (SELECT unnest(['b1', 'meta']) AS a) t")
 def src_item_assets(v):
-    return S.item_assets(_stac(v)).select("id", "asset", "eligible")
+    return S.item_assets(S.page_items(_stac(v))).select("id", "asset", "eligible")
 
 
 @query("SELECT concat('http://c/', CAST(p_partkey AS INT)) AS url, CASE WHEN p_partkey // 8 % 3 = 1 THEN 3 ELSE 2 END AS depth FROM part WHERE p_partkey // 8 % 3 <> 2")
@@ -49,24 +59,43 @@ def src_catalog_tree(v):
 
 
 def _feature(v, name, gz=False):
+    """A feature a part: by the part's number one of the geometries below, moved by (x, y), some of them faulty."""
     p = C("p_partkey").cast("bigint")
-    x, y = (p % 50).cast("double"), F.floor(p / 50).cast("double")
-    last = F.when(p % 5 == 0, F.array(x + 9, y)).otherwise(F.array(x, y))
-    ring = F.array(F.array(x, y), F.array(x + 1, y), F.array(x + 1, y + 1), last)
-    f = v.part.select(F.lit("Feature").alias("type"), p.alias("id"), F.create_map(F.lit("name"), C("p_name")).alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"))
+    x, y = (p % 50).cast("double"), (F.floor(p / 50) % 80).cast("double")
+    at = lambda dx, dy: F.format_string("[%.1f,%.1f]", x + dx, y + dy)
+    lines = lambda *points: F.concat(F.lit("["), F.concat_ws(",", *points), F.lit("]"))
+    ring, open_ring = lines(at(0, 0), at(1, 0), at(1, 1), at(0, 0)), lines(at(0, 0), at(1, 0), at(1, 1), at(9, 0))
+    shape = lambda kind, c: F.concat(F.lit(f'{{"type":"{kind}","coordinates":'), c, F.lit("}"))
+    both = lambda *g: F.concat(F.lit('{"type":"GeometryCollection","geometries":'), lines(*g), F.lit("}"))
+    kinds = [
+        shape("Polygon", lines(ring)), shape("Polygon", lines(open_ring)), shape("Point", at(0, 0)), shape("LineString", lines(at(0, 0), at(1, 1))), shape("LineString", lines(at(0, 0))),
+        shape("MultiPoint", lines(at(0, 0), at(2, 2))), shape("MultiLineString", lines(lines(at(0, 0), at(1, 1)))), shape("MultiPolygon", lines(lines(ring), lines(ring))), shape("MultiPolygon", lines(lines(open_ring))),
+        both(shape("Point", at(0, 0)), shape("Polygon", lines(ring))), both(shape("Point", at(0, 0)), both(shape("LineString", lines(at(0, 0))))), shape("Point", at(500, 0)), F.lit("null"), shape("Circle", at(0, 0)), shape("Point", F.lit("[]")), shape("Polygon", at(0, 0)),
+    ]
+    geometry = F.element_at(F.array(*kinds), (p % len(kinds) + 1).cast("int"))
+    line = F.concat(F.lit('{"type":"Feature","id":'), p.cast("string"), F.lit(',"properties":'), F.to_json(F.struct(C("p_name").alias("name"))), F.lit(',"geometry":'), geometry, F.lit("}"))
     path = shared_path(v.spark, name)
-    f.write.option("compression", "gzip" if gz else "none").json(path)
+    v.part.select(line.alias("value")).write.option("compression", "gzip" if gz else "none").text(path)
     return path
 
 
-@query("SELECT CAST(p_partkey AS BIGINT) AS id, p_name AS name, p_partkey % 5 <> 0 AS valid FROM part")
+@query("SELECT CAST(p_partkey AS BIGINT) AS id, p_name AS name, p_partkey % 16 NOT IN (1, 4, 8, 10, 11, 13, 15) AS valid FROM part")
 def src_geojson(v):
-    return S.geojson(v.spark, _feature(v, "geojson")).select("id", C("properties")["name"].alias("name"), "valid")
+    return S.geojson(v.spark, _feature(v, "geojson")).select(C("id").cast("bigint").alias("id"), C("properties")["name"].alias("name"), "valid")
+
 
+@query("""SELECT kind, ok, count(*) AS n FROM (SELECT unnest(CASE p_partkey % 16 WHEN 0 THEN [('Polygon', TRUE)] WHEN 1 THEN [('Polygon', FALSE)] WHEN 2 THEN [('Point', TRUE)] WHEN 3 THEN [('LineString', TRUE)] WHEN 4 THEN [('LineString', FALSE)] WHEN 5 THEN [('MultiPoint', TRUE)]
+WHEN 6 THEN [('MultiLineString', TRUE)] WHEN 7 THEN [('MultiPolygon', TRUE)] WHEN 8 THEN [('MultiPolygon', FALSE)] WHEN 9 THEN [('Point', TRUE), ('Polygon', TRUE)] WHEN 10 THEN [('Point', TRUE), ('LineString', FALSE)] WHEN 11 THEN [('Point', FALSE)] WHEN 12 THEN []
+WHEN 13 THEN [('Circle', FALSE)] WHEN 14 THEN [('Point', TRUE)] ELSE [('Polygon', FALSE)] END) AS g FROM part) t, LATERAL (SELECT g[1] AS kind, g[2] AS ok) u GROUP BY ALL""")
+def src_geojson_parts(v):
+    rows = S.geojson(v.spark, _feature(v, "geojson-parts")).withColumnRenamed("id", "_feature")
+    return S.geometry_parts(rows).groupBy("kind", "ok").agg(F.count("*").alias("n"))
 
-@query("SELECT CAST(p_partkey AS BIGINT) AS id, p_name AS name, CAST(p_partkey % 50 AS DOUBLE) AS x FROM part")
+
+@query("SELECT CAST(p_partkey AS BIGINT) AS id, p_name AS name, CASE p_partkey % 16 WHEN 2 THEN CAST(p_partkey % 50 AS DOUBLE) WHEN 11 THEN CAST(p_partkey % 50 + 500 AS DOUBLE) END AS x FROM part")
 def src_geojsonl_gz(v):
-    return S.geojsonl_gz(v.spark, _feature(v, "geojsonl", True)).select("id", C("properties")["name"].alias("name"), C("geometry.coordinates")[0][0][0].alias("x"))
+    point = F.when(F.get_json_object("geometry", "$.type") == "Point", F.get_json_object("geometry", "$.coordinates[0]").cast("double"))
+    return S.geojsonl_gz(v.spark, _feature(v, "geojsonl", True)).select(C("id").cast("bigint").alias("id"), C("properties")["name"].alias("name"), point.alias("x"))
 
 
 @query("SELECT item_id, sha256(item_id) AS sha256 FROM item WHERE w <= 20 AND e >= 0 AND s <= 20 AND n >= 0")
@@ -76,17 +105,33 @@ def src_geoparquet(v):
     return S.geoparquet(v.spark, path, (0.0, 0.0, 20.0, 20.0)).select("item_id", "sha256")
 
 
-@query("SELECT 'node' AS kind, CAST(c_custkey AS BIGINT) AS id, 1 AS size, CASE WHEN c_custkey % 3 = 0 THEN 'yes' END AS building FROM customer UNION ALL SELECT 'way', CAST(p_partkey AS BIGINT), 2, CASE WHEN p_partkey % 4 = 0 THEN 'no' END FROM part")
-def src_osm_xml(v):
-    c, p = C("c_custkey").cast("bigint"), C("p_partkey").cast("bigint")
+def _osm(v):
+    c, p, r = C("c_custkey").cast("bigint"), C("p_partkey").cast("bigint"), C("s_suppkey").cast("bigint")
     tag = lambda ok, value: F.when(ok, F.array(F.struct(F.lit("building").alias("_k"), F.lit(value).alias("_v"))))
     path = shared_path(v.spark, "osm")
-    v.customer.select(c.alias("_id"), (c % 90).cast("double").alias("_lat"), (c % 180).cast("double").alias("_lon"), tag(c % 3 == 0, "yes").alias("tag")).write.format("xml").option("rootTag", "osm").option("rowTag", "node").save(path + "/n")
-    v.part.select(p.alias("_id"), F.array(F.struct(p.alias("_ref")), F.struct((p + 1).alias("_ref"))).alias("nd"), tag(p % 4 == 0, "no").alias("tag")).write.format("xml").option("rootTag", "osm").option("rowTag", "way").save(path + "/w")
-    nodes, _ = S.osm_xml(v.spark, path + "/n")
-    _, ways = S.osm_xml(v.spark, path + "/w")
-    kind = lambda d, k, n: d.select(F.lit(k).alias("kind"), "id", n.cast("int").alias("size"), C("tags")["building"].alias("building"))
-    return kind(nodes, "node", F.lit(1)).unionByName(kind(ways, "way", F.size("refs")))
+    save = lambda d, row: d.write.format("xml").option("rootTag", "osm").option("rowTag", row).save(f"{path}/{row}")
+    save(v.customer.select(c.alias("_id"), (c % 90).cast("double").alias("_lat"), (c % 180).cast("double").alias("_lon"), tag(c % 3 == 0, "yes").alias("tag")), "node")
+    save(v.part.select(p.alias("_id"), F.array(F.struct(p.alias("_ref")), F.struct((p + 1).alias("_ref"))).alias("nd"), tag(p % 4 == 0, "no").alias("tag")), "way")
+    member = lambda kind, ref, role: F.struct(F.lit(kind).alias("_type"), ref.alias("_ref"), F.lit(role).alias("_role"))
+    save(v.supplier.select(r.alias("_id"), F.array(member("way", r, "outer"), member("node", r + 1, ""), member("relation", r + 1, "inner")).alias("member"), tag(r % 2 == 0, "yes").alias("tag")), "relation")
+    return S.osm_xml(v.spark, path + "/*")
+
+
+@query("""SELECT 'node' AS kind, CAST(c_custkey AS BIGINT) AS id, 1 AS size, CASE WHEN c_custkey % 3 = 0 THEN 'yes' END AS building, NULL AS roles FROM customer UNION ALL SELECT 'way', CAST(p_partkey AS BIGINT), 2, CASE WHEN p_partkey % 4 = 0 THEN 'no' END, NULL FROM part
+UNION ALL SELECT 'relation', CAST(s_suppkey AS BIGINT), 3, CASE WHEN s_suppkey % 2 = 0 THEN 'yes' END, 'way:outer,node:,relation:inner' FROM supplier""")
+def src_osm_xml(v):
+    nodes, ways, relations = _osm(v)
+    roles = F.array_join(F.transform("members", lambda m: F.concat(m["type"], F.lit(":"), m["role"])), ",")
+    kind = lambda d, k, n, r: d.select(F.lit(k).alias("kind"), "id", n.cast("int").alias("size"), C("tags")["building"].alias("building"), r.alias("roles"))
+    none = F.lit(None).cast("string")
+    return kind(nodes, "node", F.lit(1), none).unionByName(kind(ways, "way", F.size("refs"), none)).unionByName(kind(relations, "relation", F.size("members"), roles))
+
+
+@query("""WITH w AS (SELECT concat('way/', CAST(p_partkey AS BIGINT)) AS owner, 'node' AS type, unnest([CAST(p_partkey AS BIGINT), CAST(p_partkey + 1 AS BIGINT)]) AS ref FROM part),
+r AS (SELECT concat('relation/', CAST(s_suppkey AS BIGINT)) AS owner, unnest(['way', 'node', 'relation']) AS type, unnest([CAST(s_suppkey AS BIGINT), CAST(s_suppkey + 1 AS BIGINT), CAST(s_suppkey + 1 AS BIGINT)]) AS ref FROM supplier)
+SELECT * FROM (SELECT * FROM w UNION ALL SELECT * FROM r) t WHERE NOT CASE type WHEN 'node' THEN ref IN (SELECT c_custkey FROM customer) WHEN 'way' THEN ref IN (SELECT p_partkey FROM part) ELSE ref IN (SELECT s_suppkey FROM supplier) END""")
+def src_osm_missing(v):
+    return S.osm_missing(*_osm(v))
 
 
 @query("SELECT coalesce(CASE WHEN id % 9 = 0 THEN 'quadkey' WHEN id % 7 = 0 THEN 'url' WHEN id % 10 = 5 THEN 'repeated' END, 'ok') AS reason, CAST(sum(CASE WHEN id % 10 = 5 THEN 2 ELSE 1 END) AS BIGINT) AS n FROM site GROUP BY 1")
@@ -106,19 +151,26 @@ def src_hgt_grid(v):
     return S.hgt_grid(files, 4)
 
 
-@query("SELECT 6 AS z, CAST(p_partkey % 64 AS BIGINT) AS x, 63 - CAST(p_partkey // 64 % 64 AS BIGINT) AS y, count(*) > 1 AS repeated FROM (SELECT p_partkey FROM part UNION ALL SELECT p_partkey FROM part WHERE p_partkey % 50 = 0) t GROUP BY 1, 2, 3")
+@query("SELECT 6 AS z, CAST(p_partkey % 64 AS BIGINT) AS x, 63 - CAST(p_partkey // 64 % 70 AS BIGINT) AS y, count(*) > 1 AS repeated, p_partkey // 64 % 70 > 63 AS outside FROM (SELECT p_partkey FROM part UNION ALL SELECT p_partkey FROM part WHERE p_partkey % 50 = 0) t GROUP BY 1, 2, 3, 5")
 def src_tile_rows(v):
     p = C("p_partkey").cast("bigint")
-    row = v.part.select(F.lit(6).alias("z"), (p % 64).alias("tile_column"), (F.floor(p / 64) % 64).alias("tms_row"), C("p_name").alias("data"), p.alias("p"))
-    return S.tile_rows(row.unionByName(row.where("p % 50 = 0"))).select("z", "x", "y", "repeated")
+    row = v.part.select(F.lit(6).alias("z"), (p % 64).alias("tile_column"), (F.floor(p / 64) % 70).alias("tms_row"), C("p_name").alias("data"), p.alias("p"))
+    return S.tile_rows(row.unionByName(row.where("p % 50 = 0"))).select("z", "x", "y", "repeated", "outside")
+
+
+@query("SELECT unnest(['size', 'mixed format', 'format', 'maxzoom']) AS check, unnest([concat('{\"width\":512,\"height\":', CAST(max(256 + p_partkey % 2) AS INT), '}'), 'webp', 'png', CAST(max(p_partkey % 5) AS VARCHAR)]) AS found FROM part")
+def src_tile_package(v):
+    p = C("p_partkey").cast("bigint")
+    tiles = v.part.select((p % 5).alias("z"), F.when(p % 11 == 0, 512).otherwise(256).alias("width"), F.when(p % 11 == 0, (256 + p % 2)).otherwise(256).alias("height"), F.when(p % 3 == 0, "webp").otherwise("png").alias("format"))
+    stated = v.spark.createDataFrame([("format", "jpg"), ("minzoom", "0"), ("maxzoom", "9")], "name string, value string")
+    return S.tile_package_faults(tiles, stated)
 
 
-@query("SELECT country, count(*) AS features, CAST(sum(strlen(concat('{\"id\":', CAST(id AS VARCHAR), ',\"name\":\"', name, '\"}'))) AS BIGINT) AS bytes FROM site GROUP BY country")
+@query("""SELECT CAST(country AS VARCHAR) AS country, count(*) AS features, CAST(sum(strlen(line)) AS BIGINT) AS bytes, sha256(string_agg(line, '' ORDER BY id)) AS sha256
+FROM (SELECT *, concat('{"id":', CAST(id AS VARCHAR), ',"name":"', name, '"}', chr(10)) AS line FROM site) t GROUP BY country""")
 def sink_partitioned_boundaries(v):
     path = shared_path(v.spark, "boundaries")
-    manifest = S.write_boundaries(v.site.select("country", "id", "name"), "country", path)
-    back = v.spark.read.schema("id long, name string, country int").json(path).groupBy("country").agg(F.count("*").alias("_n"))
-    return manifest.join(back.select(C("country").cast(manifest.schema["country"].dataType).alias("country"), "_n"), "country").where("_n = features").select("country", "features", "bytes")
+    return S.write_boundaries(v.site.select("country", "id", "name"), "country", path).select("country", "features", "bytes", "sha256")
 
 
 @query("WITH m AS (SELECT x, y, coalesce(arg_max(red, scene) FILTER (WHERE red <> 0), 0) AS value FROM px GROUP BY x, y) SELECT CAST(y // 4 AS INT) AS block, CAST(count(*) AS INT) AS n, sha256(string_agg(CAST(value AS VARCHAR), ',' ORDER BY y, x)) AS digest FROM m GROUP BY 1")

@@ -9,12 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under `spark.checkpoint.dir`; where that is unset (tests), under an own temporary folder."""
+    """A new path under `spark.checkpoint.dir`; where that is unset and all runs on one machine (tests), under an own temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="terraloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{(base or _own(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+_made: str | None = None
+
+
+def _own(spark: SparkSession) -> str:
+    global _made
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    _made = _made or "file://" + tempfile.mkdtemp(prefix="terraloom-")
+    return _made
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

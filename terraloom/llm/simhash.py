@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from terraloom.llm.common import materialize, take_turn, with_computed
 
 WIDTH = 64
+#: rows of whole units that a task takes at a time
+HELD = 30_000
 #: bit i of a byte value, as a 256 x 8 table
 _SLOT = np.arange(8, dtype=np.int16) * 256
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -199,7 +201,7 @@ def _leaves(turned: np.ndarray, bounds: np.ndarray, rotation: np.ndarray, bits:
                 yield from _equal(labels, *node)
             continue
         if depth not in zeros:
-            zeros[depth] = np.r_[0, np.cumsum((turned >> np.uint64(WIDTH - 1 - depth)) & np.uint64(1) == 0)]
+            zeros[depth] = np.r_[0, np.cumsum((turned >> np.uint64(WIDTH - 1 - depth)) & np.uint64(1) == 0)].astype(np.int32)
         z = zeros[depth]
         u, v = s + z[e] - z[s], t + z[f] - z[t]
         cross = (s != t) | (e != f)
@@ -222,7 +224,7 @@ def _bounds(unit: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, unit[1:] != unit[:-1], True])
 
 
-def trie_components(turned: np.ndarray, unit: np.ndarray, rotation: np.ndarray, bits: int, chunk: int = 1 << 18, leaf: int = 8) -> np.ndarray:
+def trie_components(turned: np.ndarray, unit: np.ndarray, rotation: np.ndarray, bits: int, chunk: int = 1 << 16, leaf: int = 8) -> np.ndarray:
     """Label of each fingerprint's component among those of its unit.
 
     `turned`: rotated fingerprints, sorted inside runs of equal `unit`; members of a unit share the first segment.
@@ -235,7 +237,7 @@ def trie_components(turned: np.ndarray, unit: np.ndarray, rotation: np.ndarray,
     return labels.label
 
 
-def trie_candidates(turned: np.ndarray, unit: np.ndarray, rotation: np.ndarray, bits: int, wide: np.ndarray, label: np.ndarray, total: int, safe: int, most: int, chunk: int = 1 << 18, leaf: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def trie_candidates(turned: np.ndarray, unit: np.ndarray, rotation: np.ndarray, bits: int, wide: np.ndarray, label: np.ndarray, total: int, safe: int, most: int, chunk: int = 1 << 16, leaf: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (i, j) worth a test, and in how many bits all words differ.
 
     label: components known so far, whose pairs need no test. Sketches that differ in at most `safe` bits are taken for linked
@@ -275,7 +277,7 @@ def trie_candidates(turned: np.ndarray, unit: np.ndarray, rotation: np.ndarray,
         i, j, d = i[near], j[near], d[near]
         best += [np.stack([i, d, j]), np.stack([j, d, i])]
         held += 2 * len(i)
-        if held > 1 << 20:
+        if held > 1 << 17:
             keep()
     keep()
     out.append((best[0][0], best[0][2], best[0][1]))
@@ -358,7 +360,7 @@ def _by_unit(units: DataFrame, key: list[str], columns: list[str], fn, schema: s
         for b in batches:
             if b.num_rows:
                 held.append(b)
-            if sum(x.num_rows for x in held) >= 100_000 and (out := flush(False)) is not None:
+            if sum(x.num_rows for x in held) >= HELD and (out := flush(False)) is not None:
                 yield out
         if (out := flush(True)) is not None:
             yield out

@@ -65,7 +65,8 @@ def geometry_stats(features: DataFrame) -> DataFrame:
 def coverage_cells(areas: DataFrame, scenes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Cells of each area cut by its scenes' edges (coordinate compression): area_id, cell box, size, covering scenes.
 
-    pairs: area_id, item_id of overlapping boxes. Cells of one area number the square of its scenes' edges.
+    pairs: area_id, item_id of overlapping boxes. Cells of one area number the square of its scenes' edges: scenes are dealt to the
+    strips between edges that they span, and the cells of a strip look for the first of its scenes, which are its only ones.
     """
     j = pairs.join(scenes.select("item_id", "rank", F.col("w").alias("sw"), F.col("s").alias("ss"), F.col("e").alias("se"), F.col("n").alias("sn")), "item_id").join(areas, "area_id")
     cut = lambda lo, hi, a, b: F.array(F.greatest(lo, a), F.least(hi, b))
@@ -73,13 +74,14 @@ def coverage_cells(areas: DataFrame, scenes: DataFrame, pairs: DataFrame) -> Dat
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array_union(cut("w", "e", "sw", "se"), F.array("w", "e")))))).alias("xs"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array_union(cut("s", "n", "ss", "sn"), F.array("s", "n")))))).alias("ys"),
     )
-    strip = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda i: F.struct(F.element_at(c, i).alias("a"), F.element_at(c, i + 1).alias("b"))))
-    cells = edges.select("area_id", strip(F.col("xs")).alias("cx"), "ys").select("area_id", "cx", strip(F.col("ys")).alias("cy"))
-    box = cells.select("area_id", F.col("cx.a").alias("cw"), F.col("cy.a").alias("cs"), F.col("cx.b").alias("ce"), F.col("cy.b").alias("cn"))
-    covered = box.join(j.select("area_id", "item_id", "rank", "sw", "ss", "se", "sn"), "area_id").where("sw <= cw and se >= ce and ss <= cs and sn >= cn")
-    first = covered.groupBy("area_id", "cw", "cs", "ce", "cn").agg(F.min("rank").alias("first_rank"), F.min_by("item_id", "rank").alias("first_item"))
-    out = box.join(first, ["area_id", "cw", "cs", "ce", "cn"], "left")
-    return out.withColumn("size", (F.col("ce") - F.col("cw")) * (F.col("cn") - F.col("cs")))
+    between = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda i: F.struct(F.element_at(c, i).alias("a"), F.element_at(c, i + 1).alias("b")))
+    strips = edges.select("area_id", F.explode(between(F.col("xs"))).alias("x"), "ys")
+    spans = j.join(edges.select("area_id", "xs"), "area_id").withColumn("x", F.explode(F.filter(between(F.col("xs")), lambda x: (x["a"] >= F.col("sw")) & (x["b"] <= F.col("se")))))
+    own = spans.groupBy("area_id", "x").agg(F.array_sort(F.collect_list(F.struct("rank", "item_id", "ss", "sn"))).alias("over"))
+    cells = strips.join(own, ["area_id", "x"], "left").withColumn("y", F.explode(between(F.col("ys"))))
+    first = F.get(F.filter("over", lambda o: (o["ss"] <= F.col("y.a")) & (o["sn"] >= F.col("y.b"))), F.lit(0))
+    cells = cells.withColumn("_f", first).select("area_id", F.col("x.a").alias("cw"), F.col("y.a").alias("cs"), F.col("x.b").alias("ce"), F.col("y.b").alias("cn"), F.col("_f.rank").alias("first_rank"), F.col("_f.item_id").alias("first_item"))
+    return cells.withColumn("size", (F.col("ce") - F.col("cw")) * (F.col("cn") - F.col("cs")))
 
 
 def coverage_report(cells: DataFrame) -> DataFrame:

@@ -6,23 +6,30 @@ executors. The number of levels is the depth of the graph.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from terraloom.sources.storage import written
+from terraloom.sources.storage import shared_path, written
 
 
 def closure(edges: DataFrame, seeds: DataFrame, max_levels: int = 10_000) -> DataFrame:
-    """All nodes that the seeds (`id`) reach over edges (id -> parent_id), each with its least `depth` (0 for a seed)."""
-    seen = written(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "closure")
-    frontier = seen
-    for depth in range(1, max_levels):
-        step = edges.join(frontier.select("id"), "id").select(F.col("parent_id").alias("id")).where("id is not null").distinct()
-        frontier = written(step.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)), "closure")
+    """All nodes that the seeds (`id`) reach over edges (id -> parent_id), each with its least `depth` (0 for a seed).
+
+    A level is written once, beside the earlier ones; what was seen is read from all of them, ids only.
+    """
+    spark, base = edges.sparkSession, shared_path(edges.sparkSession, "closure")
+    ids = T.StructType([edges.schema["parent_id"]])
+    seen = lambda: spark.read.schema(f"id {ids[0].dataType.simpleString()}, depth int").option("basePath", base).parquet(base)
+    frontier = seeds.select("id").distinct()
+    for depth in range(max_levels):
+        path = f"{base}/depth={depth}"
+        frontier.write.parquet(path)
+        frontier = spark.read.schema(frontier.schema).parquet(path)
         if not frontier.take(1):
-            return seen
-        seen = written(seen.unionByName(frontier), "closure")
+            return seen()
+        step = edges.join(frontier, "id").select(F.col("parent_id").alias("id")).where("id is not null").distinct()
+        frontier = step.join(seen().select("id"), "id", "left_anti")
     raise ValueError("the graph is deeper than max_levels")
 
 
@@ -41,17 +48,29 @@ def cyclic_nodes(edges: DataFrame) -> DataFrame:
 
 
 def topological_depth(edges: DataFrame) -> DataFrame:
-    """Depth of every node, parents first: 0 without a parent, else one more than its deepest parent."""
-    if cyclic_nodes(edges).take(1):
+    """Depth of every node, parents first: 0 without a parent, else one more than its deepest parent. A cycle is an error.
+
+    A node settles in the round after its last parent: each round writes how many edges arrive at the children of the nodes just
+    settled, and a child settles when all its edges have arrived.
+    """
+    spark, base = edges.sparkSession, shared_path(edges.sparkSession, "topology")
+    edges = written(edges.select("id", "parent_id").where("id is not null and parent_id is not null").distinct(), "topology-edges")
+    nodes = edges.select("id").union(edges.select("parent_id")).distinct()
+    wanted = written(edges.groupBy("id").agg(F.count("*").alias("_n")), "topology-wanted")
+    frontier = written(nodes.join(wanted, "id", "left_anti").withColumn("depth", F.lit(0)), "topology-level")
+    out, depth = frontier, 0
+    while frontier.take(1):
+        depth += 1
+        arrived = edges.join(frontier.select(F.col("id").alias("parent_id")), "parent_id").groupBy("id").agg(F.count("*").alias("_k"))
+        arrived.write.parquet(f"{base}/round={depth}")
+        now = spark.read.schema(arrived.schema).parquet(f"{base}/round={depth}").select("id")
+        so_far = spark.read.schema(arrived.schema).parquet(base).join(now, "id", "left_semi").groupBy("id").agg(F.sum("_k").alias("_k"))
+        settled = so_far.join(wanted, "id").where("_k = _n").select("id", F.lit(depth).alias("depth"))
+        frontier = written(settled, "topology-level")
+        out = out.unionByName(frontier)
+    if out.count() != nodes.count():
         raise ValueError("the graph has a cycle")
-    nodes = edges.select("id").union(edges.select("parent_id")).distinct().where("id is not null")
-    depth = written(nodes.withColumn("depth", F.lit(0)), "depth")
-    while True:
-        up = edges.join(depth.select(F.col("id").alias("parent_id"), F.col("depth").alias("_d")), "parent_id").groupBy("id").agg((F.max("_d") + 1).alias("_n"))
-        new = written(depth.join(up, "id", "left").select("id", F.coalesce("_n", F.lit(0)).alias("depth")), "depth")
-        if new.agg(F.sum("depth")).first() == depth.agg(F.sum("depth")).first():
-            return new
-        depth = new
+    return out
 
 
 def project_jobs(seeds: DataFrame, derived: DataFrame) -> DataFrame:
@@ -72,43 +91,51 @@ def steps(chain: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def relation_geometry(members: DataFrame, ways: DataFrame, max_depth: int = 8) -> DataFrame:
-    """Ways of each relation, nested relations resolved to `max_depth`; members: relation_id, type, ref."""
+    """Ways of each relation, nested relations resolved; members: relation_id, type, ref. A relation nested deeper than `max_depth` is an error."""
     level = members.select(F.col("relation_id").alias("root"), "type", "ref")
     found = level.where("type = 'way'")
     for _ in range(max_depth - 1):
         level = level.where("type = 'relation'").select("root", F.col("ref").alias("relation_id")).join(members, "relation_id").select("root", "type", "ref").distinct()
+        level = written(level, "relations")
         found = found.unionByName(level.where("type = 'way'"))
+    deeper = level.where("type = 'relation'").select(F.col("ref").alias("relation_id"))
+    if deeper.join(members.select("relation_id"), "relation_id", "left_semi").take(1):
+        raise ValueError("relations are nested deeper than max_depth")
     return found.distinct().join(ways, found["ref"] == ways["way_id"]).drop("ref", "type")
 
 
-def assemble_rings(segments: DataFrame, max_segments: int = 1024) -> DataFrame:
-    """Way segments (relation_id, way_id, first_node, last_node) -> closed rings by shared end nodes.
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of edges (a, b) of longs: (`node`, `label`), label the least node, for every node of an edge between two.
 
-    Every end node must join exactly two segment ends; relations with another count, or more than `max_segments` segments,
-    have `ok` false. The chain of a relation is followed in one group of bounded size.
+    Rounds of two joins: all greater neighbours of a node move to its least neighbour, then all lesser ones do.
+    """
+    turned = lambda d: d.unionByName(d.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
+    before = None
+    while True:
+        both = turned(now)
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = written(both.join(written(least, "components-least"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "components-large")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "components-least")
+        moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = written(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "components")
+        after = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if after == before:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+        before = after
+
+
+def assemble_rings(segments: DataFrame) -> DataFrame:
+    """Way segments (relation_id, way_id, first_node, last_node) -> `rings` of each relation, closed by shared end nodes, and `ok`.
+
+    Every end node must join exactly two segment ends, else `ok` is false and there are no rings. Then a ring is a connected
+    component of segments, whatever their number.
     """
-    sized = segments.groupBy("relation_id").agg(F.count("*").alias("_n"))
-    small = segments.join(sized.where(F.col("_n") <= max_segments), "relation_id", "left_semi")
-
-    def follow(g: pd.DataFrame) -> pd.DataFrame:
-        ends: dict = {}
-        for w, a, b in zip(g.way_id, g.first_node, g.last_node, strict=True):
-            ends.setdefault(a, []).append((w, b))
-            ends.setdefault(b, []).append((w, a))
-        good = all(len(x) == 2 for x in ends.values())
-        rings = 0
-        used: set = set()
-        for w, a, b in zip(g.way_id, g.first_node, g.last_node, strict=True):
-            if not good or w in used:
-                continue
-            used.add(w)
-            at = b
-            while at != a:
-                w, at = next((x, n) for x, n in ends[at] if x not in used)
-                used.add(w)
-            rings += 1
-        return pd.DataFrame({"relation_id": [g.relation_id.iloc[0]], "rings": [rings], "ok": [good]})
-
-    done = small.groupBy("relation_id").applyInPandas(follow, "relation_id long, rings long, ok boolean")
-    large = sized.where(F.col("_n") > max_segments).select("relation_id", F.lit(0).cast("bigint").alias("rings"), F.lit(False).alias("ok"))
-    return done.unionByName(large)
+    rows = written(segments.select("relation_id", "first_node", "last_node").withColumn("_seg", F.monotonically_increasing_id()), "segments")
+    ends = rows.select("relation_id", "_seg", F.explode(F.array("first_node", "last_node")).alias("_node"))
+    joints = ends.groupBy("relation_id", "_node").agg(F.count("*").alias("_n"), F.min("_seg").alias("a"), F.max("_seg").alias("b"))
+    good = written(joints.groupBy("relation_id").agg(F.bool_and(F.col("_n") == 2).alias("ok")), "rings-good")
+    label = components(joints.join(good.where("ok"), "relation_id", "left_semi").select("a", "b"))
+    labelled = rows.join(label.withColumnRenamed("node", "_seg"), "_seg", "left").select("relation_id", F.coalesce("label", "_seg").alias("label"))
+    rings = labelled.distinct().groupBy("relation_id").agg(F.count("*").alias("_rings"))
+    return good.join(rings, "relation_id").select("relation_id", F.when(F.col("ok"), F.col("_rings")).otherwise(F.lit(0)).alias("rings"), "ok")

@@ -221,60 +221,93 @@ def st_daily_counts(v):
 
 @query("SELECT user_id, date_trunc('minute', ts) AS minute, count(*) AS n, greatest(count(*) - 1, 0) AS refused FROM events GROUP BY 1, 2")
 def st_rate_limit(v):
-    return St.drain(St.minute_limit(_stream(v), 1), "minute", "complete")
+    return St.drain(St.minute_limit(_stream(v), 1), "minute", "update", ["user_id", "minute"])
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+w AS (SELECT user_id, event_id, i, ts AS begin, 1 AS n FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.event_id, e.i, CASE WHEN e.ts - w.begin >= INTERVAL 1 DAY THEN e.ts ELSE w.begin END, CASE WHEN e.ts - w.begin >= INTERVAL 1 DAY THEN 1 ELSE w.n + 1 END FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1)
+SELECT user_id, event_id, n > 2 AS refused FROM w""")
 def st_rate_limit_anchored(v):
     return St.drain(St.anchored_limit(_stream(v), 2, 86400), "anchored")
 
 
-@query("SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1")
+@query("SELECT CAST(ts AS DATE) AS day, count(*) AS n, count(DISTINCT user_id) * 0.95::DOUBLE AS low, count(DISTINCT user_id) * 1.05::DOUBLE AS high, TRUE AS near FROM events GROUP BY 1")
 def st_sessions(v):
-    return St.drain(St.sessions(_stream(v)), "sessions", "complete").select("day", "n")
+    d = St.drain(St.sessions(_stream(v)), "sessions", "complete")
+    exact = v.events.groupBy(F.to_date("ts").alias("day")).agg(F.count_distinct("user_id").alias("_u"))
+    low, high = (C("_u") * 0.95), (C("_u") * 1.05)  # the count of users is approximate, within a twentieth
+    return d.join(exact, "day").select("day", "n", low.alias("low"), high.alias("high"), C("users").between(low, high).alias("near"))
 
 
-@query("SELECT user_id AS monitor, count(DISTINCT event_id % 50) AS found FROM events GROUP BY 1")
+@query("SELECT user_id AS monitor, count(DISTINCT event_id % 50) AS found, array_to_string(list_sort(list(DISTINCT event_id % 50))[:20], ',') AS items FROM events GROUP BY 1")
 def st_new_items(v):
-    d = _stream(v).select(C("user_id").alias("monitor"), (C("event_id") % 50).alias("item_id"))
-    return St.drain(St.new_items(d), "new").select("monitor", "found")
+    d = _stream(v).select(C("user_id").alias("monitor"), (C("event_id") % 50).alias("item_id"), "ts")
+    return St.new_items(d, "new").select("monitor", "found", F.array_join("items", ",").alias("items"))
 
 
-@query("""WITH p AS (SELECT *, lag(status) OVER w AS ps, lag(bytes) OVER w AS pb, lag("at") OVER w AS pa FROM poll WINDOW w AS (PARTITION BY job_id ORDER BY seq))
-SELECT job_id, seq, round(CASE WHEN status = 'running' AND ps = 'running' AND bytes > pb AND epoch_us("at") > epoch_us(pa) THEN (bytes - pb) * 1000 / ((epoch_us("at") - epoch_us(pa)) / 1000.0::DOUBLE) END, 3) AS rate FROM p WHERE NOT coalesce(status = 'running' AND ps = 'running' AND bytes >= pb AND NOT (bytes > pb AND epoch_us("at") > epoch_us(pa)), FALSE)""")
+def _polls(v):
+    return _stream(v).select(C("user_id").alias("job_id"), C("event_id").alias("seq"), C("ts").alias("at"), F.when(C("event_type") == "signup", "queued").otherwise("running").alias("status"), F.floor(C("event_id") * 977 % 100000 / 20000).alias("bytes"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id AS job_id, event_id AS seq, epoch_us(ts) / 1000.0::DOUBLE AS ms, CASE WHEN event_type = 'signup' THEN 'queued' ELSE 'running' END AS status, (event_id * 977 % 100000) // 20000 AS bytes, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+w AS (SELECT job_id, seq, i, ms, status, bytes, ms AS moved, 0.0::DOUBLE AS idle, NULL::DOUBLE AS rate FROM e WHERE i = 1
+UNION ALL SELECT job_id, seq, i, ms, status, bytes, moved, idle, CASE WHEN status <> 'running' THEN NULL WHEN going AND bytes > pb AND ms > pms THEN (bytes - pb) * 1000 / (ms - pms) WHEN going AND idle < 5000 THEN prate END
+FROM (SELECT *, CASE WHEN status = 'running' THEN greatest(0, ms - moved) ELSE 0 END AS idle FROM (SELECT *, CASE WHEN NOT going OR bytes > pb THEN ms ELSE pmoved END AS moved
+FROM (SELECT e.job_id, e.seq, e.i, e.ms, e.status, e.bytes, w.bytes AS pb, w.ms AS pms, w.moved AS pmoved, w.rate AS prate, e.status = 'running' AND w.status = 'running' AND e.bytes >= w.bytes AS going FROM w JOIN e ON e.job_id = w.job_id AND e.i = w.i + 1) x) y) z)
+SELECT job_id, seq, round(idle, 3) AS idle_ms, round(rate, 9) AS rate FROM w""")
 def st_download_progress(v):
-    e = _stream(v)
-    polls = e.select(C("user_id").alias("job_id"), C("event_id").alias("seq"), C("ts").alias("at"), F.when(C("event_type") == "signup", "queued").otherwise("running").alias("status"), (C("event_id") * 977 % 100000).alias("bytes"))
-    out = St.drain(St.download_progress(polls), "progress")
-    kept = v.poll
-    from pyspark.sql import Window
+    return St.drain(St.download_progress(_polls(v)), "progress").select("job_id", "seq", F.round("idle_ms", 3).alias("idle_ms"), F.round("rate", 9).alias("rate"))
 
-    w = Window.partitionBy("job_id").orderBy("seq")
-    odd = (C("status") == "running") & (F.lag("status").over(w) == "running") & (C("bytes") >= F.lag("bytes").over(w)) & ~((C("bytes") > F.lag("bytes").over(w)) & (C("at") > F.lag("at").over(w)))
-    plain = kept.withColumn("_o", F.coalesce(odd, F.lit(False))).where("not _o").select("job_id", "seq")
-    return out.join(plain, ["job_id", "seq"]).select("job_id", "seq", F.round("rate", 3).alias("rate"))
+
+@query("""WITH l AS (SELECT user_id AS job_id, arg_max(event_type, event_id) AS last, arg_max(ts, event_id) AS seen FROM events GROUP BY 1), m AS (SELECT date_trunc('milliseconds', max(ts)) AS t FROM events)
+SELECT job_id, 'released' AS outcome, 0 AS charged FROM l, m WHERE last <> 'signup' AND date_trunc('milliseconds', seen) + INTERVAL 12 HOUR < t""")
+def st_lease_timeout(v):
+    return St.drain(St.lease_releases(_polls(v).select("job_id", "seq", "at", "status")), "leases")
 
 
 @query("""SELECT job_id, 'released' AS outcome, 0 AS charged FROM poll GROUP BY job_id HAVING arg_max(status, seq) = 'running' AND arg_max("at", seq) < TIMESTAMP '2024-01-31' - INTERVAL 12 HOUR""")
-def st_lease_timeout(v):
+def st_lease_timeout_batch(v):
     return St.expired_leases(v.poll, F.lit(dt.datetime(2024, 1, 31)), "12 hours")
 
 
+_LEDGER = """SELECT event_id // 3 AS execution, event_id AS seq, ts, CASE event_id % 3 WHEN 0 THEN 'reserve' WHEN 1 THEN CASE WHEN event_id % 2 = 0 THEN 'consume' ELSE 'release' END ELSE 'consume' END AS kind, event_id * 641 % 1000 AS micros FROM events WHERE NOT (event_id % 3 > 0 AND event_id % 11 < 3)"""
+
+
+@query(f"""WITH l AS ({_LEDGER}), f AS (SELECT execution, arg_min(kind, seq) AS kind, arg_min(micros, seq) AS micros FROM l WHERE kind <> 'reserve' GROUP BY 1), m AS (SELECT date_trunc('milliseconds', max(ts)) AS t FROM l)
+SELECT r.execution, r.micros AS reserved, coalesce(f.kind, 'expired') AS outcome, CASE f.kind WHEN 'consume' THEN least(f.micros, r.micros) ELSE 0 END AS charged FROM (SELECT * FROM l WHERE kind = 'reserve') r LEFT JOIN f USING (execution), m
+WHERE f.kind IS NOT NULL OR date_trunc('milliseconds', r.ts) + INTERVAL 1 HOUR < t""")
+def st_reserve_settle(v):
+    e = C("event_id")
+    d = _stream(v).where("not (event_id % 3 > 0 and event_id % 11 < 3)").select(F.floor(e / 3).alias("execution"), e.alias("seq"), "ts", F.when(e % 3 == 0, "reserve").when((e % 3 == 1) & (e % 2 == 1), "release").otherwise("consume").alias("kind"), (e * 641 % 1000).alias("micros"))
+    return St.drain(St.settlements(d), "settled")
+
+
 @query("""WITH l AS (SELECT id // 3 AS execution, id AS seq, CASE id % 3 WHEN 0 THEN 'reserve' WHEN 1 THEN CASE WHEN id % 2 = 0 THEN 'consume' ELSE 'release' END ELSE 'consume' END AS kind, received AS micros FROM job WHERE NOT (id % 3 > 0 AND id % 11 < 3)),
 f AS (SELECT execution, arg_min(kind, seq) AS kind, arg_min(micros, seq) AS micros FROM l WHERE kind <> 'reserve' GROUP BY 1) SELECT r.execution, r.micros AS reserved, coalesce(f.kind, 'open') AS outcome, CASE f.kind WHEN 'consume' THEN least(f.micros, r.micros) WHEN 'release' THEN 0 END AS charged FROM (SELECT * FROM l WHERE kind = 'reserve') r LEFT JOIN f USING (execution)""")
-def st_reserve_settle(v):
+def st_reserve_settle_batch(v):
     i = C("id")
     d = v.job.where("not (id % 3 > 0 and id % 11 < 3)").select(F.floor(i / 3).alias("execution"), i.alias("seq"), F.when(i % 3 == 0, "reserve").when((i % 3 == 1) & (i % 2 == 1), "release").otherwise("consume").alias("kind"), C("received").alias("micros"))
     return St.settle(d)
 
 
-@query("""SELECT event_id FROM usage_event WHERE "at" > TIMESTAMP '2024-01-20' - INTERVAL 7 DAY""")
+@query("""WITH RECURSIVE e AS (SELECT user_id AS k, event_id AS seq, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), w AS (SELECT k, seq, i, ts AS made, FALSE AS hit FROM e WHERE i = 1
+UNION ALL SELECT e.k, e.seq, e.i, CASE WHEN e.ts - w.made < INTERVAL 7 DAY THEN w.made ELSE e.ts END, e.ts - w.made < INTERVAL 7 DAY FROM w JOIN e ON e.k = w.k AND e.i = w.i + 1) SELECT k AS key, seq, hit FROM w""")
 def st_ttl_cache(v):
+    return St.drain(St.ttl_lookup(_stream(v).select(C("user_id").alias("key"), C("event_id").alias("seq"), "ts")), "ttl")
+
+
+@query("""SELECT event_id FROM usage_event WHERE "at" > TIMESTAMP '2024-01-20' - INTERVAL 7 DAY""")
+def st_ttl_cache_batch(v):
     return St.ttl_valid(v.usage_event, F.lit(NOW)).select("event_id")
 
 
-@query("""SELECT user_id AS job_id, min(event_id) AS seq, CASE arg_min(event_type, event_id) WHEN 'purchase' THEN 'succeeded' ELSE 'failed' END AS outcome FROM events WHERE event_type IN ('purchase', 'error') GROUP BY 1""")
+@query("""WITH e AS (SELECT user_id AS job_id, event_id AS seq, ts, CASE event_type WHEN 'purchase' THEN 'succeeded' WHEN 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'failed' WHEN event_id % 3 = 1 THEN 'cancelled' ELSE 'interrupted' END WHEN 'click' THEN 'queued' ELSE 'running' END AS status, event_id * 31 AS bytes FROM events),
+s AS (SELECT job_id, min(seq) AS first, arg_min(ts, seq) AS since FROM e WHERE status IN ('queued', 'running') GROUP BY 1), d AS (SELECT e.*, s.since, row_number() OVER (PARTITION BY e.job_id ORDER BY e.seq) AS i FROM e JOIN s ON s.job_id = e.job_id AND e.seq > s.first WHERE status NOT IN ('queued', 'running'))
+SELECT job_id, seq, status AS outcome, CASE status WHEN 'succeeded' THEN 'success' WHEN 'failed' THEN 'error' ELSE 'cancelled' END AS result, (epoch_us(ts) - epoch_us(since)) // 1000 AS duration_ms, CASE WHEN seq % 4 <> 0 THEN bytes END AS bytes, status = 'succeeded' AND seq % 5 <> 0 AS validated FROM d WHERE i = 1""")
 def st_watch_completion(v):
-    status = F.when(C("event_type") == "purchase", "succeeded").when(C("event_type") == "error", "failed").otherwise("running")
-    d = _stream(v).select(C("user_id").alias("job_id"), C("event_id").alias("seq"), status.alias("status"))
+    e = C("event_id")
+    ended = F.when(e % 3 == 0, "failed").when(e % 3 == 1, "cancelled").otherwise("interrupted")
+    status = F.when(C("event_type") == "purchase", "succeeded").when(C("event_type") == "error", ended).when(C("event_type") == "click", "queued").otherwise("running")
+    digest = F.when(e % 5 != 0, F.sha2(e.cast("string").cast("binary"), 256)).otherwise("none")
+    d = _stream(v).select(C("user_id").alias("job_id"), e.alias("seq"), "ts", status.alias("status"), F.when(e % 4 != 0, e * 31).alias("bytes"), digest.alias("sha256"))
     return St.drain(St.completions(d), "completions")

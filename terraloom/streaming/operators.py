@@ -1,15 +1,19 @@
-"""Streaming operators over events, polls and monitors, and a runner that drains a stream into a table.
+"""Streaming operators over events, polls and monitors, and runners that drain a stream.
 
-State is keyed (installation, job, monitor) and bounded by a watermark or a time to live, so it follows the live keys.
+State is keyed (installation, job, monitor and item, execution) and ends by a watermark on event time: windows close, and states of
+single keys time out when nothing has come for their time to live. So state follows the live keys.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from terraloom.sources.storage import shared_path
@@ -20,27 +24,54 @@ def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all there is and return what it wrote. In `complete` and `update` mode the last batch's rows stand."""
+def drain(stream: DataFrame, name: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Run a stream over all there is and return what it wrote.
+
+    In `complete` mode the last batch's rows stand; in `update` mode the last row of each of the `keys`.
+    """
     spark = stream.sparkSession
     out, state = shared_path(spark, name), shared_path(spark, f"{name}-checkpoint")
     empty = spark.createDataFrame([], stream.schema)
+    if mode == "update" and not keys:
+        raise ValueError("update mode needs the keys of a row")
     if mode == "append":
         writer = stream.writeStream.format("parquet").option("path", out).outputMode("append")
     else:
 
-        def put(batch: DataFrame, _: int) -> None:
-            batch.write.mode("overwrite").parquet(out)
+        def put(batch: DataFrame, number: int) -> None:
+            # a batch that is run again writes its own folder again
+            batch.write.mode("overwrite").parquet(f"{out}/batch={number if mode == 'update' else 0}")
 
         writer = stream.writeStream.foreachBatch(put).outputMode(mode)
-    query = writer.option("checkpointLocation", state).trigger(availableNow=True).start()
-    query.awaitTermination()
+    writer.option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     try:
-        return spark.read.schema(stream.schema).parquet(out)
+        rows = spark.read.schema(stream.schema if mode == "append" else T.StructType([*stream.schema, T.StructField("batch", T.LongType())])).parquet(out)
     except Exception as e:  # no batch ever ran
         if "PATH_NOT_FOUND" in str(e):
             return empty
         raise
+    if mode == "update":
+        rest = [c for c in stream.columns if c not in keys]
+        rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
+    return rows.select(*stream.columns)
+
+
+def drain_batches(stream: DataFrame, name: str, each: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Run a stream over all there is, each batch through `each` (a batch operator), and return what that gave."""
+    spark = stream.sparkSession
+    out = shared_path(spark, name)
+    schema = each(spark.createDataFrame([], stream.schema)).schema
+
+    def put(batch: DataFrame, number: int) -> None:
+        each(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", shared_path(spark, f"{name}-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    try:
+        return spark.read.schema(schema).parquet(out)
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return spark.createDataFrame([], schema)
+        raise
 
 
 def dedup(events: DataFrame, key: str = "event_id", late: str = "30 days") -> DataFrame:
@@ -62,16 +93,22 @@ def daily_counts(events: DataFrame) -> DataFrame:
     return events.withWatermark("ts", "1 day").groupBy(w, "event_type").agg(F.count("*").alias("n")).select(F.to_date("window.start").alias("day"), "event_type", "n")
 
 
-def minute_limit(events: DataFrame, most: int = 60) -> DataFrame:
-    """Requests per user and clock minute, and how many of them are refused."""
-    d = events.groupBy("user_id", F.window("ts", "1 minute").alias("_w")).agg(F.count("*").alias("n"))
+def minute_limit(events: DataFrame, most: int = 60, late: str = "1 day") -> DataFrame:
+    """Requests per user and clock minute, and how many of them are refused. A minute's state ends `late` after it."""
+    d = events.withWatermark("ts", late).groupBy("user_id", F.window("ts", "1 minute").alias("_w")).agg(F.count("*").alias("n"))
     return d.select("user_id", F.col("_w.start").alias("minute"), "n", F.greatest(F.col("n") - most, F.lit(0)).alias("refused"))
 
 
-def anchored_limit(events: DataFrame, most: int = 120, seconds: int = 60) -> DataFrame:
-    """Per client, windows that begin with its first request after the last window ended: user_id, event_id, refused."""
+def anchored_limit(events: DataFrame, most: int = 120, seconds: int = 60, late: str = "1 day") -> DataFrame:
+    """Per client, windows that begin with its first request after the last window ended: user_id, event_id, refused.
+
+    A client's state ends when its window has, by the watermark.
+    """
 
     def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         begin, n = state.get if state.exists else (0.0, 0)
         rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
         refused = []
@@ -81,10 +118,11 @@ def anchored_limit(events: DataFrame, most: int = 120, seconds: int = 60) -> Dat
             n += 1
             refused.append(n > most)
         state.update((begin, n))
+        state.setTimeoutTimestamp(max(int((begin + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"user_id": rows.user_id, "event_id": rows.event_id, "refused": refused})
 
-    d = events.select("user_id", "event_id", "ts").groupBy("user_id")
-    return d.applyInPandasWithState(step, "user_id long, event_id long, refused boolean", "begin double, n long", "append", GroupStateTimeout.NoTimeout)
+    d = events.withWatermark("ts", late).select("user_id", "event_id", "ts").groupBy("user_id")
+    return d.applyInPandasWithState(step, "user_id long, event_id long, refused boolean", "begin double, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def sessions(events: DataFrame, period: str = "1 day") -> DataFrame:
@@ -93,44 +131,64 @@ def sessions(events: DataFrame, period: str = "1 day") -> DataFrame:
     return d.select(F.to_date("_w.start").alias("day"), "users", "n")
 
 
-def new_items(sightings: DataFrame, listed: int = 20) -> DataFrame:
-    """First sightings per monitor: at most `listed` ids in an alert, the count in full. sightings: monitor, item_id."""
+def first_sightings(sightings: DataFrame, keep: str = "90 days") -> DataFrame:
+    """Each item of a monitor once, as long as it is seen again within `keep`. sightings: monitor, item_id, ts. State: one key an item."""
+    return sightings.withWatermark("ts", keep).dropDuplicatesWithinWatermark(["monitor", "item_id"]).select("monitor", "item_id")
 
-    def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = set(state.get[0]) if state.exists else set()
-        fresh = sorted(set(pd.concat(list(parts)).item_id) - seen)
-        state.update((sorted(seen | set(fresh)),))
-        if fresh:
-            yield pd.DataFrame({"monitor": [key[0]], "found": [len(fresh)], "items": [fresh[:listed]]})
 
-    return sightings.groupBy("monitor").applyInPandasWithState(step, "monitor long, found long, items array<long>", "seen array<long>", "append", GroupStateTimeout.NoTimeout)
+def alerts(fresh: DataFrame, listed: int = 20) -> DataFrame:
+    """New items of a batch by monitor: the count in full, and the first `listed` ids."""
+    place = F.row_number().over(Window.partitionBy("monitor").orderBy("item_id"))
+    first = fresh.withColumn("_n", place).where(F.col("_n") <= listed).groupBy("monitor").agg(F.sort_array(F.collect_list("item_id")).alias("items"))
+    return fresh.groupBy("monitor").agg(F.count("*").alias("found")).join(first, "monitor").select("monitor", "found", "items")
+
+
+def new_items(sightings: DataFrame, name: str, listed: int = 20, keep: str = "90 days") -> DataFrame:
+    """Alerts of all batches of a stream of sightings."""
+    return drain_batches(first_sightings(sightings, keep), name, lambda batch: alerts(batch, listed))
+
+
+def _alive(state: GroupState, last_ms: float, lease_ms: int) -> None:
+    state.setTimeoutTimestamp(max(int(last_ms) + lease_ms, state.getCurrentWatermarkMs() + 1))
+
 
+def download_progress(polls: DataFrame, late: str = "1 day", keep_ms: int = 86_400_000) -> DataFrame:
+    """Rate of every poll (job_id, seq, at, status, bytes): none after a restart or a change of status; a stalled one keeps its rate for 5 s.
 
-def download_progress(polls: DataFrame) -> DataFrame:
-    """Rate of every poll (job_id, seq, at, status, bytes): none after a restart or a change of status; a stalled one keeps its rate for 5 s."""
+    A job's state ends `keep_ms` after its last poll.
+    """
 
     def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old = state.get if state.exists else None
-        out = []
-        for r in pd.concat(list(parts)).sort_values("seq").itertuples():
-            at = r.at.value / 1e6
-            going = old is not None and r.status == "running" and old[0] == "running" and r.bytes >= old[1]
-            advanced = going and r.bytes > old[1]
-            moved = at if advanced or not going else old[3]
-            idle = max(0.0, at - moved) if r.status == "running" else 0.0
-            rate = None
-            if advanced and at > old[2]:
-                rate = (r.bytes - old[1]) * 1000 / (at - old[2])
-            elif going and idle < 5000:
-                rate = old[4]
-            rate = rate if r.status == "running" else None
-            out.append((key[0], r.seq, idle, rate))
-            old = (r.status, r.bytes, at, moved, rate)
-        state.update(old)
-        yield pd.DataFrame(out, columns=["job_id", "seq", "idle_ms", "rate"])
-
-    d = polls.groupBy("job_id")
-    return d.applyInPandasWithState(step, "job_id long, seq long, idle_ms double, rate double", "status string, bytes long, at double, moved double, rate double", "append", GroupStateTimeout.NoTimeout)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(parts)).sort_values("seq")
+        old = state.get if state.exists else (None, 0, 0.0, 0.0, None)
+        status = np.r_[np.array([old[0]], object), rows.status.to_numpy(object)]
+        size = np.r_[old[1], rows.bytes.to_numpy(np.int64)]
+        at = np.r_[old[2], rows["at"].astype("datetime64[ns]").astype("int64").to_numpy() / 1e6]
+        running = status[1:] == "running"
+        going = running & (status[:-1] == "running") & (size[1:] >= size[:-1])
+        advanced = going & (size[1:] > size[:-1])
+        # last time that it moved, and the rate of the last advance since it began
+        anchor = ~going | advanced
+        last = np.maximum.accumulate(np.where(anchor, np.arange(1, len(at)), 0))
+        moved = np.where(last > 0, at[last], old[3])
+        idle = np.where(running, np.maximum(0.0, at[1:] - moved), 0.0)
+        paid = advanced & (at[1:] > at[:-1])
+        rate = np.full(len(going), np.nan)
+        rate[paid] = (size[1:] - size[:-1])[paid] * 1000 / (at[1:] - at[:-1])[paid]
+        kept = going & ~paid & (idle < 5000)  # these keep the rate before them, which stands at the last row of another kind
+        own = np.maximum.accumulate(np.where(kept, 0, np.arange(1, len(at))))
+        rate = np.where(own > 0, np.r_[np.nan, rate][own], np.nan if old[4] is None else old[4])
+        rate[~running] = np.nan
+        final = None if np.isnan(rate[-1]) else float(rate[-1])
+        state.update((status[-1], int(size[-1]), float(at[-1]), float(moved[-1]), final))
+        _alive(state, at[-1], keep_ms)
+        yield pd.DataFrame({"job_id": key[0], "seq": rows.seq.to_numpy(), "idle_ms": idle, "rate": [None if np.isnan(x) else x for x in rate]})
+
+    d = polls.withWatermark("at", late).groupBy("job_id")
+    return d.applyInPandasWithState(step, "job_id long, seq long, idle_ms double, rate double", "status string, bytes long, at double, moved double, rate double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def settle(ledger: DataFrame) -> DataFrame:
@@ -142,46 +200,141 @@ def settle(ledger: DataFrame) -> DataFrame:
     return j.select("execution", "reserved", F.coalesce("_e.kind", F.lit("open")).alias("outcome"), charged.alias("charged"))
 
 
+def settlements(ledger: DataFrame, lease: str = "1 hour", late: str = "0 seconds") -> DataFrame:
+    """settle() as a stream: a row when an execution is consumed or released, or when its lease runs out (expired, no charge).
+
+    ledger: execution, seq, ts, kind, micros. After its end an execution is remembered for another lease, so that a second end counts for nothing.
+    """
+    lease_ms = int(pd.Timedelta(lease).total_seconds() * 1000)
+
+    def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        reserved, done = state.get if state.exists else (None, False)
+        if state.hasTimedOut:
+            state.remove()
+            if not done and reserved is not None:
+                yield pd.DataFrame({"execution": [key[0]], "reserved": [reserved], "outcome": ["expired"], "charged": [0]})
+            return
+        rows = pd.concat(list(parts)).sort_values("seq")
+        for kind, micros in zip(rows.kind, rows.micros, strict=True):
+            if kind == "reserve":
+                reserved = int(micros) if reserved is None else reserved
+            elif not done and reserved is not None:
+                done = True
+                yield pd.DataFrame({"execution": [key[0]], "reserved": [reserved], "outcome": [kind], "charged": [min(int(micros), reserved) if kind == "consume" else 0]})
+        state.update((reserved, done))
+        _alive(state, rows.ts.astype("datetime64[ns]").astype("int64").max() / 1e6, lease_ms)
+
+    d = ledger.withWatermark("ts", late).groupBy("execution")
+    return d.applyInPandasWithState(step, "execution long, reserved long, outcome string, charged long", "reserved long, done boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def expired_leases(work: DataFrame, now: Column, lease: str) -> DataFrame:
     """Running work whose last sign of life is older than its lease: released at no charge."""
     last = work.groupBy("job_id").agg(F.max_by(F.struct("status", "at"), "seq").alias("_l"))
     return last.where((F.col("_l.status") == "running") & (F.col("_l.at") < now - F.expr(f"interval {lease}"))).select("job_id", F.lit("released").alias("outcome"), F.lit(0).alias("charged"))
 
 
-def ttl_valid(entries: DataFrame, now: Column, days: int = 7) -> DataFrame:
-    return entries.where(F.col("at") > now - F.expr(f"interval {days} days"))
+def lease_releases(work: DataFrame, lease: str = "12 hours", late: str = "0 seconds") -> DataFrame:
+    """expired_leases() as a stream: job_id, outcome, charged when the watermark passes the last sign of life of running work by its lease.
 
+    work: job_id, seq, at, status.
+    """
+    lease_ms = int(pd.Timedelta(lease).total_seconds() * 1000)
 
-TERMINAL = ["succeeded", "failed", "cancelled"]
+    def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            running = state.get[0] == "running"
+            state.remove()
+            if running:
+                yield pd.DataFrame({"job_id": [key[0]], "outcome": ["released"], "charged": [0]})
+            return
+        rows = pd.concat(list(parts)).sort_values("seq")
+        seq, status, at = int(rows.seq.iloc[-1]), rows.status.iloc[-1], rows["at"].astype("datetime64[ns]").astype("int64").iloc[-1] / 1e6
+        if state.exists and state.get[1] > seq:
+            status, seq, at = state.get
+        state.update((status, seq, at))
+        _alive(state, at, lease_ms)
 
+    d = work.withWatermark("at", late).groupBy("job_id")
+    return d.applyInPandasWithState(step, "job_id long, outcome string, charged int", "status string, seq long, at double", "append", GroupStateTimeout.EventTimeTimeout)
 
-def completions(changes: DataFrame) -> DataFrame:
-    """One row when a watched job first reaches a terminal status: job_id, seq, outcome. changes: job_id, seq, status."""
+
+def ttl_valid(entries: DataFrame, now: Column, days: int = 7) -> DataFrame:
+    return entries.where(F.col("at") > now - F.expr(f"interval {days} days"))
+
+
+def ttl_lookup(requests: DataFrame, days: int = 7, late: str = "0 seconds") -> DataFrame:
+    """Whether each request (key, seq, ts) finds an entry that is younger than `days`; a miss makes one, which times out by itself."""
+    ttl_ms = days * 86_400_000
 
     def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
+        if state.hasTimedOut:
+            state.remove()
             return
-        rows = pd.concat(list(parts)).sort_values("seq")
-        done = rows[rows.status.isin(TERMINAL)]
-        if len(done):
-            state.update((True,))
-            yield pd.DataFrame({"job_id": [key[0]], "seq": [done.seq.iloc[0]], "outcome": [done.status.iloc[0]]})
+        made = state.get[0] if state.exists else None
+        rows, hits = pd.concat(list(parts)).sort_values(["ts", "seq"]), []
+        for t in rows.ts.astype("datetime64[ns]").astype("int64") / 1e6:
+            hits.append(made is not None and t - made < ttl_ms)
+            made = made if hits[-1] else t
+        state.update((made,))
+        _alive(state, made, ttl_ms)
+        yield pd.DataFrame({"key": key[0], "seq": rows.seq.to_numpy(), "hit": hits})
+
+    d = requests.withWatermark("ts", late).groupBy("key")
+    return d.applyInPandasWithState(step, "key long, seq long, hit boolean", "made double", "append", GroupStateTimeout.EventTimeTimeout)
+
 
-    return changes.groupBy("job_id").applyInPandasWithState(step, "job_id long, seq long, outcome string", "done boolean", "append", GroupStateTimeout.NoTimeout)
+TERMINAL = ["succeeded", "failed", "cancelled", "interrupted"]
 
 
-def append_events(stream: DataFrame, path: str, key: str = "event_id") -> None:
-    """Append valid events once per id: each batch is written without the ids that the table has; a retried batch adds nothing."""
+def completions(changes: DataFrame, late: str = "1 day", keep_ms: int = 30 * 86_400_000) -> DataFrame:
+    """A row when a watched job first reaches a terminal status: job_id, seq, outcome, result, duration_ms, bytes, validated.
+
+    changes: job_id, seq, ts, status, bytes, sha256. A job is watched from its first queued or running row; one that begins at its end is
+    not. It is validated if it succeeded and its digest is one. Its state ends `keep_ms` after the last change.
+    """
+    columns = ["job_id", "seq", "outcome", "result", "duration_ms", "bytes", "validated"]
+
+    def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        since, done = state.get if state.exists else (None, False)
+        rows = pd.concat(list(parts)).sort_values("seq")
+        at = rows.ts.astype("datetime64[ns]").astype("int64") / 1e6
+        for t, seq, status, size, digest in zip(at, rows.seq, rows.status, rows.bytes, rows.sha256, strict=True):
+            if done:
+                break
+            if status not in TERMINAL:
+                since = t if since is None else since
+            elif since is not None:
+                done = True
+                result = {"succeeded": "success", "failed": "error"}.get(status, "cancelled")
+                valid = status == "succeeded" and isinstance(digest, str) and re.fullmatch("[0-9a-fA-F]{64}", digest) is not None
+                yield pd.DataFrame([(key[0], seq, status, result, int(t - since), None if pd.isna(size) else int(size), valid)], columns=columns)
+        state.update((since, done))
+        _alive(state, at.max(), keep_ms)
+
+    d = changes.withWatermark("ts", late).groupBy("job_id")
+    return d.applyInPandasWithState(step, "job_id long, seq long, outcome string, result string, duration_ms long, bytes long, validated boolean", "since double, done boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def append_events(stream: DataFrame, path: str, key: str = "event_id", ts: str = "ts") -> None:
+    """Append valid events once per id to a table partitioned by `day`; a retried batch adds nothing.
+
+    An id's event has one time, so a batch is compared with the table's partitions of its own days only.
+    """
     spark = stream.sparkSession
 
     def put(batch: DataFrame, number: int) -> None:
-        fresh = batch.dropDuplicates([key])
+        fresh = batch.withColumn("day", F.to_date(ts)).dropDuplicates([key])
         try:
-            there = spark.read.parquet(path).select(key)
+            days = [r[0] for r in fresh.select("day").distinct().collect()]  # of one batch
+            there = spark.read.parquet(path).where(F.col("day").isin(days)).select(key)
             fresh = fresh.join(there, key, "left_anti")
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-        fresh.write.mode("append").parquet(path)
+        fresh.write.mode("append").partitionBy("day").parquet(path)
 
     stream.writeStream.foreachBatch(put).option("checkpointLocation", shared_path(spark, "append-checkpoint")).trigger(availableNow=True).start().awaitTermination()

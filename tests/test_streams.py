@@ -43,14 +43,42 @@ def test_dedup_and_append_over_batches(spark):
     assert sorted(r.event_id for r in spark.read.parquet(path).collect()) == list(range(20))
 
 
-def test_state_over_batches(spark):
-    rows = [(m, i) for m in (1, 2) for i in (5, 6, 5, 7, 6, 30 + m)]
-    found = St.drain(St.new_items(several_batches(spark, rows, "monitor long, item_id long"), listed=2), "new").collect()
+def test_new_items_over_batches(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(m, i, t0) for m in (1, 2) for i in (5, 6, 5, 7, 6, 30 + m)]
+    found = St.new_items(several_batches(spark, rows, "monitor long, item_id long, ts timestamp"), "new", listed=2).collect()
     assert {m: sum(r.found for r in found if r.monitor == m) for m in (1, 2)} == {1: 4, 2: 4}
-    assert all(len(r["items"]) <= 2 for r in found)
-    changes = [(j, s, ("queued", "running", "failed", "succeeded")[s] if j else "running") for j in range(3) for s in range(4)]
-    done = St.drain(St.completions(several_batches(spark, changes, "job_id long, seq long, status string", 1)), "done").collect()
-    assert sorted((r.job_id, r.outcome) for r in done) == [(1, "failed"), (2, "failed")]
+    assert all(len(r["items"]) == min(2, r.found) for r in found)
+
+
+def test_completions_once_and_only_of_watched_jobs(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(j, s, t0 + dt.timedelta(seconds=s), ("queued", "running", "failed", "succeeded")[s] if j else "running", 7, None) for s in range(4) for j in range(3)]
+    rows.append((9, 0, t0, "succeeded", 7, None))
+    schema = "job_id long, seq long, ts timestamp, status string, bytes long, sha256 string"
+    for parts in (1, 4):
+        done = St.drain(St.completions(several_batches(spark, rows, schema, parts)), "done").collect()
+        if parts == 1:
+            assert sorted((r.job_id, r.outcome, r.duration_ms) for r in done) == [(1, "failed", 2000), (2, "failed", 2000)]
+        assert len({r.job_id for r in done}) == len(done) and 9 not in {r.job_id for r in done}
+
+
+def test_update_mode_keeps_keys_of_earlier_batches(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(k % 3, t0 + dt.timedelta(seconds=k)) for k in range(9)] + [(7, t0)]
+    stream = several_batches(spark, rows, "user_id long, ts timestamp", 5)
+    got = {r.user_id: r.n for r in St.drain(St.minute_limit(stream, 1), "minutes", "update", ["user_id", "minute"]).collect()}
+    assert got == {0: 3, 1: 3, 2: 3, 7: 1}
+
+
+def test_leases_end_by_the_watermark(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    work = [(1, 1, t0, "running"), (2, 2, t0, "running"), (2, 3, t0 + dt.timedelta(hours=30), "running"), (3, 4, t0, "done"), (4, 5, t0 + dt.timedelta(hours=31), "running")]
+    got = St.drain(St.lease_releases(several_batches(spark, work, "job_id long, seq long, at timestamp, status string", 1)), "leases").collect()
+    assert [r.job_id for r in got] == [1]
+    ledger = [(1, 1, t0, "reserve", 10), (1, 2, t0, "consume", 70), (1, 3, t0, "consume", 9), (2, 4, t0, "reserve", 5), (3, 5, t0 + dt.timedelta(hours=5), "reserve", 4)]
+    got = St.drain(St.settlements(several_batches(spark, ledger, "execution long, seq long, ts timestamp, kind string, micros long", 1)), "settled").collect()
+    assert sorted(map(tuple, got)) == [(1, 10, "consume", 10), (2, 5, "expired", 0)]
 
 
 def test_leases_and_settlement(spark):

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,19 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: `spark.checkpoint.dir`, or an own one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="terraloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from terraloom.sources.storage import shared_path, written
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the folder that driver and executors share, which no other run uses."""
+    return shared_path(spark, name)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -34,10 +25,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage with a copy that outlives any executor, and gives later joins plain scans as inputs,
     whose skewed partitions adaptive execution can split.
     """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -50,7 +50,8 @@ def assign(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_revis
     """page, url, html, digest and `refers_to` (null for a response)."""
     rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", base32_sha1(F.col("html"))).withColumn("bytes", F.octet_length("html"))
-    largest = rows.where(F.col("bytes") >= min_revisit_bytes).groupBy("digest", "bytes").agg(F.max("page").alias("main"))
+    # only payloads that are there more than once
+    largest = rows.where(F.col("bytes") >= min_revisit_bytes).groupBy("digest", "bytes").agg(F.max("page").alias("main"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     joined = rows.join(materialize(largest, "warc-main"), ["digest", "bytes"], "left")
     return joined.withColumn("refers_to", F.when(~F.col("page").eqNullSafe(F.col("main")) & F.col("main").isNotNull(), F.col("main")))
 

@@ -11,6 +11,7 @@ CALIBRATION = [
     ("modis-09a1-v061", 0.0001, 0.0, -28672),
     ("modis-13q1-v061", 0.0001, 0.0, -3000),
     ("hls-l30-v2", 0.0001, 0.0, -9999),
+    ("viirs-09a1-v002", 0.0001, 0.0, -28672),
 ]
 
 # Vegetation layers (key, type, bits, scale, fill, least, greatest, kind).

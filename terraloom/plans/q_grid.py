@@ -88,20 +88,15 @@ def fn_projected_envelope(v):
     return out.select("item_id", *[F.round(c, 2).alias(c) for c in ("left", "bottom", "right", "top")])
 
 
-_TILES = """WITH b AS (SELECT item_id, w, s, e, n, unnest([4, 5, 6]) AS z FROM item WHERE s >= -85 AND n <= 85 AND o % 10 = 0),
+_TILES = """WITH b AS (SELECT item_id, w, s, e, n, unnest([4, 5, 6]) AS z FROM item WHERE s >= -85 AND n <= 85),
 t AS (SELECT *, pow(2, z) AS m FROM b),
 u AS (SELECT item_id, z, greatest(0, least(m - 1, floor((w + 180) / 360 * m))) AS x0, greatest(0, least(m - 1, ceil((e + 180) / 360 * m) - 1)) AS x1, greatest(0, least(m - 1, floor((1 - asinh(tan(radians(n))) / pi()) / 2 * m))) AS y0, greatest(0, least(m - 1, ceil((1 - asinh(tan(radians(s))) / pi()) / 2 * m) - 1)) AS y1 FROM t),
 x AS (SELECT item_id, z, y0, y1, unnest(range(CAST(x0 AS BIGINT), CAST(greatest(x1, x0) AS BIGINT) + 1)) AS x FROM u),
 tiles AS (SELECT item_id, z, x, unnest(range(CAST(y0 AS BIGINT), CAST(greatest(y1, y0) AS BIGINT) + 1)) AS y FROM x)"""
 
 
-def _tiles(v, some="o % 10 = 0"):
-    return G.lonlat_tiles(v.item.where(f"s >= -85 and n <= 85 and {some}").select("item_id", "w", "s", "e", "n"), 4, 6).select("item_id", "z", "x", "y")
-
-
-@query(f"{_TILES} SELECT item_id, CAST(z AS INT) AS z, x, y FROM tiles")
-def fn_lonlat_tiles(v):
-    return _tiles(v)
+def _tiles(v):
+    return G.lonlat_tiles(v.item.where("s >= -85 and n <= 85").select("item_id", "w", "s", "e", "n"), 4, 6).select("item_id", "z", "x", "y")
 
 
 _HILBERT = """WITH RECURSIVE k AS (SELECT CAST(p_partkey AS BIGINT) AS p, CAST(1 + p_partkey % 12 AS INT) AS z FROM part),
@@ -129,14 +124,6 @@ def fn_tile_coord(v):
     return d.select("p", C("t.z").alias("z"), C("t.x").alias("x"), C("t.y").alias("y"))
 
 
-@query(f"{_HILBERT}, r AS (SELECT p, ((1::BIGINT << (2 * z)) - 1) // 3 + d AS tile_id FROM h WHERE s = 0) SELECT p, row_number() OVER (ORDER BY tile_id, p) AS place FROM r QUALIFY place <= 200")
-def ord_tile_id(v):
-    d = _cells(v).select("p", G.tile_id(C("z"), C("x"), C("y")).alias("tile_id")).orderBy("tile_id", "p").limit(200)
-    from pyspark.sql import Window
-
-    return d.select("p", F.row_number().over(Window.orderBy("tile_id", "p")).cast("bigint").alias("place"))
-
-
 @query("SELECT p, round(x / pow(2, z) * 360 - 180, 6) AS w, round(degrees(atan(sinh(pi() * (1 - 2 * (y + 1) / pow(2, z))))), 6) AS s, round((x + 1) / pow(2, z) * 360 - 180, 6) AS e, round(degrees(atan(sinh(pi() * (1 - 2 * y / pow(2, z))))), 6) AS n FROM (SELECT CAST(p_partkey AS BIGINT) AS p, 1 + p_partkey % 12 AS z, (CAST(p_partkey AS BIGINT) * 7919) % (1 << (1 + p_partkey % 12)) AS x, (CAST(p_partkey AS BIGINT) * 104729) % (1 << (1 + p_partkey % 12)) AS y FROM part) t")
 def fn_tile_bounds(v):
     b = G.tile_bounds(C("z"), C("x"), C("y"))

@@ -198,11 +198,6 @@ def agg_masked_covered(v):
     return A.masked_covered(v.px, ["scene"], C("y") < 10, C("red") != 0)
 
 
-@query("SELECT scene, CAST(y // 8 AS BIGINT) AS block, sha256(string_agg(CAST(red AS VARCHAR), ',' ORDER BY y, x)) AS digest, count(*) AS n FROM px WHERE scene < 3 GROUP BY 1, 2")
-def agg_ordered_digest(v):
-    return A.ordered_digest(v.px.where("scene < 3"), "red", 8, ("scene",))
-
-
 @query("SELECT o % 40 AS g, min(w) AS w, min(s) AS s, max(e) AS e, max(n) AS n, CASE WHEN max(w) < min(e) AND max(s) < min(n) THEN max(w) END AS iw FROM item GROUP BY 1")
 def agg_bounds_union(v):
     return A.bounds_union(v.item.withColumn("g", C("o") % 40), ["g"]).select("g", "w", "s", "e", "n", "iw")
@@ -223,15 +218,15 @@ def agg_osm_counts(v):
     return counts.join(declared, "kind").select("kind", "n", (C("n") == C("declared")).alias("ok"))
 
 
-_CELLS = f"""WITH areas AS (SELECT * FROM ({_AREAS}) t WHERE area_id % 5 = 0),
+_CELLS = f"""WITH areas AS (SELECT * FROM ({_AREAS}) t),
 j AS (SELECT a.area_id, a.w, a.s, a.e, a.n, i.item_id, i.o, row_number() OVER (PARTITION BY a.area_id ORDER BY i.dt DESC, i.item_id) AS rank, i.w AS sw, i.s AS ss, i.e AS se, i.n AS sn FROM areas a JOIN item i ON i.w < a.e AND i.e > a.w AND i.s < a.n AND i.n > a.s),
 xs AS (SELECT DISTINCT area_id, unnest([w, e, greatest(w, sw), least(e, se)]) AS x FROM j), ys AS (SELECT DISTINCT area_id, unnest([s, n, greatest(s, ss), least(n, sn)]) AS y FROM j),
 xc AS (SELECT area_id, x AS cw, lead(x) OVER (PARTITION BY area_id ORDER BY x) AS ce FROM xs), yc AS (SELECT area_id, y AS cs, lead(y) OVER (PARTITION BY area_id ORDER BY y) AS cn FROM ys),
 cells AS (SELECT xc.area_id, cw, cs, ce, cn, min(rank) AS first_rank, arg_min(item_id, rank) AS first_item FROM xc JOIN yc USING (area_id) LEFT JOIN j ON j.area_id = xc.area_id AND sw <= cw AND se >= ce AND ss <= cs AND sn >= cn WHERE ce IS NOT NULL AND cn IS NOT NULL GROUP BY ALL)"""
 
 
-def _cover(v, some="area_id % 5 = 0"):
-    areas = _areas(v).where(some)
+def _cover(v):
+    areas = _areas(v)
     pairs = J.scenes_in_areas(v.item, areas, 5.0)
     from pyspark.sql import Window
 
@@ -241,23 +236,6 @@ def _cover(v, some="area_id % 5 = 0"):
     return A.coverage_cells(areas, scenes, keyed)
 
 
-@query(f"{_CELLS} SELECT area_id, round(sum(CASE WHEN first_rank IS NOT NULL THEN (ce - cw) * (cn - cs) ELSE 0 END) / sum((ce - cw) * (cn - cs)), 9) AS fraction, count(*) FILTER (WHERE first_rank IS NULL) AS gaps, FALSE AS complete FROM cells GROUP BY area_id")
-def agg_coverage_fraction(v):
-    r = A.coverage_report(_cover(v))
-    return r.select("area_id", F.round("fraction", 9).alias("fraction"), "gaps", "complete")
-
-
-@query(f"{_CELLS} SELECT area_id, cw, cs, ce, cn FROM cells WHERE first_rank IS NULL")
-def agg_coverage_gaps(v):
-    return _cover(v).where("first_rank is null").select("area_id", "cw", "cs", "ce", "cn")
-
-
-@query(f"{_CELLS}, k AS (SELECT DISTINCT area_id, first_item, first_rank FROM cells WHERE first_rank IS NOT NULL), r AS (SELECT area_id, first_item AS item_id, row_number() OVER (PARTITION BY area_id ORDER BY first_rank) AS place FROM k) SELECT area_id, item_id, CAST(place AS INT) AS place FROM r WHERE place <= 8")
-def win_cover_greedy(v):
-    k = A.covering_selection(_cover(v), 8)
-    return k.select("area_id", F.split_part("item_id", F.lit("@"), F.lit(2)).alias("item_id"), "place")
-
-
 def _report_sql():
     """One branch a counter: its name, its keys, and when an event belongs to it."""
     other = lambda c, absent="other": f"coalesce({c}, '{absent}')"
@@ -374,12 +352,6 @@ def agg_country_manifest(v):
     return A.country_manifest(v.site.select("country", F.length("name").alias("bytes"), F.when(C("id") % 6 == 0, "polar").otherwise("").alias("limitation")))
 
 
-@query(f"{_TILES} SELECT CAST(z AS INT) AS z, count(*) AS tiles, count(DISTINCT (x + y) % 17) AS contents FROM (SELECT DISTINCT z, x, y FROM tiles) t GROUP BY z")
-def agg_tile_contents(v):
-    t = _tiles(v).select("z", "x", "y").distinct()
-    return A.tile_contents(t.withColumn("data", ((C("x") + C("y")) % 17).cast("string")))
-
-
 # --- ordered operators
 
 
@@ -455,11 +427,6 @@ def page_offset(v):
     return W.page(v.item.select("item_id"), ["item_id"], 100, 50).select("item_id", "total", "next_offset", "complete")
 
 
-@query("WITH g AS (SELECT i.k AS i, j.k AS j, i.k * 50 // 20 AS x, j.k * 8 // 5 AS y FROM (SELECT unnest(range(20)) AS k) i, (SELECT unnest(range(5)) AS k) j) SELECT scene, CAST(i AS INT) AS i, CAST(j AS INT) AS j, red FROM px JOIN g USING (x, y)")
-def smp_preview(v):
-    return W.preview(v.px, 50, 8, 20, 5).select("scene", "i", "j", "red")
-
-
 _PTS = "SELECT CAST(c_custkey AS BIGINT) AS id, CAST(floor(c_custkey * 7 % 500 / 10) AS INT) AS x, CAST(floor(c_custkey * 13 % 80 / 10) AS INT) AS y FROM customer"
 
 
@@ -501,12 +468,6 @@ def set_equal(v):
     return K.set_difference(v.item.where("o % 6 <> 1").select(C("o").alias("id")), v.item.where("o % 6 <> 0").select(C("o").alias("id")))
 
 
-@query(f"{_TILES} SELECT DISTINCT CAST(z AS INT) AS z, x, y FROM tiles WHERE (x + y) % 3 = 0")
-def set_absent(v):
-    t = _tiles(v).select("z", "x", "y").distinct()
-    return K.absent(t, t.where("(x + y) % 3 <> 0"))
-
-
 @query("SELECT o AS id, CASE WHEN o % 4 = 0 THEN 'pinned' ELSE 'offered' END AS href FROM item")
 def set_add_scenes(v):
     return K.add_scenes(v.item.where("o % 4 = 0").select(C("o").alias("id"), F.lit("pinned").alias("href")), v.item.select(C("o").alias("id"), F.lit("offered").alias("href")), ["id"])
@@ -541,8 +502,6 @@ def graph_closure(v):
     return Gr.closure(v.job_edge, seeds)
 
 
-
-
 @query("SELECT id FROM (SELECT CAST(p_partkey AS BIGINT) AS id FROM part WHERE p_partkey % 20 < 9) t")
 def graph_cycle(v):
     p = C("p_partkey").cast("bigint")
@@ -568,15 +527,6 @@ def graph_bad_pins(v):
     return Gr.bad_pins(edges, v.part.select(C("p_partkey").cast("bigint").alias("id")).withColumn("sha", sha(C("id"))))
 
 
-@query("SELECT CAST(s_suppkey AS BIGINT) AS root, CAST(count(DISTINCT w) AS BIGINT) AS ways FROM (SELECT s_suppkey, unnest([s_suppkey, s_suppkey + 1, s_suppkey + 2]) AS r FROM supplier) t JOIN (SELECT s_suppkey AS r2, unnest([s_suppkey * 2, s_suppkey * 3]) AS w FROM supplier) u ON u.r2 = t.r JOIN part ON p_partkey = w WHERE s_suppkey % 3 = 0 GROUP BY 1")
-def graph_osm_relation(v):
-    i = C("s_suppkey").cast("bigint")
-    own = v.supplier.select(i.alias("relation_id"), F.explode(F.array(i * 2, i * 3)).alias("ref")).select("relation_id", F.lit("way").alias("type"), "ref")
-    sub = v.supplier.where("s_suppkey % 3 <> 2").select(i.alias("relation_id"), F.lit("relation").alias("type"), (i + 1).alias("ref"))
-    d = Gr.relation_geometry(own.unionByName(sub), v.part.select(C("p_partkey").cast("bigint").alias("way_id")), 3)
-    return d.where("root % 3 = 0").groupBy("root").agg(F.count("*").alias("ways"))
-
-
 @query("SELECT CAST(s_suppkey AS BIGINT) AS relation_id, CAST(CASE WHEN s_suppkey % 4 = 0 THEN 0 ELSE 2 END AS BIGINT) AS rings, s_suppkey % 4 <> 0 AS ok FROM supplier")
 def graph_ring_assembly(v):
     i = C("s_suppkey").cast("bigint")
@@ -585,13 +535,6 @@ def graph_ring_assembly(v):
     return Gr.assemble_rings(v.supplier.select(i.alias("relation_id"), s.alias("s")).select("relation_id", "s.*"))
 
 
-@query("""WITH RECURSIVE c AS (SELECT CAST(p_partkey AS BIGINT) AS output, CAST(p_partkey AS BIGINT) AS id, 0 AS depth FROM part WHERE p_partkey = 100 UNION ALL SELECT output, parent_id, depth + 1 FROM c JOIN job_edge e ON e.id = c.id) SELECT output, string_agg(concat('op', CAST(id % 5 AS VARCHAR)), '>' ORDER BY depth DESC) AS operations FROM c GROUP BY output""")
-def lin_steps(v):
-    chain = Gr.closure(v.job_edge, v.job_edge.where("id = 100").select("id")).withColumn("output", F.lit(100).cast("bigint"))
-    nodes = v.part.select(C("p_partkey").cast("bigint").alias("id"), F.concat(F.lit("op"), (C("p_partkey") % 5).cast("string")).alias("operation"))
-    return Gr.steps(chain, nodes).select("output", F.array_join("operations", ">").alias("operations"))
-
-
 # --- datasets
 
 
@@ -604,14 +547,6 @@ def res_defaults(v):
     return Rs.with_defaults(req, F.broadcast(presets)).select("id", "year", "layer", "reason")
 
 
-@query("""WITH b AS (SELECT item_id, CAST(floor(w / 5) AS BIGINT) * 5 AS w5, CAST(ceil(e / 5) AS BIGINT) * 5 AS e5, CAST(floor(s / 5) AS BIGINT) * 5 AS s5, CAST(ceil(n / 5) AS BIGINT) * 5 AS n5 FROM item WHERE o % 4 = 0),
-x AS (SELECT item_id, s5, n5, unnest(range(w5, e5, 5)) AS a FROM b), y AS (SELECT item_id, a, unnest(range(s5, n5, 5)) AS b FROM x), z AS (SELECT *, unnest(['map', 'mask']) AS l FROM y)
-SELECT item_id, concat(CASE WHEN b < 0 THEN 'S' ELSE 'N' END, lpad(CAST(abs(b) AS VARCHAR), 2, '0'), CASE WHEN a < 0 THEN 'W' ELSE 'E' END, lpad(CAST(abs(a) AS VARCHAR), 3, '0'), '_', l) AS source FROM z""")
-def res_tiles(v):
-    req = v.item.where("o % 4 = 0").select("item_id", "w", "s", "e", "n", F.array(F.lit("map"), F.lit("mask")).alias("layers"))
-    return Rs.tiles(req, 5).select("item_id", "source")
-
-
 @query("SELECT item_id, CAST(date_trunc('month', dt) AS TIMESTAMP) AS first, CAST(last_day(dt) + 1 AS TIMESTAMP) - INTERVAL 1 SECOND AS last FROM item")
 def res_month_window(v):
     a, b = Rs.month_window(F.year("dt"), F.month("dt"))

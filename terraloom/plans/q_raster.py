@@ -9,14 +9,19 @@ from terraloom.operators import mosaic as M
 from terraloom.plans.registry import query
 
 
-
 def _complete():
     return (F.col("red") != 0) & (F.col("green") != 0) & (F.col("blue") != 0)
 
 
-@query("""SELECT scene, x, y, CASE WHEN red <> 0 THEN red * 0.0000275::DOUBLE + -0.2::DOUBLE END AS reflectance FROM px""")
+_products = ", ".join(f"({k}, {scale}::DOUBLE, {offset}::DOUBLE, {nodata})" for k, (_, scale, offset, nodata) in enumerate(R.CALIBRATION))
+
+
+@query(f"""SELECT scene, x, y, CASE WHEN v <> nodata THEN v * scale + off END AS reflectance FROM (SELECT scene, x, y, CASE WHEN (x + y) % 7 = 0 THEN nodata ELSE red END AS v, scale, off, nodata
+FROM px JOIN (VALUES {_products}) c(k, scale, off, nodata) ON scene % {len(R.CALIBRATION)} = k) t""")
 def fn_calibrate(v):
-    px = v.px.select("scene", "x", "y", F.col("red").alias("value"), F.lit("landsat-c2-l2").alias("product"))
+    k = (F.col("scene") % len(R.CALIBRATION) + 1).cast("int")
+    pick = lambda i: F.element_at(F.array(*[F.lit(c[i]) for c in R.CALIBRATION]), k)
+    px = v.px.select("scene", "x", "y", F.when((F.col("x") + F.col("y")) % 7 == 0, pick(3)).otherwise(F.col("red")).alias("value"), pick(0).alias("product"))
     return R.calibrate(px, R.calibration_table(v.spark)).select("scene", "x", "y", "reflectance")
 
 
@@ -31,16 +36,16 @@ def fn_band_layer(v):
     return joined.groupBy("layer", "data_type", "bits", "scale", "kind").agg(F.count("*").alias("n"), F.count_if(F.col("ndvi").between(F.col("low"), F.col("high")) & (F.col("ndvi") != F.col("fill"))).alias("inside"))
 
 
-@query("""SELECT scene, x, y, (ndvi <> -1 AND ndvi BETWEEN 1 AND 366 AND ndvi <= CASE WHEN (1996 + scene) % 4 = 0 AND ((1996 + scene) % 100 <> 0 OR (1996 + scene) % 400 = 0) THEN 366 ELSE 365 END) AS ok FROM px WHERE ndvi BETWEEN -5 AND 400""")
+@query("""SELECT scene, x, y, (ndvi <> -1 AND ndvi BETWEEN 1 AND 366 AND ndvi <= CASE WHEN (1996 + scene) % 4 = 0 AND ((1996 + scene) % 100 <> 0 OR (1996 + scene) % 400 = 0) THEN 366 ELSE 365 END) AS ok FROM px""")
 def fn_within_range(v):
     ok = R.within_range(F.col("ndvi"), F.lit(-1), F.lit(1), F.lit(366), F.lit("date"), F.col("scene") + 1996)
-    return v.px.where("ndvi between -5 and 400").select("scene", "x", "y", ok.alias("ok"))
+    return v.px.select("scene", "x", "y", ok.alias("ok"))
 
 
 @query("""SELECT scene, x, y, CASE WHEN ndvi BETWEEN 1 AND CASE WHEN (1996 + scene) % 4 = 0 AND ((1996 + scene) % 100 <> 0 OR (1996 + scene) % 400 = 0) THEN 366 ELSE 365 END
-THEN make_date(1996 + scene, 1, 1) + CAST(ndvi - 1 AS INT) END AS day FROM px WHERE ndvi BETWEEN -5 AND 400""")
+THEN make_date(1996 + scene, 1, 1) + CAST(ndvi - 1 AS INT) END AS day FROM px""")
 def fn_doy_to_date(v):
-    return v.px.where("ndvi between -5 and 400").select("scene", "x", "y", R.doy_to_date(F.col("scene") + 1996, F.col("ndvi")).alias("day"))
+    return v.px.select("scene", "x", "y", R.doy_to_date(F.col("scene") + 1996, F.col("ndvi")).alias("day"))
 
 
 @query("SELECT scene, x, y, CASE WHEN ndvi > 0 THEN round(10 * log10(CAST(ndvi AS DOUBLE)), 6) END AS db FROM px")
@@ -195,11 +200,6 @@ def mos_polygon_mask(v):
     return m.agg(F.count_if("masked").alias("masked"), F.count_if(~F.col("masked")).alias("kept"), F.sum("value").alias("total"))
 
 
-@query("SELECT x, y, coalesce(arg_max(qa_pixel, scene) FILTER (WHERE qa_pixel & 1 = 0), arg_max(qa_pixel, scene)) AS value, bool_or(qa_pixel & 1 = 0) AS covered FROM px WHERE scene % 7 < 2 GROUP BY x, y")
-def mos_landsat_qa(v):
-    return M.mosaic_flags(v.px.where("scene % 7 < 2"), "qa_pixel", ~R.any_bit(F.col("qa_pixel"), 1), ["scene"])
-
-
 @query("SELECT x, y, arg_max(qc, scene) FILTER (WHERE qc <> 4294967295) AS value, arg_max(scene, scene) FILTER (WHERE qc <> 4294967295) AS winner, bool_or(qc <> 4294967295) AS covered FROM px GROUP BY x, y")
 def mos_modis_qa(v):
     return M.mosaic_newest(v.px, "qc", F.col("qc") != 4294967295, ["scene"])

@@ -143,14 +143,6 @@ def src_package_index(v):
     return S.package_index(v.spark, path).groupBy(F.coalesce("reason", F.lit("ok")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT item_id AS path, x, y, CASE WHEN red = 0 THEN NULL ELSE CAST(red - 10000 AS INT) END AS height FROM px WHERE x < 4 AND y < 4")
-def src_hgt_grid(v):
-    word = F.lpad(F.hex((F.when(C("red") == 0, -32768).otherwise(C("red") - 10000) + 65536) % 65536), 4, "0")
-    grid = v.px.where("x < 4 and y < 4").select("item_id", F.struct("y", "x", word.alias("h")).alias("c"))
-    files = grid.groupBy(C("item_id").alias("path")).agg(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list("c")), lambda p: p["h"]), "")).alias("content"))
-    return S.hgt_grid(files, 4)
-
-
 @query("SELECT 6 AS z, CAST(p_partkey % 64 AS BIGINT) AS x, 63 - CAST(p_partkey // 64 % 70 AS BIGINT) AS y, count(*) > 1 AS repeated, p_partkey // 64 % 70 > 63 AS outside FROM (SELECT p_partkey FROM part UNION ALL SELECT p_partkey FROM part WHERE p_partkey % 50 = 0) t GROUP BY 1, 2, 3, 5")
 def src_tile_rows(v):
     p = C("p_partkey").cast("bigint")

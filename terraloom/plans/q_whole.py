@@ -1,4 +1,4 @@
-"""The jobs over whole tables whose first queries, with their SQL, stop at some ids."""
+"""Queries of grids, covers, tiles and chains that need more than one step around their operator."""
 
 from __future__ import annotations
 
@@ -19,63 +19,61 @@ from terraloom.sources import readers as S
 from terraloom.sources.storage import written
 
 C = F.col
-_ALL_TILES = _TILES.replace(" AND o % 10 = 0", "")
-_ALL_CELLS = _CELLS.replace(" WHERE area_id % 5 = 0", "")
 
 
 @query("SELECT scene, CAST(y // 8 AS BIGINT) AS block, sha256(string_agg(CAST(red AS VARCHAR), ',' ORDER BY y, x)) AS digest, count(*) AS n FROM px GROUP BY 1, 2")
-def agg_ordered_digest_all(v):
+def agg_ordered_digest(v):
     return A.ordered_digest(v.px, "red", 8, ("scene",))
 
 
-@query(f"{_ALL_CELLS} SELECT area_id, round(sum(CASE WHEN first_rank IS NOT NULL THEN (ce - cw) * (cn - cs) ELSE 0 END) / sum((ce - cw) * (cn - cs)), 9) AS fraction, count(*) FILTER (WHERE first_rank IS NULL) AS gaps, FALSE AS complete FROM cells GROUP BY area_id")
-def agg_coverage_fraction_all(v):
-    return A.coverage_report(_cover(v, "true")).select("area_id", F.round("fraction", 9).alias("fraction"), "gaps", "complete")
+@query(f"{_CELLS} SELECT area_id, round(sum(CASE WHEN first_rank IS NOT NULL THEN (ce - cw) * (cn - cs) ELSE 0 END) / sum((ce - cw) * (cn - cs)), 9) AS fraction, count(*) FILTER (WHERE first_rank IS NULL) AS gaps, FALSE AS complete FROM cells GROUP BY area_id")
+def agg_coverage_fraction(v):
+    return A.coverage_report(_cover(v)).select("area_id", F.round("fraction", 9).alias("fraction"), "gaps", "complete")
 
 
-@query(f"{_ALL_CELLS} SELECT area_id, cw, cs, ce, cn FROM cells WHERE first_rank IS NULL")
-def agg_coverage_gaps_all(v):
-    return _cover(v, "true").where("first_rank is null").select("area_id", "cw", "cs", "ce", "cn")
+@query(f"{_CELLS} SELECT area_id, cw, cs, ce, cn FROM cells WHERE first_rank IS NULL")
+def agg_coverage_gaps(v):
+    return _cover(v).where("first_rank is null").select("area_id", "cw", "cs", "ce", "cn")
 
 
-@query(f"{_ALL_CELLS}, k AS (SELECT DISTINCT area_id, first_item, first_rank FROM cells WHERE first_rank IS NOT NULL), r AS (SELECT area_id, first_item AS item_id, row_number() OVER (PARTITION BY area_id ORDER BY first_rank) AS place FROM k) SELECT area_id, item_id, CAST(place AS INT) AS place FROM r WHERE place <= 8")
-def win_cover_greedy_all(v):
-    k = A.covering_selection(_cover(v, "true"), 8)
+@query(f"{_CELLS}, k AS (SELECT DISTINCT area_id, first_item, first_rank FROM cells WHERE first_rank IS NOT NULL), r AS (SELECT area_id, first_item AS item_id, row_number() OVER (PARTITION BY area_id ORDER BY first_rank) AS place FROM k) SELECT area_id, item_id, CAST(place AS INT) AS place FROM r WHERE place <= 8")
+def win_cover_greedy(v):
+    k = A.covering_selection(_cover(v), 8)
     return k.select("area_id", F.split_part("item_id", F.lit("@"), F.lit(2)).alias("item_id"), "place")
 
 
-@query(f"{_ALL_TILES} SELECT item_id, CAST(z AS INT) AS z, x, y FROM tiles")
-def fn_lonlat_tiles_all(v):
-    return _tiles(v, "true")
+@query(f"{_TILES} SELECT item_id, CAST(z AS INT) AS z, x, y FROM tiles")
+def fn_lonlat_tiles(v):
+    return _tiles(v)
 
 
-@query(f"{_ALL_TILES} SELECT CAST(z AS INT) AS z, count(*) AS tiles, count(DISTINCT (x + y) % 17) AS contents FROM (SELECT DISTINCT z, x, y FROM tiles) t GROUP BY z")
-def agg_tile_contents_all(v):
-    t = _tiles(v, "true").select("z", "x", "y").distinct()
+@query(f"{_TILES} SELECT CAST(z AS INT) AS z, count(*) AS tiles, count(DISTINCT (x + y) % 17) AS contents FROM (SELECT DISTINCT z, x, y FROM tiles) t GROUP BY z")
+def agg_tile_contents(v):
+    t = _tiles(v).select("z", "x", "y").distinct()
     return A.tile_contents(t.withColumn("data", ((C("x") + C("y")) % 17).cast("string")))
 
 
-@query(f"{_ALL_TILES} SELECT DISTINCT CAST(z AS INT) AS z, x, y FROM tiles WHERE (x + y) % 3 = 0")
-def set_absent_all(v):
-    t = _tiles(v, "true").select("z", "x", "y").distinct()
+@query(f"{_TILES} SELECT DISTINCT CAST(z AS INT) AS z, x, y FROM tiles WHERE (x + y) % 3 = 0")
+def set_absent(v):
+    t = _tiles(v).select("z", "x", "y").distinct()
     return K.absent(t, t.where("(x + y) % 3 <> 0"))
 
 
 @query("""WITH b AS (SELECT item_id, CAST(floor(w / 5) AS BIGINT) * 5 AS w5, CAST(ceil(e / 5) AS BIGINT) * 5 AS e5, CAST(floor(s / 5) AS BIGINT) * 5 AS s5, CAST(ceil(n / 5) AS BIGINT) * 5 AS n5 FROM item),
 x AS (SELECT item_id, s5, n5, unnest(range(w5, e5, 5)) AS a FROM b), y AS (SELECT item_id, a, unnest(range(s5, n5, 5)) AS b FROM x), z AS (SELECT *, unnest(['map', 'mask']) AS l FROM y)
 SELECT item_id, concat(CASE WHEN b < 0 THEN 'S' ELSE 'N' END, lpad(CAST(abs(b) AS VARCHAR), 2, '0'), CASE WHEN a < 0 THEN 'W' ELSE 'E' END, lpad(CAST(abs(a) AS VARCHAR), 3, '0'), '_', l) AS source FROM z""")
-def res_tiles_all(v):
+def res_tiles(v):
     req = v.item.select("item_id", "w", "s", "e", "n", F.array(F.lit("map"), F.lit("mask")).alias("layers"))
     return Rs.tiles(req, 5).select("item_id", "source")
 
 
 @query("SELECT x, y, coalesce(arg_max(qa_pixel, scene) FILTER (WHERE qa_pixel & 1 = 0), arg_max(qa_pixel, scene)) AS value, bool_or(qa_pixel & 1 = 0) AS covered FROM px GROUP BY x, y")
-def mos_landsat_qa_all(v):
+def mos_landsat_qa(v):
     return M.mosaic_flags(v.px, "qa_pixel", ~R.any_bit(C("qa_pixel"), 1), ["scene"])
 
 
 @query("SELECT CAST(s_suppkey AS BIGINT) AS root, CAST(count(DISTINCT w) AS BIGINT) AS ways FROM (SELECT s_suppkey, unnest([s_suppkey, s_suppkey + 1, s_suppkey + 2]) AS r FROM supplier) t JOIN (SELECT s_suppkey AS r2, unnest([s_suppkey * 2, s_suppkey * 3]) AS w FROM supplier) u ON u.r2 = t.r JOIN part ON p_partkey = w WHERE r <= s_suppkey + 2 - s_suppkey % 3 GROUP BY 1")
-def graph_osm_relation_all(v):
+def graph_osm_relation(v):
     i = C("s_suppkey").cast("bigint")
     own = v.supplier.select(i.alias("relation_id"), F.explode(F.array(i * 2, i * 3)).alias("ref")).select("relation_id", F.lit("way").alias("type"), "ref")
     sub = v.supplier.where("s_suppkey % 3 <> 2").select(i.alias("relation_id"), F.lit("relation").alias("type"), (i + 1).alias("ref"))
@@ -85,7 +83,7 @@ def graph_osm_relation_all(v):
 
 @query("""WITH g AS (SELECT item_id, x, unnest(range((SELECT max(y) + 1 FROM px))) AS y FROM (SELECT item_id, unnest(range((SELECT max(x) + 1 FROM px))) AS x FROM (SELECT DISTINCT item_id FROM px) a) b)
 SELECT g.item_id AS path, CAST(g.x AS INT) AS x, CAST(g.y AS INT) AS y, CASE WHEN red = 0 THEN NULL ELSE CAST(red - 10000 AS INT) END AS height FROM g LEFT JOIN px ON px.item_id = g.item_id AND px.x = g.x AND px.y = g.y""")
-def src_hgt_grid_all(v):
+def src_hgt_grid(v):
     side = 16
     extent = v.px.agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h")).first()
     spans = [F.explode(F.sequence(F.lit(0), F.lit((n - 1) // side))).alias(c) for c, n in (("tx", extent.w), ("ty", extent.h))]
@@ -101,13 +99,13 @@ def src_hgt_grid_all(v):
 
 
 @query("WITH h AS (SELECT max(y) + 1 AS h FROM px), g AS (SELECT i.k AS i, j.k AS j, i.k * 50 // 20 AS x, j.k * h // 5 AS y FROM (SELECT unnest(range(20)) AS k) i, (SELECT unnest(range(5)) AS k) j, h) SELECT scene, CAST(i AS INT) AS i, CAST(j AS INT) AS j, red FROM px JOIN g USING (x, y)")
-def smp_preview_all(v):
+def smp_preview(v):
     height = v.px.agg(F.max("y") + 1).first()[0]
     return W.preview(v.px, 50, height, 20, 5).select("scene", "i", "j", "red")
 
 
 @query(f"{_HILBERT}, r AS (SELECT p, ((1::BIGINT << (2 * z)) - 1) // 3 + d AS tile_id FROM h WHERE s = 0) SELECT p, row_number() OVER (ORDER BY tile_id, p) AS place FROM r")
-def ord_tile_id_all(v):
+def ord_tile_id(v):
     from pyspark.sql import Window
 
     d = _cells(v).select("p", G.tile_id(C("z"), C("x"), C("y")).alias("tile_id")).repartitionByRange("tile_id", "p")
@@ -122,7 +120,7 @@ def ord_tile_id_all(v):
 
 
 @query("""WITH RECURSIVE c AS (SELECT CAST(p_partkey AS BIGINT) AS output, CAST(p_partkey AS BIGINT) AS id, 0 AS depth FROM part UNION ALL SELECT output, parent_id, depth + 1 FROM c JOIN job_edge e ON e.id = c.id) SELECT output, string_agg(concat('op', CAST(id % 5 AS VARCHAR)), '>' ORDER BY depth DESC) AS operations FROM c GROUP BY output""")
-def lin_steps_all(v):
+def lin_steps(v):
     nodes = v.part.select(C("p_partkey").cast("bigint").alias("id"), F.concat(F.lit("op"), (C("p_partkey") % 5).cast("string")).alias("operation"))
     level, depth = written(nodes.select(C("id").alias("output"), "id", F.lit(0).alias("depth")), "steps"), 0
     chain = level

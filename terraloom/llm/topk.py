@@ -15,7 +15,7 @@ Queries come in blocks of `block` vectors, each sent to all tasks, so their numb
 Edge cases: vectors that are null, or hold a null or non-finite component, take no part; vectors of differing lengths are
 padded with zeros; a query id that occurs on several rows stands for the least of its vectors; candidates that repeat a
 row are each ranked; rows with a null id take no part; with fewer than k candidates all are returned;
-scores beyond 2**62 in size count as that.
+a score beyond 2**62 in size is an error.
 """
 
 from __future__ import annotations
@@ -59,7 +59,10 @@ def _scores(queries: np.ndarray, cand: np.ndarray, exact: bool) -> np.ndarray:
     if exact:
         return (queries @ cand.T).astype(np.int64)
     ints = lambda m: np.array([[int(x) for x in r] for r in m.tolist()], object).reshape(m.shape)
-    return np.clip(ints(queries) @ ints(cand).T, -(1 << 62), 1 << 62).astype(np.int64)
+    out = ints(queries) @ ints(cand).T
+    if out.size and max(out.max(), -out.min()) > 1 << 62:
+        raise OverflowError("a score is beyond 2**62")
+    return out.astype(np.int64)
 
 
 def _search_block(cand: DataFrame, ids: np.ndarray, q: np.ndarray, top: float, k: int) -> DataFrame:
@@ -146,7 +149,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     stats = queries.agg(F.count("*"), F.max(F.size("v"))).first()
     if not stats[0]:
         return empty
-    cand = whole_vectors(vectors, id_col, vec_col, scale)
+    cand = materialize(whole_vectors(vectors, id_col, vec_col, scale), "topk-vectors")
     top = cand.agg(F.max(F.array_max(F.transform("v", lambda c: F.abs(c))))).first()[0] or 0.0
     parts = -(-stats[0] // block)
     out = None

@@ -8,21 +8,32 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under `spark.checkpoint.dir`; where that is unset and all runs on one machine (tests), under an own temporary folder."""
+#: one folder for all that this process writes in between
+RUN = f"run-{uuid.uuid4().hex}"
+_made: str | None = None
+
+
+def run_folder(spark: SparkSession) -> str:
+    """This run's folder under `spark.checkpoint.dir`; where that is unset and all runs on one machine (tests), under an own temporary one."""
+    global _made
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(base or _own(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        _made = _made or "file://" + tempfile.mkdtemp(prefix="terraloom-")
+        base = _made
+    return f"{base.rstrip('/')}/{RUN}"
 
 
-_made: str | None = None
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the run's folder."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _own(spark: SparkSession) -> str:
-    global _made
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    _made = _made or "file://" + tempfile.mkdtemp(prefix="terraloom-")
-    return _made
+def remove_run(spark: SparkSession) -> None:
+    """Remove the run's folder, when no result that reads from it is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -39,6 +39,15 @@ def add_scenes(pinned: DataFrame, offered: DataFrame, keys: list[str]) -> DataFr
     return pinned.unionByName(offered.join(pinned.select(*keys), keys, "left_anti"))
 
 
+def add_assets(pinned: DataFrame, offered: DataFrame, quality: list[str]) -> DataFrame:
+    """Assets (id, asset, ...) of scenes: those of pinned scenes stay, a new scene brings all of its own, and a pinned one
+    only gets quality assets that it has not."""
+    known = pinned.select("id").distinct()
+    new = offered.join(known, "id", "left_anti")
+    missing = offered.where(F.col("asset").isin(quality)).join(known, "id", "left_semi").join(pinned.select("id", "asset"), ["id", "asset"], "left_anti")
+    return pinned.unionByName(new).unionByName(missing)
+
+
 def page_loops(pages: DataFrame, source: str, cursor: str) -> DataFrame:
     """Cursors that a source gave more than once."""
     return pages.where(F.col(cursor).isNotNull()).groupBy(source, cursor).agg(F.count("*").alias("times")).where("times > 1")

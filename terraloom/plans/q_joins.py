@@ -473,6 +473,13 @@ def set_add_scenes(v):
     return K.add_scenes(v.item.where("o % 4 = 0").select(C("o").alias("id"), F.lit("pinned").alias("href")), v.item.select(C("o").alias("id"), F.lit("offered").alias("href")), ["id"])
 
 
+@query("""SELECT o AS id, a AS asset, CASE WHEN o % 4 = 0 AND (a = 'b1' OR a = 'qa' AND o % 8 = 0) THEN 'pinned' ELSE 'offered' END AS href FROM item, (SELECT unnest(['b1', 'b2', 'qa']) AS a) t WHERE o % 4 <> 0 OR a <> 'b2'""")
+def set_add_assets(v):
+    rows = lambda d, names, href: d.select(C("o").alias("id"), F.explode(F.array(*map(F.lit, names))).alias("asset"), F.lit(href).alias("href"))
+    pinned = rows(v.item.where("o % 4 = 0"), ["b1"], "pinned").unionByName(rows(v.item.where("o % 8 = 0"), ["qa"], "pinned"))
+    return K.add_assets(pinned, rows(v.item, ["b1", "b2", "qa"], "offered"), ["qa"])
+
+
 @query("SELECT task, received % 1000 AS cursor, count(*) AS times FROM job GROUP BY ALL HAVING count(*) > 1")
 def set_page_loop(v):
     return K.page_loops(v.job.select("task", (C("received") % 1000).alias("cursor")), "task", "cursor")

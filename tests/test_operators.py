@@ -16,6 +16,7 @@ from terraloom.operators import graph as Gr
 from terraloom.operators import joins as J
 from terraloom.operators import mosaic as M
 from terraloom.operators import windows as W
+from terraloom.sources import readers as S
 
 
 def test_newest_usable_wins_and_counts_conserve(spark):
@@ -101,6 +102,54 @@ def test_graph_errors_and_nulls(spark):
     assert Gr.closure(loop, loop.select("id").limit(0)).count() == 0
 
 
+def test_rings_of_any_size_and_depth_limits(spark):
+    big = [(1, k, k, (k + 1) % 1500) for k in range(1500)]
+    two = [(2, 1, 10, 11), (2, 2, 11, 10), (2, 3, 12, 12)]
+    broken = [(3, 1, 20, 21), (3, 2, 21, 22)]
+    rows = spark.createDataFrame(big + two + broken, "relation_id long, way_id long, first_node long, last_node long")
+    assert sorted(map(tuple, Gr.assemble_rings(rows).collect())) == [(1, 1, True), (2, 2, True), (3, 0, False)]
+    assert Gr.assemble_rings(rows.limit(0)).count() == 0
+    members = spark.createDataFrame([(k, "relation", k + 1) for k in range(5)] + [(5, "way", 7)], "relation_id long, type string, ref long")
+    ways = spark.createDataFrame([(7,)], "way_id long")
+    assert sorted(r.root for r in Gr.relation_geometry(members, ways).collect()) == list(range(6))
+    with pytest.raises(ValueError, match="nested deeper"):
+        Gr.relation_geometry(members, ways, 3)
+    links = spark.createDataFrame([(f"n{k}", f"n{k + 1}", k == 4) for k in range(5)], "parent string, child string, is_item boolean")
+    assert [r.url for r in S.catalog_tree(links, "n0").collect()] == ["n5"]
+    with pytest.raises(ValueError, match="deeper"):
+        S.catalog_tree(links, "n0", 3).collect()
+
+
+def test_topological_depth_is_the_longest_way(spark):
+    edges = [(2, 1), (3, 2), (3, 1), (4, 1), (5, 4), (5, 3), (6, None)]
+    d = spark.createDataFrame(edges, "id long, parent_id long")
+    assert sorted(map(tuple, Gr.topological_depth(d).collect())) == [(1, 0), (2, 1), (3, 2), (4, 1), (5, 3)]
+
+
+def test_heights_in_strips(spark, monkeypatch):
+    monkeypatch.setattr(S, "STRIP", 8)
+    grid = [[y * 5 + x if (x, y) != (1, 2) else -32768 for x in range(5)] for y in range(5)]
+    raw = b"".join(v.to_bytes(2, "big", signed=True) for row in grid for v in row)
+    got = S.hgt_grid(spark.createDataFrame([("a", raw)], "path string, content binary"), 5).collect()
+    assert {(r.x, r.y): r.height for r in got} == {(x, y): (None if (x, y) == (1, 2) else y * 5 + x) for x in range(5) for y in range(5)}
+
+
+def test_masks_that_retain_nothing_and_nested_collections(spark, tmp_path):
+    px = spark.createDataFrame([(1, True, True), (1, False, True), (2, False, True)], "scene int, kept boolean, ok boolean")
+    assert tuple(A.masked_covered(px.where("scene = 1"), ["scene"], F.col("kept"), F.col("ok")).first()) == (1, 1, 1)
+    with pytest.raises(Exception, match="retains no sample"):
+        A.masked_covered(px, ["scene"], F.col("kept"), F.col("ok")).collect()
+    nest = lambda n: '{"type":"Point","coordinates":[1,2]}' if not n else f'{{"type":"GeometryCollection","geometries":[{nest(n - 1)}]}}'
+    lines = [f'{{"type":"Feature","id":{n},"properties":null,"geometry":{nest(n)}}}' for n in (0, 1, 8, 9, 12)]
+    (tmp_path / "f.json").write_text("\n".join(lines))
+    assert {r.id: r.valid for r in S.geojson(spark, f"file://{tmp_path}/f.json").collect()} == {"0": True, "1": True, "8": True, "9": False, "12": False}
+
+
+def test_folded_search(spark):
+    d = spark.createDataFrame([(1, "Zürich", 1, "CH", ["Zurigo "]), (2, "Bern", 1, "CH", ["Zürich-Bern", None])], "id int, name string, level int, country string, aliases array<string>")
+    assert [(r.id, r.rank) for r in W.region_search(d, " ZURICH", 5).collect()] == [(1, 0.0), (2, 1.0)]
+
+
 def test_page_checks(spark):
     pages = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (2, "b"), (None, "c"), (None, "c")], "id int, body string")
     got = sorted(((r.id is None, r.id or 0, r.copies, r.conflict) for r in K.page_union(pages, "id", F.col("body")).collect()))

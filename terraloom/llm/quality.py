@@ -8,7 +8,8 @@ structure, and metadata columns that the caller names. Training runs on a bounde
 the same at every size, taken in the order of a hash of the id); scoring runs in Spark tasks.
 
 Edge cases: null text is an empty one and gets a score like it; null metadata counts as its mean; ids with differing
-labels are not learned from; with nothing to learn from, every score is 0.5; repeated rows stay.
+labels are not learned from; with nothing to learn from, every score is 0.5; repeated rows and null ids stay (a null id is not
+learned from).
 """
 
 from __future__ import annotations

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terraloom.operators.graph import components
+from terraloom.sources.storage import written
+
 
 def stretch_range(px: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Exact values at ranks (n-1)*2 div 100 and (n-1)*98 div 100, without interpolation.
@@ -48,6 +51,12 @@ def ordered_digest(px: DataFrame, value: str, rows_per_block: int, keys: tuple[s
     return b.groupBy(*keys, "block").agg(F.sha2(text.cast("binary"), 256).alias("digest"), F.count("*").alias("n"))
 
 
+def grid_digest(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """Digest of each grid: SHA-256 over the digests of its blocks, in their order; and the samples in all."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("block", "digest"))), lambda b: b["digest"])
+    return blocks.groupBy(*keys).agg(F.sha2(F.array_join(ordered, "").cast("binary"), 256).alias("digest"), F.sum("n").alias("n"))
+
+
 def bounds_union(boxes: DataFrame, keys: list[str]) -> DataFrame:
     """Union box, and intersection box (null where it is empty)."""
     d = boxes.groupBy(*keys).agg(F.min("w").alias("w"), F.min("s").alias("s"), F.max("e").alias("e"), F.max("n").alias("n"), F.max("w").alias("_w"), F.max("s").alias("_s"), F.min("e").alias("_e"), F.min("n").alias("_n"))
@@ -90,6 +99,19 @@ def coverage_report(cells: DataFrame) -> DataFrame:
     return d.select("area_id", (F.col("_in") / F.col("_all")).alias("fraction"), "gaps", (F.col("_all") - F.col("_in") <= 1e-10 * F.col("_all")).alias("complete"))
 
 
+def gap_boxes(cells: DataFrame) -> DataFrame:
+    """Bounding box of each connected gap of an area: area_id, cell count, w, s, e, n. Cells are connected over common sides."""
+    gaps = cells.where("first_rank is null").select("area_id", "cw", "cs", "ce", "cn").withColumn("id", F.monotonically_increasing_id())
+    gaps = written(gaps, "gaps")
+    other = lambda **names: gaps.select("area_id", F.col("id").alias("other"), *[F.col(a).alias(b) for a, b in names.items()])
+    right = gaps.join(other(cw="ce", cs="cs", cn="cn"), ["area_id", "ce", "cs", "cn"])
+    above = gaps.join(other(cs="cn", cw="cw", ce="ce"), ["area_id", "cn", "cw", "ce"])
+    pairs = right.select(F.col("id").alias("a"), F.col("other").alias("b")).unionByName(above.select(F.col("id").alias("a"), F.col("other").alias("b")))
+    label = components(pairs).withColumnRenamed("node", "id")
+    named = gaps.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    return named.groupBy("area_id", "label").agg(F.count("*").alias("cells"), F.min("cw").alias("w"), F.min("cs").alias("s"), F.max("ce").alias("e"), F.max("cn").alias("n")).drop("label")
+
+
 def covering_selection(cells: DataFrame, most: int) -> DataFrame:
     """Newest-first greedy cover: a scene is kept exactly if it is the first one (least rank) over some cell, as a scene that
     is passed over adds nothing; of these the first `most` by rank."""

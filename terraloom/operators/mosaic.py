@@ -22,6 +22,27 @@ def newest(value: Column, order: list[str], usable: Column) -> Column:
     return F.max_by(F.when(usable, value), F.when(usable, key))
 
 
+def has_data(family: str, bands: list[Column], nodata=0, mask: Column | None = None) -> Column:
+    """Whether a sample of a product family counts as data.
+
+    rgb: not all bands are no-data; class: not 0; elevation: not NaN; radar and srtm: not -32768; aerial: by its mask, whatever the
+    colour; single: not the declared no-data.
+    """
+    first = bands[0]
+    rules = {
+        "rgb": lambda: ~F.forall(F.array(*bands), lambda b: b == nodata),
+        "class": lambda: first != 0,
+        "elevation": lambda: ~F.isnan(first),
+        "radar": lambda: first != -32768,
+        "srtm": lambda: first != -32768,
+        "aerial": lambda: mask,
+        "single": lambda: first != nodata,
+    }
+    if family not in rules or (family == "aerial" and mask is None):
+        raise ValueError(f"no rule for {family}")
+    return F.coalesce(rules[family](), F.lit(False))
+
+
 def mosaic_newest(px: DataFrame, value: str, valid: Column, order: list[str], fill=None, grid: DataFrame | None = None) -> DataFrame:
     """Per pixel the newest valid value (`value`), whether it is covered, and the winning scene; fill elsewhere.
 

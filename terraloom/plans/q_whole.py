@@ -129,3 +129,40 @@ def lin_steps(v):
         level = written(v.job_edge.join(level, "id").select("output", C("parent_id").alias("id"), F.lit(depth).alias("depth")), "steps")
         chain = chain.unionByName(level)
     return Gr.steps(chain, nodes).select("output", F.array_join("operations", ">").alias("operations"))
+
+
+@query("""WITH b AS (SELECT scene, CAST(y // 8 AS BIGINT) AS block, sha256(string_agg(CAST(red AS VARCHAR), ',' ORDER BY y, x)) AS digest, count(*) AS n FROM px GROUP BY 1, 2)
+SELECT scene, sha256(string_agg(digest, '' ORDER BY block)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM b GROUP BY scene""")
+def agg_grid_digest(v):
+    return A.grid_digest(A.ordered_digest(v.px, "red", 8, ("scene",)), ["scene"])
+
+
+@query(f"""WITH RECURSIVE {_CELLS[5:]}, g AS (SELECT *, row_number() OVER (ORDER BY area_id, cw, cs) AS id FROM cells WHERE first_rank IS NULL),
+p AS (SELECT a.id AS a, b.id AS b FROM g a JOIN g b ON a.area_id = b.area_id AND a.ce = b.cw AND a.cs = b.cs AND a.cn = b.cn UNION ALL SELECT a.id, b.id FROM g a JOIN g b ON a.area_id = b.area_id AND a.cn = b.cs AND a.cw = b.cw AND a.ce = b.ce),
+u AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), r AS (SELECT id, id AS label FROM g UNION SELECT u.b, r.label FROM r JOIN u ON u.a = r.id), l AS (SELECT id, min(label) AS label FROM r GROUP BY id)
+SELECT area_id, count(*) AS cells, min(cw) AS w, min(cs) AS s, max(ce) AS e, max(cn) AS n FROM g JOIN l USING (id) GROUP BY area_id, label""")
+def agg_gap_boxes(v):
+    return A.gap_boxes(_cover(v))
+
+
+_FAMILIES = {"rgb": "NOT (red = 0 AND green = 0 AND blue = 0)", "class": "scl <> 0", "elevation": "scl <> 3", "radar": "ndvi % 5 <> 0", "srtm": "evi % 7 <> 0", "aerial": "qc % 3 <> 0", "single": "red <> 0"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS family, x, y, max(scene) FILTER (WHERE {rule}) AS winner, bool_or({rule}) AS covered FROM px GROUP BY x, y" for k, rule in _FAMILIES.items()))
+def mos_families(v):
+    void = lambda c, bad: F.when(bad, -32768).otherwise(C(c))
+    bands = {
+        "rgb": [C("red"), C("green"), C("blue")],
+        "class": [C("scl")],
+        "elevation": [F.when(C("scl") == 3, float("nan")).otherwise(C("red").cast("double"))],
+        "radar": [void("ndvi", C("ndvi") % 5 == 0)],
+        "srtm": [void("evi", C("evi") % 7 == 0)],
+        "aerial": [C("red")],
+        "single": [C("red")],
+    }
+    out = None
+    for family, own in bands.items():
+        ok = M.has_data(family, own, 0, C("qc") % 3 != 0)
+        part = M.mosaic_newest(v.px, "scene", ok, ["scene"]).select(F.lit(family).alias("family"), "x", "y", "winner", "covered")
+        out = part if out is None else out.unionByName(part)
+    return out

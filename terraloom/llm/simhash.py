@@ -237,25 +237,32 @@ def trie_components(turned: np.ndarray, unit: np.ndarray, rotation: np.ndarray,
     return labels.label
 
 
-def trie_candidates(turned: np.ndarray, unit: np.ndarray, rotation: np.ndarray, bits: int, wide: np.ndarray, label: np.ndarray, total: int, safe: int, most: int, chunk: int = 1 << 16, leaf: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def trie_candidates(turned: np.ndarray, unit: np.ndarray, rotation: np.ndarray, bits: int, wide: np.ndarray, label: np.ndarray, trie: np.ndarray, total: int, safe: int, most: int, chunk: int = 1 << 16, leaf: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (i, j) worth a test, and in how many bits all words differ.
 
     label: components known so far, whose pairs need no test. Sketches that differ in at most `safe` bits are taken for linked
     meanwhile, the closest first: of them a spanning forest is returned; of all others that differ in at most `total` bits
-    the `most` nearest ones of each fingerprint.
+    the `most` nearest ones of each fingerprint. trie: the word that each fingerprint is; a pair that the walk over an earlier
+    word finds too is left to that one.
     """
     _, first, which = np.unique(label, return_index=True, return_inverse=True)
     labels = _Labels(first[which])
-    apart = lambda i, j: np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int64)
     out = []
+
+    def apart(i, j):
+        each = np.bitwise_count(wide[i] ^ wide[j])
+        earlier = (each <= bits) & (np.arange(each.shape[1]) < trie[i][:, None])
+        return each.sum(axis=1, dtype=np.int64), ~earlier.any(axis=1)
+
     for allowed in sorted({min(bits, 1 << k) for k in range(bits.bit_length() + 1)}) if safe else []:
         for i, j in _leaves(turned, _bounds(unit), rotation, bits, allowed, labels, chunk, leaf):
-            d = apart(i, j)
+            d, own = apart(i, j)
             near = d <= safe
-            i, j, d = i[near], j[near], d[near]
+            i, j, d, own = i[near], j[near], d[near], own[near]
             order = np.argsort(d, kind="stable")
-            i, j, d = i[order], j[order], d[order]
+            i, j, d, own = i[order], j[order], d[order], own[order]
             used = labels.merge(i, j)
+            used = used[own[used]]
             out.append((i[used], j[used], d[used]))
     best = [np.empty((3, 0), np.int64)]  # fingerprint, bits, other one
     held = 0
@@ -272,8 +279,8 @@ def trie_candidates(turned: np.ndarray, unit: np.ndarray, rotation: np.ndarray,
         best, held = [np.stack([who, d, other])[:, rank < most]], 0
 
     for i, j in _leaves(turned, _bounds(unit), rotation, bits, bits, labels, chunk, leaf):
-        d = apart(i, j)
-        near = (d <= total) & (labels.label[i] != labels.label[j])
+        d, own = apart(i, j)
+        near = (d <= total) & own & (labels.label[i] != labels.label[j])
         i, j, d = i[near], j[near], d[near]
         best += [np.stack([i, d, j]), np.stack([j, d, i])]
         held += 2 * len(i)
@@ -386,7 +393,7 @@ def links(prints: DataFrame, bits: int = 4, unit_rows: int = 200_000, step: int
 
 
 def candidates(prints: DataFrame, bits: int, words: int, tries: int, total: int, safe: int, most: int, unit_rows: int = 200_000, step: int = 6) -> DataFrame:
-    """Pairs a < b of `node`s worth a test (trie_candidates()): of each node the `most` nearest.
+    """Pairs a < b of `node`s worth a test (trie_candidates()): of each node the nearest two of a unit, and of those the `most` nearest.
 
     prints: a row per sketch: `node` long, `label` long (a component known so far), `sketch` binary.
     """
@@ -396,7 +403,7 @@ def candidates(prints: DataFrame, bits: int, words: int, tries: int, total: int,
         node, label = t.column("node").to_numpy()[order], t.column("label").to_numpy()[order]
         wide = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(-1, words)[order]
         # a sketch may be in several units of a batch
-        i, j, d = trie_candidates(turned, unit, rot, bits, wide, _dense(label, unit), total, safe, most)
+        i, j, d = trie_candidates(turned, unit, rot, bits, wide, _dense(label, unit), t.column("trie").to_numpy()[order], total, safe, 2)
         return pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j]), pa.array(d)], names=["x", "y", "d"])
 
     found = _by_unit(units, key, ["node", "label", "sketch"], run, "x long, y long, d long")
@@ -453,15 +460,15 @@ def alike(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(a) + len(b) - both)
 
 
-def similar(docs: DataFrame, id_col: str, text_col: str = "text", shingle: int = 5, num: int = 4, den: int = 5, words: int = 8, tries: int = 4, bits: int = 9, total: int = 100, safe: int = 48, most: int = 4, unit_rows: int = 200_000) -> DataFrame:
+def similar(docs: DataFrame, id_col: str, text_col: str = "text", shingle: int = 5, num: int = 4, den: int = 5, words: int = 8, tries: int = 4, bits: int = 9, total: int = 100, safe: int = 48, most: int = 8, unit_rows: int = 200_000) -> DataFrame:
     """One row per input row: id (a long, each once, none null) and `component_id`, the least id of its component.
 
     Two texts link when the Jaccard similarity of their sets of shingles is at least num / den, tested on the whole sets. Only
     candidates are tested: sketches of `words` words that differ in at most `total` bits, and of whose first `tries` words one
     in at most `bits` bits. At a similarity of 0.8 they differ in 77 bits on average, and 97 % of such pairs are candidates.
 
-    Tests go by rounds. Each takes every text's nearest candidates outside its own component so far (at first `most`, then twice as
-    many each time), and adds the links that hold to the components; they end when a round has no pair left or no link holds.
+    Tests go by rounds. Each takes every text's `most` nearest candidates outside its own component so far, and adds the links
+    that hold to the components; they end when a round has no new pair or no link holds.
     Distinct sets take part, named by their least id; texts without words have the empty set, and link to each other.
     """
 
@@ -489,7 +496,7 @@ def similar(docs: DataFrame, id_col: str, text_col: str = "text", shingle: int =
         tested = pairs if tested is None else tested.unionByName(pairs)
         labels = materialize(components(links_), "similar-of")
         prints = per_near.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "sketch")
-        safe, most = 0, 2 * most
+        safe = 0
     if labels is None:
         return rows.join(per.select("key", F.col("node").alias("component_id")), "key").select(id_col, "component_id")
     named = materialize(per.select("key", "node").join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("component_id")), "similar-named")

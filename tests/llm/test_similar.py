@@ -97,7 +97,7 @@ def test_sketches_that_share_a_word():
     for k in range(1, 8):
         wide[:, k] = np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
     zero = np.zeros(n, np.int64)
-    i, j, d = simhash.trie_candidates(np.zeros(n, np.uint64), zero, zero, 9, wide, np.arange(n), 100, 48, 4)
+    i, j, d = simhash.trie_candidates(np.zeros(n, np.uint64), zero, zero, 9, wide, np.arange(n), zero, 100, 48, 4)
     assert len(i) == n - 1 and d.max() <= 14
 
 

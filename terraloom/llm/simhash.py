@@ -465,7 +465,7 @@ def similar(docs: DataFrame, id_col: str, text_col: str = "text", shingle: int =
 
     Two texts link when the Jaccard similarity of their sets of shingles is at least num / den, tested on the whole sets. Only
     candidates are tested: sketches of `words` words that differ in at most `total` bits, and of whose first `tries` words one
-    in at most `bits` bits. At a similarity of 0.8 they differ in 77 bits on average, and 97 % of such pairs are candidates.
+    in at most `bits` bits. At a similarity of 0.8 they differ in 77 bits on average, and about 97 % of such pairs are candidates.
 
     Tests go by rounds. Each takes every text's `most` nearest candidates outside its own component so far, and adds the links
     that hold to the components; they end when a round has no new pair or no link holds.

@@ -37,6 +37,8 @@ from terraloom.llm.common import take_turn, utf8, with_computed
 MASKS = ((0, 1, 2, 3, 5), (0, 1, 2, 4, 5), (0, 1, 3, 4, 5))
 #: items of fewer words get masks of their own
 SHORT = 14
+#: documents whose words are looked up together
+ROWS = 400
 LEAST = 12
 COST = 4
 _OTHER = re.compile(r"\W+")
@@ -201,7 +203,7 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
 
         def run(raw: pa.Array, index=index) -> list[pa.Array]:
             ids = index.value.ids
-            found = index.value.find_all(raw, min_words)
+            found = [f for k in range(0, len(raw), ROWS) for f in index.value.find_all(raw.slice(k, ROWS), min_words)]
             return [pa.array([[{"item": ids[m[0]]} | dict(zip(names, m[1:], strict=True)) for m in f] for f in found], found_type)]
 
         part = with_computed(docs, [id_col], [text_col], run, [("m", f"array<struct<item: {kind.simpleString()}, " + ", ".join(f"{n}: bigint" for n in names) + ">>")])
@@ -221,7 +223,7 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: s
         index = docs.sparkSession.sparkContext.broadcast(Index(block))
 
         def run(raw: pa.Array, index=index) -> list[pa.Array]:
-            return [pa.array([not f for f in index.value.find_all(raw, min_words)], pa.bool_())]
+            return [pa.array([not f for k in range(0, len(raw), ROWS) for f in index.value.find_all(raw.slice(k, ROWS), min_words)], pa.bool_())]
 
         docs = with_computed(docs, docs.columns, [text_col], run, [("ok", "boolean")], only=0)
     return docs

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloom.llm import chat, decontaminate, language, licenses, pieces, quality, simhash, token_file, topk, warc
+from terraloom.llm import chat, decontaminate, language, licenses, pieces, quality, repair, simhash, token_file, topk, trie, warc
 from terraloom.llm.common import fold, table
 
 
@@ -65,6 +65,15 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.summary(trie.with_borrowed_heads(trie.turns_in_order(table(spark, sf_dir, "conversations"))))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, dropped = repair.damaged(table(spark, sf_dir, "conversations"))
+    return repair.report(repair.repair(rows, dropped))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_chat_format": op2_chat_format,
@@ -76,8 +85,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_language_id": op9_language_id,
     "op10_license_scan": op10_license_scan,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
+#: unsigned CRC-32 of a decimal or other ASCII text, bit by bit
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda ch: ascii(ch)::BIGINT)), lambda a, b:
+    list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_format": r"""
         WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -110,4 +125,44 @@ ORACLE_SQL: dict[str, str] = {
           CASE WHEN page_id = main THEN 'response' ELSE 'revisit' END AS record_type,
           CASE WHEN page_id <> main THEN main END AS refers_to
         FROM q""",
+    "op11_conversation_trie": f"""
+        WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS pos,
+          coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        k AS (SELECT c, {_CRC.format("CAST(c AS VARCHAR)")} % 6 AS h, c - c % 100 AS base FROM (SELECT DISTINCT c FROM t) d),
+        r AS (SELECT k.c, t.pos, role, text, 0 AS own FROM k JOIN t ON t.c = k.base AND t.pos <= k.h UNION ALL SELECT k.c, t.pos, role, text, 1 FROM k JOIN t ON t.c = k.c AND t.pos > k.h),
+        q AS (SELECT c, row_number() OVER w AS d, sha256(string_agg(sha256(concat(length(role), ':', role, text)), '') OVER w) AS node, length(text) AS chars FROM r WINDOW w AS (PARTITION BY c ORDER BY own, pos)),
+        p AS (SELECT * FROM q UNION ALL SELECT c, 0, '', 0 FROM k),
+        e AS (SELECT c, max(d) AS length FROM p GROUP BY c),
+        n AS (SELECT d, node, min(c) AS rep, count(*) AS n_convs, any_value(chars) AS chars, string_agg(CASE WHEN d = length THEN CAST(c AS VARCHAR) END, ',' ORDER BY c) AS ends FROM p JOIN e USING (c) GROUP BY d, node),
+        m AS (SELECT p.c, p.d, n.rep FROM p JOIN n USING (d, node)),
+        u AS (SELECT n.*, m.rep AS parent FROM n LEFT JOIN m ON m.c = n.rep AND m.d = n.d - 1),
+        s AS (SELECT parent AS rep, d - 1 AS d, count(*) AS n_children FROM u WHERE d > 0 GROUP BY ALL),
+        v AS (SELECT u.*, coalesce(n_children, 0) AS n_children FROM u LEFT JOIN s USING (rep, d)),
+        a AS (SELECT m.rep, m.d, CAST(sum(CASE WHEN v.n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves, CAST(sum((v.n_convs - 1) * v.chars) AS BIGINT) AS saved_tokens FROM v JOIN m ON m.c = v.rep AND m.d <= v.d GROUP BY ALL)
+        SELECT rep AS conv_id, CAST(d AS BIGINT) AS depth, parent AS parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256 FROM v JOIN a USING (rep, d)""",
+    "op13_conversation_repair": f"""
+        WITH RECURSIVE x AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+          {_CRC.format("concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS fault FROM conversations),
+        y AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+          unnest(CASE WHEN fault = 3 THEN [1, 2] ELSE [1] END) AS copy FROM x WHERE fault <> 0),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM y),
+        f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+          WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault, coalesce(lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1), 'su') NOT IN ('su', 'ua', 'au') AS wrong FROM o),
+        steps(s, e, t) AS (VALUES ('', 's', 's'), ('', 'u', 'u'), ('s', 'u', 'u'), ('u', 'a', 'a'), ('a', 'u', 'u')),
+        ins AS (SELECT s, '' AS put, s AS t, '' AS said FROM (VALUES (''), ('s'), ('u'), ('a')) z(s)
+          UNION ALL SELECT s, 'I', t, CASE e WHEN 'u' THEN 'user:' ELSE 'assistant:' END FROM steps WHERE e <> 's'
+          UNION ALL SELECT a.s, 'II', b.t, 'user:' || chr(10) || 'assistant:' FROM steps a JOIN steps b ON a.t = b.s WHERE a.s IN ('', 's') AND a.e = 'u' AND b.e = 'a'),
+        moves AS (SELECT ins.s, put || 'D' AS put, ins.t, said, 3 + 2 * length(put) AS cost, CAST(NULL AS VARCHAR) AS need, CAST(NULL AS VARCHAR) AS role FROM ins
+          UNION ALL SELECT ins.s, put || 'K', steps.t, said, 2 * length(put), e, NULL FROM ins JOIN steps ON steps.s = ins.t
+          UNION ALL SELECT ins.s, put || 'R', steps.t, said, 2 + 2 * length(put), NULL, CASE e WHEN 'u' THEN 'user' ELSE 'assistant' END FROM ins JOIN steps ON steps.s = ins.t WHERE e <> 's'),
+        g AS (SELECT DISTINCT conv_id FROM conversations),
+        w AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, '' AS s, 0 AS cost, '' AS audit, '' AS said FROM g
+          UNION ALL SELECT * FROM (SELECT f.conv_id, f.i, moves.t, w.cost + moves.cost + CASE WHEN f.fault = 'truncated' AND moves.put NOT LIKE '%D' THEN 1 ELSE 0 END AS cost, w.audit || moves.put AS audit,
+            concat_ws(chr(10), NULLIF(w.said, ''), NULLIF(moves.said, ''), CASE WHEN moves.put NOT LIKE '%D' THEN coalesce(moves.role, f.role) || ':' || f.text END) AS said
+            FROM w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1 JOIN moves ON moves.s = w.s AND (moves.put LIKE '%D' OR f.fault NOT IN ('blank', 'duplicate')) AND (moves.need IS NULL OR moves.need = left(f.role, 1))
+            QUALIFY row_number() OVER (PARTITION BY f.conv_id, moves.t ORDER BY w.cost + moves.cost + CASE WHEN f.fault = 'truncated' AND moves.put NOT LIKE '%D' THEN 1 ELSE 0 END, w.audit || moves.put) = 1) z),
+        n AS (SELECT g.conv_id, count(f.i) AS rows, coalesce(max(f.turn) - min(f.turn) + 1 - count(DISTINCT f.turn), 0) AS gaps, count(*) FILTER (WHERE f.fault = 'blank') AS blank, count(*) FILTER (WHERE f.fault = 'duplicate') AS duplicate,
+          count(*) FILTER (WHERE f.fault = 'truncated') AS truncated, count(*) FILTER (WHERE f.wrong) AS illegal FROM g LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM g.conv_id GROUP BY g.conv_id),
+        z AS (SELECT n.*, w.cost + 2 * length(put) AS cost, w.audit || put AS audit, concat_ws(chr(10), NULLIF(w.said, ''), NULLIF(ins.said, '')) AS said FROM n JOIN w ON w.conv_id IS NOT DISTINCT FROM n.conv_id AND w.i = n.rows JOIN ins ON ins.s = w.s AND (ins.t = '' OR ins.t = 'a'))
+        SELECT conv_id, CAST(gaps AS BIGINT) AS gaps, blank, duplicate, truncated, illegal, CAST(cost AS BIGINT) AS cost, audit, sha256(said) AS repaired_sha256 FROM z QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) = 1""",
 }

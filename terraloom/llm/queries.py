@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, with production parameters over whole tables, and their SQL."""
+"""The registered queries of the operators, with production parameters over whole tables, and their SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloom.llm import chat, decontaminate, language, licenses, pieces, quality, repair, simhash, token_file, topk, trie, warc
+from terraloom.llm import chat, decontaminate, html, language, licenses, pieces, quality, repair, simhash, token_file, topk, trie, warc
 from terraloom.llm.common import fold, table
 
 
@@ -69,6 +69,11 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.summary(trie.with_borrowed_heads(trie.turns_in_order(table(spark, sf_dir, "conversations"))))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html.extract(pages, html.fit(pages))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, dropped = repair.damaged(table(spark, sf_dir, "conversations"))
     return repair.report(repair.repair(rows, dropped))
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_license_scan": op10_license_scan,
     "op11_conversation_trie": op11_conversation_trie,
+    "op12_html_extraction": op12_html_extraction,
     "op13_conversation_repair": op13_conversation_repair,
 }
 

@@ -11,6 +11,11 @@ No such overlap is missed. From 14 words on, the three masks leave no way to rep
 seed between them (tests go through all ways for 14 to 29 words; a longer stretch holds a shorter one that counts too). A
 shorter item may lose k words; its positions are dealt into k + 1 masks by turns, one of which must be left whole.
 
+Hits are kept as seeds and items, not as places: where an item and a document hold one seed so often that their places would
+be more than four times the diagonals, all diagonals are counted instead, so that repeated words cost no product of their numbers.
+Diagonals with too few equal words are dropped in arrays; of the others the one with the most equal words is looked at first. Of
+stretches as good on two diagonals that on the lesser one (start in the document less start in the item) is reported.
+
 The test set is the stated query set: it is indexed in blocks of bounded size (`block_bytes` of text), each sent to the
 tasks, so it may grow without limit; documents are read once for each block and never shuffled.
 
@@ -131,7 +136,10 @@ class Index:
         """Of each text (item, start in document, start in item, words, equal words) of the best overlap with each item."""
         tokens, ends = words_of(raw)
         out: list[list] = [[] for _ in range(len(raw))]
-        hits = []
+        begin = np.r_[0, ends]
+        size = np.diff(begin)
+        length = np.array([len(t) for t in self.tokens], np.int64)
+        few = []
         for mask, hashes, items, pos, seen in self.masks:
             h = seeds(tokens, mask)
             at = np.flatnonzero(seen.take(h >> np.uint64(44), mode="clip"))
@@ -139,21 +147,71 @@ class Index:
             doc = np.searchsorted(ends, at, "right")
             real = (low < high) & (at + mask[-1] < ends[doc])
             at, low, doc, n = at[real], low[real], doc[real], (high - low)[real]
-            own = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            hits.append(np.stack([np.repeat(doc, n), items[own], np.repeat(at, n) - pos[own]], axis=1))
-        if not hits or not sum(map(len, hits)):
+            # a seed that an item has again and again would meet each of its places in a text: such pairs are counted first
+            first = np.r_[True, (hashes[1:] != hashes[:-1]) | (items[1:] != items[:-1])] if len(hashes) else np.empty(0, bool)
+            start = np.flatnonzero(first)
+            runs = np.diff(np.r_[start, len(hashes)])
+            g0, g1 = np.searchsorted(start, low), np.searchsorted(start, low + n)
+            k = g1 - g0
+            group = np.repeat(g0 - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
+            few.append((np.repeat(doc, k), items[start[group]], np.repeat(at, k), start[group], runs[group], pos))
+        pair = [f[0] * len(length) + f[1] for f in few]
+        if not sum(map(len, pair)):
             return out
-        begin = np.r_[0, ends]
-        best: dict[tuple[int, int], tuple[bool, int, tuple[int, int, int, int, int]]] = {}
-        for doc, item, diagonal in np.unique(np.concatenate(hits), axis=0).tolist():
-            text = tokens[begin[doc] : begin[doc + 1]]
-            found = overlap(self.tokens[item], text, diagonal - int(begin[doc]), min_words)
-            if found and ((doc, item) not in best or found[:2] > best[doc, item][:2]):
-                best[doc, item] = (*found[:2], (item, *found[2]))
+        names, which = np.unique(np.concatenate(pair), return_inverse=True)
+        hits = np.bincount(which, weights=np.concatenate([f[4] for f in few]))
+        crowded = hits > 4 * (size[names // len(length)] + length[names % len(length)])
+        few_ = np.split(~crowded[which], np.cumsum([len(f[0]) for f in few])[:-1])
+        sparse = []
+        for (doc, item, at, start, runs, pos), ok in zip(few, few_, strict=True):
+            doc, item, at, start, runs = (x[ok] for x in (doc, item, at, start, runs))
+            own = np.repeat(start - (np.cumsum(runs) - runs), runs) + np.arange(int(runs.sum()))
+            sparse.append(np.stack([np.repeat(doc, runs), np.repeat(item, runs), np.repeat(at - begin[doc], runs) - pos[own]], axis=1))
+        many = [self._counted(tokens[begin[d] : begin[d + 1]], int(d), int(i)) for d, i in zip(names[crowded] // len(length), names[crowded] % len(length), strict=True)]
+        found = np.concatenate([self._equal(tokens, begin, np.unique(np.concatenate(sparse), axis=0)), *many])
+        need = np.array([needed(n, min_words) for n in length])
+        found = found[found[:, 3] >= need[found[:, 1]]]
+        found = found[np.lexsort((found[:, 2], -found[:, 3], found[:, 1], found[:, 0]))]  # of each pair the most equal words first
+        best: dict[tuple[int, int], tuple[bool, int, int, tuple[int, int, int, int, int]]] = {}
+        for doc, item, diagonal, equal in found.tolist():
+            top = best.get((doc, item))
+            if top and top[0] and (equal < top[1] or equal == top[1] and diagonal > -top[2]):
+                continue  # it can't be better, nor as good and earlier
+            got = overlap(self.tokens[item], tokens[begin[doc] : begin[doc + 1]], diagonal, min_words)
+            if got and (top is None or (*got[:2], -diagonal) > top[:3]):
+                best[doc, item] = (*got[:2], -diagonal, (item, *got[2]))
         for (doc, _), b in sorted(best.items()):
-            out[doc].append(b[2])
+            out[doc].append(b[3])
         return out
 
+    def _equal(self, tokens: np.ndarray, begin: np.ndarray, found: np.ndarray, at_once: int = 1 << 20) -> np.ndarray:
+        """Rows (document, item, diagonal) with the number of equal words on that diagonal."""
+        doc, item, diagonal = found.T
+        length = np.array([len(t) for t in self.tokens], np.int64)
+        flat, first = np.concatenate(self.tokens), np.r_[0, np.cumsum(length)][:-1]
+        lo = np.maximum(0, -diagonal)
+        n = np.maximum(0, np.minimum(length[item], np.diff(begin)[doc] - diagonal) - lo)
+        count = np.zeros(len(found), np.int64)
+        cuts = np.unique(np.r_[0, np.searchsorted(np.cumsum(n), np.arange(at_once, int(n.sum()), at_once)), len(n)])
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            k = n[a:b]
+            step = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+            same = flat[np.repeat(first[item[a:b]] + lo[a:b], k) + step] == tokens[np.repeat(begin[doc[a:b]] + lo[a:b] + diagonal[a:b], k) + step]
+            total = np.r_[0, np.cumsum(same)]
+            count[a:b] = total[np.cumsum(k)] - total[np.cumsum(k) - k]
+        return np.column_stack([found, count])
+
+    def _counted(self, text: np.ndarray, doc: int, item: int, at_once: int = 1 << 21) -> np.ndarray:
+        """All diagonals of a document and an item, with the number of equal words on each."""
+        own = self.tokens[item]
+        m = len(own)
+        padded = np.concatenate([np.zeros(m, np.uint64), text, np.zeros(m, np.uint64)])  # no word has hash 0
+        windows = np.lib.stride_tricks.sliding_window_view(padded, m)
+        step = max(1, at_once // m)
+        count = np.concatenate([(windows[k : k + step] == own).sum(axis=1) for k in range(0, len(windows), step)])
+        rows = np.arange(len(windows)) - m
+        return np.column_stack([np.full(len(rows), doc), np.full(len(rows), item), rows, count])
+
 
 def overlap(own: np.ndarray, doc: np.ndarray, diagonal: int, min_words: int) -> tuple[bool, int, tuple[int, int, int, int]] | None:
     """Best stretch on a diagonal: whether it has the best score, equal words, (start in document, start in item, words, equal words)."""

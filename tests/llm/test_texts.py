@@ -57,6 +57,30 @@ def test_decontamination_against_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _ in docs if i not in {w[0] for w in want})
 
 
+def test_decontamination_of_repeated_words():
+    """Equal words and alternating ones, many times over: the answer of single overlaps, and no product of the numbers."""
+    import time
+
+    import pyarrow as pa
+
+    index = decontaminate.Index([(1, b"same " * 300), (2, b"a b " * 100), (3, b"x y z " * 8)])
+    texts = [b"same " * 4000] * 5 + [b"a b " * 2000] * 3 + [b"q " * 7 + b"x y z " * 40 + b"same " * 13, b"", b"same"]
+    start = time.time()
+    got = index.find_all(pa.array(texts, pa.binary()), 12)
+    assert time.time() - start < 5
+    for raw, found in zip(texts, got, strict=True):
+        doc = decontaminate.words(raw)
+        want = []
+        for k, own in enumerate(index.tokens):
+            best = None
+            for d in range(-len(own), len(doc)):
+                o = decontaminate.overlap(own, doc, d, 12)
+                if o and (best is None or o[:2] > best[:2]):
+                    best = o
+            want += [(k, *best[2])] if best else []
+        assert found == want
+
+
 def test_decontamination_of_any_stretch_that_counts():
     rng = random.Random(4)
 

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terraloom.llm.common import materialize, take_turn, with_computed
@@ -237,17 +237,22 @@ def trie_components(turned: np.ndarray, unit: np.ndarray, rotation: np.ndarray,
     return labels.label
 
 
-def trie_candidates(turned: np.ndarray, unit: np.ndarray, rotation: np.ndarray, bits: int, wide: np.ndarray, label: np.ndarray, trie: np.ndarray, total: int, safe: int, most: int, chunk: int = 1 << 16, leaf: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def trie_candidates(turned: np.ndarray, unit: np.ndarray, rotation: np.ndarray, bits: int, wide: np.ndarray, label: np.ndarray, trie: np.ndarray, total: int, safe: int, least: int, chunk: int = 1 << 16, leaf: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All that trie_pairs() finds, at once."""
+    found = [np.empty((3, 0), np.int64), *map(np.stack, trie_pairs(turned, unit, rotation, bits, wide, label, trie, total, safe, least, chunk, leaf))]
+    return tuple(np.concatenate(found, axis=1))
+
+
+def trie_pairs(turned, unit, rotation, bits, wide, label, trie, total, safe, least, chunk: int = 1 << 16, leaf: int = 8) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs (i, j) worth a test, and in how many bits all words differ.
 
-    label: components known so far, whose pairs need no test. Sketches that differ in at most `safe` bits are taken for linked
-    meanwhile, the closest first: of them a spanning forest is returned; of all others that differ in at most `total` bits
-    the `most` nearest ones of each fingerprint. trie: the word that each fingerprint is; a pair that the walk over an earlier
-    word finds too is left to that one.
+    label: components known so far, whose pairs need no test. Without `safe`: all pairs that differ in more than `least` and at most
+    `total` bits. With it: sketches that differ in at most `safe` bits are taken for linked meanwhile, the closest first, and of them a
+    spanning forest is returned; each sketch that has then another one within `total` bits is returned as a pair with itself. trie: the word
+    that each fingerprint is; a pair that the walk over an earlier word finds too is left to that one.
     """
     _, first, which = np.unique(label, return_index=True, return_inverse=True)
     labels = _Labels(first[which])
-    out = []
 
     def apart(i, j):
         each = np.bitwise_count(wide[i] ^ wide[j])
@@ -263,32 +268,17 @@ def trie_candidates(turned: np.ndarray, unit: np.ndarray, rotation: np.ndarray,
             i, j, d, own = i[order], j[order], d[order], own[order]
             used = labels.merge(i, j)
             used = used[own[used]]
-            out.append((i[used], j[used], d[used]))
-    best = [np.empty((3, 0), np.int64)]  # fingerprint, bits, other one
-    held = 0
-
-    def keep():
-        nonlocal best, held
-        who, d, other = np.concatenate(best, axis=1)
-        order = np.lexsort((other, d, who))
-        who, d, other = who[order], d[order], other[order]
-        new = np.r_[True, (who[1:] != who[:-1]) | (other[1:] != other[:-1])] if len(who) else np.empty(0, bool)
-        who, d, other = who[new], d[new], other[new]
-        start = np.flatnonzero(np.r_[True, who[1:] != who[:-1]]) if len(who) else np.empty(0, np.int64)
-        rank = np.arange(len(who)) - np.repeat(start, np.diff(np.r_[start, len(who)]))
-        best, held = [np.stack([who, d, other])[:, rank < most]], 0
-
+            yield i[used], j[used], d[used]
+    some = np.zeros(len(turned), bool)
     for i, j in _leaves(turned, _bounds(unit), rotation, bits, bits, labels, chunk, leaf):
         d, own = apart(i, j)
-        near = (d <= total) & own & (labels.label[i] != labels.label[j])
-        i, j, d = i[near], j[near], d[near]
-        best += [np.stack([i, d, j]), np.stack([j, d, i])]
-        held += 2 * len(i)
-        if held > 1 << 17:
-            keep()
-    keep()
-    out.append((best[0][0], best[0][2], best[0][1]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        near = (d > least) & (d <= total) & own & (labels.label[i] != labels.label[j])
+        if safe:
+            some[i[near]] = some[j[near]] = True
+        else:
+            yield i[near], j[near], d[near]
+    at = np.flatnonzero(some)
+    yield at, at, np.full(len(at), total)
 
 
 def _turn(fp: np.ndarray, by: np.ndarray) -> np.ndarray:
@@ -340,16 +330,16 @@ def _by_unit(units: DataFrame, key: list[str], columns: list[str], fn, schema: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def flush(last: bool):
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held
             if not held:
-                return None
+                return
             t = pa.Table.from_batches(held)
             cols = [t.column(k).to_numpy() for k in (*key, "off", "fp")]
             edge = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:5]], axis=0)) + 1
             if not last:  # the last unit may go on in the next batch
                 if not len(edge):
-                    return None
+                    return
                 held = t.slice(edge[-1]).to_batches()
                 t = t.slice(0, edge[-1])
                 cols = [c[: edge[-1]] for c in cols]
@@ -362,15 +352,14 @@ def _by_unit(units: DataFrame, key: list[str], columns: list[str], fn, schema: s
             unit = np.cumsum(unit)
             turned = _turn(fp.view(np.uint64), off)
             order = np.lexsort((turned, unit))
-            return fn(t, order, turned[order], unit[order], rot[order])
+            yield from fn(t, order, turned[order], unit[order], rot[order])
 
         for b in batches:
             if b.num_rows:
                 held.append(b)
-            if sum(x.num_rows for x in held) >= HELD and (out := flush(False)) is not None:
-                yield out
-        if (out := flush(True)) is not None:
-            yield out
+            if sum(x.num_rows for x in held) >= HELD:
+                yield from flush(False)
+        yield from flush(True)
 
     dealt = units.repartition(*key).sortWithinPartitions(*key)
     return dealt.select(*key, "off", "fp", *columns).mapInArrow(run, schema)
@@ -383,33 +372,41 @@ def links(prints: DataFrame, bits: int = 4, unit_rows: int = 200_000, step: int
     """
     units, key = _units(prints, bits, unit_rows, step, 1)
 
-    def run(t: pa.Table, order, turned, unit, rot) -> pa.RecordBatch:
+    def run(t: pa.Table, order, turned, unit, rot) -> Iterator[pa.RecordBatch]:
         node = t.column("node").to_numpy()[order]
         label = trie_components(turned, unit, rot, bits)
         found = np.flatnonzero(label != np.arange(len(label)))
-        return pa.RecordBatch.from_arrays([pa.array(node[found]), pa.array(node[label[found]])], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(node[found]), pa.array(node[label[found]])], names=["a", "b"])
 
     return _by_unit(units, key, ["node"], run, "a long, b long")
 
 
-def candidates(prints: DataFrame, bits: int, words: int, tries: int, total: int, safe: int, most: int, unit_rows: int = 200_000, step: int = 6) -> DataFrame:
-    """Pairs a < b of `node`s worth a test (trie_candidates()): of each node the nearest two of a unit, and of those the `most` nearest.
+def candidates(prints: DataFrame, bits: int, words: int, tries: int, total: int, safe: int, least: int, unit_rows: int = 200_000, step: int = 6) -> DataFrame:
+    """Pairs a <= b of `node`s worth a test (trie_pairs()), each once.
 
     prints: a row per sketch: `node` long, `label` long (a component known so far), `sketch` binary.
     """
     units, key = _units(prints, bits, unit_rows, step, tries)
 
-    def run(t: pa.Table, order, turned, unit, rot) -> pa.RecordBatch:
+    def run(t: pa.Table, order, turned, unit, rot) -> Iterator[pa.RecordBatch]:
         node, label = t.column("node").to_numpy()[order], t.column("label").to_numpy()[order]
         wide = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(-1, words)[order]
         # a sketch may be in several units of a batch
-        i, j, d = trie_candidates(turned, unit, rot, bits, wide, _dense(label, unit), t.column("trie").to_numpy()[order], total, safe, 2)
-        return pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j]), pa.array(d)], names=["x", "y", "d"])
+        held, size = [], 0
+        for i, j, _ in trie_pairs(turned, unit, rot, bits, wide, _dense(label, unit), t.column("trie").to_numpy()[order], total, safe, least):
+            held.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]))
+            size += len(i)
+            if size > 1 << 17:
+                yield pairs(held)
+                held, size = [], 0
+        if held:
+            yield pairs(held)
 
-    found = _by_unit(units, key, ["node", "label", "sketch"], run, "x long, y long, d long")
-    near = Window.partitionBy("x").orderBy("d", "y")
-    found = materialize(found.distinct(), "simhash-near").withColumn("_n", F.row_number().over(near)).where(F.col("_n") <= most)
-    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    def pairs(held) -> pa.RecordBatch:
+        found = np.unique(np.concatenate(held, axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+
+    return _by_unit(units, key, ["node", "label", "sketch"], run, "a long, b long").distinct()
 
 
 def _dense(label: np.ndarray, unit: np.ndarray) -> np.ndarray:
@@ -460,16 +457,16 @@ def alike(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(a) + len(b) - both)
 
 
-def similar(docs: DataFrame, id_col: str, text_col: str = "text", shingle: int = 5, num: int = 4, den: int = 5, words: int = 8, tries: int = 4, bits: int = 9, total: int = 100, safe: int = 48, most: int = 8, unit_rows: int = 200_000) -> DataFrame:
+def similar(docs: DataFrame, id_col: str, text_col: str = "text", shingle: int = 5, num: int = 4, den: int = 5, words: int = 8, tries: int = 4, bits: int = 9, bands: tuple[int, ...] = (48, 72, 86, 100), unit_rows: int = 200_000) -> DataFrame:
     """One row per input row: id (a long, each once, none null) and `component_id`, the least id of its component.
 
     Two texts link when the Jaccard similarity of their sets of shingles is at least num / den, tested on the whole sets. Only
-    candidates are tested: sketches of `words` words that differ in at most `total` bits, and of whose first `tries` words one
+    candidates are tested: sketches of `words` words that differ in at most bands[-1] bits, and of whose first `tries` words one
     in at most `bits` bits. At a similarity of 0.8 they differ in 77 bits on average, and about 97 % of such pairs are candidates.
 
-    Tests go by rounds. Each takes every text's `most` nearest candidates outside its own component so far, and adds the links
-    that hold to the components; they end when a round has no new pair or no link holds.
-    Distinct sets take part, named by their least id; texts without words have the empty set, and link to each other.
+    Tests go by rounds, from the nearest candidates to the farthest. The first takes a spanning forest of those within bands[0] bits;
+    each later one takes all candidates up to its band's bits whose texts aren't in one component yet. No text has a limit to its
+    candidates. Distinct sets take part, named by their least id; texts without words have the empty set, and link to each other.
     """
 
     def own(raw: pa.Array) -> list[pa.Array]:
@@ -479,24 +476,24 @@ def similar(docs: DataFrame, id_col: str, text_col: str = "text", shingle: int =
 
     rows = materialize(with_computed(docs, [id_col], [text_col], own, [("key", "binary"), ("sketch", "binary")]), "similar-own")
     per = materialize(rows.groupBy("key").agg(F.min(id_col).alias("node"), F.min("sketch").alias("sketch")), "similar-distinct")
-    prints, labels, links_, tested, texts = per.select("node", F.col("node").alias("label"), "sketch"), None, None, None, None
-    while True:
-        pairs = candidates(prints, bits, words, tries, total, safe, most, unit_rows)
-        pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "similar-pairs")
-        if texts is None:  # only texts with a candidate are looked at any more
-            nodes = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "similar-nodes")
-            raw = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("_raw")).join(nodes, "node")
-            sets = lambda raw: [pa.array([np.unique(shingle_hashes(x or b"", shingle)).tobytes() for x in raw.to_pylist()], pa.binary())]
-            texts = materialize(with_computed(raw, ["node"], ["_raw"], sets, [("own", "binary")]), "similar-sets")
-            per_near = materialize(per.join(nodes, "node").select("node", "sketch"), "similar-prints")
-        found = _confirmed(pairs, texts, num, den)
-        if not found.take(1):
-            break
-        links_ = found if links_ is None else links_.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        labels = materialize(components(links_), "similar-of")
-        prints = per_near.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "sketch")
-        safe = 0
+    found = materialize(candidates(per.select("node", F.col("node").alias("label"), "sketch"), bits, words, tries, bands[-1], bands[0], -1, unit_rows), "similar-pairs")
+    # only texts with a candidate are looked at any more
+    nodes = materialize(found.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "similar-nodes")
+    raw = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("_raw")).join(nodes, "node")
+    sets = lambda raw: [pa.array([np.unique(shingle_hashes(x or b"", shingle)).tobytes() for x in raw.to_pylist()], pa.binary())]
+    texts = materialize(with_computed(raw, ["node"], ["_raw"], sets, [("own", "binary")]), "similar-sets")
+    near = materialize(per.join(nodes, "node").select("node", "sketch"), "similar-prints")
+    links_ = labels = None
+    least = -1
+    for total in bands:
+        if total != bands[0]:
+            prints = near.withColumn("label", F.col("node")) if labels is None else near.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "sketch")
+            found = materialize(candidates(prints, bits, words, tries, total, 0, least, unit_rows), "similar-pairs")
+            least = total
+        held = _confirmed(found.where("a < b"), texts, num, den)
+        if held.take(1):
+            links_ = held if links_ is None else links_.unionByName(held)
+            labels = materialize(components(links_), "similar-of")
     if labels is None:
         return rows.join(per.select("key", F.col("node").alias("component_id")), "key").select(id_col, "component_id")
     named = materialize(per.select("key", "node").join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("component_id")), "similar-named")

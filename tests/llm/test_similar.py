@@ -75,6 +75,22 @@ def test_stage_on_given_documents(spark):
     assert pairs and found >= 0.9 * pairs, (found, pairs)
 
 
+def test_family_of_one_template(spark):
+    """Texts of one template, 0.75 alike, among them pairs at 0.82: those below must not crowd out those above."""
+    rng = random.Random(21)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared, texts = new(430), []
+    for _ in range(300):
+        mine = new(22)
+        texts += [" ".join(shared + mine + new(50)) for _ in range(2)]
+    own = [grams(t) for t in texts]
+    alike = lambda i, j: len(own[i] & own[j]) / len(own[i] | own[j])
+    assert 0.8 < alike(0, 1) < 0.84 and 0.72 < alike(0, 2) < 0.78
+    got = {r.k: r.component_id for r in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "k long, text string"), "k").collect()}
+    assert sum(got[2 * k] == got[2 * k + 1] for k in range(300)) >= 270
+    assert all(got[got[k]] == got[k] and (got[k] == k or alike(k, got[k]) >= 0.8) for k in range(600))
+
+
 def test_hot_ball_of_near_copies(spark):
     """Copies of one text with a word or two changed: one class, without all pairs."""
     rng = random.Random(5)

@@ -6,19 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraloom.operators.graph import components
+from terraloom.operators.ranks import running
 from terraloom.sources.storage import written
 
 
 def stretch_range(px: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Exact values at ranks (n-1)*2 div 100 and (n-1)*98 div 100, without interpolation.
 
-    Values are counted first, so the window runs over distinct values of a group, not over its pixels.
+    Values are counted first; their running numbers come from ranges of values, so that a raster with as many values as pixels
+    has no task that holds a group. Null values don't count.
     """
-    counts = px.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*keys).orderBy(value)
-    upto = F.sum("_n").over(w)
-    total = F.sum("_n").over(Window.partitionBy(*keys))
-    d = counts.withColumns({"_upto": upto, "_all": total})
+    counts = px.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    d = written(running(counts, keys, [value], _upto=("sum", "_n")), "stretch")
+    whole = d.groupBy(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)]).agg(F.max("_upto").alias("_all"))
+    on = F.lit(True)
+    for n, k in enumerate(keys):
+        on &= F.col(k).eqNullSafe(F.col(f"_k{n}"))
+    d = d.join(whole, on)
     at = lambda q: F.floor((F.col("_all") - 1) * q / 100)
     hit = lambda q: (F.col("_upto") > at(q)) & (F.col("_upto") - F.col("_n") <= at(q))
     return d.groupBy(*keys).agg(F.max(F.when(hit(2), F.col(value))).alias("low"), F.max(F.when(hit(98), F.col(value))).alias("high"))

@@ -1,76 +1,99 @@
 """Lineage: ancestors, cycles, depths, project jobs and step lists.
 
-Loops are level-synchronous joins; each level is written to a shared folder, so its lineage is short and survives lost
-executors. The number of levels is the depth of the graph.
+Reachability goes by doubling: the pairs of nodes that ways of exactly 2^k edges connect come from those of 2^(k-1), and any
+number of edges is a sum of powers of two. A graph of depth d takes log2(d) rounds; each is written to the shared folder, so that
+lineage stays short and survives lost executors. The pairs at one distance of a forest are at most its nodes; of a dense graph they may
+be the square.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from terraloom.sources.storage import shared_path, written
+from terraloom.sources.storage import written
 
 
-def closure(edges: DataFrame, seeds: DataFrame, max_levels: int = 10_000) -> DataFrame:
-    """All nodes that the seeds (`id`) reach over edges (id -> parent_id), each with its least `depth` (0 for a seed).
+class Cyclic(ValueError):
+    """A graph that must have no cycle has one."""
 
-    A level is written once, beside the earlier ones; what was seen is read from all of them, ids only.
+
+def _edges(edges: DataFrame, max_nodes: int | None = None) -> tuple[DataFrame, int]:
+    """Distinct edges (a, b) without nulls, and the number of nodes."""
+    kept = written(edges.where("id is not null and parent_id is not null").select(F.col("id").alias("a"), F.col("parent_id").alias("b")).distinct(), "graph-edges")
+    nodes = kept.select("a").union(kept.select("b")).distinct().count()
+    if max_nodes is not None and nodes > max_nodes:
+        raise ValueError(f"the graph has {nodes} nodes, more than {max_nodes}")
+    return kept, nodes
+
+
+def _powers(edges: DataFrame, nodes: int) -> tuple[list[DataFrame], bool]:
+    """Pairs (a, b) that ways of exactly 1, 2, 4... edges connect, while there are any; and whether a way is longer than all nodes."""
+    powers = [edges]
+    while powers[-1].take(1):
+        if 1 << (len(powers) - 1) >= nodes:
+            return powers, True
+        last = powers[-1]
+        powers.append(written(last.join(last.select(F.col("a").alias("b"), F.col("b").alias("_c")), "b").select("a", F.col("_c").alias("b")).distinct(), "graph-power"))
+    return powers[:-1], False
+
+
+def lineage(edges: DataFrame, seeds: DataFrame, max_nodes: int | None = None) -> DataFrame:
+    """For each seed (`output`, `id`) all nodes that it reaches over edges (id -> parent_id), itself included, with the least `depth`.
+
+    Nulls in edges lead nowhere; null seeds are left out; cycles are walked once. max_nodes: a larger graph is an error.
     """
-    spark, base = edges.sparkSession, shared_path(edges.sparkSession, "closure")
-    ids = T.StructType([edges.schema["parent_id"]])
-    seen = lambda: spark.read.schema(f"id {ids[0].dataType.simpleString()}, depth int").option("basePath", base).parquet(base)
-    frontier = seeds.select("id").distinct()
-    for depth in range(max_levels):
-        path = f"{base}/depth={depth}"
-        frontier.write.parquet(path)
-        frontier = spark.read.schema(frontier.schema).parquet(path)
-        if not frontier.take(1):
-            return seen()
-        step = edges.join(frontier, "id").select(F.col("parent_id").alias("id")).where("id is not null").distinct()
-        frontier = step.join(seen().select("id"), "id", "left_anti")
-    raise ValueError("the graph is deeper than max_levels")
+    kept, nodes = _edges(edges, max_nodes)
+    found = written(seeds.where("id is not null").select("output", "id").distinct().withColumn("depth", F.lit(0)), "lineage")
+    for k, power in enumerate(_powers(kept, nodes)[0]):
+        further = found.join(power.select(F.col("a").alias("id"), "b"), "id").select("output", F.col("b").alias("id"), (F.col("depth") + (1 << k)).alias("depth"))
+        found = written(found.unionByName(further).groupBy("output", "id").agg(F.min("depth").alias("depth")), "lineage")
+    return found
+
+
+def closure(edges: DataFrame, seeds: DataFrame, max_nodes: int | None = None) -> DataFrame:
+    """All nodes that the seeds (`id`) reach over edges (id -> parent_id), each with its least `depth` (0 for a seed)."""
+    return lineage(edges, seeds.select(F.lit(0).alias("output"), "id"), max_nodes).select("id", "depth")
 
 
 def cyclic_nodes(edges: DataFrame) -> DataFrame:
-    """Nodes on a cycle, or that lead into one: what is left after nodes without an unpeeled parent are taken off, again and again."""
-    left = written(edges.select("id", "parent_id").distinct(), "cycle")
-    count = left.count()
-    while count:
-        nodes = left.select("id").distinct()
-        left = written(left.join(nodes.select(F.col("id").alias("parent_id")), "parent_id", "left_semi"), "cycle")
-        now = left.count()
-        if now == count:
-            break
-        count = now
-    return left.select("id").distinct()
-
-
-def topological_depth(edges: DataFrame) -> DataFrame:
-    """Depth of every node, parents first: 0 without a parent, else one more than its deepest parent. A cycle is an error.
-
-    A node settles in the round after its last parent: each round writes how many edges arrive at the children of the nodes just
-    settled, and a child settles when all its edges have arrived.
+    """Nodes on a cycle, or that lead into one: where a way starts that is longer than there are nodes."""
+    kept, nodes = _edges(edges)
+    powers, cyclic = _powers(kept, nodes)
+    last = powers[-1] if cyclic else kept.limit(0)
+    return last.select(F.col("a").alias("id")).distinct()
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """Nodes on cycles, by strongly connected component: `id`, `cycle` (its least node). Nodes that only lead to or from one are trimmed first."""
+    core = cyclic_nodes(edges)
+    back = cyclic_nodes(edges.select(F.col("parent_id").alias("id"), F.col("id").alias("parent_id")))
+    core = written(core.intersect(back), "cycle-core")
+    inside = edges.join(core, "id", "left_semi").join(core.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi")
+    reach = lineage(inside, core.select(F.col("id").alias("output"), "id")).where("depth > 0").select("output", "id")
+    loops = inside.where("id = parent_id").select(F.col("id").alias("output"), "id")
+    both = reach.intersect(reach.select(F.col("id").alias("output"), F.col("output").alias("id"))).unionByName(loops)
+    return both.groupBy(F.col("output").alias("id")).agg(F.least(F.min("id"), F.col("output")).alias("cycle"))
+
+
+def topological_depth(edges: DataFrame, max_nodes: int | None = None) -> DataFrame:
+    """Depth of every node, parents first: 0 without a parent, else one more than its deepest parent. A cycle is an error that names one.
+
+    The longest way from a node up has a binary form: from the greatest power down, each node goes on from what it has reached by so
+    many edges, if it can.
     """
-    spark, base = edges.sparkSession, shared_path(edges.sparkSession, "topology")
-    edges = written(edges.select("id", "parent_id").where("id is not null and parent_id is not null").distinct(), "topology-edges")
-    nodes = edges.select("id").union(edges.select("parent_id")).distinct()
-    wanted = written(edges.groupBy("id").agg(F.count("*").alias("_n")), "topology-wanted")
-    frontier = written(nodes.join(wanted, "id", "left_anti").withColumn("depth", F.lit(0)), "topology-level")
-    out, depth = frontier, 0
-    while frontier.take(1):
-        depth += 1
-        arrived = edges.join(frontier.select(F.col("id").alias("parent_id")), "parent_id").groupBy("id").agg(F.count("*").alias("_k"))
-        arrived.write.parquet(f"{base}/round={depth}")
-        now = spark.read.schema(arrived.schema).parquet(f"{base}/round={depth}").select("id")
-        so_far = spark.read.schema(arrived.schema).parquet(base).join(now, "id", "left_semi").groupBy("id").agg(F.sum("_k").alias("_k"))
-        settled = so_far.join(wanted, "id").where("_k = _n").select("id", F.lit(depth).alias("depth"))
-        frontier = written(settled, "topology-level")
-        out = out.unionByName(frontier)
-    if out.count() != nodes.count():
-        raise ValueError("the graph has a cycle")
-    return out
+    kept, nodes = _edges(edges, max_nodes)
+    powers, cyclic = _powers(kept, nodes)
+    if cyclic:
+        named = cycles(edges)
+        first = named.where(F.col("cycle") == named.agg(F.min("cycle")).scalar()).orderBy("id").limit(20)
+        raise Cyclic(f"the graph has a cycle: {[r.id for r in first.collect()]}")
+    own = kept.select("a").union(kept.select("b")).distinct()
+    state = written(own.select(F.col("a").alias("id"), F.col("a").alias("at"), F.lit(0).alias("depth")), "topology")
+    for k in range(len(powers) - 1, -1, -1):
+        far = written(state.join(powers[k].select(F.col("a").alias("at"), "b"), "at").select("id", F.col("b").alias("at"), (F.col("depth") + (1 << k)).alias("depth")).distinct(), "topology-far")
+        state = written(far.unionByName(state.join(far.select("id").distinct(), "id", "left_anti")), "topology")
+    return state.select("id", "depth").distinct()
 
 
 def project_jobs(seeds: DataFrame, derived: DataFrame) -> DataFrame:
@@ -90,6 +113,24 @@ def steps(chain: DataFrame, nodes: DataFrame) -> DataFrame:
     return j.select("output", F.transform("_s", lambda s: s["operation"]).alias("operations"))
 
 
+def lineage_steps(nodes: DataFrame, edges: DataFrame, outputs: DataFrame | None = None, max_nodes: int | None = None) -> DataFrame:
+    """Processing history of each output: `output`, `place` (from 1, inputs before what is made of them), `id`, `operation`, `parameters`.
+
+    nodes: id, operation, parameters (a map); a step's inputs come before it, steps at one depth by id. outputs: ids (`id`) whose history is
+    wanted, all nodes if left out. A reference to a node that isn't there is an error, as is a cycle.
+    """
+    lost = edges.where("parent_id is not null").join(nodes.select(F.col("id").alias("parent_id")), "parent_id", "left_anti").select("parent_id").limit(1).collect()
+    if lost:
+        raise ValueError(f"a recorded source is missing: {lost[0][0]}")
+    seeds = (nodes if outputs is None else outputs).select(F.col("id").alias("output"), "id")
+    level = topological_depth(edges, max_nodes).withColumnRenamed("depth", "_level")
+    j = lineage(edges, seeds, max_nodes).drop("depth").join(level, "id", "left").join(nodes, "id")
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("output").orderBy(F.coalesce("_level", F.lit(0)), "id")
+    return j.select("output", F.row_number().over(order).alias("place"), "id", "operation", "parameters")
+
+
 def relation_geometry(members: DataFrame, ways: DataFrame, max_depth: int = 8) -> DataFrame:
     """Ways of each relation, nested relations resolved; members: relation_id, type, ref. A relation nested deeper than `max_depth` is an error."""
     level = members.select(F.col("relation_id").alias("root"), "type", "ref")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terraloom.operators.polygons import points_in_polygons
+
 
 def join_bands(px: DataFrame, bands: list[str], nodata: int = 0, asset: str = "asset", value: str = "value") -> DataFrame:
     """Long pixel rows -> one row per scene and pixel with a column per band; `valid` where every band has data.
@@ -28,24 +30,6 @@ def _cells(d: DataFrame, w: str, s: str, e: str, n: str, cell: float) -> DataFra
     return d.withColumn("_cx", F.explode(F.sequence(at(w), at(e)))).withColumn("_cy", F.explode(F.sequence(at(s), at(n))))
 
 
-def points_in_polygons(points: DataFrame, edges: DataFrame, cell: float) -> DataFrame:
-    """(point id, polygon id) of points inside polygons with holes; points: id, px, py; edges: poly_id, ax, ay, bx, by.
-
-    Polygons are cut into grid cells, so the join is an equality on cells; a crossing count (an aggregate over matching
-    edges) decides. Edges whose cells lie right of a point's cell in the same row of cells matter too, so an edge is dealt
-    to the rows of cells that it spans, and each row of cells of the polygon's box to its columns.
-    """
-    boxes = edges.groupBy("poly_id").agg(F.min(F.least("ax", "bx")).alias("w"), F.min(F.least("ay", "by")).alias("s"), F.max(F.greatest("ax", "bx")).alias("e"), F.max(F.greatest("ay", "by")).alias("n"))
-    cells = _cells(boxes, "w", "s", "e", "n", cell)
-    p = points.withColumns({"_cx": F.floor(F.col("px") / cell), "_cy": F.floor(F.col("py") / cell)})
-    near = p.join(cells, ["_cx", "_cy"]).where((F.col("px") >= F.col("w")) & (F.col("px") <= F.col("e")) & (F.col("py") >= F.col("s")) & (F.col("py") <= F.col("n"))).select("id", "px", "py", "poly_id", "_cy")
-    at = lambda c: F.floor(c / cell)
-    rows = edges.withColumn("_cy", F.explode(F.sequence(at(F.least("ay", "by")), at(F.greatest("ay", "by")))))
-    j = near.join(rows, ["poly_id", "_cy"])
-    hit = ((F.col("ay") > F.col("py")) != (F.col("by") > F.col("py"))) & (F.col("px") < (F.col("bx") - F.col("ax")) * (F.col("py") - F.col("ay")) / F.nullif(F.col("by") - F.col("ay"), F.lit(0.0)) + F.col("ax"))
-    return j.groupBy("id", "poly_id").agg(F.count_if(F.coalesce(hit, F.lit(False))).alias("_c")).where("_c % 2 = 1").select("id", "poly_id")
-
-
 def scenes_in_areas(items: DataFrame, areas: DataFrame, cell: float) -> DataFrame:
     """(item_id, area_id) of overlapping boxes, touching not counted, by an equality join on grid cells.
 
@@ -78,15 +62,24 @@ def missing_refs(refs: DataFrame, elements: DataFrame, on: str) -> DataFrame:
 
 
 def holes_to_shells(holes: DataFrame, shells: DataFrame, cell: float) -> DataFrame:
-    """Each hole with its smallest enclosing shell; `shell_id` null where there is none.
+    """Each hole with its smallest enclosing shell: hole_id, `shell_id`, `error` ("no shell" where there is none).
 
-    holes: hole_id, px, py (one of its vertices); shells: shell_id, area and their edges as poly_id, ax, ay, bx, by.
+    holes: hole_id, px, py (one of its vertices); shells: shell_id, area and their edges as poly_id, ax, ay, bx, by. Shells of
+    equal area: the lesser id.
     """
     edges = shells.select(F.col("shell_id").alias("poly_id"), F.explode("edges").alias("_e")).select("poly_id", "_e.*")
     inside = points_in_polygons(holes.select(F.col("hole_id").alias("id"), "px", "py"), edges, cell)
     j = inside.join(shells.select(F.col("shell_id").alias("poly_id"), "area"), "poly_id")
     best = j.groupBy(F.col("id").alias("hole_id")).agg(F.min_by("poly_id", F.struct("area", "poly_id")).alias("shell_id"))
-    return holes.select("hole_id").join(best, "hole_id", "left")
+    found = holes.select("hole_id").join(best, "hole_id", "left")
+    return found.withColumn("error", F.when(F.col("shell_id").isNull(), "no shell"))
+
+
+def holes_with_shells(holes: DataFrame, shells: DataFrame, cell: float) -> DataFrame:
+    """The same where every hole must have a shell: one without is an error, which ends the job."""
+    found = holes_to_shells(holes, shells, cell)
+    lost = F.raise_error(F.concat(F.lit("no shell around hole "), F.col("hole_id").cast("string"))).cast(found.schema["shell_id"].dataType)
+    return found.select("hole_id", F.coalesce("shell_id", lost).alias("shell_id"))
 
 
 def reusable_jobs(assets: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -20,35 +20,35 @@ def running(df: DataFrame, keys: list[str], order: list[str | Column], place: st
     """`df` with the `place` of each row within its keys (from 1, by `order`, ascending, nulls first) and running aggregates up to and with the row.
 
     aggregates: name -> (kind, column), of the kinds sum, bit_xor and max; none of their inputs may be null. Null keys are a
-    key of their own. Rows that tie have places in no stated order; many equal rows are spread over ranges all the same.
+    key of their own; columns that begin with _rk_ are the function's own. Rows that tie have places in no stated order; many equal rows are spread over ranges all the same.
     """
     names = list(aggregates)
-    by = [F.col(f"_b{k}") for k in range(len(order))]
-    inputs = [(F.col(c) if isinstance(c, str) else c).alias(f"_v{k}") for k, (_, c) in enumerate(aggregates.values())]
-    ordered = [(F.col(c) if isinstance(c, str) else c).alias(f"_b{k}") for k, c in enumerate(order)]
+    by = [F.col(f"_rk_b{k}") for k in range(len(order))]
+    inputs = [(F.col(c) if isinstance(c, str) else c).alias(f"_rk_v{k}") for k, (_, c) in enumerate(aggregates.values())]
+    ordered = [(F.col(c) if isinstance(c, str) else c).alias(f"_rk_b{k}") for k, c in enumerate(order)]
     rows = written(df.select("*", *ordered, *inputs), "ranks")
-    dealt = rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*keys, *by, "_tie")
-    parts = written(dealt.withColumn("_part", F.spark_partition_id()), "ranges")
+    dealt = rows.withColumn("_rk_tie", F.monotonically_increasing_id()).repartitionByRange(*keys, *by, "_rk_tie")
+    parts = written(dealt.withColumn("_rk_part", F.spark_partition_id()), "ranges")
 
     kinds = [_KINDS[kind] for kind, _ in aggregates.values()]
-    totals = parts.groupBy("_part", *keys).agg(F.count("*").alias("_n"), *[f(f"_v{k}").alias(f"_t{k}") for k, f in enumerate(kinds)])
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.groupBy("_rk_part", *keys).agg(F.count("*").alias("_rk_n"), *[f(f"_rk_v{k}").alias(f"_rk_t{k}") for k, f in enumerate(kinds)])
+    before = Window.partitionBy(*keys).orderBy("_rk_part").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
-        F.col("_part").alias("_p"), *[F.col(c).alias(f"_k{k}") for k, c in enumerate(keys)],
-        F.sum("_n").over(before).alias("_n0"), *[f(f"_t{k}").over(before).alias(f"_c{k}") for k, f in enumerate(kinds)],
-    ).where("_n0 is not null")
-    same = F.col("_part") == F.col("_p")
+        F.col("_rk_part").alias("_rk_p"), *[F.col(c).alias(f"_rk_k{k}") for k, c in enumerate(keys)],
+        F.sum("_rk_n").over(before).alias("_rk_n0"), *[f(f"_rk_t{k}").over(before).alias(f"_rk_c{k}") for k, f in enumerate(kinds)],
+    ).where("_rk_n0 is not null")
+    same = F.col("_rk_part") == F.col("_rk_p")
     for k, c in enumerate(keys):
-        same &= F.col(c).eqNullSafe(F.col(f"_k{k}"))
+        same &= F.col(c).eqNullSafe(F.col(f"_rk_k{k}"))
 
-    own = Window.partitionBy("_part", *keys).orderBy(*by, "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    local = parts.withColumn("_n", F.count("*").over(own)).withColumns({f"_r{k}": f(f"_v{k}").over(own) for k, f in enumerate(kinds)})
+    own = Window.partitionBy("_rk_part", *keys).orderBy(*by, "_rk_tie").rowsBetween(Window.unboundedPreceding, 0)
+    local = parts.withColumn("_rk_n", F.count("*").over(own)).withColumns({f"_rk_r{k}": f(f"_rk_v{k}").over(own) for k, f in enumerate(kinds)})
     out = local.join(F.broadcast(carried), same, "left")
     shown = [F.col(f"`{c}`") for c in df.columns]
     if place:
-        shown.append((F.col("_n") + F.coalesce("_n0", F.lit(0))).alias(place))
+        shown.append((F.col("_rk_n") + F.coalesce("_rk_n0", F.lit(0))).alias(place))
     for k, ((kind, _), name) in enumerate(zip(aggregates.values(), names, strict=True)):
-        r, c = F.col(f"_r{k}"), F.col(f"_c{k}")
+        r, c = F.col(f"_rk_r{k}"), F.col(f"_rk_c{k}")
         joined = {"sum": r + c, "bit_xor": r.bitwiseXOR(c), "max": F.greatest(r, c)}[kind]
         shown.append(F.when(c.isNull(), r).otherwise(joined).alias(name))
     return out.select(*shown)

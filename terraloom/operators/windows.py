@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraloom.functions.text import fold_text, folded
+from terraloom.operators.ranks import running
+from terraloom.sources.storage import written
 
 
 def dedup_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -49,6 +51,43 @@ def page_budget(rows: DataFrame, group: str, order: str, size: Column, max_bytes
     return d.where((F.col("_n") <= max_rows) & (F.col("_b") <= max_bytes)).drop("_n", "_b")
 
 
+def pages(rows: DataFrame, group: str, order: str, size: Column, max_bytes: int, max_rows: int, offset: int = 0) -> DataFrame:
+    """All pages of each group from `offset` rows on: the rows with `page` (from 1), `page_offset` and `next_offset` (null on the last page).
+
+    A page takes rows while their sizes add up to at most `max_bytes`, at most `max_rows`. A row that is larger by itself is an error. Every
+    row's next page start comes from running sizes, for rows and limits in one order; from the first start on the
+    pages are found by jumping 1, 2, 4... pages. Rows with a null group are a group; null sizes count as 0.
+    """
+    small = F.when(F.coalesce(size, F.lit(0)) > max_bytes, F.raise_error(F.lit("one entry exceeds the page's bytes")).cast("bigint")).otherwise(F.coalesce(size, F.lit(0)))
+    key = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("")).alias("_g")
+    placed = running(rows.select("*", key, small.cast("bigint").alias("_s")), ["_g"], [order], place="_n", _b=("sum", "_s"))
+    placed = written(placed.where(F.col("_n") > offset), "pages")
+    limits = placed.select("_g", F.lit(1).alias("_kind"), (F.col("_b") - F.col("_s") + max_bytes).alias("_v"), "_n", F.lit(0).cast("bigint").alias("_one"))
+    sums = placed.select("_g", F.lit(0).alias("_kind"), F.col("_b").alias("_v"), "_n", F.lit(1).cast("bigint").alias("_one"))
+    met = running(limits.unionByName(sums), ["_g"], ["_v", "_kind"], _fit=("sum", "_one")).where("_kind = 1")
+    jump = written(met.select("_g", "_n", F.least(F.col("_n") + max_rows, F.col("_fit") + offset + 1).alias("_to")), "page-jumps")
+    starts, count = written(jump.where(F.col("_n") == offset + 1).select("_g", "_n", F.lit(1).cast("bigint").alias("_page")), "page-starts"), -1
+    step, seen = 1, 0
+    while seen != count:
+        seen = count
+        on = starts.join(jump, ["_g", "_n"]).select("_g", F.col("_to").alias("_n"), (F.col("_page") + step).alias("_page"))
+        starts = written(starts.unionByName(on.join(jump.select("_g", "_n"), ["_g", "_n"], "left_semi")).distinct(), "page-starts")
+        count = starts.count()
+        ahead = jump.select("_g", F.col("_n").alias("_to"), F.col("_to").alias("_next"))
+        jump = written(jump.join(ahead, ["_g", "_to"], "left").select("_g", "_n", F.coalesce("_next", "_to").alias("_to")), "page-jumps")
+        step *= 2
+    marked = placed.join(starts, ["_g", "_n"], "left").withColumn("_first", F.col("_page").isNotNull().cast("bigint"))
+    paged = running(marked.drop("_page"), ["_g"], ["_n"], page=("sum", "_first"))
+    ends = starts.select(F.col("_g"), (F.col("_page") - 1).alias("page"), (F.col("_n") - 1).alias("next_offset"))
+    begins = starts.select("_g", F.col("_page").alias("page"), (F.col("_n") - 1).alias("page_offset"))
+    return paged.join(begins, ["_g", "page"]).join(ends, ["_g", "page"], "left").select(*rows.columns, "page", "page_offset", "next_offset")
+
+
+def ranked(rows: DataFrame, order: list[str], place: str = "place") -> DataFrame:
+    """All rows with their place (from 1) in one order, worked out by ranges: no task sorts them all."""
+    return running(rows, [], order, place=place)
+
+
 def strict_order(rows: DataFrame, group: str, order: list[str], key: str) -> DataFrame:
     """Rows whose key does not rise over that of the row before."""
     prev = F.lag(key).over(Window.partitionBy(group).orderBy(*order))

@@ -10,6 +10,7 @@ from terraloom.operators import checks as K
 from terraloom.operators import graph as Gr
 from terraloom.operators import joins as J
 from terraloom.operators import resolve as Rs
+from terraloom.operators import rings as Rg
 from terraloom.operators import windows as W
 from terraloom.plans.q_grid import _TILES, _ring, _tiles
 from terraloom.plans.registry import query
@@ -111,7 +112,7 @@ def join_missing_refs(v):
     return J.missing_refs(refs, _nodes(v), "node_id").select("way_id", "node_id")
 
 
-@query("""SELECT CAST(p_partkey AS BIGINT) AS hole_id, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey AS BIGINT) * 2 + 1 WHEN p_partkey % 5 = 0 THEN NULL ELSE CAST(p_partkey AS BIGINT) * 2 END AS shell_id FROM part""")
+@query("""SELECT CAST(p_partkey AS BIGINT) AS hole_id, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey AS BIGINT) * 2 + 1 WHEN p_partkey % 5 = 0 THEN NULL ELSE CAST(p_partkey AS BIGINT) * 2 END AS shell_id, CASE WHEN p_partkey % 2 = 1 AND p_partkey % 5 = 0 THEN 'no shell' END AS error FROM part""")
 def join_hole_shell(v):
     p = C("p_partkey").cast("bigint")
     x, y = (p % 50 * 10).cast("double"), (F.floor(p / 50) * 10).cast("double")
@@ -386,6 +387,15 @@ def win_page_budget(v):
     return W.page_budget(v.job, "task", "id", C("received"), 900000, 20).select("task", "id")
 
 
+@query("""WITH RECURSIVE r AS (SELECT task, id, received, row_number() OVER (PARTITION BY task ORDER BY id) AS n FROM job), s AS (SELECT task, n, sum(received) OVER (PARTITION BY task ORDER BY n) AS b, received FROM r),
+j AS (SELECT a.task, a.n, (SELECT count(*) FROM s c WHERE c.task = a.task AND c.n >= a.n AND c.n < a.n + 20 AND c.b <= a.b - a.received + 900000) AS k FROM s a),
+w AS (SELECT task, CAST(5 AS BIGINT) AS n, CAST(1 AS BIGINT) AS page, k FROM j WHERE n = 5 UNION ALL SELECT j.task, j.n, page + 1, j.k FROM w JOIN j ON j.task = w.task AND j.n = w.n + w.k),
+m AS (SELECT task, max(page) AS last FROM w GROUP BY task)
+SELECT r.task, r.id, page, w.n - 1 AS page_offset, CASE WHEN page < last THEN w.n + w.k - 1 END AS next_offset FROM r JOIN w ON w.task = r.task AND r.n >= w.n AND r.n < w.n + w.k JOIN m ON m.task = r.task""")
+def win_pages(v):
+    return W.pages(v.job.select("task", "id", "received"), "task", "id", C("received"), 900000, 20, offset=4).drop("received")
+
+
 @query("""WITH r AS (SELECT task, id, received, lag(received) OVER (PARTITION BY task ORDER BY id) AS p FROM job) SELECT task, id FROM r WHERE p >= received""")
 def win_strict_order(v):
     return W.strict_order(v.job, "task", ["id"], "received").select("task", "id")
@@ -542,6 +552,89 @@ def graph_ring_assembly(v):
     return Gr.assemble_rings(v.supplier.select(i.alias("relation_id"), s.alias("s")).select("relation_id", "s.*"))
 
 
+_SEGMENTS = """SELECT i AS relation_id, pos, list_transform(nodes, lambda k: i * 100 + k) AS nodes FROM (SELECT i, unnest(range(len(ways))) AS pos, unnest(ways) AS nodes FROM (SELECT CAST(s_suppkey AS BIGINT) AS i, CASE s_suppkey % 8
+WHEN 0 THEN [[1, 2, 3, 1]] WHEN 1 THEN [[1, 2, 3], [5, 4, 3], [5, 6, 1]] WHEN 2 THEN [[1, 2, 3], [3, 4, 1], [11, 12, 13, 11]] WHEN 3 THEN [[1, 2, 3], [3, 4]] WHEN 4 THEN [[1, 2], [2, 3], [2, 4], [3, 1], [4, 1]]
+WHEN 5 THEN [[1, 2, 1], [5, 6, 7, 5]] WHEN 6 THEN [[3, 2, 1], [3, 4, 1]] ELSE [[1, 2], [3, 2], [3, 4], [5, 4], [5, 6], [7, 6], [7, 8], [1, 8]] END AS ways FROM supplier) t) u"""
+_WAYS = {0: [[1, 2, 3, 1]], 1: [[1, 2, 3], [5, 4, 3], [5, 6, 1]], 2: [[1, 2, 3], [3, 4, 1], [11, 12, 13, 11]], 3: [[1, 2, 3], [3, 4]], 4: [[1, 2], [2, 3], [2, 4], [3, 1], [4, 1]], 5: [[1, 2, 1], [5, 6, 7, 5]], 6: [[3, 2, 1], [3, 4, 1]], 7: [[1, 2], [3, 2], [3, 4], [5, 4], [5, 6], [7, 6], [7, 8], [1, 8]]}
+
+
+@query(f"""WITH RECURSIVE seg AS ({_SEGMENTS}),
+bad AS (SELECT relation_id FROM (SELECT relation_id, unnest([nodes[1], nodes[-1]]) AS e FROM seg) t GROUP BY relation_id, e HAVING count(*) <> 2),
+w AS (SELECT relation_id, nodes AS path, [pos] AS used FROM seg WHERE relation_id NOT IN (SELECT relation_id FROM bad) UNION ALL
+SELECT w.relation_id, list_concat(path, CASE WHEN s.nodes[1] = path[-1] THEN s.nodes[2:] ELSE list_reverse(s.nodes)[2:] END), list_append(used, s.pos)
+FROM w JOIN seg s ON s.relation_id = w.relation_id AND NOT list_contains(used, s.pos) AND (s.nodes[1] = path[-1] OR s.nodes[-1] = path[-1]) WHERE path[1] <> path[-1]),
+c AS (SELECT relation_id, used[1] AS ring, path FROM w WHERE path[1] = path[-1] AND used[1] = list_max(used)), small AS (SELECT relation_id FROM c WHERE len(path) < 4)
+SELECT relation_id, ring, array_to_string(path, ',') AS nodes, NULL AS error FROM c WHERE relation_id NOT IN (SELECT relation_id FROM small)
+UNION ALL SELECT relation_id, NULL, NULL, 'open' FROM (SELECT DISTINCT relation_id FROM bad) b UNION ALL SELECT DISTINCT relation_id, NULL, NULL, 'degenerate' FROM small""")
+def graph_ring_paths(v):
+    found = Rg.ring_paths(_segments(v))
+    return found.select("relation_id", "ring", F.array_join(F.transform("points", lambda p: p["node"]), ",").alias("nodes"), "error")
+
+
+def _segments(v):
+    i = C("s_suppkey").cast("bigint")
+    point = lambda k: F.struct((i * 100 + k).alias("node"), (i * 100 + k).cast("double").alias("x"), F.lit(float(k)).alias("y"))
+    ways = None
+    for case, own in _WAYS.items():
+        a = F.array(*[F.array(*[point(k) for k in way]) for way in own])
+        ways = F.when(i % 8 == case, a) if ways is None else ways.when(i % 8 == case, a)
+    return v.supplier.select(i.alias("relation_id"), F.posexplode(ways).alias("pos", "points"))
+
+
+# squares of side 10 in a row; holes of side 2; what is wrong with some: an open ring, a hole outside, a member of another kind, two outers around one hole
+@query("""SELECT CAST(s_suppkey AS BIGINT) AS relation_id, CASE s_suppkey % 7 WHEN 0 THEN '5:0' WHEN 1 THEN '5:1' WHEN 2 THEN '5:1,5:1' END AS polygons,
+CASE s_suppkey % 7 WHEN 3 THEN 'open' WHEN 4 THEN 'hole' WHEN 5 THEN 'member' WHEN 6 THEN 'no outer ring' END AS error FROM supplier""")
+def graph_multipolygon(v):
+    i = C("s_suppkey").cast("bigint")
+    case = i % 7
+    at = lambda x, y: F.struct(F.lit(None).cast("bigint").alias("node"), (i * 50 + x).cast("double").alias("x"), F.lit(float(y)).alias("y"))
+
+    def square(x, y, a, role, kind="way", turned=False):
+        c = [(x, y), (x + a, y), (x + a, y + a), (x, y + a), (x, y)]
+        half = [c[:3], c[2:][::-1] if turned else c[2:]]
+        return [F.struct(F.lit(kind).alias("type"), F.lit(role).alias("role"), F.array(*[at(*p) for p in h]).alias("points")) for h in half]
+
+    outer, hole = square(0, 0, 10, "outer", turned=True), square(3, 3, 2, "inner")
+    away, second, label = square(20, 20, 2, "inner"), square(20, 0, 10, ""), square(1, 1, 1, "label", "node")[:1]
+    inside = square(23, 3, 2, "inner", turned=True)
+    rows = {0: outer + label, 1: outer + hole, 2: outer + second + hole + inside, 3: outer[:1], 4: outer + away, 5: outer + square(1, 1, 1, "part")[:1], 6: hole}
+    members = None
+    for k, own in rows.items():
+        members = F.when(case == k, F.array(*own)) if members is None else members.when(case == k, F.array(*own))
+    d = v.supplier.select(i.alias("relation_id"), F.posexplode(members).alias("pos", "_m")).select("relation_id", "pos", "_m.*")
+    found = Rg.multipolygons(d, 5.0)
+    text = F.array_join(F.transform("polygons", lambda p: F.concat_ws(":", F.size(p["outer"]).cast("string"), F.size(p["inners"]).cast("string"))), ",")
+    return found.select("relation_id", text.alias("polygons"), "error")
+
+
+@query("""WITH RECURSIVE m AS (SELECT CAST(s_suppkey AS BIGINT) AS relation_id, unnest([0, 1, 2]) AS pos, unnest(['node', CASE WHEN s_suppkey % 11 = 9 THEN 'way' ELSE 'relation' END, CASE WHEN s_suppkey % 11 = 4 THEN 'relation' ELSE 'way' END]) AS type,
+unnest([CAST(s_suppkey AS BIGINT) * 7, CASE WHEN s_suppkey % 13 = 5 THEN s_suppkey - s_suppkey % 13 ELSE CAST(s_suppkey AS BIGINT) + 1 END, CASE WHEN s_suppkey % 11 = 4 THEN 999999 ELSE CAST(s_suppkey AS BIGINT) * 3 END]) AS ref FROM supplier),
+k AS (SELECT CAST(s_suppkey AS BIGINT) AS r, s_suppkey % 10 = 9 AS area FROM supplier),
+w AS (SELECT relation_id AS root, CAST(pos AS VARCHAR) AS path, [relation_id] AS way, type, ref, 1 AS depth FROM m JOIN k ON r = relation_id WHERE NOT area UNION ALL
+SELECT root, path || '.' || CAST(m.pos AS VARCHAR), list_append(way, w.ref), m.type, m.ref, depth + 1 FROM w JOIN k ON r = w.ref AND NOT area JOIN m ON m.relation_id = w.ref WHERE w.type = 'relation' AND NOT list_contains(way, w.ref) AND depth <= 8)
+SELECT root, path, CASE WHEN type = 'relation' AND area AND NOT list_contains(way, ref) AND depth <= 8 THEN 'area' ELSE type END AS type, ref, CASE WHEN type <> 'relation' THEN NULL WHEN area IS NULL THEN 'missing' WHEN list_contains(way, ref) THEN 'cycle' WHEN depth > 8 THEN 'depth' END AS error
+FROM w LEFT JOIN k ON k.r = w.ref AND w.type = 'relation' WHERE NOT (type = 'relation' AND area IS NOT NULL AND NOT area AND NOT list_contains(way, ref) AND depth <= 8)""")
+def graph_collections(v):
+    i = C("s_suppkey").cast("bigint")
+    member = lambda kind, ref: F.struct(F.lit(kind).alias("type") if isinstance(kind, str) else kind.alias("type"), ref.cast("bigint").alias("ref"))
+    three = F.array(
+        member("node", i * 7),
+        member(F.when(i % 11 == 9, "way").otherwise("relation"), F.when(i % 13 == 5, i - i % 13).otherwise(i + 1)),
+        member(F.when(i % 11 == 4, "relation").otherwise("way"), F.when(i % 11 == 4, 999999).otherwise(i * 3)),
+    )
+    members = v.supplier.select(i.alias("relation_id"), F.posexplode(three).alias("pos", "_m")).select("relation_id", "pos", "_m.*")
+    found = Rg.collections(members, v.supplier.select(i.alias("relation_id"), (i % 10 == 9).alias("area")))
+    return found.withColumn("path", F.array_join("path", "."))
+
+
+@query("""SELECT CAST(p_partkey AS BIGINT) AS id, CAST(p_partkey - p_partkey % 10 AS BIGINT) AS cycle FROM part WHERE p_partkey % 20 < 3""")
+def graph_cycle_names(v):
+    p = C("p_partkey").cast("bigint")
+    first = p - p % 10
+    d = v.part.where("p_partkey % 20 < 9").select(p.alias("id"), F.when(p % 10 < 3, first + (p % 10 + 1) % 3).otherwise(p - 1).alias("parent_id"))
+    return Gr.cycles(d)
+
+
 # --- datasets
 
 

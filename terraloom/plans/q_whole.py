@@ -16,7 +16,6 @@ from terraloom.plans.q_grid import _HILBERT, _TILES, _cells, _tiles
 from terraloom.plans.q_joins import _CELLS, _cover
 from terraloom.plans.registry import query
 from terraloom.sources import readers as S
-from terraloom.sources.storage import written
 
 C = F.col
 
@@ -106,31 +105,31 @@ def smp_preview(v):
 
 @query(f"{_HILBERT}, r AS (SELECT p, ((1::BIGINT << (2 * z)) - 1) // 3 + d AS tile_id FROM h WHERE s = 0) SELECT p, row_number() OVER (ORDER BY tile_id, p) AS place FROM r")
 def ord_tile_id(v):
-    from pyspark.sql import Window
-
-    d = _cells(v).select("p", G.tile_id(C("z"), C("x"), C("y")).alias("tile_id")).repartitionByRange("tile_id", "p")
-    d = written(d.withColumn("_part", F.spark_partition_id()), "tile-order")
-    at, before = [], 0
-    for r in d.groupBy("_part").count().orderBy("_part").collect():  # one row per range
-        at.append((r["_part"], before))
-        before += r["count"]
-    starts = F.broadcast(v.spark.createDataFrame(at, "_part int, _before long"))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy("tile_id", "p"))
-    return d.join(starts, "_part").select("p", (C("_before") + place).alias("place"))
+    return W.ranked(_cells(v).select("p", G.tile_id(C("z"), C("x"), C("y")).alias("tile_id")), ["tile_id", "p"]).select("p", "place")
 
 
 @query("""WITH RECURSIVE c AS (SELECT CAST(p_partkey AS BIGINT) AS output, CAST(p_partkey AS BIGINT) AS id, 0 AS depth FROM part UNION ALL SELECT output, parent_id, depth + 1 FROM c JOIN job_edge e ON e.id = c.id) SELECT output, string_agg(concat('op', CAST(id % 5 AS VARCHAR)), '>' ORDER BY depth DESC) AS operations FROM c GROUP BY output""")
 def lin_steps(v):
     nodes = v.part.select(C("p_partkey").cast("bigint").alias("id"), F.concat(F.lit("op"), (C("p_partkey") % 5).cast("string")).alias("operation"))
-    level, depth = written(nodes.select(C("id").alias("output"), "id", F.lit(0).alias("depth")), "steps"), 0
-    chain = level
-    while level.take(1):
-        depth += 1
-        level = written(v.job_edge.join(level, "id").select("output", C("parent_id").alias("id"), F.lit(depth).alias("depth")), "steps")
-        chain = chain.unionByName(level)
+    chain = Gr.lineage(v.job_edge, nodes.select(C("id").alias("output"), "id"))
     return Gr.steps(chain, nodes).select("output", F.array_join("operations", ">").alias("operations"))
 
 
+_RECIPE = "SELECT CAST(p_partkey AS BIGINT) AS id, (CAST(p_partkey AS BIGINT) - 1) // 2 AS a, CASE WHEN p_partkey % 3 = 0 THEN (CAST(p_partkey AS BIGINT) - 1) // 3 END AS b FROM part"
+
+
+@query(f"""WITH RECURSIVE n AS ({_RECIPE}), e AS (SELECT id, a AS parent_id FROM n WHERE id > 0 UNION SELECT id, b FROM n WHERE id > 0 AND b IS NOT NULL),
+c AS (SELECT id AS output, id FROM n UNION SELECT output, parent_id FROM c JOIN e USING (id)), d AS (SELECT id, 0 AS depth FROM n WHERE id = 0 UNION SELECT e.id, depth + 1 FROM d JOIN e ON e.parent_id = d.id), l AS (SELECT id, max(depth) AS depth FROM d GROUP BY id)
+SELECT output, CAST(row_number() OVER (PARTITION BY output ORDER BY depth, id) AS INTEGER) AS place, id, concat('op', CAST(id % 5 AS VARCHAR)) AS operation, concat('crs=', CAST(4326 + id % 3 AS VARCHAR)) AS parameters FROM c JOIN l USING (id)""")
+def lin_step_parameters(v):
+    p = C("p_partkey").cast("bigint")
+    nodes = v.part.select(p.alias("id"), F.concat(F.lit("op"), (p % 5).cast("string")).alias("operation"), F.create_map(F.lit("crs"), (4326 + p % 3).cast("string")).alias("parameters"))
+    two = F.array_distinct(F.array_compact(F.array(F.floor((p - 1) / 2), F.when(p % 3 == 0, F.floor((p - 1) / 3)))))
+    edges = v.part.where("p_partkey > 0").select(p.alias("id"), F.explode(two).alias("parent_id"))
+    found = Gr.lineage_steps(nodes, edges, max_nodes=1 << 40)
+    return found.withColumn("parameters", F.concat(F.lit("crs="), C("parameters")["crs"]))
+
+
 @query("""WITH b AS (SELECT scene, CAST(y // 8 AS BIGINT) AS block, sha256(string_agg(CAST(red AS VARCHAR), ',' ORDER BY y, x)) AS digest, count(*) AS n FROM px GROUP BY 1, 2)
 SELECT scene, sha256(string_agg(digest, '' ORDER BY block)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM b GROUP BY scene""")
 def agg_grid_digest(v):

@@ -226,17 +226,6 @@ xc AS (SELECT area_id, x AS cw, lead(x) OVER (PARTITION BY area_id ORDER BY x) A
 cells AS (SELECT xc.area_id, cw, cs, ce, cn, min(rank) AS first_rank, arg_min(item_id, rank) AS first_item FROM xc JOIN yc USING (area_id) LEFT JOIN j ON j.area_id = xc.area_id AND sw <= cw AND se >= ce AND ss <= cs AND sn >= cn WHERE ce IS NOT NULL AND cn IS NOT NULL GROUP BY ALL)"""
 
 
-def _cover(v):
-    areas = _areas(v)
-    pairs = J.scenes_in_areas(v.item, areas, 5.0)
-    from pyspark.sql import Window
-
-    ranked = pairs.join(v.item, "item_id").withColumn("rank", F.row_number().over(Window.partitionBy("area_id").orderBy(F.desc("dt"), "item_id")))
-    scenes = ranked.select(F.concat_ws("@", "area_id", "item_id").alias("item_id"), "rank", "w", "s", "e", "n")
-    keyed = pairs.select("area_id", F.concat_ws("@", "area_id", "item_id").alias("item_id"))
-    return A.coverage_cells(areas, scenes, keyed)
-
-
 def _report_sql():
     """One branch a counter: its name, its keys, and when an event belongs to it."""
     other = lambda c, absent="other": f"coalesce({c}, '{absent}')"

@@ -13,7 +13,6 @@ from terraloom.operators import mosaic as M
 from terraloom.operators import resolve as Rs
 from terraloom.operators import windows as W
 from terraloom.plans.q_grid import _HILBERT, _TILES, _cells, _tiles
-from terraloom.plans.q_joins import _CELLS, _cover
 from terraloom.plans.registry import query
 from terraloom.sources import readers as S
 
@@ -25,22 +24,6 @@ def agg_ordered_digest(v):
     return A.ordered_digest(v.px, "red", 8, ("scene",))
 
 
-@query(f"{_CELLS} SELECT area_id, round(sum(CASE WHEN first_rank IS NOT NULL THEN (ce - cw) * (cn - cs) ELSE 0 END) / sum((ce - cw) * (cn - cs)), 9) AS fraction, count(*) FILTER (WHERE first_rank IS NULL) AS gaps, FALSE AS complete FROM cells GROUP BY area_id")
-def agg_coverage_fraction(v):
-    return A.coverage_report(_cover(v)).select("area_id", F.round("fraction", 9).alias("fraction"), "gaps", "complete")
-
-
-@query(f"{_CELLS} SELECT area_id, cw, cs, ce, cn FROM cells WHERE first_rank IS NULL")
-def agg_coverage_gaps(v):
-    return _cover(v).where("first_rank is null").select("area_id", "cw", "cs", "ce", "cn")
-
-
-@query(f"{_CELLS}, k AS (SELECT DISTINCT area_id, first_item, first_rank FROM cells WHERE first_rank IS NOT NULL), r AS (SELECT area_id, first_item AS item_id, row_number() OVER (PARTITION BY area_id ORDER BY first_rank) AS place FROM k) SELECT area_id, item_id, CAST(place AS INT) AS place FROM r WHERE place <= 8")
-def win_cover_greedy(v):
-    k = A.covering_selection(_cover(v), 8)
-    return k.select("area_id", F.split_part("item_id", F.lit("@"), F.lit(2)).alias("item_id"), "place")
-
-
 @query(f"{_TILES} SELECT item_id, CAST(z AS INT) AS z, x, y FROM tiles")
 def fn_lonlat_tiles(v):
     return _tiles(v)
@@ -136,14 +119,6 @@ def agg_grid_digest(v):
     return A.grid_digest(A.ordered_digest(v.px, "red", 8, ("scene",)), ["scene"])
 
 
-@query(f"""WITH RECURSIVE {_CELLS[5:]}, g AS (SELECT *, row_number() OVER (ORDER BY area_id, cw, cs) AS id FROM cells WHERE first_rank IS NULL),
-p AS (SELECT a.id AS a, b.id AS b FROM g a JOIN g b ON a.area_id = b.area_id AND a.ce = b.cw AND a.cs = b.cs AND a.cn = b.cn UNION ALL SELECT a.id, b.id FROM g a JOIN g b ON a.area_id = b.area_id AND a.cn = b.cs AND a.cw = b.cw AND a.ce = b.ce),
-u AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), r AS (SELECT id, id AS label FROM g UNION SELECT u.b, r.label FROM r JOIN u ON u.a = r.id), l AS (SELECT id, min(label) AS label FROM r GROUP BY id)
-SELECT area_id, count(*) AS cells, min(cw) AS w, min(cs) AS s, max(ce) AS e, max(cn) AS n FROM g JOIN l USING (id) GROUP BY area_id, label""")
-def agg_gap_boxes(v):
-    return A.gap_boxes(_cover(v))
-
-
 _FAMILIES = {"rgb": "NOT (red = 0 AND green = 0 AND blue = 0)", "class": "scl <> 0", "elevation": "scl <> 3", "radar": "ndvi % 5 <> 0", "srtm": "evi % 7 <> 0", "aerial": "qc % 3 <> 0", "single": "red <> 0"}
 
 

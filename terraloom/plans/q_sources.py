@@ -10,6 +10,7 @@ from terraloom.plans.registry import query
 from terraloom.sources import readers as S
 from terraloom.sources.storage import shared_path
 from terraloom.streaming import operators as St
+from terraloom.streaming import stateful as Sf
 
 C = F.col
 NOW = dt.datetime(2024, 1, 20)
@@ -200,10 +201,11 @@ def st_late_future(v):
     return St.drain(St.timely(_stream(v), F.lit(dt.datetime(2024, 2, 10))).select("event_id"), "timely")
 
 
-@query("SELECT event_id FROM events WHERE CAST(ts AS DATE) >= DATE '2024-04-20' - 90")
+@query("SELECT event_id, CAST(ts AS DATE) AS day FROM events WHERE ts >= TIMESTAMP '2024-04-20 11:30:00' - INTERVAL 90 DAY")
 def st_retention(v):
-    d = _stream(v).withColumn("day", F.to_date("ts"))
-    return St.drain(St.retained(d, F.lit(dt.datetime(2024, 4, 20))).select("event_id"), "retained")
+    path = shared_path(v.spark, "kept")
+    St.keep_events(_stream(v), path, dt.datetime(2024, 4, 20, 11, 30))
+    return v.spark.read.parquet(path).select("event_id", "day")
 
 
 @query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -252,12 +254,12 @@ def st_download_progress(v):
 
 
 @query("""WITH l AS (SELECT user_id AS job_id, arg_max(event_type, event_id) AS last, arg_max(ts, event_id) AS seen FROM events GROUP BY 1), m AS (SELECT date_trunc('milliseconds', max(ts)) AS t FROM events)
-SELECT job_id, 'released' AS outcome, 0 AS charged FROM l, m WHERE last <> 'signup' AND date_trunc('milliseconds', seen) + INTERVAL 12 HOUR < t""")
+SELECT job_id, 'released' AS outcome, 0 AS charged FROM l, m WHERE last <> 'signup' AND date_trunc('milliseconds', seen) + INTERVAL 12 HOUR <= t""")
 def st_lease_timeout(v):
-    return St.drain(St.lease_releases(_polls(v).select("job_id", "seq", "at", "status")), "leases")
+    return St.drain(Sf.lease_releases(_polls(v).select("job_id", "seq", "at", "status")), "leases", large_state=True)
 
 
-@query("""SELECT job_id, 'released' AS outcome, 0 AS charged FROM poll GROUP BY job_id HAVING arg_max(status, seq) = 'running' AND arg_max("at", seq) < TIMESTAMP '2024-01-31' - INTERVAL 12 HOUR""")
+@query("""SELECT job_id, 'released' AS outcome, 0 AS charged FROM poll GROUP BY job_id HAVING arg_max(status, seq) = 'running' AND arg_max("at", seq) + INTERVAL 12 HOUR <= TIMESTAMP '2024-01-31'""")
 def st_lease_timeout_batch(v):
     return St.expired_leases(v.poll, F.lit(dt.datetime(2024, 1, 31)), "12 hours")
 
@@ -285,7 +287,7 @@ def st_reserve_settle_batch(v):
 @query("""WITH RECURSIVE e AS (SELECT user_id AS k, event_id AS seq, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), w AS (SELECT k, seq, i, ts AS made, FALSE AS hit FROM e WHERE i = 1
 UNION ALL SELECT e.k, e.seq, e.i, CASE WHEN e.ts - w.made < INTERVAL 7 DAY THEN w.made ELSE e.ts END, e.ts - w.made < INTERVAL 7 DAY FROM w JOIN e ON e.k = w.k AND e.i = w.i + 1) SELECT k AS key, seq, hit FROM w""")
 def st_ttl_cache(v):
-    return St.drain(St.ttl_lookup(_stream(v).select(C("user_id").alias("key"), C("event_id").alias("seq"), "ts")), "ttl")
+    return St.drain(Sf.ttl_lookup(_stream(v).select(C("user_id").alias("key"), C("event_id").alias("seq"), "ts")), "ttl", large_state=True)
 
 
 @query("""SELECT event_id FROM usage_event WHERE "at" > TIMESTAMP '2024-01-20' - INTERVAL 7 DAY""")
@@ -293,13 +295,17 @@ def st_ttl_cache_batch(v):
     return St.ttl_valid(v.usage_event, F.lit(NOW)).select("event_id")
 
 
-@query("""WITH e AS (SELECT user_id AS job_id, event_id AS seq, ts, CASE event_type WHEN 'purchase' THEN 'succeeded' WHEN 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'failed' WHEN event_id % 3 = 1 THEN 'cancelled' ELSE 'interrupted' END WHEN 'click' THEN 'queued' ELSE 'running' END AS status, event_id * 31 AS bytes FROM events),
-s AS (SELECT job_id, min(seq) AS first, arg_min(ts, seq) AS since FROM e WHERE status IN ('queued', 'running') GROUP BY 1), d AS (SELECT e.*, s.since, row_number() OVER (PARTITION BY e.job_id ORDER BY e.seq) AS i FROM e JOIN s ON s.job_id = e.job_id AND e.seq > s.first WHERE status NOT IN ('queued', 'running'))
-SELECT job_id, seq, status AS outcome, CASE status WHEN 'succeeded' THEN 'success' WHEN 'failed' THEN 'error' ELSE 'cancelled' END AS result, (epoch_us(ts) - epoch_us(since)) // 1000 AS duration_ms, CASE WHEN seq % 4 <> 0 THEN bytes END AS bytes, status = 'succeeded' AND seq % 5 <> 0 AS validated FROM d WHERE i = 1""")
+@query("""WITH e AS (SELECT user_id AS job_id, event_id AS seq, ts, CASE event_type WHEN 'purchase' THEN 'succeeded' WHEN 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'failed' WHEN event_id % 3 = 1 THEN 'cancelled' ELSE 'interrupted' END WHEN 'click' THEN 'queued' ELSE 'running' END AS status, event_id * 31000 AS bytes FROM events),
+t AS (SELECT *, count(*) FILTER (WHERE status NOT IN ('queued', 'running')) OVER (PARTITION BY job_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS turn FROM e),
+w AS (SELECT job_id, turn, arg_min(ts, seq) AS since FROM t WHERE status IN ('queued', 'running') GROUP BY 1, 2), d AS (SELECT t.*, (epoch_ms(ts) - epoch_ms(since)) AS ms FROM t JOIN w USING (job_id, turn) WHERE status NOT IN ('queued', 'running'))
+SELECT job_id, seq, concat(CASE WHEN seq % 3 = 0 THEN 'operation' ELSE 'download' END, CASE status WHEN 'succeeded' THEN '_completed' WHEN 'failed' THEN '_failed' ELSE '_cancelled' END) AS name, status AS outcome, CASE status WHEN 'succeeded' THEN 'success' WHEN 'failed' THEN 'error' ELSE 'cancelled' END AS result,
+CASE WHEN ms < 1000 THEN 'lt_1s' WHEN ms < 3000 THEN '1_3s' WHEN ms < 10000 THEN '3_10s' WHEN ms < 30000 THEN '10_30s' WHEN ms < 120000 THEN '30_120s' WHEN ms < 600000 THEN '120_600s' ELSE 'gte_600s' END AS duration,
+CASE WHEN seq % 4 = 0 THEN NULL WHEN bytes = 0 THEN '0' WHEN bytes < 1048576 THEN 'lt_1mib' WHEN bytes < 10485760 THEN '1_10mib' WHEN bytes < 104857600 THEN '10_100mib' WHEN bytes < 1073741824 THEN '100_1024mib' WHEN bytes < 10737418240 THEN '1_10gib' ELSE 'gte_10gib' END AS bytes,
+status = 'succeeded' AND seq % 5 <> 0 AS validated FROM d""")
 def st_watch_completion(v):
     e = C("event_id")
     ended = F.when(e % 3 == 0, "failed").when(e % 3 == 1, "cancelled").otherwise("interrupted")
     status = F.when(C("event_type") == "purchase", "succeeded").when(C("event_type") == "error", ended).when(C("event_type") == "click", "queued").otherwise("running")
     digest = F.when(e % 5 != 0, F.sha2(e.cast("string").cast("binary"), 256)).otherwise("none")
-    d = _stream(v).select(C("user_id").alias("job_id"), e.alias("seq"), "ts", status.alias("status"), F.when(e % 4 != 0, e * 31).alias("bytes"), digest.alias("sha256"))
-    return St.drain(St.completions(d), "completions")
+    d = _stream(v).select(C("user_id").alias("job_id"), e.alias("seq"), "ts", status.alias("status"), F.when(e % 4 != 0, e * 31000).alias("bytes"), digest.alias("sha256"), F.when(e % 3 == 0, "raster_clip").when(e % 3 == 1, "download").alias("kind"))
+    return St.drain(Sf.completions(d), "completions", large_state=True)

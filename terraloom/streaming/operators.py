@@ -6,8 +6,9 @@ single keys time out when nothing has come for their time to live. So state foll
 
 from __future__ import annotations
 
-import re
+import datetime as dt
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from terraloom.sources.storage import shared_path
+from terraloom.sources.storage import shared_path, written
 
 
 def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -24,10 +25,26 @@ def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def state_store(spark: SparkSession, large: bool) -> Iterator[None]:
+    """What starts within has the state store on disk that stateful processors need; the session's own setting comes back after it."""
+    before = spark.conf.get(_PROVIDER)
+    try:
+        if large:
+            spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before)
+
+
+def drain(stream: DataFrame, name: str, mode: str = "append", keys: list[str] | None = None, large_state: bool = False) -> DataFrame:
     """Run a stream over all there is and return what it wrote.
 
-    In `complete` mode the last batch's rows stand; in `update` mode the last row of each of the `keys`.
+    In `complete` mode the last batch's rows stand; in `update` mode the last row of each of the `keys`. large_state: for the
+    operators of `stateful`.
     """
     spark = stream.sparkSession
     out, state = shared_path(spark, name), shared_path(spark, f"{name}-checkpoint")
@@ -43,7 +60,9 @@ def drain(stream: DataFrame, name: str, mode: str = "append", keys: list[str] |
             batch.write.mode("overwrite").parquet(f"{out}/batch={number if mode == 'update' else 0}")
 
         writer = stream.writeStream.foreachBatch(put).outputMode(mode)
-    writer.option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    with state_store(spark, large_state):
+        query = writer.option("checkpointLocation", state).trigger(availableNow=True).start()
+    query.awaitTermination()
     try:
         rows = spark.read.schema(stream.schema if mode == "append" else T.StructType([*stream.schema, T.StructField("batch", T.LongType())])).parquet(out)
     except Exception as e:  # no batch ever ran
@@ -83,11 +102,6 @@ def timely(events: DataFrame, now: Column, past: str = "30 days", ahead: str = "
     return events.where((F.col("ts") >= now - F.expr(f"interval {past}")) & (F.col("ts") <= now + F.expr(f"interval {ahead}")))
 
 
-def retained(events: DataFrame, now: Column, days: int = 90) -> DataFrame:
-    """What retention keeps; with a table partitioned by day it prunes to whole partitions."""
-    return events.where(F.col("day") >= F.date_sub(now.cast("date"), days))
-
-
 def daily_counts(events: DataFrame) -> DataFrame:
     w = F.window("ts", "1 day")
     return events.withWatermark("ts", "1 day").groupBy(w, "event_type").agg(F.count("*").alias("n")).select(F.to_date("window.start").alias("day"), "event_type", "n")
@@ -229,100 +243,19 @@ def settlements(ledger: DataFrame, lease: str = "1 hour", late: str = "0 seconds
 
 
 def expired_leases(work: DataFrame, now: Column, lease: str) -> DataFrame:
-    """Running work whose last sign of life is older than its lease: released at no charge."""
+    """Running work whose lease, counted from its last sign of life, has ended by now: released at no charge."""
     last = work.groupBy("job_id").agg(F.max_by(F.struct("status", "at"), "seq").alias("_l"))
-    return last.where((F.col("_l.status") == "running") & (F.col("_l.at") < now - F.expr(f"interval {lease}"))).select("job_id", F.lit("released").alias("outcome"), F.lit(0).alias("charged"))
-
-
-def lease_releases(work: DataFrame, lease: str = "12 hours", late: str = "0 seconds") -> DataFrame:
-    """expired_leases() as a stream: job_id, outcome, charged when the watermark passes the last sign of life of running work by its lease.
-
-    work: job_id, seq, at, status.
-    """
-    lease_ms = int(pd.Timedelta(lease).total_seconds() * 1000)
-
-    def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            running = state.get[0] == "running"
-            state.remove()
-            if running:
-                yield pd.DataFrame({"job_id": [key[0]], "outcome": ["released"], "charged": [0]})
-            return
-        rows = pd.concat(list(parts)).sort_values("seq")
-        seq, status, at = int(rows.seq.iloc[-1]), rows.status.iloc[-1], rows["at"].astype("datetime64[ns]").astype("int64").iloc[-1] / 1e6
-        if state.exists and state.get[1] > seq:
-            status, seq, at = state.get
-        state.update((status, seq, at))
-        _alive(state, at, lease_ms)
-
-    d = work.withWatermark("at", late).groupBy("job_id")
-    return d.applyInPandasWithState(step, "job_id long, outcome string, charged int", "status string, seq long, at double", "append", GroupStateTimeout.EventTimeTimeout)
+    return last.where((F.col("_l.status") == "running") & (F.col("_l.at") + F.expr(f"interval {lease}") <= now)).select("job_id", F.lit("released").alias("outcome"), F.lit(0).alias("charged"))
 
 
 def ttl_valid(entries: DataFrame, now: Column, days: int = 7) -> DataFrame:
     return entries.where(F.col("at") > now - F.expr(f"interval {days} days"))
 
 
-def ttl_lookup(requests: DataFrame, days: int = 7, late: str = "0 seconds") -> DataFrame:
-    """Whether each request (key, seq, ts) finds an entry that is younger than `days`; a miss makes one, which times out by itself."""
-    ttl_ms = days * 86_400_000
-
-    def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        made = state.get[0] if state.exists else None
-        rows, hits = pd.concat(list(parts)).sort_values(["ts", "seq"]), []
-        for t in rows.ts.astype("datetime64[ns]").astype("int64") / 1e6:
-            hits.append(made is not None and t - made < ttl_ms)
-            made = made if hits[-1] else t
-        state.update((made,))
-        _alive(state, made, ttl_ms)
-        yield pd.DataFrame({"key": key[0], "seq": rows.seq.to_numpy(), "hit": hits})
-
-    d = requests.withWatermark("ts", late).groupBy("key")
-    return d.applyInPandasWithState(step, "key long, seq long, hit boolean", "made double", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-TERMINAL = ["succeeded", "failed", "cancelled", "interrupted"]
-
-
-def completions(changes: DataFrame, late: str = "1 day", keep_ms: int = 30 * 86_400_000) -> DataFrame:
-    """A row when a watched job first reaches a terminal status: job_id, seq, outcome, result, duration_ms, bytes, validated.
-
-    changes: job_id, seq, ts, status, bytes, sha256. A job is watched from its first queued or running row; one that begins at its end is
-    not. It is validated if it succeeded and its digest is one. Its state ends `keep_ms` after the last change.
-    """
-    columns = ["job_id", "seq", "outcome", "result", "duration_ms", "bytes", "validated"]
-
-    def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        since, done = state.get if state.exists else (None, False)
-        rows = pd.concat(list(parts)).sort_values("seq")
-        at = rows.ts.astype("datetime64[ns]").astype("int64") / 1e6
-        for t, seq, status, size, digest in zip(at, rows.seq, rows.status, rows.bytes, rows.sha256, strict=True):
-            if done:
-                break
-            if status not in TERMINAL:
-                since = t if since is None else since
-            elif since is not None:
-                done = True
-                result = {"succeeded": "success", "failed": "error"}.get(status, "cancelled")
-                valid = status == "succeeded" and isinstance(digest, str) and re.fullmatch("[0-9a-fA-F]{64}", digest) is not None
-                yield pd.DataFrame([(key[0], seq, status, result, int(t - since), None if pd.isna(size) else int(size), valid)], columns=columns)
-        state.update((since, done))
-        _alive(state, at.max(), keep_ms)
-
-    d = changes.withWatermark("ts", late).groupBy("job_id")
-    return d.applyInPandasWithState(step, "job_id long, seq long, outcome string, result string, duration_ms long, bytes long, validated boolean", "since double, done boolean", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def append_events(stream: DataFrame, path: str, key: str = "event_id", ts: str = "ts") -> None:
+def append_events(stream: DataFrame, path: str, key: str = "event_id", ts: str = "ts", then: Callable[[DataFrame], None] | None = None) -> None:
     """Append valid events once per id to a table partitioned by `day`; a retried batch adds nothing.
 
-    An id's event has one time, so a batch is compared with the table's partitions of its own days only.
+    An id's event has one time, so a batch is compared with the table's partitions of its own days only. then: called after each batch.
     """
     spark = stream.sparkSession
 
@@ -336,5 +269,37 @@ def append_events(stream: DataFrame, path: str, key: str = "event_id", ts: str =
             if "PATH_NOT_FOUND" not in str(e):
                 raise
         fresh.write.mode("append").partitionBy("day").parquet(path)
+        if then is not None:
+            then(batch)
 
     stream.writeStream.foreachBatch(put).option("checkpointLocation", shared_path(spark, "append-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+
+
+def prune(spark: SparkSession, path: str, now: dt.datetime, days: int = 90, ts: str = "ts") -> None:
+    """Take events older than `days` before `now` off a table partitioned by `day`.
+
+    Days that are wholly past are dropped as partitions; the day of the limit is written anew with the rows that stay, alone, by a dynamic
+    overwrite. Events at the limit itself stay. Running it again changes nothing.
+    """
+    limit = now - dt.timedelta(days=days)
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return
+    found = [(f.getPath(), f.getPath().getName()[4:]) for f in files.listStatus(root) if f.isDirectory() and f.getPath().getName().startswith("day=")]
+    own = limit.date().isoformat()
+    if own in {day for _, day in found}:
+        events = spark.read.parquet(path)
+        kept = written(events.where((F.col("day") == F.lit(own).cast("date")) & (F.col(ts) >= F.lit(limit))), "retained")
+        if kept.take(1):
+            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+        else:
+            found = [(p, "" if day == own else day) for p, day in found]
+    for place, day in found:
+        if day < own and day[:2] != "__":  # a day without a date (null) stays
+            files.delete(place, True)
+
+
+def keep_events(stream: DataFrame, path: str, now: dt.datetime | None = None, days: int = 90, key: str = "event_id", ts: str = "ts") -> None:
+    """append_events() with retention: after each batch, what is older than `days` before `now` (the batch's last event, if not given) is gone."""
+    append_events(stream, path, key, ts, lambda batch: prune(batch.sparkSession, path, now or batch.agg(F.max(ts)).first()[0] or dt.datetime.min + dt.timedelta(days=days), days, ts))

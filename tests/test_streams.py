@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from terraloom.sources.storage import shared_path
 from terraloom.streaming import operators as St
+from terraloom.streaming import stateful as Sf
 
 
 def several_batches(spark, rows, schema, parts=3):
@@ -51,16 +52,51 @@ def test_new_items_over_batches(spark):
     assert all(len(r["items"]) == min(2, r.found) for r in found)
 
 
-def test_completions_once_and_only_of_watched_jobs(spark):
+def test_completions_of_watched_jobs_and_again_after_a_retry(spark):
     t0 = dt.datetime(2024, 1, 1)
-    rows = [(j, s, t0 + dt.timedelta(seconds=s), ("queued", "running", "failed", "succeeded")[s] if j else "running", 7, None) for s in range(4) for j in range(3)]
-    rows.append((9, 0, t0, "succeeded", 7, None))
+    digest = "aB" * 32
+    way = ["queued", "running", "failed", "succeeded", "queued", "succeeded", "interrupted"]
+    rows = [(j, s, t0 + dt.timedelta(seconds=4 * s), way[s] if j else "running", 7 if j == 1 else None, digest if j == 2 else "x") for s in range(7) for j in range(3)]
+    rows += [(9, 0, t0, "succeeded", 7, digest), (8, 0, t0, "paused", 7, None), (8, 1, t0, "cancelled", 7, None)]
     schema = "job_id long, seq long, ts timestamp, status string, bytes long, sha256 string"
-    for parts in (1, 4):
-        done = St.drain(St.completions(several_batches(spark, rows, schema, parts)), "done").collect()
+    for parts in (1, 7):  # in one batch, and a batch for each step
+        ordered = sorted(rows, key=lambda r: r[1])
+        path = shared_path(spark, "stream-in")
+        for k in range(parts):
+            own = [r for r in ordered if parts == 1 or r[1] == k]
+            spark.createDataFrame(own, schema).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+        done = St.drain(Sf.completions(stream), "done", large_state=True).collect()
         if parts == 1:
-            assert sorted((r.job_id, r.outcome, r.duration_ms) for r in done) == [(1, "failed", 2000), (2, "failed", 2000)]
-        assert len({r.job_id for r in done}) == len(done) and 9 not in {r.job_id for r in done}
+            got = sorted((r.job_id, r.seq, r.name, r.result, r.duration, r.bytes, r.validated) for r in done if r.job_id == 1)
+            assert got == [(1, 2, "download_failed", "error", "3_10s", "lt_1mib", False), (1, 5, "download_completed", "success", "3_10s", "lt_1mib", False)]
+            assert sorted((r.seq, r.bytes, r.validated) for r in done if r.job_id == 2) == [(2, None, False), (5, None, True)]
+        assert {r.job_id for r in done} == {1, 2}
+
+
+def test_look_ups_over_batches(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(k % 2, k, t0 + dt.timedelta(days=k)) for k in range(20)]
+    got = {r.seq: r.hit for r in St.drain(Sf.ttl_lookup(several_batches(spark, rows, "key long, seq long, ts timestamp", 1)), "ttl", large_state=True).collect()}
+    assert got == {k: k // 2 % 4 != 0 for k in range(20)}
+
+
+def test_retention_drops_days(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(k, "a", t0 + dt.timedelta(hours=12 * k)) for k in range(30)]
+    schema = "event_id long, event_type string, ts timestamp"
+    path = shared_path(spark, "kept")
+    St.keep_events(several_batches(spark, rows, schema), path, t0 + dt.timedelta(days=10, hours=12), 4)
+    kept = spark.read.parquet(path)
+    assert sorted(r.event_id for r in kept.collect()) == list(range(13, 30))
+    assert min(r.day for r in kept.select("day").distinct().collect()) == dt.date(2024, 1, 7)
+    St.prune(spark, path, t0 + dt.timedelta(days=10, hours=12), 4)
+    assert spark.read.parquet(path).count() == 17
+    St.prune(spark, path, t0 + dt.timedelta(days=18, hours=12), 4)  # the last event is at the limit itself
+    assert [r.event_id for r in spark.read.parquet(path).collect()] == [29]
+    St.prune(spark, path, t0 + dt.timedelta(days=18, hours=12, seconds=1), 4)
+    assert spark.read.schema(schema).parquet(path).count() == 0
+    St.prune(spark, shared_path(spark, "nothing"), t0)
 
 
 def test_update_mode_keeps_keys_of_earlier_batches(spark):
@@ -73,9 +109,9 @@ def test_update_mode_keeps_keys_of_earlier_batches(spark):
 
 def test_leases_end_by_the_watermark(spark):
     t0 = dt.datetime(2024, 1, 1)
-    work = [(1, 1, t0, "running"), (2, 2, t0, "running"), (2, 3, t0 + dt.timedelta(hours=30), "running"), (3, 4, t0, "done"), (4, 5, t0 + dt.timedelta(hours=31), "running")]
-    got = St.drain(St.lease_releases(several_batches(spark, work, "job_id long, seq long, at timestamp, status string", 1)), "leases").collect()
-    assert [r.job_id for r in got] == [1]
+    work = [(1, 1, t0, "running"), (2, 2, t0, "running"), (2, 3, t0 + dt.timedelta(hours=30), "running"), (3, 4, t0, "done"), (4, 5, t0 + dt.timedelta(hours=31), "running"), (5, 6, t0 + dt.timedelta(hours=19), "running"), (6, 7, t0 + dt.timedelta(hours=19, milliseconds=1), "running")]
+    got = St.drain(Sf.lease_releases(several_batches(spark, work, "job_id long, seq long, at timestamp, status string", 1)), "leases", large_state=True).collect()
+    assert sorted(r.job_id for r in got) == [1, 5]  # 19 h plus the lease is the watermark itself
     ledger = [(1, 1, t0, "reserve", 10), (1, 2, t0, "consume", 70), (1, 3, t0, "consume", 9), (2, 4, t0, "reserve", 5), (3, 5, t0 + dt.timedelta(hours=5), "reserve", 4)]
     got = St.drain(St.settlements(several_batches(spark, ledger, "execution long, seq long, ts timestamp, kind string, micros long", 1)), "settled").collect()
     assert sorted(map(tuple, got)) == [(1, 10, "consume", 10), (2, 5, "expired", 0)]
@@ -85,5 +121,6 @@ def test_leases_and_settlement(spark):
     t0 = dt.datetime(2024, 1, 1)
     work = spark.createDataFrame([(1, 1, "running", t0), (2, 1, "running", t0 + dt.timedelta(hours=5)), (3, 1, "running", t0), (3, 2, "done", t0)], "job_id long, seq long, status string, at timestamp")
     assert [r.job_id for r in St.expired_leases(work, F.lit(t0 + dt.timedelta(hours=6)), "2 hours").collect()] == [1]
+    assert sorted(r.job_id for r in St.expired_leases(work, F.lit(t0 + dt.timedelta(hours=7)), "2 hours").collect()) == [1, 2]
     ledger = spark.createDataFrame([(1, 1, "reserve", 10), (1, 2, "consume", 7), (1, 3, "consume", 9), (2, 1, "reserve", 5), (2, 2, "release", 0), (3, 1, "reserve", 4)], "execution long, seq long, kind string, micros long")
     assert sorted((r.execution, r.outcome, r.charged) for r in St.settle(ledger).collect()) == [(1, "consume", 7), (2, "release", 0), (3, "open", None)]

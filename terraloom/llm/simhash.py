@@ -243,13 +243,13 @@ def trie_candidates(turned: np.ndarray, unit: np.ndarray, rotation: np.ndarray,
     return tuple(np.concatenate(found, axis=1))
 
 
-def trie_pairs(turned, unit, rotation, bits, wide, label, trie, total, safe, least, chunk: int = 1 << 16, leaf: int = 8) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def trie_pairs(turned, unit, rotation, bits, wide, label, trie, total, safe, least, chunk: int = 1 << 16, leaf: int = 8, mark: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs (i, j) worth a test, and in how many bits all words differ.
 
     label: components known so far, whose pairs need no test. Without `safe`: all pairs that differ in more than `least` and at most
     `total` bits. With it: sketches that differ in at most `safe` bits are taken for linked meanwhile, the closest first, and of them a
-    spanning forest is returned; each sketch that has then another one within `total` bits is returned as a pair with itself. trie: the word
-    that each fingerprint is; a pair that the walk over an earlier word finds too is left to that one.
+    spanning forest is returned; with `mark`, each sketch that has then another one within `total` bits is returned as a pair with itself. trie:
+    the word that each fingerprint is; a pair that the walk over an earlier word finds too is left to that one.
     """
     _, first, which = np.unique(label, return_index=True, return_inverse=True)
     labels = _Labels(first[which])
@@ -269,6 +269,8 @@ def trie_pairs(turned, unit, rotation, bits, wide, label, trie, total, safe, lea
             used = labels.merge(i, j)
             used = used[own[used]]
             yield i[used], j[used], d[used]
+    if safe and not mark:
+        return
     some = np.zeros(len(turned), bool)
     for i, j in _leaves(turned, _bounds(unit), rotation, bits, bits, labels, chunk, leaf):
         d, own = apart(i, j)
@@ -381,7 +383,7 @@ def links(prints: DataFrame, bits: int = 4, unit_rows: int = 200_000, step: int
     return _by_unit(units, key, ["node"], run, "a long, b long")
 
 
-def candidates(prints: DataFrame, bits: int, words: int, tries: int, total: int, safe: int, least: int, unit_rows: int = 200_000, step: int = 6) -> DataFrame:
+def candidates(prints: DataFrame, bits: int, words: int, tries: int, total: int, safe: int, least: int, unit_rows: int = 200_000, step: int = 6, mark: bool = True) -> DataFrame:
     """Pairs a <= b of `node`s worth a test (trie_pairs()), each once.
 
     prints: a row per sketch: `node` long, `label` long (a component known so far), `sketch` binary.
@@ -393,7 +395,7 @@ def candidates(prints: DataFrame, bits: int, words: int, tries: int, total: int,
         wide = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(-1, words)[order]
         # a sketch may be in several units of a batch
         held, size = [], 0
-        for i, j, _ in trie_pairs(turned, unit, rot, bits, wide, _dense(label, unit), t.column("trie").to_numpy()[order], total, safe, least):
+        for i, j, _ in trie_pairs(turned, unit, rot, bits, wide, _dense(label, unit), t.column("trie").to_numpy()[order], total, safe, least, mark=mark):
             held.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]))
             size += len(i)
             if size > 1 << 17:
@@ -457,16 +459,16 @@ def alike(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(a) + len(b) - both)
 
 
-def similar(docs: DataFrame, id_col: str, text_col: str = "text", shingle: int = 5, num: int = 4, den: int = 5, words: int = 8, tries: int = 4, bits: int = 9, bands: tuple[int, ...] = (48, 72, 86, 100), unit_rows: int = 200_000) -> DataFrame:
+def similar(docs: DataFrame, id_col: str, text_col: str = "text", shingle: int = 5, num: int = 4, den: int = 5, words: int = 8, tries: int = 4, bits: int = 9, forests: tuple[int, ...] = (48, 60, 72), bands: tuple[int, ...] = (72, 79, 86, 93, 100), unit_rows: int = 200_000) -> DataFrame:
     """One row per input row: id (a long, each once, none null) and `component_id`, the least id of its component.
 
     Two texts link when the Jaccard similarity of their sets of shingles is at least num / den, tested on the whole sets. Only
     candidates are tested: sketches of `words` words that differ in at most bands[-1] bits, and of whose first `tries` words one
     in at most `bits` bits. At a similarity of 0.8 they differ in 77 bits on average, and about 97 % of such pairs are candidates.
 
-    Tests go by rounds, from the nearest candidates to the farthest. The first takes a spanning forest of those within bands[0] bits;
-    each later one takes all candidates up to its band's bits whose texts aren't in one component yet. No text has a limit to its
-    candidates. Distinct sets take part, named by their least id; texts without words have the empty set, and link to each other.
+    Tests go by rounds, from the nearest candidates to the farthest. The first ones take a spanning forest of those within forests[k] bits,
+    so that texts that are alike come together by few tests; then each takes all candidates up to bands[k] bits whose texts
+    aren't in one component yet. No text has a limit to its candidates. Distinct sets take part, named by their least id; texts without words have the empty set, and link to each other.
     """
 
     def own(raw: pa.Array) -> list[pa.Array]:
@@ -476,7 +478,7 @@ def similar(docs: DataFrame, id_col: str, text_col: str = "text", shingle: int =
 
     rows = materialize(with_computed(docs, [id_col], [text_col], own, [("key", "binary"), ("sketch", "binary")]), "similar-own")
     per = materialize(rows.groupBy("key").agg(F.min(id_col).alias("node"), F.min("sketch").alias("sketch")), "similar-distinct")
-    found = materialize(candidates(per.select("node", F.col("node").alias("label"), "sketch"), bits, words, tries, bands[-1], bands[0], -1, unit_rows), "similar-pairs")
+    found = materialize(candidates(per.select("node", F.col("node").alias("label"), "sketch"), bits, words, tries, bands[-1], forests[0], -1, unit_rows), "similar-pairs")
     # only texts with a candidate are looked at any more
     nodes = materialize(found.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "similar-nodes")
     raw = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("_raw")).join(nodes, "node")
@@ -485,11 +487,12 @@ def similar(docs: DataFrame, id_col: str, text_col: str = "text", shingle: int =
     near = materialize(per.join(nodes, "node").select("node", "sketch"), "similar-prints")
     links_ = labels = None
     least = -1
-    for total in bands:
-        if total != bands[0]:
+    for k, total in enumerate((*forests, *bands)):
+        if k:
             prints = near.withColumn("label", F.col("node")) if labels is None else near.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "sketch")
-            found = materialize(candidates(prints, bits, words, tries, total, 0, least, unit_rows), "similar-pairs")
-            least = total
+            forest = k < len(forests)
+            found = materialize(candidates(prints, bits, words, tries, total, total if forest else 0, least, unit_rows, mark=False), "similar-pairs")
+            least = least if forest else total
         held = _confirmed(found.where("a < b"), texts, num, den)
         if held.take(1):
             links_ = held if links_ is None else links_.unionByName(held)

@@ -6,9 +6,14 @@ that a template and a document share and that is as long as a window finds a pla
 lie within the band form a candidate; a banded alignment of the whole template against that part of the document then gives
 the share of the template's words that are matched, and the span of the document that they take.
 
-The templates are whole texts of the shorter licenses, and grants, headers and notices; others may be given (longer texts from
-a table, say). Their index is small and goes to the tasks; documents are read once, whole, and not shuffled. A text that
-differs from a template by a whole clause is another license: its words past the clause lie outside the band.
+Wordings of different licenses overlap (one header within another, a clause more or less). Of places that share more than half of the
+words of the shorter one, the best stands: matched words, less two for each word of the template that is missing and each word of the
+document that is too many; then the longer template, then the first by name. A place right after "not", "never" or the like is none, nor is a
+notice with such a word in it.
+Tags (SPDX-License-Identifier) are read as they stand, one row for each license of the expression, with the template "spdx".
+
+The templates are whole texts of the shorter licenses, and grants, headers and notices; others may be given as a list or as a
+table (license, template, text), of at most `most_bytes` of text, as their index goes to the tasks. Documents are read once, whole, and not shuffled.
 
 Words are split at ASCII white space and compared in lower case by letters and digits only. Edge cases: null text has no
 words; templates shorter than k words are found by shorter grams; repeated rows are each reported; null ids are kept.
@@ -16,6 +21,8 @@ words; templates shorter than k words are found by shorter grams; repeated rows
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,6 +46,11 @@ TEMPLATES = [
     ("GPL-3.0", "header", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-2.0", "header", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("LGPL-2.1", "header", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "header", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "header", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "notice", "This work is licensed under the GNU General Public License, version 2."),
+    ("LGPL-3.0", "notice", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("AGPL-3.0", "notice", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("BSD", "grant", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("ISC", "grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("MPL-2.0", "header", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
@@ -77,6 +89,25 @@ TEMPLATES = [
 ]
 
 
+#: templates of at most so many words are notices: within them, too, no word may turn them round
+NOTICE = 20
+#: words before a place that turn it round
+_NOT = np.array(sorted(int(words(w)[0]) for w in (b"not", b"never", b"isnt", b"arent", b"wasnt", b"no", b"longer", b"without")), np.uint64)
+_TAG = re.compile(rb"SPDX-License-Identifier:[ \t]*([^\r\n]*)")
+_ID = re.compile(rb"[A-Za-z0-9][A-Za-z0-9.+-]*")
+_OPERATORS = frozenset((b"and", b"or", b"with"))
+
+
+def tags(raw: bytes) -> list[tuple[str, int]]:
+    """(license, place among the words) of every license in the document's tags; exceptions after "with" are none."""
+    out = []
+    for m in _TAG.finditer(raw):
+        found = _ID.findall(m[1])
+        at = len(words(raw[: m.start()]))
+        out += [(x.decode(), at) for k, x in enumerate(found) if x.lower() not in _OPERATORS and not (k and found[k - 1].lower() == b"with")]
+    return out
+
+
 def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
     """Positions of the rightmost least hash of every window (all windows, or the only, shorter one)."""
     n = len(hashes)
@@ -127,7 +158,7 @@ class Index:
         return out
 
     def scan(self, raw: pa.Array, least: float) -> list[list[tuple[int, int, int, int]]]:
-        """Of each text (template, first word, words, matched words) of every place that covers at least the share `least` of a template."""
+        """Of each text (template, first word, words, matched words) of the best places that cover at least the share `least` of a template."""
         tokens, ends = words_of(raw)
         begin = np.r_[0, ends]
         found: list[set] = [set() for _ in range(len(raw))]
@@ -136,9 +167,23 @@ class Index:
             # no alignment matches more of the template's words than occur near the diagonal
             if np.isin(t, doc[max(0, d - BAND) : max(0, d + len(t) + BAND + 1)]).sum() >= least * len(t):
                 first, end, matched = align(t, doc, d, BAND)
-                if matched >= least * len(t):
+                around = doc[max(0, first - 2) : end if len(t) <= NOTICE else first]
+                if matched >= least * len(t) and np.isin(around, _NOT).sum() <= (np.isin(t, _NOT).sum() if len(t) <= NOTICE else 0):
                     found[k].add((item, first, end - first, matched))
-        return [sorted(f) for f in found]
+        return [self.best(f) for f in found]
+
+    def best(self, found: set) -> list[tuple[int, int, int, int]]:
+        """Of places that overlap by more than half of the shorter one's words, the best."""
+
+        def order(f):
+            item, _, n, matched = f
+            return -(matched - 2 * (len(self.tokens[item]) - matched) - 2 * max(0, n - matched)), -len(self.tokens[item]), self.names[item], f
+
+        kept: list[tuple[int, int, int, int]] = []
+        for f in sorted(found, key=order):
+            if all(2 * (min(f[1] + f[2], o[1] + o[2]) - max(f[1], o[1])) <= min(f[2], o[2]) for o in kept):
+                kept.append(f)
+        return sorted(kept)
 
 
 def align(template: np.ndarray, doc: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int]:
@@ -176,17 +221,25 @@ def align(template: np.ndarray, doc: np.ndarray, diagonal: int, band: int) -> tu
     return max(0, begin), max(0, begin, end), matched
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text", coverage: float = 0.8) -> DataFrame:
+def scan(docs: DataFrame, templates: list[tuple[str, str, str]] | DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", coverage: float = 0.8, most_bytes: int = 32 << 20) -> DataFrame:
     """One row per document and place: id, `license`, `template`, `coverage`, `first_word`, `n_words`."""
+    if isinstance(templates, DataFrame):
+        size = templates.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        if size > most_bytes:
+            raise ValueError(f"the templates have {size} bytes, more than {most_bytes}")
+        templates = [tuple(r) for r in templates.where("text is not null").select("license", "template", "text").distinct().orderBy("license", "template", "text").collect()]
     index = Index(TEMPLATES if templates is None else templates)
-    names = ["item", "first_word", "n_words", "matched"]
+    fields = [("license", pa.string()), ("template", pa.string()), ("coverage", pa.float64()), ("first_word", pa.int64()), ("n_words", pa.int64())]
 
     def run(raw: pa.Array) -> list[pa.Array]:
-        found = index.scan(raw, coverage)
-        return [pa.array([[dict(zip(names, m, strict=True)) for m in f] for f in found], pa.list_(pa.struct([(n, pa.int64()) for n in names])))]
-
-    out = with_computed(docs, [id_col], [text_col], run, [("_m", "array<struct<" + ",".join(f"{n}: bigint" for n in names) + ">>")])
-    pick = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in index.names] or [F.lit("")]), (F.col("_m.item") + 1).cast("int"))
-    sizes = F.element_at(F.array(*[F.lit(len(t)) for t in index.tokens] or [F.lit(1)]), (F.col("_m.item") + 1).cast("int"))
+        out = []
+        for text, found in zip(raw.to_pylist(), index.scan(raw, coverage), strict=True):
+            rows = [(*index.names[i], matched / len(index.tokens[i]), first, n) for i, first, n, matched in found]
+            if text and b"SPDX-License-Identifier:" in text:
+                rows += [(name, "spdx", 1.0, at, 1) for name, at in tags(text)]
+            out.append([dict(zip([f[0] for f in fields], r, strict=True)) for r in rows])
+        return [pa.array(out, pa.list_(pa.struct(fields)))]
+
+    out = with_computed(docs, [id_col], [text_col], run, [("_m", "array<struct<license: string, template: string, coverage: double, first_word: bigint, n_words: bigint>>")])
     out = out.toDF("_id", "_m").where(F.size("_m") > 0).select("_id", F.explode("_m").alias("_m"))
-    return out.select(F.col("_id").alias(id_col), pick(0).alias("license"), pick(1).alias("template"), (F.col("_m.matched") / sizes).alias("coverage"), F.col("_m.first_word").alias("first_word"), F.col("_m.n_words").alias("n_words"))
+    return out.select(F.col("_id").alias(id_col), "_m.*")

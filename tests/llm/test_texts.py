@@ -274,3 +274,72 @@ def test_chat_marks_must_be_readable():
     for _ in range(300):
         s = "".join(rng.choice([*t.marks, t.escape, "A", "<", "[", "/s>"]) for _ in range(8))
         assert t.plain(t.quote(s)) == s and not any(m in t.quote(s) for m in t.marks)
+
+
+def by_name(spark, texts, **more):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {}
+    for r in licenses.scan(rows, **more).collect():
+        out.setdefault(r.doc_id, set()).add(r.license)
+    return out
+
+
+def test_each_license_by_its_own_name(spark):
+    """Every template, alone and amid other words, is found as its own license and no other."""
+    rng = random.Random(31)
+    texts, want = [], []
+    for name, _, body in licenses.TEMPLATES:
+        texts += [body, f"{text(rng, 40)} {body} {text(rng, 40)}"]
+        want += [name, name]
+    texts += ["This is NOT licensed under the MIT License.", "/* SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0-only WITH Classpath-exception-2.0 */", "# SPDX-License-Identifier: BSD-3-Clause"]
+    got = by_name(spark, texts)
+    assert [got.get(k) for k in range(len(want))] == [{w} for w in want]
+    n = len(want)
+    assert n not in got and got[n + 1] == {"MIT", "Apache-2.0", "GPL-2.0-only"} and got[n + 2] == {"BSD-3-Clause"}
+
+
+def test_licenses_with_changed_words(spark):
+    """A tenth of the words of the longer templates replaced: nearly all are still found, by their own names."""
+    rng = random.Random(32)
+    long = [(a, c) for a, b, c in licenses.TEMPLATES if b == "text"]
+    texts, want = [], []
+    for name, body in long:
+        for _ in range(5):
+            now = body.split()
+            for k in rng.sample(range(len(now)), len(now) // 10):
+                now[k] = rng.choice(WORDS)
+            texts.append(" ".join(now))
+            want.append(name)
+    got = by_name(spark, texts)
+    assert sum(got.get(k) == {w} for k, w in enumerate(want)) >= 0.95 * len(want)
+
+
+def test_templates_from_a_table(spark):
+    rng = random.Random(33)
+    own = [("Own-1.0", "text", text(rng, 300)), ("Own-2.0", "text", text(rng, 300)), ("None", "text", None)]
+    table = spark.createDataFrame(own, "license string, template string, text string")
+    assert by_name(spark, [own[0][2], "x " + own[1][2], licenses.TEMPLATES[0][2]], templates=table) == {0: {"Own-1.0"}, 1: {"Own-2.0"}}
+    with pytest.raises(ValueError, match="bytes"):
+        licenses.scan(table, table, "license", most_bytes=100)
+
+
+def test_scan_against_every_diagonal():
+    """Candidates from the index miss nothing that the alignment of every template at every place would find in texts without changes."""
+    import pyarrow as pa
+
+    rng = random.Random(34)
+    templates = [(f"L{k}", "t", text(rng, rng.choice([2, 5, 12, 30]))) for k in range(6)]
+    index = licenses.Index(templates)
+    docs = []
+    for _ in range(12):
+        parts = [text(rng, rng.randrange(1, 9)) for _ in range(4)]
+        parts.insert(rng.randrange(4), rng.choice(templates)[2])
+        docs.append(" ".join(parts).encode())
+    for raw, found in zip(docs, index.scan(pa.array(docs, pa.binary()), 0.8), strict=True):
+        doc, every = decontaminate.words(raw), set()
+        for item, t in enumerate(index.tokens):
+            for d in range(len(doc)):
+                first, end, matched = licenses.align(t, doc, d, licenses.BAND)
+                if matched == len(t) == end - first:
+                    every.add((item, first, end - first, matched))
+        assert index.best(every) == [f for f in found if f[3] == len(index.tokens[f[0]])]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: fixed values: sphere radii and limits of the projections
@@ -127,21 +127,35 @@ def utm_inverse(x: Column, y: Column, zone: Column, north: Column) -> tuple[Colu
 
 
 def projected_envelope(boxes: DataFrame, key: str, project, samples: int = 65) -> DataFrame:
-    """Envelope of each box's projected edges, `samples` points an edge (as many rows a box: bounded)."""
-    step = F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))
-    p = boxes.select(key, "w", "s", "e", "n", step.alias("_i"))
-    f = F.col("_i") / (samples - 1)
-    lon, lat = F.col("w") + (F.col("e") - F.col("w")) * f, F.col("s") + (F.col("n") - F.col("s")) * f
-    edges = F.explode(F.array(*[F.struct(a.alias("lon"), b.alias("lat")) for a, b in ((lon, F.col("s")), (lon, F.col("n")), (F.col("w"), lat), (F.col("e"), lat))]))
-    p = p.select(key, edges.alias("_p"))
-    x, y = project(F.col("_p.lon"), F.col("_p.lat"))
-    return p.select(key, x.alias("_x"), y.alias("_y")).groupBy(key).agg(F.min("_x").alias("left"), F.min("_y").alias("bottom"), F.max("_x").alias("right"), F.max("_y").alias("top"))
+    """Envelope of each box's projected edges, `samples` points an edge; one expression a row, so that repeated rows stay. Coverage services take 257.
+
+    For the sinusoidal projection use sinusoidal_envelope(), which is exact.
+    """
+    f = lambda i: i / F.lit(float(samples - 1))
+    lon, lat = lambda i: F.col("w") + (F.col("e") - F.col("w")) * f(i), lambda i: F.col("s") + (F.col("n") - F.col("s")) * f(i)
+
+    def at(i: Column) -> Column:
+        pairs = [project(x, y) for x, y in ((lon(i), F.col("s")), (lon(i), F.col("n")), (F.col("w"), lat(i)), (F.col("e"), lat(i)))]
+        return F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in pairs])
+
+    points = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), at))
+    d = boxes.withColumn("_p", points)
+    return d.select(key, F.array_min("_p.x").alias("left"), F.array_min("_p.y").alias("bottom"), F.array_max("_p.x").alias("right"), F.array_max("_p.y").alias("top"))
+
+
+def sinusoidal_envelope(boxes: DataFrame, key: str) -> DataFrame:
+    """Exact envelope of each box on the sinusoidal projection: x is extreme at a corner or, where the box meets it, on the equator."""
+    middle = F.greatest(F.col("s"), F.least(F.col("n"), F.lit(0.0)))
+    points = [sinusoidal_forward(F.col(x), y) for x in ("w", "e") for y in (F.col("s"), F.col("n"), middle)]
+    xs, ys = [p[0] for p in points], [p[1] for p in points]
+    return boxes.select(key, F.least(*xs).alias("left"), F.least(*ys).alias("bottom"), F.greatest(*xs).alias("right"), F.greatest(*ys).alias("top"))
 
 
 def lonlat_tiles(boxes: DataFrame, zmin: int, zmax: int) -> DataFrame:
-    """All tiles (z, x, y) of each box, half-open at the east and south edges."""
-    z = F.explode(F.sequence(F.lit(zmin), F.lit(zmax)))
-    d = boxes.where((F.col("s") >= -MERCATOR_LIMIT) & (F.col("n") <= MERCATOR_LIMIT)).withColumn("z", z)
+    """All tiles (z, x, y) of each box, half-open at the east and south edges. A box beyond the Mercator limit, or a null one, is an error."""
+    fits = F.coalesce((F.col("s") >= -MERCATOR_LIMIT) & (F.col("n") <= MERCATOR_LIMIT) & F.col("w").isNotNull() & F.col("e").isNotNull(), F.lit(False))
+    levels = F.when(fits, F.sequence(F.lit(zmin), F.lit(zmax))).otherwise(F.raise_error(F.lit("a box lies beyond the Web Mercator limit")).cast("array<int>"))
+    d = boxes.withColumn("z", F.explode(levels))
     size = F.pow(F.lit(2.0), F.col("z"))
     x = lambda lon: (lon + 180) / 360 * size
     y = lambda lat: (1 - F.asinh(F.tan(F.radians(lat))) / math.pi) / 2 * size
@@ -151,6 +165,31 @@ def lonlat_tiles(boxes: DataFrame, zmin: int, zmax: int) -> DataFrame:
     return d.withColumn("y", F.explode(F.sequence("_n", "_s"))).drop("_n", "_s")
 
 
+def tile_selection(boxes: DataFrame, key: str, zmin: int, zmax: int, most: int = 512) -> DataFrame:
+    """Tiles of each box in the order of their numbers: key, `place` (from 1), z, x, y, tile_id, `error`.
+
+    A box beyond the Mercator limit, or with more than `most` tiles, has one row with an error ("outside", "too many") and no tile. The key names a box.
+    """
+    fits = F.coalesce((F.col("s") >= -MERCATOR_LIMIT) & (F.col("n") <= MERCATOR_LIMIT) & F.col("w").isNotNull() & F.col("e").isNotNull(), F.lit(False))
+    none = lambda d, error: d.select(key, *[F.lit(None).cast(t).alias(c) for c, t in (("place", "int"), ("z", "int"), ("x", "bigint"), ("y", "bigint"), ("tile_id", "bigint"))], F.lit(error).alias("error"))
+    inside = boxes.where(fits)
+    count = F.lit(0.0)
+    for z in range(zmin, zmax + 1):
+        count += _tile_count(z)
+    d = lonlat_tiles(inside.where(count <= most).select(key, *"wsen"), zmin, zmax).select(key, "z", "x", "y").withColumn("tile_id", tile_id(F.col("z"), F.col("x"), F.col("y")))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("tile_id"))  # at most `most` rows a box
+    return d.select(key, place.alias("place"), "z", "x", "y", "tile_id", F.lit(None).cast("string").alias("error")).unionByName(none(boxes.where(~fits), "outside")).unionByName(none(inside.where(count > most), "too many"))
+
+
+def _tile_count(z: int) -> Column:
+    size = float(1 << z)
+    x = lambda lon: (F.col(lon) + 180) / 360 * size
+    y = lambda lat: (1 - F.asinh(F.tan(F.radians(F.col(lat)))) / math.pi) / 2 * size
+    west, north = clamp(F.floor(x("w")), 0, size - 1), clamp(F.floor(y("n")), 0, size - 1)
+    east, south = F.greatest(clamp(F.ceil(x("e")) - 1, 0, size - 1), west), F.greatest(clamp(F.ceil(y("s")) - 1, 0, size - 1), north)
+    return (east - west + 1) * (south - north + 1)
+
+
 def tile_id(z: Column, x: Column, y: Column) -> Column:
     """Cumulative Hilbert number of a tile: all tiles of coarser levels come first."""
     start = F.struct(x.cast("bigint").alias("x"), y.cast("bigint").alias("y"), F.lit(0).cast("bigint").alias("d"))

@@ -209,5 +209,10 @@ def item_cell(item: Column) -> tuple[Column, Column]:
     return F.when(F.regexp_extract(item, "([EW])[0-9]{3}", 1) == "W", -lon).otherwise(lon), F.when(F.regexp_extract(item, "([NS])[0-9]{2}", 1) == "S", -lat).otherwise(lat)
 
 
+def in_cell(lon: Column, lat: Column, w: Column, s: Column, e: Column, n: Column, slack: float = 0.001) -> Column:
+    """Whether a catalogue box stays within its whole-degree cell; half-pixel registration offsets are allowed for by `slack`."""
+    return F.coalesce((w >= lon - slack) & (e <= lon + 1 + slack) & (s >= lat - slack) & (n <= lat + 1 + slack), F.lit(False))
+
+
 def landsat_date(item: Column) -> Column:
     return F.try_to_date(F.split_part(item, F.lit("_"), F.lit(4)), "yyyyMMdd")

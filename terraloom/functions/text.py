@@ -109,21 +109,24 @@ def month_after(day: Column, months: int = 1) -> Column:
 def time_supported(instants: DataFrame, dims: str, at: str) -> DataFrame:
     """`supported`: whether `at` (timestamp) is a member of the list `dims` of instants and start/end/period entries.
 
-    Periods: PnD, PnW, PTnH, PTnM, PTnS by seconds; PnM and PnY by calendar months.
+    One expression a row: repeated rows stay. Periods: PnD, PnW, PTnH, PTnM, PTnS by seconds; PnM and PnY by calendar months.
     """
-    when, part = F.col(at), lambda k: F.split_part(F.trim("_x"), F.lit("/"), F.lit(k))
-    start, end, period = F.try_to_timestamp(part(1)), F.try_to_timestamp(part(2)), part(3)
-    n = F.nullif(F.regexp_extract(period, "^PT?([0-9]+)[DWHMSY]$", 1), F.lit("")).cast("bigint")
-    timed, unit = period.startswith("PT"), F.right(period, F.lit(1))
-    seconds = F.when(~timed & (unit == "D"), n * 86400).when(~timed & (unit == "W"), n * 604800).when(timed & (unit == "H"), n * 3600).when(timed & (unit == "M"), n * 60).when(timed & (unit == "S"), n)
-    months = F.when(~timed & (unit == "M"), n).when(~timed & (unit == "Y"), n * 12)
-    gap = (F.year(when) - F.year(start)) * 12 + F.month(when) - F.month(start)
-    by_month = (gap >= 0) & (gap % months == 0) & ((start + F.make_interval(months=gap)) == when)
-    regular = (when >= start) & (when <= end) & (n > 0) & F.coalesce(F.timestamp_diff("SECOND", start, when) % seconds == 0, by_month)
-    member = F.coalesce(F.when(F.size(F.split("_x", "/")) == 1, start == when).when(F.size(F.split("_x", "/")) == 3, regular), F.lit(False))
-    keys = instants.columns
-    rows = instants.select("*", F.explode(F.split(dims, ",")).alias("_x"))
-    return rows.groupBy(*keys).agg(F.bool_or(member).alias("supported"))
+    when = F.col(at)
+
+    def member(entry: Column) -> Column:
+        part = lambda k: F.split_part(F.trim(entry), F.lit("/"), F.lit(k))
+        start, end, period = F.try_to_timestamp(part(1)), F.try_to_timestamp(part(2)), part(3)
+        n = F.nullif(F.regexp_extract(period, "^PT?([0-9]+)[DWHMSY]$", 1), F.lit("")).cast("bigint")
+        timed, unit = period.startswith("PT"), F.right(period, F.lit(1))
+        seconds = F.when(~timed & (unit == "D"), n * 86400).when(~timed & (unit == "W"), n * 604800).when(timed & (unit == "H"), n * 3600).when(timed & (unit == "M"), n * 60).when(timed & (unit == "S"), n)
+        months = F.when(~timed & (unit == "M"), n).when(~timed & (unit == "Y"), n * 12)
+        gap = (F.year(when) - F.year(start)) * 12 + F.month(when) - F.month(start)
+        by_month = (gap >= 0) & (gap % months == 0) & ((start + F.make_interval(months=gap)) == when)
+        regular = (when >= start) & (when <= end) & (n > 0) & F.coalesce(F.timestamp_diff("SECOND", start, when) % seconds == 0, by_month)
+        size = F.size(F.split(entry, "/"))
+        return F.coalesce(F.when(size == 1, start == when).when(size == 3, regular), F.lit(False))
+
+    return instants.withColumn("supported", F.coalesce(F.exists(F.split(dims, ","), member), F.lit(False)))
 
 
 def date_defaults(today: Column) -> tuple[Column, Column]:

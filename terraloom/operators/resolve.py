@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terraloom.operators.windows import page
+
 from terraloom.functions.grid import tile_footprints
 
 
@@ -41,6 +43,19 @@ def catalog_filter(rows: DataFrame, terms: list[str], text: Column, status: str
     return rows.where(ok)
 
 
+def catalog_page(rows: DataFrame, query: str | None = None, offset: int = 0, limit: int = 10) -> DataFrame:
+    """One page of the datasets (id, title, category) that hold `query` in "id title category", lower case: the rows by id, with
+
+    `total`, `next_offset` (null at the end) and `complete`. Pages of 1 to 20 rows, offsets to 10,000 and queries to 100 bytes are allowed.
+    A null field reads as empty.
+    """
+    text = query or ""
+    if not 1 <= limit <= 20 or not 0 <= offset <= 10_000 or len(text.encode()) > 100:
+        raise ValueError("invalid dataset catalog page")
+    named = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("id", "title", "category")]))
+    return page(rows.where(F.contains(named, F.lit(text.lower()))), ["id"], offset, limit)
+
+
 def packages(areas: DataFrame, pairs: DataFrame, most: int = 8) -> DataFrame:
     """Packages of each area, with `refused` where there are more than `most`."""
     n = pairs.groupBy("area_id").agg(F.count("*").alias("n"))

@@ -79,12 +79,20 @@ def fn_utm(v):
     return d.select("item_id", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
 
 
-@query("""WITH k AS (SELECT item_id, unnest(range(65)) AS i, w, s, e, n FROM item WHERE abs(s) < 85),
-p AS (SELECT item_id, w + (e - w) * (i / 64::DOUBLE) AS lon, s AS lat FROM k UNION ALL SELECT item_id, w + (e - w) * (i / 64::DOUBLE), n FROM k UNION ALL SELECT item_id, w, s + (n - s) * (i / 64::DOUBLE) FROM k UNION ALL SELECT item_id, e, s + (n - s) * (i / 64::DOUBLE) FROM k),
+@query("""WITH p AS (SELECT item_id, unnest([w, e]) AS lon, greatest(s, least(n, 0)) AS m, s, n FROM item), q AS (SELECT item_id, lon, unnest([s, n, m]) AS lat FROM p),
+r AS (SELECT item_id, 6371007.181::DOUBLE * radians(lon) * cos(radians(lat)) AS x, 6371007.181::DOUBLE * radians(lat) AS y FROM q)
+SELECT item_id, round(min(x), 2) AS left, round(min(y), 2) AS bottom, round(max(x), 2) AS right, round(max(y), 2) AS top FROM r GROUP BY item_id""")
+def fn_projected_envelope(v):
+    out = G.sinusoidal_envelope(v.item, "item_id")
+    return out.select("item_id", *[F.round(c, 2).alias(c) for c in ("left", "bottom", "right", "top")])
+
+
+@query("""WITH k AS (SELECT item_id, unnest(range(257)) AS i, w, s, e, n FROM item),
+p AS (SELECT item_id, w + (e - w) * (i / 256::DOUBLE) AS lon, s AS lat FROM k UNION ALL SELECT item_id, w + (e - w) * (i / 256::DOUBLE), n FROM k UNION ALL SELECT item_id, w, s + (n - s) * (i / 256::DOUBLE) FROM k UNION ALL SELECT item_id, e, s + (n - s) * (i / 256::DOUBLE) FROM k),
 q AS (SELECT item_id, 6371007.181::DOUBLE * radians(lon) * cos(radians(lat)) AS x, 6371007.181::DOUBLE * radians(lat) AS y FROM p)
 SELECT item_id, round(min(x), 2) AS left, round(min(y), 2) AS bottom, round(max(x), 2) AS right, round(max(y), 2) AS top FROM q GROUP BY item_id""")
-def fn_projected_envelope(v):
-    out = G.projected_envelope(v.item.where("abs(s) < 85 and e <= 180"), "item_id", G.sinusoidal_forward)
+def fn_sampled_envelope(v):
+    out = G.projected_envelope(v.item, "item_id", G.sinusoidal_forward, 257)
     return out.select("item_id", *[F.round(c, 2).alias(c) for c in ("left", "bottom", "right", "top")])
 
 
@@ -113,6 +121,21 @@ def _cells(v):
     return d.withColumns({"x": C("p") * 7919 % side, "y": C("p") * 104729 % side})
 
 
+# levels 8 and 9: boxes of up to a degree have some ten tiles, those near the poles lie outside, and more than 6 are too many here
+@query("""WITH RECURSIVE b AS (SELECT item_id, w, s, e, n, unnest([8, 9]) AS z FROM item WHERE s >= -85.0511287798066 AND n <= 85.0511287798066),
+u AS (SELECT item_id, z, 1 << z AS m, greatest(0, floor((w + 180) / 360 * (1 << z))) AS x0, ceil((e + 180) / 360 * (1 << z)) - 1 AS x1, floor((1 - asinh(tan(radians(n))) / pi()) / 2 * (1 << z)) AS y0, ceil((1 - asinh(tan(radians(s))) / pi()) / 2 * (1 << z)) - 1 AS y1 FROM b),
+c AS (SELECT item_id, z, m, greatest(0, least(m - 1, x0)) AS x0, greatest(0, least(m - 1, x0), least(m - 1, x1)) AS x1, greatest(0, least(m - 1, y0)) AS y0, greatest(0, least(m - 1, y0), least(m - 1, y1)) AS y1 FROM u),
+k AS (SELECT item_id, sum((x1 - x0 + 1) * (y1 - y0 + 1)) AS n FROM c GROUP BY item_id),
+f AS (SELECT item_id, z, x, unnest(range(CAST(y0 AS BIGINT), CAST(y1 AS BIGINT) + 1)) AS y FROM (SELECT c.item_id, z, y0, y1, unnest(range(CAST(x0 AS BIGINT), CAST(x1 AS BIGINT) + 1)) AS x FROM c JOIN k ON k.item_id = c.item_id AND k.n <= 6) t),
+h AS (SELECT item_id, z, x AS ox, y AS oy, x, y, CAST((1 << z) // 2 AS BIGINT) AS s, CAST(0 AS BIGINT) AS d FROM f UNION ALL SELECT item_id, z, ox, oy, CASE WHEN y & s = 0 THEN CASE WHEN x & s <> 0 THEN s - 1 - y ELSE y END ELSE x END, CASE WHEN y & s = 0 THEN CASE WHEN x & s <> 0 THEN s - 1 - x ELSE x END ELSE y END, s // 2,
+d + s * s * xor(3 * CASE WHEN x & s <> 0 THEN 1 ELSE 0 END, CASE WHEN y & s <> 0 THEN 1 ELSE 0 END) FROM h WHERE s > 0),
+r AS (SELECT item_id, z, ox AS x, oy AS y, CAST(((1::BIGINT << (2 * z)) - 1) // 3 + d AS BIGINT) AS tile_id FROM h WHERE s = 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY tile_id) AS INTEGER) AS place, CAST(z AS INTEGER) AS z, x, y, tile_id, NULL AS error FROM r UNION ALL SELECT item_id, NULL, NULL, NULL, NULL, NULL, 'too many' FROM k WHERE n > 6
+UNION ALL SELECT item_id, NULL, NULL, NULL, NULL, NULL, 'outside' FROM item WHERE NOT (s >= -85.0511287798066 AND n <= 85.0511287798066)""")
+def fn_tile_selection(v):
+    return G.tile_selection(v.item, "item_id", 8, 9, 6)
+
+
 @query(f"{_HILBERT} SELECT p, z, x0 AS x, y0 AS y, CAST(((1::BIGINT << (2 * z)) - 1) // 3 + d AS BIGINT) AS tile_id FROM h WHERE s = 0")
 def fn_tile_id(v):
     return _cells(v).withColumn("tile_id", G.tile_id(C("z"), C("x"), C("y")))

@@ -648,6 +648,12 @@ def res_catalog_filter(v):
     return Rs.catalog_filter(d, ["SUPPLIER", "5"], C("name"), "1", "C3").select("id")
 
 
+@query("""WITH s AS (SELECT *, count(*) OVER () AS total FROM site WHERE contains(lower(concat(CAST(id AS VARCHAR), ' ', name, ' ', code)), 'supplier'))
+SELECT id, name, total, CASE WHEN total > 3 + 12 THEN 15 END AS next_offset, total <= 15 AS complete FROM s ORDER BY id LIMIT 12 OFFSET 3""")
+def res_catalog_page(v):
+    return Rs.catalog_page(v.site.select("id", C("name").alias("title"), C("code").alias("category")), "SUPPLIER", 3, 12).select("id", C("title").alias("name"), "total", "next_offset", "complete")
+
+
 @query(f"WITH areas AS ({_AREAS}) SELECT a.area_id, count(item_id) AS n, count(item_id) > 8 AS refused FROM areas a LEFT JOIN item i ON i.w < a.e AND i.e > a.w AND i.s < a.n AND i.n > a.s GROUP BY a.area_id")
 def res_packages(v):
     areas = _areas(v)

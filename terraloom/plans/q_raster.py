@@ -164,12 +164,15 @@ def fn_item_period(v):
     return v.item.select("o", first.alias("first"), last.alias("last"))
 
 
-@query("SELECT o, CAST(o % 360 - 180 AS INT) AS lon, CAST(o % 180 - 90 AS INT) AS lat FROM item")
+@query("""SELECT o, CAST(o % 360 - 180 AS INT) AS lon, CAST(o % 180 - 90 AS INT) AS lat, CASE o % 6 WHEN 4 THEN FALSE WHEN 5 THEN FALSE ELSE TRUE END AS inside FROM item""")
 def fn_item_cell(v):
     lon, lat = F.col("o") % 360 - 180, F.col("o") % 180 - 90
     name = F.format_string("%s%02d%s%03d", F.when(lat < 0, "S").otherwise("N"), F.abs(lat), F.when(lon < 0, "W").otherwise("E"), F.abs(lon))
+    off = lambda k, by: F.when(F.col("o") % 6 == k, by).otherwise(0.0)
+    # offsets on either side of the limit of 0.001
+    w, s, e, n = lon - off(1, 0.0005) - off(4, 0.0015), lat - off(2, 0.0005), lon + 1 + off(2, 0.0005), lat + 1 + off(3, 0.0005) + off(5, 0.0015)
     a, b = R.item_cell(name)
-    return v.item.select("o", a.alias("lon"), b.alias("lat"))
+    return v.item.select("o", a.alias("lon"), b.alias("lat"), R.in_cell(a, b, w, s, e, n).alias("inside"))
 
 
 @query("SELECT o, CASE WHEN o % 5 = 0 THEN NULL ELSE dt END AS day FROM item")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,7 +22,10 @@ def run_folder(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        _made = _made or "file://" + tempfile.mkdtemp(prefix="terraloom-")
+        if _made is None:
+            folder = tempfile.mkdtemp(prefix="terraloom-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)  # one machine, one process: nothing reads it any more
+            _made = f"file://{folder}"
         base = _made
     return f"{base.rstrip('/')}/{RUN}"
 

@@ -1,6 +1,7 @@
 """Hand-made grids, edges and nulls, and invariants."""
 
 import datetime as dt
+import math
 import random
 
 import pytest
@@ -15,6 +16,7 @@ from terraloom.operators import filters as P
 from terraloom.operators import graph as Gr
 from terraloom.operators import joins as J
 from terraloom.operators import mosaic as M
+from terraloom.operators import resolve as Rs
 from terraloom.operators import windows as W
 from terraloom.sources import readers as S
 
@@ -179,3 +181,38 @@ def test_time_lists(spark):
     got = {(r.dims, r.at): r.supported for r in X.time_supported(d, "dims", "at").collect()}
     assert sorted(got.values()) == [False, True, True, True]
     assert got["2020-01-31/2021-01-01/P1M", dt.datetime(2020, 2, 28)] is False
+
+
+def test_exact_and_sampled_envelopes(spark):
+    boxes = spark.createDataFrame([(1, 10.0, -1.0, 20.0, 1.5), (1, 10.0, -1.0, 20.0, 1.5), (2, -20.0, 30.0, -10.0, 40.0)], "k int, w double, s double, e double, n double")
+    radius = 6371007.181
+    exact = sorted(map(tuple, G.sinusoidal_envelope(boxes, "k").collect()))
+    assert len(exact) == 3 and abs(exact[0][3] - radius * math.radians(20)) < 1e-6  # the equator lies inside
+    assert abs(exact[2][1] - radius * math.radians(-20) * math.cos(math.radians(30))) < 1e-6
+    sampled = sorted(map(tuple, G.projected_envelope(boxes, "k", G.sinusoidal_forward).collect()))
+    assert len(sampled) == 3 and all(s[3] <= x[3] for s, x in zip(sampled, exact, strict=True))
+
+
+def test_boxes_beyond_the_mercator_limit_are_errors(spark):
+    boxes = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 1.0), (2, 0.0, 80.0, 1.0, 86.0), (3, -180.0, -80.0, 180.0, 80.0)], "k int, w double, s double, e double, n double")
+    with pytest.raises(Exception, match="Mercator"):
+        G.lonlat_tiles(boxes, 1, 2).collect()
+    got = G.tile_selection(boxes, "k", 0, 5).collect()
+    assert {r.k: r.error for r in got if r.error} == {2: "outside", 3: "too many"}
+    own = sorted((r.place, r.tile_id) for r in got if r.k == 1)
+    assert [p for p, _ in own] == list(range(1, 7)) and [t for _, t in own] == sorted(t for _, t in own)
+
+
+def test_repeated_instants_stay(spark):
+    d = spark.createDataFrame([("2024-01-01", "2024-01-01")] * 2 + [(None, "2024-01-01"), ("2024-01-01", None)], "dims string, at string").withColumn("at", F.col("at").cast("timestamp"))
+    assert sorted(str(r.supported) for r in X.time_supported(d, "dims", "at").collect()) == ["False", "False", "True", "True"]
+
+
+def test_catalogue_pages(spark):
+    rows = spark.createDataFrame([(f"d{k:02}", "Land Cover" if k % 2 else None, "raster") for k in range(30)], "id string, title string, category string")
+    got = Rs.catalog_page(rows, "cover", 10, 4).collect()
+    assert [(r.id, r.total, r.next_offset, r.complete) for r in got] == [(f"d{k}", 15, 14, False) for k in (21, 23, 25, 27)]
+    assert Rs.catalog_page(rows, None, 28, 20).count() == 2
+    for wrong in ({"limit": 0}, {"limit": 21}, {"offset": 10_001}, {"query": "é" * 51}):
+        with pytest.raises(ValueError, match="page"):
+            Rs.catalog_page(rows, **wrong)

@@ -127,20 +127,18 @@ def utm_inverse(x: Column, y: Column, zone: Column, north: Column) -> tuple[Colu
 
 
 def projected_envelope(boxes: DataFrame, key: str, project, samples: int = 65) -> DataFrame:
-    """Envelope of each box's projected edges, `samples` points an edge; one expression a row, so that repeated rows stay. Coverage services take 257.
+    """Envelope of each box's projected edges, `samples` points an edge (as many rows a box: bounded); repeated rows stay. Coverage services take 257.
 
     For the sinusoidal projection use sinusoidal_envelope(), which is exact.
     """
-    f = lambda i: i / F.lit(float(samples - 1))
-    lon, lat = lambda i: F.col("w") + (F.col("e") - F.col("w")) * f(i), lambda i: F.col("s") + (F.col("n") - F.col("s")) * f(i)
-
-    def at(i: Column) -> Column:
-        pairs = [project(x, y) for x, y in ((lon(i), F.col("s")), (lon(i), F.col("n")), (F.col("w"), lat(i)), (F.col("e"), lat(i)))]
-        return F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in pairs])
-
-    points = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), at))
-    d = boxes.withColumn("_p", points)
-    return d.select(key, F.array_min("_p.x").alias("left"), F.array_min("_p.y").alias("bottom"), F.array_max("_p.x").alias("right"), F.array_max("_p.y").alias("top"))
+    step = F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))
+    p = boxes.select(key, "w", "s", "e", "n").withColumn("_row", F.monotonically_increasing_id()).withColumn("_i", step)
+    f = F.col("_i") / (samples - 1)
+    lon, lat = F.col("w") + (F.col("e") - F.col("w")) * f, F.col("s") + (F.col("n") - F.col("s")) * f
+    edges = F.explode(F.array(*[F.struct(a.alias("lon"), b.alias("lat")) for a, b in ((lon, F.col("s")), (lon, F.col("n")), (F.col("w"), lat), (F.col("e"), lat))]))
+    x, y = project(F.col("_p.lon"), F.col("_p.lat"))
+    p = p.select("_row", key, edges.alias("_p")).select("_row", key, x.alias("_x"), y.alias("_y"))
+    return p.groupBy("_row", key).agg(F.min("_x").alias("left"), F.min("_y").alias("bottom"), F.max("_x").alias("right"), F.max("_y").alias("top")).drop("_row")
 
 
 def sinusoidal_envelope(boxes: DataFrame, key: str) -> DataFrame:

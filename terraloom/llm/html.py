@@ -7,7 +7,7 @@ up the tree and down again (sum-product), which gives each node's marginal; leav
 
 Both kinds of potential are learned together by the gradient of the likelihood, observed less expected counts, where the expectations are
 the marginals themselves. Labelled pages are of two kinds: `layouts` (pages of common layouts, marked leaf by leaf), and at most
-`most_pages` pages of the table with one article or main element, where the markup itself tells (`weak_labels`), of at most `most_chars` each.
+`most_pages` different pages of the table with one article or main element, where the markup itself tells (`weak_labels`), of at most `most_chars` each.
 
 Edge cases: null html is an empty page; a page without content gives the empty text; a tag that is never closed ends with what is around
 it, or with the page; damaged UTF-8 reads as replacement characters; repeated rows and null ids are rows like others; with no
@@ -524,8 +524,11 @@ def fit(pages: DataFrame, most_pages: int = 200, most_chars: int = 1 << 16, n_la
         page = parse(source)
         known.append((page, marked(page)))
     html = F.col("html").cast("binary")
-    some = pages.where(F.length("html").between(1, most_chars)).select(html.alias("h"), F.xxhash64(html).alias("o")).orderBy("o").limit(most_pages)
-    for row in some.collect():
+    some = pages.where(F.length("html").between(1, most_chars)).select(html.alias("h"), F.xxhash64(html).alias("o"))
+    # hashes first, so that no task sends pages that aren't taken
+    bound = some.select("o").distinct().orderBy("o").limit(most_pages).agg(F.max("o")).first()[0]
+    taken = some.where(F.col("o") <= F.lit(bound)).groupBy("o").agg(F.first("h").alias("h"))
+    for row in sorted(taken.collect(), key=lambda r: r.o) if bound is not None else []:
         page = parse(bytes(row.h).decode("utf-8", "replace"))
         own = weak_labels(page)
         if own is not None:

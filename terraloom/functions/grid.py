@@ -294,6 +294,37 @@ def geometry_envelope(rings: Column) -> tuple[Column, Column, Column, Column]:
     return F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)
 
 
+# How large a polygon may be.
+PARTS, RINGS, POSITIONS = 500, 1000, 30_000
+
+
+def polygon_error(polygons: Column) -> Column:
+    """What is wrong with a polygon of parts of rings of points (x, y), or null: "parts", "rings", "short" (a ring of fewer than four positions),
+
+    "positions" (too many), "open", "coordinates" (not finite, out of range, or across the date line), "area" (none), "span" (over 180 degrees). Of
+    several, the first in this order. A null polygon has no parts.
+    """
+    parts = F.coalesce(F.size(polygons), F.lit(0))
+    rings = F.flatten(polygons)
+    points = F.flatten(rings)
+    finite = lambda v: v.isNotNull() & ~F.isnan(v)
+    sound = lambda p: finite(p["x"]) & finite(p["y"]) & p["x"].between(-180, 180) & p["y"].between(-90, 90)
+    pairs = lambda ring: F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    jumps = lambda ring: F.exists(pairs(ring), lambda e: F.abs(e["b"]["x"] - e["a"]["x"]) > 180)
+    double = lambda ring: F.aggregate(pairs(ring), F.lit(0.0), lambda acc, e: acc + e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])
+    xs = F.transform(points, lambda p: p["x"])
+    return (
+        F.when(~parts.between(1, PARTS), "parts")
+        .when(F.exists(polygons, lambda p: ~F.coalesce(F.size(p), F.lit(0)).between(1, RINGS)), "rings")
+        .when(F.exists(rings, lambda r: F.coalesce(F.size(r), F.lit(0)) < 4), "short")
+        .when(F.size(points) > POSITIONS, "positions")
+        .when(F.exists(rings, lambda r: ~F.element_at(r, 1).eqNullSafe(F.element_at(r, -1))), "open")
+        .when(~F.coalesce(F.forall(points, sound), F.lit(False)) | F.exists(rings, jumps), "coordinates")
+        .when(F.exists(rings, lambda r: F.abs(double(r)) < 1e-12), "area")
+        .when(F.array_max(xs) - F.array_min(xs) > 180, "span")
+    )
+
+
 def round_out(w: Column, s: Column, e: Column, n: Column, digits: int = 6) -> tuple[Column, Column, Column, Column]:
     k = 10.0**digits
     return F.floor(w * k) / k, F.floor(s * k) / k, F.ceil(e * k) / k, F.ceil(n * k) / k

@@ -216,6 +216,26 @@ def fn_geometry_envelope(v):
     return _rings(v).select("p", *[x.alias(k) for k, x in zip("wsen", G.geometry_envelope(rings))])
 
 
+# each limit from both sides: 500 and 501 parts, 1000 and 1001 rings, 30,000 positions and four more, a longitude of 180 and beyond, and so on
+@query("""SELECT CAST(p_partkey AS BIGINT) AS p, CASE p_partkey % 16 WHEN 1 THEN 'parts' WHEN 3 THEN 'rings' WHEN 4 THEN 'short' WHEN 6 THEN 'positions' WHEN 7 THEN 'open' WHEN 9 THEN 'coordinates' WHEN 10 THEN 'area' WHEN 12 THEN 'span' WHEN 13 THEN 'parts' WHEN 14 THEN 'coordinates' WHEN 15 THEN 'coordinates' END AS error FROM part""")
+def fn_polygon_limits(v):
+    ring = lambda *points: F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in points])
+    square = ring((0, 0), (1, 0), (1, 1), (0, 0))
+    part = F.array(square)
+    many = F.array_repeat
+    none = F.array().cast("array<array<array<struct<x: double, y: double>>>>")
+    cases = [
+        many(part, 500), many(part, 501), F.array(many(square, 1000)), F.array(many(square, 1001)), F.array(F.array(ring((0, 0), (1, 0), (0, 0)))), many(many(square, 75), 100), many(many(square, 76), 99),
+        F.array(F.array(ring((0, 0), (1, 0), (1, 1), (0, 1)))), F.array(F.array(ring((170, 89), (180, 90), (170, 90), (170, 89)))), F.array(F.array(ring((170, 89), (180.5, 90), (170, 90), (170, 89)))), F.array(F.array(ring((0, 0), (1, 1), (2, 2), (0, 0)))),
+        F.array(F.array(ring((-90, 0), (90, 0), (0, 9), (-90, 0)))), F.array(F.array(ring((-91, 0), (0, -9), (90, 0), (0, 9), (-91, 0)))), none, F.array(F.array(ring((-100, 0), (100, 0), (0, 9), (-100, 0)))), F.array(F.array(ring((0, 0), (float("nan"), 0), (0, 9), (0, 0)))),
+    ]
+    p = C("p_partkey").cast("bigint")
+    error = F.lit(None).cast("string")
+    for k, case in enumerate(cases):
+        error = F.when(p % 16 == k, G.polygon_error(case)).otherwise(error)
+    return v.part.select(p.alias("p"), error.alias("error"))
+
+
 @query("SELECT item_id, floor(w / 7 * 1e6) / 1e6 AS w, floor(s / 7 * 1e6) / 1e6 AS s, ceil(e / 7 * 1e6) / 1e6 AS e, ceil(n / 7 * 1e6) / 1e6 AS n FROM item")
 def fn_round_out(v):
     b = G.round_out(*[C(c) / 7 for c in "wsen"])

@@ -315,7 +315,7 @@ class Model:
         return np.split(found, np.cumsum([len(p.tag) for p in pages])[:-1])
 
 
-def train(pages: list[Page], labels: list[list[int]], rounds: int = 120, rate: float = 0.4, decay: float = 2e-4, rare: int = 2) -> Model:
+def train(pages: list[Page], labels: list[list[int]], rounds: int = 200, rate: float = 1.0, decay: float = 5e-5, rare: int = 2) -> Model:
     """labels: 1 for each leaf that is content; an element is content if anything in it is."""
     rows, y = [], []
     for page, own in zip(pages, labels, strict=True):
@@ -376,7 +376,7 @@ _NAMES = {
 _SOUNDS = ["a", "e", "i", "o", "u", "an", "er", "th", "st", "ion", "le", "re", "que", "sch", "ção", "ñ", "ля", "но", "по", "της", "の", "は", "中", "国", "ه", "ال"]
 
 
-def layouts(n: int = 500, seed: int = 5) -> list[tuple[str, int]]:
+def layouts(n: int = 1200, seed: int = 5) -> list[tuple[str, int]]:
     """Labelled pages: common layouts with invented words. Content leaves begin with MARK (an html page each)."""
     rng = random.Random(seed)
 
@@ -451,7 +451,8 @@ def layouts(n: int = 500, seed: int = 5) -> list[tuple[str, int]]:
         if r < 0.8:
             return f"<h2>{MARK}{some(1, 8)}</h2>" + paragraph()
         if r < 0.86:
-            return "<ul>" + "".join(f"<li>{MARK}{prose(2, 25)}</li>" for _ in range(rng.randrange(2, 6))) + "</ul>"
+            point = lambda: rng.choice([prose(2, 25), prose(2, 25), f"{some(1, 9)} <a href=/x>{some(1, 3)}</a>", f"{some(1, 3)} <a href=/x>{some(1, 3)}</a> {prose(1, 9)}"])
+            return "<ul>" + "".join(f"<li>{MARK}{point()}</li>" for _ in range(rng.randrange(2, 6))) + "</ul>"
         if r < 0.9:
             return f"<blockquote>{rng.choice(['{}', '<p>{}</p>']).format(MARK + prose())}</blockquote>"
         if r < 0.93:
@@ -466,15 +467,15 @@ def layouts(n: int = 500, seed: int = 5) -> list[tuple[str, int]]:
         if rng.random() < 0.35:
             wrap = rng.choice(["<div{}>{}</div>", "<section{}>{}</section>"])
             parts = [parts[0], wrap.format(named("main", 0.3), "".join(parts[1:]))]
-        for other, rate in ((ad, 0.15), (side, 0.12), (share, 0.2), (notice, 0.1), (form, 0.06)):
+        for other, rate in ((ad, 0.3), (side, 0.2), (share, 0.2), (notice, 0.2), (form, 0.12)):
             if rng.random() < rate:
                 parts.insert(rng.randrange(len(parts) + 1), other())
-        if rng.random() < 0.2:
+        if rng.random() < 0.3:
             parts.append(comments())
-        tag = rng.choice(["article", "article", "article", "main", "div", "div", "section", "td"])
+        tag = rng.choice(["article", "article", "article", "main", "div", "div", "section", "td", "td"])
         inner = "".join(parts)
         if tag == "td":
-            return f"<table><tr><td{named('side')}>{links()}</td><td{named('main', 0.5)}>{inner}</td></tr></table>"
+            return f"<table><tr><td{named(rng.choice(['side', 'menu']), 0.2)}>{rng.choice([links(), '<br>'.join(link() for _ in range(3))])}</td><td{named('main', 0.5)}>{inner}</td></tr></table>"
         return f"<{tag}{named('main', 0.6 if tag in ('article', 'main') else 0.25)}>{inner}</{tag}>"
 
     out = []
@@ -517,7 +518,7 @@ def weak_labels(page: Page) -> list[int] | None:
     return None
 
 
-def fit(pages: DataFrame, most_pages: int = 200, most_chars: int = 1 << 16, n_layouts: int = 500) -> Model:
+def fit(pages: DataFrame, most_pages: int = 200, most_chars: int = 1 << 16, n_layouts: int = 1200) -> Model:
     """Learns from `n_layouts` layouts and at most `most_pages` pages, taken in the order of a hash of their html."""
     known = []
     for source in layouts(n_layouts):

@@ -101,3 +101,27 @@ def test_edges(model, spark):
     assert html.extract(none, html.fit(none, n_layouts=20)).count() == 0
     long = "<article>" + "<p>Some words of a long page, again and again.</p>" * 30_000 + "</article>"
     assert html.texts(model, [long])[0].count("Some words") == 30_000
+
+
+ARTICLE = "<h1>Title here</h1><p>One paragraph of an article that says this and that, and goes on.</p><p>A second paragraph, which is shorter.</p><p>Third.</p>"
+TEXT = "Title here One paragraph of an article that says this and that, and goes on. A second paragraph, which is shorter. Third."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<article>{ARTICLE}<section id=comments><h2>Comments</h2><div class=comment><p>I think that this is a very good article, and I want to say so at length.</p></div></section></article>",
+        f"<nav><a href=/>Home</a></nav><article>{ARTICLE}</article><aside><h3>Related</h3><p>Read also this other story about something else entirely.</p></aside><footer>&copy; 2024</footer>",
+        f"<div class='notice'>We have changed our terms. Please read them with care before you go on.</div><article>{ARTICLE}</article>",
+        f"<article>{ARTICLE}<form action=/subscribe><p>Subscribe to our letter and get news every week.</p><input type=email></form></article>",
+        f"<header><h1>Site name</h1><p>The daily news of everything</p></header><article>{ARTICLE}</article>",
+        f"<article>{ARTICLE.replace('</p><p>A', '</p><div class=advert>Buy our things now, they are cheap and good.</div><p>A')}</article>",
+        f"<div class=header>Site</div><div class=article-body>{ARTICLE}</div><div class='sidebar'><p>Some text in the side bar that is about as long as a paragraph.</p></div>",
+        f"<div role=navigation><a href=a>A</a> <a href=b>B</a></div><div role=main>{ARTICLE}</div><div role=complementary><p>Other stuff to read about, a long line of text.</p></div>",
+        f"<table><tr><td class=menu><a href=a>A</a><br><a href=b>B</a></td><td class=content>{ARTICLE}</td></tr></table>",
+        f"<article>{ARTICLE}</article><div class='reader-comments'><h3>3 comments</h3><ol><li><b>Ann</b><p>I liked it very much, thanks for writing this long article.</p></li></ol></div>",
+        ARTICLE,
+    ],
+)
+def test_common_layouts(model, page):
+    assert html.texts(model, [f"<html><head><title>X</title></head><body>{page}</body></html>"]) == [TEXT]

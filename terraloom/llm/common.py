@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 from collections.abc import Callable, Iterator
 
@@ -54,12 +57,16 @@ _turn: tuple[str, Callable[[], None]] | None = None
 
 
 def take_turn(name: str, forget: Callable[[], None]) -> None:
-    """Python workers serve one stage after another; when another operator begins in one, the last one's memory is given up."""
+    """Python workers serve one stage after another; when another operator begins in one, the last one's memory is given up, to the system as well."""
     global _turn
     if _turn is None or _turn[0] != name:
         if _turn is not None:
             _turn[1]()
         _turn = (name, forget)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries keep what they have
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def gather(flat: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:

@@ -376,7 +376,7 @@ _NAMES = {
 _SOUNDS = ["a", "e", "i", "o", "u", "an", "er", "th", "st", "ion", "le", "re", "que", "sch", "ção", "ñ", "ля", "но", "по", "της", "の", "は", "中", "国", "ه", "ال"]
 
 
-def layouts(n: int = 1200, seed: int = 5) -> list[tuple[str, int]]:
+def layouts(n: int = 1800, seed: int = 5) -> list[tuple[str, int]]:
     """Labelled pages: common layouts with invented words. Content leaves begin with MARK (an html page each)."""
     rng = random.Random(seed)
 
@@ -436,7 +436,7 @@ def layouts(n: int = 1200, seed: int = 5) -> list[tuple[str, int]]:
         k = rng.randrange(1, 12)
         one = rng.choice(["<li{c}><b>{a}</b><p>{t}</p></li>", "<div{c}><span>{a}</span><p>{t}</p><p>{t2}</p></div>", "<article{c}><h4>{a}</h4><p>{t}</p></article>", "<p>{t}</p>", "<div{c}>{t}</div>"])
         inner = "".join(one.format(c=named("comments"), a=some(1, 3), t=prose(4, 70), t2=prose(4, 40)) for _ in range(k))
-        return box(["section", "div", "ol" if one.startswith("<li") else "div", "aside"], "comments", rng.choice(["", f"<h3>{some(1, 4)}</h3>"]) + inner + rng.choice(["", form()]))
+        return box(["section", "div", "ol" if one.startswith("<li") else "div", "aside"], "comments", rng.choice(["", *[f"<{h}>{some(1, 4)}</{h}>" for h in ("h2", "h2", "h3", "h4")]]) + inner + rng.choice(["", form()]))
 
     def paragraph():
         text = prose(1, 90) if rng.random() < 0.85 else prose(90, 400)
@@ -470,7 +470,7 @@ def layouts(n: int = 1200, seed: int = 5) -> list[tuple[str, int]]:
         for other, rate in ((ad, 0.3), (side, 0.2), (share, 0.2), (notice, 0.2), (form, 0.12)):
             if rng.random() < rate:
                 parts.insert(rng.randrange(len(parts) + 1), other())
-        if rng.random() < 0.3:
+        if rng.random() < 0.4:
             parts.append(comments())
         tag = rng.choice(["article", "article", "article", "main", "div", "div", "section", "td", "td"])
         inner = "".join(parts)
@@ -518,7 +518,7 @@ def weak_labels(page: Page) -> list[int] | None:
     return None
 
 
-def fit(pages: DataFrame, most_pages: int = 200, most_chars: int = 1 << 16, n_layouts: int = 1200) -> Model:
+def fit(pages: DataFrame, most_pages: int = 100, most_chars: int = 1 << 16, n_layouts: int = 1800) -> Model:
     """Learns from `n_layouts` layouts and at most `most_pages` pages, taken in the order of a hash of their html."""
     known = []
     for source in layouts(n_layouts):

@@ -459,7 +459,7 @@ def alike(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(a) + len(b) - both)
 
 
-def similar(docs: DataFrame, id_col: str, text_col: str = "text", shingle: int = 5, num: int = 4, den: int = 5, words: int = 8, tries: int = 4, bits: int = 9, forests: tuple[int, ...] = (48, 60, 72), bands: tuple[int, ...] = (72, 79, 86, 93, 100), unit_rows: int = 200_000) -> DataFrame:
+def similar(docs: DataFrame, id_col: str, text_col: str = "text", shingle: int = 5, num: int = 4, den: int = 5, words: int = 8, tries: int = 4, bits: int = 9, forests: tuple[int, ...] = (48, 60, 72), bands: tuple[int, ...] = (72, 86, 100), unit_rows: int = 200_000) -> DataFrame:
     """One row per input row: id (a long, each once, none null) and `component_id`, the least id of its component.
 
     Two texts link when the Jaccard similarity of their sets of shingles is at least num / den, tested on the whole sets. Only

@@ -382,18 +382,34 @@ def prefixes(matrices: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = 32_768) -> DataFrame:
-    """One row per document: id and `ids`, an array of piece ids. `model` is the path of a model file on every executor."""
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = 32_768, decoded: str | None = None) -> DataFrame:
+    """One row per document: id and `ids`, an array of piece ids. `model` is the path of a model file on every executor.
+
+    decoded: name of a further column, the text that the ids stand for (decode()), read back where the ids are made: a task
+    needs one Python worker less, and the ids needn't be sent to it again.
+    """
     short = F.coalesce(F.length(text_col), F.lit(0)) <= chunk
+    more = [(decoded, "string")] if decoded else []
 
     def whole(raw: pa.Array) -> list[pa.Array]:
         v = vocabulary(model)
         made = [v.encode_all(raw.slice(k, ROWS))[:2] for k in range(0, len(raw), ROWS)]
-        count = np.concatenate([[0], *[c for _, c in made]])
-        return [pa.ListArray.from_arrays(pa.array(np.cumsum(count), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *[i for i, _ in made]])))]
+        count = np.concatenate([np.empty(0, np.int64), *[c for _, c in made]])
+        ids = np.concatenate([np.empty(0, np.int32), *[i for i, _ in made]])
+        return [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)], pa.int32()), pa.array(ids)), *([_texts(v, ids, count)] if more else [])]
+
+    out = with_computed(docs.where(short), [id_col], [F.col(text_col)], whole, [("ids", "array<int>"), *more])
+    long = _encode_long(docs.where(~short), model, id_col, text_col, chunk)
+    return out.unionByName(decode(long, model, keep=(id_col, "ids"), name=decoded) if decoded else long)
+
 
-    out = with_computed(docs.where(short), [id_col], [F.col(text_col)], whole, [("ids", "array<int>")])
-    return out.unionByName(_encode_long(docs.where(~short), model, id_col, text_col, chunk))
+def _texts(v: Vocabulary, ids: np.ndarray, count: np.ndarray) -> pa.Array:
+    """What the runs of `count` ids stand for."""
+    found = v.decode(ids, count)
+    try:
+        return pa.array(found, pa.binary()).cast(pa.string())
+    except pa.ArrowInvalid:  # byte pieces that are no UTF-8
+        return pa.array([x.decode("utf-8", "replace") for x in found], pa.string())
 
 
 def _encode_long(docs: DataFrame, model: str, id_col: str, text_col: str, chunk: int) -> DataFrame:
@@ -475,10 +491,6 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids", keep: tuple[str
 
     def run(ids: pa.Array) -> list[pa.Array]:
         count = np.array([len(x) if x.is_valid else 0 for x in ids], np.int64)
-        found = vocabulary(model).decode(ids.flatten().to_numpy(), count)
-        try:
-            return [pa.array(found, pa.binary()).cast(pa.string())]
-        except pa.ArrowInvalid:  # byte pieces that are no UTF-8
-            return [pa.array([x.decode("utf-8", "replace") for x in found], pa.string())]
+        return [_texts(vocabulary(model), ids.flatten().to_numpy(), count)]
 
     return with_computed(encoded, list(keep), [F.col(ids_col)], run, [(name, "string")])

@@ -46,7 +46,7 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
+    encoded = pieces.encode(table(spark, sf_dir, "documents"), model, decoded="decoded")
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -67,4 +67,6 @@ def test_chunks_against_serial(spark):
         got = pieces.decode(pieces.encode(df, MODEL, chunk=chunk), MODEL).collect()
         want = sorted((str(i), np.frombuffer(v.encode(t), np.int32).tolist(), t or "") for i, t in rows)
         assert sorted((str(r.doc_id), r.ids, r.decoded) for r in got) == want
+        once = pieces.encode(df, MODEL, chunk=chunk, decoded="back").collect()
+        assert sorted((str(r.doc_id), r.ids, r.back) for r in once) == want
     assert pieces.encode(df.limit(0), MODEL).count() == 0

@@ -53,7 +53,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document, and the digest of the text that they decode to."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = pieces.decode(pieces.encode(docs, model), model)
+    encoded = pieces.encode(docs, model, decoded="decoded")
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -21,8 +21,11 @@ def join_bands(px: DataFrame, bands: list[str], nodata: int = 0, asset: str = "a
 
 
 def join_qa_pair(pixel: DataFrame, radsat: DataFrame) -> DataFrame:
-    """Saturation words take their validity from the quality word of the same scene and pixel."""
-    return radsat.join(pixel, ["scene", "x", "y"]).withColumn("valid", F.col("qa_pixel").bitwiseAND(F.lit(1).cast("bigint")) == 0)
+    """Saturation words take their validity from the quality word of the same scene and pixel.
+
+    Either side may be all pixels, whatever a plan's estimate of its size, so neither is broadcast.
+    """
+    return radsat.join(pixel.hint("merge"), ["scene", "x", "y"]).withColumn("valid", F.col("qa_pixel").bitwiseAND(F.lit(1).cast("bigint")) == 0)
 
 
 def _cells(d: DataFrame, w: str, s: str, e: str, n: str, cell: float) -> DataFrame:
@@ -118,7 +121,11 @@ def same_selection(a: DataFrame, b: DataFrame, fields: list[str]) -> Column:
 
 
 def coordinate_samples(px: DataFrame, points: DataFrame, left: float, top: float, dx: float, dy: float) -> DataFrame:
-    """Pixel values at coordinates: points (id, px, py) -> their cell -> an equality join."""
+    """Pixel values at coordinates: points (id, px, py) -> their cell -> an equality join.
+
+    Only pixels in the points' box are shuffled; neither side is broadcast, whatever a plan's estimate of its size.
+    """
     p = points.withColumns({"x": F.floor((F.col("px") - left) / dx).cast("int"), "y": F.floor((top - F.col("py")) / dy).cast("int")})
-    return p.join(px, ["x", "y"])
+    reach = lambda c: F.col(c).between(p.agg(F.min(c)).scalar(), p.agg(F.max(c)).scalar())
+    return p.join(px.where(reach("x") & reach("y")).hint("merge"), ["x", "y"])
 

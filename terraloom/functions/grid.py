@@ -206,11 +206,7 @@ def tile_id(z: Column, x: Column, y: Column) -> Column:
 
 def tile_coord(id_: Column, max_zoom: int = 24) -> Column:
     """Struct z, x, y of a cumulative Hilbert number."""
-    z = F.lit(0)
-    for k in range(1, max_zoom + 1):
-        z = F.when(id_ >= (4**k - 1) // 3, k).otherwise(z) if k == 1 else F.when(id_ >= (4**k - 1) // 3, F.lit(k)).otherwise(z)
-    d0 = id_ - ((F.pow(F.lit(4), z) - 1) / 3).cast("bigint")
-    start = F.struct(F.lit(0).cast("bigint").alias("x"), F.lit(0).cast("bigint").alias("y"), d0.cast("bigint").alias("d"))
+    first = [(4**k - 1) // 3 for k in range(1, max_zoom + 1)]
 
     def step(acc, k):
         s = F.pow(F.lit(2), k).cast("bigint")
@@ -220,8 +216,20 @@ def tile_coord(id_: Column, max_zoom: int = 24) -> Column:
         x, y = F.when(ry == 0, fy).otherwise(acc["x"]), F.when(ry == 0, fx).otherwise(acc["y"])
         return F.struct((x + s * rx).alias("x"), (y + s * ry).alias("y"), F.shiftright(acc["d"], 2).alias("d"))
 
-    steps = F.when(z > 0, F.sequence(F.lit(0), z - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, start, step, lambda acc: F.struct(z.alias("z"), acc["x"].alias("x"), acc["y"].alias("y")))
+    def coord(t):
+        d0 = t["id"] - ((F.pow(F.lit(4), t["z"]) - 1) / 3).cast("bigint")
+        start = F.struct(F.lit(0).cast("bigint").alias("x"), F.lit(0).cast("bigint").alias("y"), d0.cast("bigint").alias("d"))
+        steps = F.when(t["z"] > 0, F.sequence(F.lit(0), t["z"] - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(steps, start, step, lambda acc: F.struct(t["z"].alias("z"), acc["x"].alias("x"), acc["y"].alias("y")))
+
+    def level(i):
+        z = F.lit(0)
+        for k, low in enumerate(first, 1):
+            z = F.when(i >= low, F.lit(k)).otherwise(z)
+        return F.struct(i.alias("id"), z.alias("z"))
+
+    # a number may be a long expression, and so is its level: each is worked out once
+    return F.transform(F.transform(F.array(id_), level), coord)[0]
 
 
 def _lat(y: Column, size) -> Column:
@@ -307,21 +315,22 @@ def polygon_error(polygons: Column) -> Column:
     parts = F.coalesce(F.size(polygons), F.lit(0))
     rings = F.flatten(polygons)
     points = F.flatten(rings)
-    finite = lambda v: v.isNotNull() & ~F.isnan(v)
-    sound = lambda p: finite(p["x"]) & finite(p["y"]) & p["x"].between(-180, 180) & p["y"].between(-90, 90)
-    pairs = lambda ring: F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    jumps = lambda ring: F.exists(pairs(ring), lambda e: F.abs(e["b"]["x"] - e["a"]["x"]) > 180)
-    double = lambda ring: F.aggregate(pairs(ring), F.lit(0.0), lambda acc, e: acc + e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])
-    xs = F.transform(points, lambda p: p["x"])
+    xs, ys = points["x"], points["y"]
+    known = lambda vs: F.forall(vs, lambda v: v.isNotNull())
+    within = lambda vs, most: known(vs) & (F.array_min(vs) >= -most) & (F.array_max(vs) <= most)  # noqa: E731  (NaN is greater than all)
+    wide = F.array_max(xs) - F.array_min(xs) > 180  # what is narrower has no jump
+    pairs = lambda ring, of: F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1), of)
+    jumps = lambda ring: F.exists(pairs(ring, lambda a, b: F.abs(b["x"] - a["x"])), lambda d: d > 180)
+    double = lambda ring: F.aggregate(pairs(ring, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]), F.lit(0.0), lambda acc, v: acc + v)
     return (
         F.when(~parts.between(1, PARTS), "parts")
         .when(F.exists(polygons, lambda p: ~F.coalesce(F.size(p), F.lit(0)).between(1, RINGS)), "rings")
         .when(F.exists(rings, lambda r: F.coalesce(F.size(r), F.lit(0)) < 4), "short")
         .when(F.size(points) > POSITIONS, "positions")
         .when(F.exists(rings, lambda r: ~F.element_at(r, 1).eqNullSafe(F.element_at(r, -1))), "open")
-        .when(~F.coalesce(F.forall(points, sound), F.lit(False)) | F.exists(rings, jumps), "coordinates")
+        .when(~F.coalesce(within(xs, 180.0) & within(ys, 90.0), F.lit(False)) | (wide & F.exists(rings, jumps)), "coordinates")
         .when(F.exists(rings, lambda r: F.abs(double(r)) < 1e-12), "area")
-        .when(F.array_max(xs) - F.array_min(xs) > 180, "span")
+        .when(wide, "span")
     )
 
 

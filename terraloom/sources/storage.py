@@ -46,3 +46,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, key: str, rows: int = 50_000) -> DataFrame:
+    """Rows dealt out by a key, about so many a task: a narrow table may lie in one block of one file, which one task reads."""
+    return df.repartition(max(1, -(-df.count() // rows)), key)

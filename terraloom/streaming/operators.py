@@ -214,32 +214,59 @@ def settle(ledger: DataFrame) -> DataFrame:
     return j.select("execution", "reserved", F.coalesce("_e.kind", F.lit("open")).alias("outcome"), charged.alias("charged"))
 
 
-def settlements(ledger: DataFrame, lease: str = "1 hour", late: str = "0 seconds") -> DataFrame:
+def settlements(ledger: DataFrame, lease: str = "1 hour", late: str = "0 seconds", shards: int = 1024) -> DataFrame:
     """settle() as a stream: a row when an execution is consumed or released, or when its lease runs out (expired, no charge).
 
     ledger: execution, seq, ts, kind, micros. After its end an execution is remembered for another lease, so that a second end counts for nothing.
+    Rows without an execution are left out. State is kept by shard of executions, each with its own end, since a call of Python for each of them would cost more than its work:
+    a shard holds the live executions divided by `shards`, and its timer is that of the first of them to end.
     """
     lease_ms = int(pd.Timedelta(lease).total_seconds() * 1000)
+    names = ["execution", "reserved", "known", "done", "until"]
+    out = ["execution", "reserved", "outcome", "charged"]
 
     def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        reserved, done = state.get if state.exists else (None, False)
-        if state.hasTimedOut:
+        watermark = state.getCurrentWatermarkMs()
+        live = pd.DataFrame(dict(zip(names, (np.array(c, np.int64) for c in (state.get if state.exists else [[]] * 5)), strict=True))).set_index("execution")
+        settled = []
+        rows = None if state.hasTimedOut else pd.concat(list(parts))
+        touched = live.index[:0] if rows is None else pd.Index(rows.execution.unique())
+        # those that this batch leaves alone end by the watermark, as each would by a timer of its own
+        due = (live.until < watermark) & ~live.index.isin(touched)
+        gone = live[due & (live.known == 1) & (live.done == 0)]
+        settled.append(pd.DataFrame({"execution": gone.index, "reserved": gone.reserved.to_numpy(), "outcome": "expired", "charged": 0}))
+        live = live[~due]
+        if rows is not None:
+            rows = rows.sort_values(["execution", "seq"], kind="stable").reset_index(drop=True)
+            old = live.reindex(rows.execution)
+            known, done = (old.known == 1).to_numpy(), (old.done == 1).to_numpy()
+            reserve = (rows.kind == "reserve").to_numpy()
+            # the amount of the first reserve, earlier batches first, and from which row on it is there
+            first = rows[reserve].drop_duplicates("execution")
+            place = pd.Series(first.index, first.execution).reindex(rows.execution).to_numpy()
+            amount = np.where(known, old.reserved.fillna(0).to_numpy(), first.set_index("execution").micros.reindex(rows.execution).fillna(0).to_numpy()).astype(np.int64)
+            ends = rows[~reserve & ~done & (known | (np.arange(len(rows)) > np.where(np.isnan(place), np.inf, place)))].drop_duplicates("execution")
+            paid = amount[ends.index]
+            charged = np.where(ends.kind == "consume", np.minimum(ends.micros, paid), 0)
+            settled.append(pd.DataFrame({"execution": ends.execution, "reserved": paid, "outcome": ends.kind, "charged": charged}))
+            latest = rows.ts.astype("datetime64[ns]").astype("int64").groupby(rows.execution).max() // 1_000_000 + lease_ms
+            at = rows.drop_duplicates("execution", keep="first").index
+            seen = pd.DataFrame({"reserved": amount[at], "known": (known | ~np.isnan(place))[at].astype(np.int64), "done": done[at].astype(np.int64)}, index=rows.execution[at].to_numpy())
+            seen.loc[ends.execution, "done"] = 1
+            seen["until"] = np.maximum(latest.reindex(seen.index).to_numpy(), watermark + 1)
+            live = pd.concat([live[~live.index.isin(touched)], seen])
+        if len(live):
+            state.update((live.index.tolist(), *[live[c].astype(np.int64).tolist() for c in names[1:]]))
+            state.setTimeoutTimestamp(max(int(live.until.min()), watermark + 1))
+        elif state.exists:
             state.remove()
-            if not done and reserved is not None:
-                yield pd.DataFrame({"execution": [key[0]], "reserved": [reserved], "outcome": ["expired"], "charged": [0]})
-            return
-        rows = pd.concat(list(parts)).sort_values("seq")
-        for kind, micros in zip(rows.kind, rows.micros, strict=True):
-            if kind == "reserve":
-                reserved = int(micros) if reserved is None else reserved
-            elif not done and reserved is not None:
-                done = True
-                yield pd.DataFrame({"execution": [key[0]], "reserved": [reserved], "outcome": [kind], "charged": [min(int(micros), reserved) if kind == "consume" else 0]})
-        state.update((reserved, done))
-        _alive(state, rows.ts.astype("datetime64[ns]").astype("int64").max() / 1e6, lease_ms)
-
-    d = ledger.withWatermark("ts", late).groupBy("execution")
-    return d.applyInPandasWithState(step, "execution long, reserved long, outcome string, charged long", "reserved long, done boolean", "append", GroupStateTimeout.EventTimeTimeout)
+        made = pd.concat(settled, ignore_index=True)[out]
+        if len(made):
+            yield made
+
+    d = ledger.withWatermark("ts", late).where("execution is not null").select(F.pmod(F.xxhash64("execution"), F.lit(shards)).alias("_shard"), "execution", "seq", "ts", "kind", "micros").groupBy("_shard")
+    kept = ", ".join(f"{c} array<long>" for c in names)
+    return d.applyInPandasWithState(step, "execution long, reserved long, outcome string, charged long", kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def expired_leases(work: DataFrame, now: Column, lease: str) -> DataFrame:

@@ -124,3 +124,14 @@ def test_leases_and_settlement(spark):
     assert sorted(r.job_id for r in St.expired_leases(work, F.lit(t0 + dt.timedelta(hours=7)), "2 hours").collect()) == [1, 2]
     ledger = spark.createDataFrame([(1, 1, "reserve", 10), (1, 2, "consume", 7), (1, 3, "consume", 9), (2, 1, "reserve", 5), (2, 2, "release", 0), (3, 1, "reserve", 4)], "execution long, seq long, kind string, micros long")
     assert sorted((r.execution, r.outcome, r.charged) for r in St.settle(ledger).collect()) == [(1, "consume", 7), (2, "release", 0), (3, "open", None)]
+
+
+def test_settlements_by_shard_are_those_by_execution(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    ledger = [(k % 60, k, t0 + dt.timedelta(minutes=k * 7 % 900 + (k % 3) * 200), ("reserve", "consume", "release", "consume")[k * 5 // 7 % 4], k * 31 % 100) for k in range(600)]
+    schema = "execution long, seq long, ts timestamp, kind string, micros long"
+    by = [sorted(map(tuple, St.drain(St.settlements(several_batches(spark, ledger, schema), late="2 hours", shards=n), "settled").collect())) for n in (1, 1_000_000)]
+    assert by[0] == by[1] and {r[2] for r in by[0]} >= {"consume", "release"}
+    alone = [(1, 1, t0, "reserve", 5), (2, 2, t0, "reserve", 6), (2, 3, t0, "consume", 9), (3, 4, t0 + dt.timedelta(hours=5), "consume", 1)]
+    got = St.drain(St.settlements(several_batches(spark, alone, schema, 1), shards=1), "settled").collect()
+    assert sorted(map(tuple, got)) == [(1, 5, "expired", 0), (2, 6, "consume", 6)]

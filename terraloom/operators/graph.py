@@ -3,7 +3,7 @@
 Reachability goes by doubling: the pairs of nodes that ways of exactly 2^k edges connect come from those of 2^(k-1), and any
 number of edges is a sum of powers of two. A graph of depth d takes log2(d) rounds; each is written to the shared folder, so that
 lineage stays short and survives lost executors. The pairs at one distance of a forest are at most its nodes; of a dense graph they may
-be the square.
+be the square. Sides of joins that grow with the graph are never broadcast.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ def _powers(edges: DataFrame, nodes: int) -> tuple[list[DataFrame], bool]:
         if 1 << (len(powers) - 1) >= nodes:
             return powers, True
         last = powers[-1]
-        powers.append(written(last.join(last.select(F.col("a").alias("b"), F.col("b").alias("_c")), "b").select("a", F.col("_c").alias("b")).distinct(), "graph-power"))
+        powers.append(written(last.join(last.select(F.col("a").alias("b"), F.col("b").alias("_c")).hint("merge"), "b").select("a", F.col("_c").alias("b")).distinct(), "graph-power"))
     return powers[:-1], False
 
 
@@ -46,7 +46,7 @@ def lineage(edges: DataFrame, seeds: DataFrame, max_nodes: int | None = None) ->
     kept, nodes = _edges(edges, max_nodes)
     found = written(seeds.where("id is not null").select("output", "id").distinct().withColumn("depth", F.lit(0)), "lineage")
     for k, power in enumerate(_powers(kept, nodes)[0]):
-        further = found.join(power.select(F.col("a").alias("id"), "b"), "id").select("output", F.col("b").alias("id"), (F.col("depth") + (1 << k)).alias("depth"))
+        further = found.join(power.select(F.col("a").alias("id"), "b").hint("merge"), "id").select("output", F.col("b").alias("id"), (F.col("depth") + (1 << k)).alias("depth"))
         found = written(found.unionByName(further).groupBy("output", "id").agg(F.min("depth").alias("depth")), "lineage")
     return found
 
@@ -68,11 +68,12 @@ def cycles(edges: DataFrame) -> DataFrame:
     """Nodes on cycles, by strongly connected component: `id`, `cycle` (its least node). Nodes that only lead to or from one are trimmed first."""
     core = cyclic_nodes(edges)
     back = cyclic_nodes(edges.select(F.col("parent_id").alias("id"), F.col("id").alias("parent_id")))
-    core = written(core.intersect(back), "cycle-core")
-    inside = edges.join(core, "id", "left_semi").join(core.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi")
+    core = written(core.join(back.hint("merge"), "id", "left_semi"), "cycle-core")
+    inside = edges.join(core.hint("merge"), "id", "left_semi").join(core.withColumnRenamed("id", "parent_id").hint("merge"), "parent_id", "left_semi")
     reach = lineage(inside, core.select(F.col("id").alias("output"), "id")).where("depth > 0").select("output", "id")
     loops = inside.where("id = parent_id").select(F.col("id").alias("output"), "id")
-    both = reach.intersect(reach.select(F.col("id").alias("output"), F.col("output").alias("id"))).unionByName(loops)
+    back = reach.select(F.col("id").alias("output"), F.col("output").alias("id"))
+    both = reach.join(back.hint("merge"), ["output", "id"], "left_semi").unionByName(loops)
     return both.groupBy(F.col("output").alias("id")).agg(F.least(F.min("id"), F.col("output")).alias("cycle"))
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from terraloom.functions import grid as G
+from terraloom.operators import graph as Gr
 from terraloom.operators import joins as J
 from terraloom.plans.registry import QUERIES
 from terraloom.sources import readers as S
@@ -56,3 +57,12 @@ def test_small_height_grids_share_batches(spark):
     large = b"".join((v % 30000).to_bytes(2, "big") for v in range(400 * 400))
     got = S.hgt_grid(spark.createDataFrame([("l", large)], "path string, content binary"), 400)
     assert got.where("height <> (y * 400 + x) % 30000 or height is null").count() == 0 and got.count() == 160_000
+
+
+def test_graph_joins_are_not_broadcast(spark, monkeypatch):
+    made = []
+    real = Gr.written
+    monkeypatch.setattr(Gr, "written", lambda df, name: (made.append(plan(df)), real(df, name))[1])
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1), (5, 4), (6, 6), (7, 8)], "id long, parent_id long")
+    assert sorted(map(tuple, Gr.cycles(edges).collect())) == [(1, 1), (2, 1), (3, 1), (6, 6)]
+    assert made and not any("BroadcastHashJoin" in p for p in made)

@@ -71,9 +71,11 @@ def src_hgt_grid(v):
     spans = [F.explode(F.sequence(F.lit(0), F.lit((n - 1) // side))).alias(c) for c, n in (("tx", extent.w), ("ty", extent.h))]
     tiles = v.px.select("item_id").distinct().select("item_id", spans[0]).select("item_id", "tx", spans[1])
     word = F.lpad(F.hex((F.when(C("red") == 0, -32768).otherwise(C("red") - 10000) + 65536) % 65536), 4, "0")
-    cell = F.struct((C("y") % side * side + C("x") % side).alias("k"), word.alias("h"))
-    grid = v.px.groupBy("item_id", F.floor(C("x") / side).cast("int").alias("tx"), F.floor(C("y") / side).cast("int").alias("ty")).agg(F.map_from_entries(F.collect_list(cell)).alias("m"))
-    words = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda k: F.coalesce(C("m")[k], F.lit("8000")))  # what a tile lacks is void
+    cell = F.struct((C("y") % side * side + C("x") % side).cast("int").alias("k"), word.alias("h"))
+    grid = v.px.groupBy("item_id", F.floor(C("x") / side).cast("int").alias("tx"), F.floor(C("y") / side).cast("int").alias("ty")).agg(F.collect_list(cell).alias("m"))
+    there = F.coalesce(C("m"), F.array().cast("array<struct<k: int, h: string>>"))
+    lacks = F.array_except(F.sequence(F.lit(0), F.lit(side * side - 1)), there["k"])  # what a tile lacks is void
+    words = F.sort_array(F.concat(there, F.transform(lacks, lambda k: F.struct(k.alias("k"), F.lit("8000").alias("h")))))["h"]
     files = tiles.join(grid, ["item_id", "tx", "ty"], "left").select(F.concat_ws("@", "item_id", "tx", "ty").alias("path"), F.unhex(F.array_join(words, "")).alias("content"))
     part = lambda k: F.split_part("path", F.lit("@"), F.lit(k))
     out = S.hgt_grid(files, side).select(part(1).alias("path"), (part(2).cast("int") * side + C("x")).alias("x"), (part(3).cast("int") * side + C("y")).alias("y"), "height")

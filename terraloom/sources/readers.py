@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -201,21 +202,33 @@ STRIP = 100_000
 def hgt_grid(files: DataFrame, side: int) -> DataFrame:
     """Big-endian 16-bit height grids (path, content) -> pixels (path, x, y, height); -32768 is void (null)."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            for path, content in zip(p.path, p.content, strict=True):
-                if len(content) != 2 * side * side:
-                    raise ValueError(f"{path} is not a grid of side {side}")
-                grid = np.frombuffer(content, ">i2").reshape(side, side)
+    cells = side * side
+
+    def made(paths: pa.Array, values: np.ndarray, top: int) -> pa.RecordBatch:
+        """Rows of as many grids as there are paths, or of a strip of one that begins at row `top`."""
+        each = len(values) // len(paths)
+        y, x = np.divmod(np.arange(each, dtype=np.int32), np.int32(side))
+        height = values.astype(np.int32)
+        columns = [paths.take(pa.array(np.repeat(np.arange(len(paths)), each))), pa.array(np.tile(x, len(paths))), pa.array(np.tile(y + np.int32(top), len(paths))), pa.array(height, mask=height == -32768)]
+        return pa.RecordBatch.from_arrays(columns, ["path", "x", "y", "height"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            paths, contents = b.column("path"), b.column("content").to_pylist()
+            for k, content in enumerate(contents):
+                if content is None or len(content) != 2 * cells:
+                    raise ValueError(f"{paths[k]} is not a grid of side {side}")
+            several = max(1, STRIP // cells)  # small files share a batch
+            for k in range(0, len(contents), several):
+                values = np.frombuffer(b"".join(contents[k : k + several]), ">i2")
+                if cells <= STRIP:
+                    yield made(paths.slice(k, several), values, 0)
+                    continue
                 rows = max(1, STRIP // side)
                 for top in range(0, side, rows):  # strips of rows, so that a large file is never one frame
-                    h = grid[top : top + rows].astype("float64").ravel()
-                    h[h == -32768] = np.nan
-                    y, x = np.divmod(np.arange(len(h)), side)
-                    yield pd.DataFrame({"path": path, "x": x, "y": y + top, "height": h})
+                    yield made(paths.slice(k, 1), values[top * side : (top + rows) * side], top)
 
-    out = files.select("path", "content").mapInPandas(run, "path string, x int, y int, height double")
-    return out.withColumn("height", F.when(~F.isnan("height"), F.col("height")).cast("int"))
+    return files.select("path", "content").mapInArrow(run, "path string, x int, y int, height int")
 
 
 def tile_rows(rows: DataFrame) -> DataFrame:

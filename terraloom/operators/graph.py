@@ -18,6 +18,11 @@ class Cyclic(ValueError):
     """A graph that must have no cycle has one."""
 
 
+def _tasks(df: DataFrame, rows: int = 1_000_000) -> int:
+    """Tasks for a shuffle of written rows: about so many rows each, so that a task's memory doesn't grow with the graph."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+
+
 def _edges(edges: DataFrame, max_nodes: int | None = None) -> tuple[DataFrame, int]:
     """Distinct edges (a, b) without nulls, and the number of nodes."""
     kept = written(edges.where("id is not null and parent_id is not null").select(F.col("id").alias("a"), F.col("parent_id").alias("b")).distinct(), "graph-edges")
@@ -47,7 +52,7 @@ def lineage(edges: DataFrame, seeds: DataFrame, max_nodes: int | None = None) ->
     found = written(seeds.where("id is not null").select("output", "id").distinct().withColumn("depth", F.lit(0)), "lineage")
     for k, power in enumerate(_powers(kept, nodes)[0]):
         further = found.join(power.select(F.col("a").alias("id"), "b").hint("merge"), "id").select("output", F.col("b").alias("id"), (F.col("depth") + (1 << k)).alias("depth"))
-        found = written(found.unionByName(further).groupBy("output", "id").agg(F.min("depth").alias("depth")), "lineage")
+        found = written(found.unionByName(further).repartition(2 * _tasks(found), "output", "id").groupBy("output", "id").agg(F.min("depth").alias("depth")), "lineage")
     return found
 
 
@@ -125,7 +130,10 @@ def lineage_steps(nodes: DataFrame, edges: DataFrame, outputs: DataFrame | None
         raise ValueError(f"a recorded source is missing: {lost[0][0]}")
     seeds = (nodes if outputs is None else outputs).select(F.col("id").alias("output"), "id")
     level = topological_depth(edges, max_nodes).withColumnRenamed("depth", "_level")
-    j = lineage(edges, seeds, max_nodes).drop("depth").join(level, "id", "left").join(nodes, "id")
+    facts = written(nodes.join(level.hint("merge"), "id", "left"), "lineage-facts")
+    found = lineage(edges, seeds, max_nodes)
+    # one join on the id alone, so that nodes which all outputs reach can be split over tasks; then dealt by output
+    j = found.drop("depth").join(facts.hint("merge"), "id").repartition(_tasks(found), "output")
     from pyspark.sql import Window
 
     order = Window.partitionBy("output").orderBy(F.coalesce("_level", F.lit(0)), "id")

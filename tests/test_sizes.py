@@ -66,3 +66,18 @@ def test_graph_joins_are_not_broadcast(spark, monkeypatch):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1), (5, 4), (6, 6), (7, 8)], "id long, parent_id long")
     assert sorted(map(tuple, Gr.cycles(edges).collect())) == [(1, 1), (2, 1), (3, 1), (6, 6)]
     assert made and not any("BroadcastHashJoin" in p for p in made)
+
+
+def test_lineage_is_dealt_by_rows(spark):
+    rows = spark.range(4000)
+    assert Gr._tasks(rows, 100) == 40 and Gr._tasks(rows) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    nodes = spark.range(40).selectExpr("id", "concat('op', id) as operation", "map('k', id) as parameters")
+    edges = spark.range(1, 40).selectExpr("id", "(id - 1) div 2 as parent_id")
+    got = {}
+    for r in Gr.lineage_steps(nodes, edges).collect():
+        got.setdefault(r.output, {})[r.place] = (r.id, r.operation, r.parameters["k"])
+    for k in range(40):
+        way = [k]
+        while way[0]:
+            way.insert(0, (way[0] - 1) // 2)
+        assert got[k] == {n: (i, f"op{i}", i) for n, i in enumerate(way, 1)}

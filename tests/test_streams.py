@@ -135,3 +135,23 @@ def test_settlements_by_shard_are_those_by_execution(spark):
     alone = [(1, 1, t0, "reserve", 5), (2, 2, t0, "reserve", 6), (2, 3, t0, "consume", 9), (3, 4, t0 + dt.timedelta(hours=5), "consume", 1)]
     got = St.drain(St.settlements(several_batches(spark, alone, schema, 1), shards=1), "settled").collect()
     assert sorted(map(tuple, got)) == [(1, 5, "expired", 0), (2, 6, "consume", 6)]
+
+
+def test_timed_states_by_shard_are_those_by_key(spark):
+    """Keys share a call of Python and a state by shard; each still has its own end, a null key too."""
+    t0 = dt.datetime(2024, 1, 1)
+    way = ["queued", "running", "succeeded", "paused", "failed", "running", "cancelled"]
+    rows = [(None if k // 20 == 3 else k // 20, k, t0 + dt.timedelta(hours=k // 4), way[k * 11 // 4 % 7], k, "ab" * 32) for k in range(800)]
+    several = lambda: several_batches(spark, rows, "job_id long, seq long, ts timestamp, status string, bytes long, sha256 string")
+    state = lambda d: sorted(map(str, St.drain(d, "shards", large_state=True).collect()))
+    streams = [
+        lambda n: Sf.completions(several(), "100 hours", 40 * 3_600_000, n),
+        lambda n: Sf.lease_releases(several().withColumnRenamed("ts", "at").withColumn("status", F.expr("if(coalesce(job_id, 0) % 2 = 0, 'running', status)")), "20 hours", "100 hours", n),
+        lambda n: Sf.ttl_lookup(several().withColumnRenamed("job_id", "key"), 1, "100 hours", n),
+    ]
+    for stream in streams:
+        one = state(stream(1))
+        assert one == state(stream(1_000_000)) and len(one) > 3 and any("=None" in r for r in one)
+    alone = [(1, 1, t0), (2, 2, t0), (1, 3, t0 + dt.timedelta(hours=24) - dt.timedelta(milliseconds=1)), (2, 4, t0 + dt.timedelta(hours=24)), (None, 5, t0), (None, 6, t0 + dt.timedelta(hours=1))]
+    got = St.drain(Sf.ttl_lookup(several_batches(spark, alone, "key long, seq long, ts timestamp", 1), 1, shards=1), "ttl", large_state=True)
+    assert {r.seq: (r.key, r.hit) for r in got.collect()} == {1: (1, False), 2: (2, False), 3: (1, True), 4: (2, False), 5: (None, False), 6: (None, True)}

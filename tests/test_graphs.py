@@ -137,3 +137,30 @@ def test_pages_from_any_offset(spark, offset, most):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     with pytest.raises(Exception, match="exceeds the page"):
         W.pages(spark.createDataFrame([("a", 1, 101)], "g string, k long, size long"), "g", "k", F.col("size"), 100, 5).collect()
+
+
+@pytest.mark.parametrize(("offset", "most"), [(0, 3), (5, 9), (6, 40)])
+def test_pages_across_blocks(spark, monkeypatch, offset, most):
+    """Pages shorter and longer than a block of rows; one is followed within blocks, and only what enters a block is jumped from."""
+    monkeypatch.setattr(W, "_BLOCK", 8)
+    entered = []
+    real = W.written
+    monkeypatch.setattr(W, "written", lambda df, name: (lambda d: (entered.append(d) if name == "page-ways" else None, d)[1])(real(df, name)))
+    rng = random.Random(9)
+    rows = [(g, k, rng.choice([0, 1, 3, 9]), f"{g}{k}") for g in (1, 2, 3, 4) for k in range({1: 333, 2: 8, 3: 5}.get(g, 64))]
+    got = W.pages(spark.createDataFrame(rows, "g long, k long, size long, own string"), "g", "k", F.col("size"), 100, most, offset).collect()
+    want = []
+    for g in (1, 2, 3, 4):
+        own, pages, total = sorted(r for r in rows if r[0] == g)[offset:], [], 0
+        for r in own:
+            if not pages or total + r[2] > 100 or len(pages[-1]) == most:
+                pages.append([])
+                total = 0
+            pages[-1].append(r)
+            total += r[2]
+        at = offset
+        for n, p in enumerate(pages, 1):
+            want += [(*r, n, at, at + len(p) if n < len(pages) else None) for r in p]
+            at += len(p)
+    assert sorted(map(tuple, got)) == sorted(want, key=lambda r: r[:2])
+    assert most >= 8 or entered[0].count() < len(rows) / 2

@@ -83,6 +83,11 @@ def votes(hashes: np.ndarray, words: int = 1) -> bytes:
     return b"".join(out)
 
 
+def parities(hashes: np.ndarray) -> bytes:
+    """1024 bits of a set of hashes: whether an odd number of them falls on each (odd sketch). Two sets differ in at least as many elements as these in bits."""
+    return np.packbits(np.bincount((hashes >> np.uint64(54)).astype(np.int64), minlength=1024) & 1).tobytes()
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """One row per document: its id and `sketch`, its fingerprint as bytes."""
 
@@ -243,13 +248,14 @@ def trie_candidates(turned: np.ndarray, unit: np.ndarray, rotation: np.ndarray,
     return tuple(np.concatenate(found, axis=1))
 
 
-def trie_pairs(turned, unit, rotation, bits, wide, label, trie, total, safe, least, chunk: int = 1 << 16, leaf: int = 8, mark: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def trie_pairs(turned, unit, rotation, bits, wide, label, trie, total, safe, least, chunk: int = 1 << 16, leaf: int = 8, mark: bool = True, may=None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs (i, j) worth a test, and in how many bits all words differ.
 
     label: components known so far, whose pairs need no test. Without `safe`: all pairs that differ in more than `least` and at most
     `total` bits. With it: sketches that differ in at most `safe` bits are taken for linked meanwhile, the closest first, and of them a
     spanning forest is returned; with `mark`, each sketch that has then another one within `total` bits is returned as a pair with itself. trie:
-    the word that each fingerprint is; a pair that the walk over an earlier word finds too is left to that one.
+    the word that each fingerprint is; a pair that the walk over an earlier word finds too is left to that one. may: tells of pairs (i, j) whether
+    they can link at all; those that can't are neither returned nor taken for linked.
     """
     _, first, which = np.unique(label, return_index=True, return_inverse=True)
     labels = _Labels(first[which])
@@ -262,7 +268,8 @@ def trie_pairs(turned, unit, rotation, bits, wide, label, trie, total, safe, lea
     for allowed in sorted({min(bits, 1 << k) for k in range(bits.bit_length() + 1)}) if safe else []:
         for i, j in _leaves(turned, _bounds(unit), rotation, bits, allowed, labels, chunk, leaf):
             d, own = apart(i, j)
-            near = d <= safe
+            near = np.flatnonzero(d <= safe)
+            near = near if may is None else near[may(i[near], j[near])]
             i, j, d, own = i[near], j[near], d[near], own[near]
             order = np.argsort(d, kind="stable")
             i, j, d, own = i[order], j[order], d[order], own[order]
@@ -274,7 +281,8 @@ def trie_pairs(turned, unit, rotation, bits, wide, label, trie, total, safe, lea
     some = np.zeros(len(turned), bool)
     for i, j in _leaves(turned, _bounds(unit), rotation, bits, bits, labels, chunk, leaf):
         d, own = apart(i, j)
-        near = (d > least) & (d <= total) & own & (labels.label[i] != labels.label[j])
+        near = np.flatnonzero((d > least) & (d <= total) & own & (labels.label[i] != labels.label[j]))
+        near = near if may is None else near[may(i[near], j[near])]
         if safe:
             some[i[near]] = some[j[near]] = True
         else:
@@ -383,24 +391,32 @@ def links(prints: DataFrame, bits: int = 4, unit_rows: int = 200_000, step: int
     return _by_unit(units, key, ["node"], run, "a long, b long")
 
 
-def candidates(prints: DataFrame, bits: int, words: int, tries: int, total: int, safe: int, least: int, unit_rows: int = 200_000, step: int = 6, mark: bool = True) -> DataFrame:
+def candidates(prints: DataFrame, bits: int, words: int, tries: int, total: int, safe: int, least: int, unit_rows: int = 200_000, step: int = 6, mark: bool = True, num: int = 0, den: int = 1) -> DataFrame:
     """Pairs a <= b of `node`s worth a test (trie_pairs()), each once.
 
-    prints: a row per sketch: `node` long, `label` long (a component known so far), `sketch` binary.
+    prints: a row per sketch: `node` long, `label` long (a component known so far), `sketch` binary. With `odd` (parities() of a set) and `size` (its
+    elements) too, pairs whose sets surely have a Jaccard similarity below num / den are left out: at that similarity they differ in
+    (den - num) / (den + num) of their elements, and in no more bits of `odd`.
     """
+    more = [c for c in ("odd", "size") if c in prints.columns]
     units, key = _units(prints, bits, unit_rows, step, tries)
 
     def run(t: pa.Table, order, turned, unit, rot) -> Iterator[pa.RecordBatch]:
         node, label = t.column("node").to_numpy()[order], t.column("label").to_numpy()[order]
         wide = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(-1, words)[order]
+        may = None
+        if more:
+            odd = np.frombuffer(b"".join(t.column("odd").to_pylist()), np.uint64).reshape(-1, 16)[order]
+            size = t.column("size").to_numpy()[order]
+            may = lambda i, j: (den + num) * np.bitwise_count(odd[i] ^ odd[j]).sum(axis=1, dtype=np.int64) <= (den - num) * (size[i] + size[j])
         # a sketch may be in several units of a batch
-        held, size = [], 0
-        for i, j, _ in trie_pairs(turned, unit, rot, bits, wide, _dense(label, unit), t.column("trie").to_numpy()[order], total, safe, least, mark=mark):
+        held, n = [], 0
+        for i, j, _ in trie_pairs(turned, unit, rot, bits, wide, _dense(label, unit), t.column("trie").to_numpy()[order], total, safe, least, mark=mark, may=may):
             held.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]))
-            size += len(i)
-            if size > 1 << 17:
+            n += len(i)
+            if n > 1 << 17:
                 yield pairs(held)
-                held, size = [], 0
+                held, n = [], 0
         if held:
             yield pairs(held)
 
@@ -408,7 +424,7 @@ def candidates(prints: DataFrame, bits: int, words: int, tries: int, total: int,
         found = np.unique(np.concatenate(held, axis=1), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
 
-    return _by_unit(units, key, ["node", "label", "sketch"], run, "a long, b long").distinct()
+    return _by_unit(units, key, ["node", "label", "sketch", *more], run, "a long, b long").distinct()
 
 
 def _dense(label: np.ndarray, unit: np.ndarray) -> np.ndarray:
@@ -468,7 +484,8 @@ def similar(docs: DataFrame, id_col: str, text_col: str = "text", shingle: int =
 
     Tests go by rounds, from the nearest candidates to the farthest. The first ones take a spanning forest of those within forests[k] bits,
     so that texts that are alike come together by few tests; then each takes all candidates up to bands[k] bits whose texts
-    aren't in one component yet. No text has a limit to its candidates. Distinct sets take part, named by their least id; texts without words have the empty set, and link to each other.
+    aren't in one component yet. There, pairs whose sets differ in too many elements by their parities are no candidates; that loses no link.
+    No text has a limit to its candidates. Distinct sets take part, named by their least id; texts without words have the empty set, and link to each other.
     """
 
     def own(raw: pa.Array) -> list[pa.Array]:
@@ -482,16 +499,21 @@ def similar(docs: DataFrame, id_col: str, text_col: str = "text", shingle: int =
     # only texts with a candidate are looked at any more
     nodes = materialize(found.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "similar-nodes")
     raw = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("_raw")).join(nodes, "node")
-    sets = lambda raw: [pa.array([np.unique(shingle_hashes(x or b"", shingle)).tobytes() for x in raw.to_pylist()], pa.binary())]
-    texts = materialize(with_computed(raw, ["node"], ["_raw"], sets, [("own", "binary")]), "similar-sets")
-    near = materialize(per.join(nodes, "node").select("node", "sketch"), "similar-prints")
+
+    def sets(raw: pa.Array) -> list[pa.Array]:
+        found = [np.unique(shingle_hashes(x or b"", shingle)) for x in raw.to_pylist()]
+        return [pa.array([x.tobytes() for x in found], pa.binary()), pa.array([parities(x) for x in found], pa.binary()), pa.array([len(x) for x in found], pa.int64())]
+
+    texts = materialize(with_computed(raw, ["node"], ["_raw"], sets, [("own", "binary"), ("odd", "binary"), ("size", "long")]), "similar-sets")
+    near = materialize(per.join(texts.select("node", "odd", "size"), "node").select("node", "sketch", "odd", "size"), "similar-prints")
     links_ = labels = None
     least = -1
     for k, total in enumerate((*forests, *bands)):
         if k:
-            prints = near.withColumn("label", F.col("node")) if labels is None else near.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "sketch")
+            prints = near.withColumn("label", F.col("node")) if labels is None else near.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "sketch", "odd", "size")
             forest = k < len(forests)
-            found = materialize(candidates(prints, bits, words, tries, total, total if forest else 0, least, unit_rows, mark=False), "similar-pairs")
+            prints = prints.drop("odd", "size") if forest else prints  # a forest has few pairs as it is
+            found = materialize(candidates(prints, bits, words, tries, total, total if forest else 0, least, unit_rows, mark=False, num=num, den=den), "similar-pairs")
             least = least if forest else total
         held = _confirmed(found.where("a < b"), texts, num, den)
         if held.take(1):

@@ -91,6 +91,38 @@ def test_family_of_one_template(spark):
     assert all(got[got[k]] == got[k] and (got[k] == k or alike(k, got[k]) >= 0.8) for k in range(600))
 
 
+def test_family_below_the_threshold_makes_few_pairs(spark, monkeypatch):
+    """Texts of one template, about 0.77 alike, with some pairs above 0.8: those below are not tested by all pairs, and no link is lost for it."""
+    rng = random.Random(31)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared, texts = new(140), []
+    for _ in range(150):
+        mine = new(14)
+        texts += [" ".join(shared + mine + new(7)) for _ in range(2)]
+    own = [grams(t) for t in texts]
+    alike = lambda i, j: len(own[i] & own[j]) / len(own[i] | own[j])
+    assert alike(0, 1) > 0.85 and 0.75 < alike(0, 2) < 0.8
+    tested = []
+    real = simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, name: (lambda d: (tested.append(d) if name == "similar-pairs" else None, d)[1])(real(df, name)))
+    got = {r.k: r.component_id for r in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "k long, text string"), "k").collect()}
+    assert all(got[2 * k] == got[2 * k + 1] for k in range(150))
+    assert len(set(got.values())) == 150
+    assert sum(d.count() for d in tested) < 8 * len(texts)  # of 44,850
+
+
+def test_parities_never_hide_a_link():
+    rng = np.random.default_rng(8)
+    for size in (1, 9, 100, 700, 5000):
+        for _ in range(60):
+            a = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64) << np.uint64(1))
+            b = np.unique(np.r_[a[rng.random(len(a)) < rng.uniform(0.75, 1)], rng.integers(0, 1 << 63, int(size * rng.uniform(0, 0.25))).astype(np.uint64)])
+            odd = [np.frombuffer(simhash.parities(x), np.uint64) for x in (a, b)]
+            apart = int(np.bitwise_count(odd[0] ^ odd[1]).sum(dtype=np.int64))
+            assert apart <= len(np.setxor1d(a, b))
+            assert not simhash.alike(a, b, 4, 5) or 9 * apart <= len(a) + len(b)
+
+
 def test_hot_ball_of_near_copies(spark):
     """Copies of one text with a word or two changed: one class, without all pairs."""
     rng = random.Random(5)

@@ -15,6 +15,7 @@ from terraloom.operators import windows as W
 from terraloom.plans.q_grid import _HILBERT, _TILES, _cells, _tiles
 from terraloom.plans.registry import query
 from terraloom.sources import readers as S
+from terraloom.sources.storage import ranged
 
 C = F.col
 
@@ -67,16 +68,17 @@ def graph_osm_relation(v):
 SELECT g.item_id AS path, CAST(g.x AS INT) AS x, CAST(g.y AS INT) AS y, CASE WHEN red = 0 THEN NULL ELSE CAST(red - 10000 AS INT) END AS height FROM g LEFT JOIN px ON px.item_id = g.item_id AND px.x = g.x AND px.y = g.y""")
 def src_hgt_grid(v):
     side = 16
+    v.part = ranged(v.part.select("p_partkey"), "p_partkey")  # else each row group's pixels are one task's; a tile's cells stay in few ranges
     extent = v.px.agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h")).first()
     spans = [F.explode(F.sequence(F.lit(0), F.lit((n - 1) // side))).alias(c) for c, n in (("tx", extent.w), ("ty", extent.h))]
-    tiles = v.px.select("item_id").distinct().select("item_id", spans[0]).select("item_id", "tx", spans[1])
-    word = F.lpad(F.hex((F.when(C("red") == 0, -32768).otherwise(C("red") - 10000) + 65536) % 65536), 4, "0")
-    cell = F.struct((C("y") % side * side + C("x") % side).cast("int").alias("k"), word.alias("h"))
-    grid = v.px.groupBy("item_id", F.floor(C("x") / side).cast("int").alias("tx"), F.floor(C("y") / side).cast("int").alias("ty")).agg(F.collect_list(cell).alias("m"))
-    there = F.coalesce(C("m"), F.array().cast("array<struct<k: int, h: string>>"))
-    lacks = F.array_except(F.sequence(F.lit(0), F.lit(side * side - 1)), there["k"])  # what a tile lacks is void
-    words = F.sort_array(F.concat(there, F.transform(lacks, lambda k: F.struct(k.alias("k"), F.lit("8000").alias("h")))))["h"]
-    files = tiles.join(grid, ["item_id", "tx", "ty"], "left").select(F.concat_ws("@", "item_id", "tx", "ty").alias("path"), F.unhex(F.array_join(words, "")).alias("content"))
+    bare = v.px.select("item_id").distinct().select("item_id", spans[0]).select("item_id", "tx", spans[1], F.lit(None).cast("int").alias("m"))
+    # a cell is one number, its place and its word; tiles without cells come in by a union, as a join may broadcast all cells
+    number = (C("y") % side * side + C("x") % side) * 65536 + (F.when(C("red") == 0, -32768).otherwise(C("red") - 10000) + 65536) % 65536
+    cells = v.px.where("x >= 0 and y >= 0").select("item_id", F.floor(C("x") / side).cast("int").alias("tx"), F.floor(C("y") / side).cast("int").alias("ty"), number.cast("int").alias("m"))
+    grid = bare.unionByName(cells).groupBy("item_id", "tx", "ty").agg(F.collect_list("m").alias("m"))
+    lacks = F.array_except(F.sequence(F.lit(0), F.lit(side * side - 1)), F.transform("m", lambda m: F.shiftright(m, 16)))  # what a tile lacks is void
+    words = F.transform(F.sort_array(F.concat("m", F.transform(lacks, lambda k: k * 65536 + 32768))), lambda m: F.lpad(F.hex(m % 65536), 4, "0"))
+    files = grid.select(F.concat_ws("@", "item_id", "tx", "ty").alias("path"), F.unhex(F.array_join(words, "")).alias("content"))
     part = lambda k: F.split_part("path", F.lit("@"), F.lit(k))
     out = S.hgt_grid(files, side).select(part(1).alias("path"), (part(2).cast("int") * side + C("x")).alias("x"), (part(3).cast("int") * side + C("y")).alias("y"), "height")
     return out.where((C("x") < extent.w) & (C("y") < extent.h))

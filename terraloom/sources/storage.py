@@ -51,3 +51,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def dealt(df: DataFrame, key: str, rows: int = 50_000) -> DataFrame:
     """Rows dealt out by a key, about so many a task: a narrow table may lie in one block of one file, which one task reads."""
     return df.repartition(max(1, -(-df.count() // rows)), key)
+
+
+def ranged(df: DataFrame, key: str, rows: int = 50_000) -> DataFrame:
+    """Rows dealt out by ranges of a key, about so many a task: neighbours stay together."""
+    return df.repartitionByRange(max(1, -(-df.count() // rows)), key)

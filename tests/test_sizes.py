@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from terraloom import queries as core
 from terraloom.functions import grid as G
 from terraloom.operators import graph as Gr
 from terraloom.operators import joins as J
@@ -59,6 +60,20 @@ def test_small_height_grids_share_batches(spark):
     assert got.where("height <> (y * 400 + x) % 30000 or height is null").count() == 0 and got.count() == 160_000
 
 
+def test_height_cells_are_not_broadcast(spark, tmp_path):
+    keys = [0, 3, 1205, 4006]  # most tiles have no cell, some rows of tiles have none at all
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    d = core.QUERIES["src_hgt_grid"](spark, str(tmp_path))
+    assert "Broadcast" not in plan(d)  # a plan takes the cells for a few bytes, whatever they are
+    want = {(f"S{n:03}", x, y): None for n in range(25) for x in range(7) for y in range(81)}
+    for n in range(25):
+        for p in keys:
+            if (p * 31 + n * 17) % 9:
+                want[f"S{n:03}", p % 50, p // 50] = (p * 97 + n * 211) % 20000 + 1 - 10000
+    got = d.collect()
+    assert {(r.path, r.x, r.y): r.height for r in got} == want and len(got) == len(want)
+
+
 def test_graph_joins_are_not_broadcast(spark, monkeypatch):
     made = []
     real = Gr.written
